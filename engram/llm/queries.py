@@ -9,6 +9,7 @@ from engram.llm.chat import link_tool_calls
 from engram.llm.mixing import mix_sources
 from engram.llm.shared import shared_dir
 from engram.llm.sharding import ShardStore
+from engram.llm.suffix import dedup_substrings
 from engram.llm.urlfilter import judge_urls
 from engram.llm.warc import archive_pages, read_warc
 
@@ -68,6 +69,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_substrings(_table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = read_warc(spark, archive_pages(_table(spark, sf_dir, "pages")))
     number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
@@ -78,5 +83,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_chat_formatting, op6_sharding, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_chat_formatting, op6_sharding, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
