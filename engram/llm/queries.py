@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.llm.chat import link_tool_calls
+from engram.llm.decontaminate import find_leaks
+from engram.llm.langid import held_out, identify, train
 from engram.llm.mixing import mix_sources
 from engram.llm.shared import shared_dir
 from engram.llm.sharding import ShardStore
@@ -69,6 +71,19 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read().select("doc_id", "lang", "source", F.octet_length("text").cast("long").alias("n_bytes"), F.md5("text").alias("text_md5"))
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, _table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", (F.size("leak_items") > 0).alias("contaminated"), "leak_items", F.array_min("leaks.edits").alias("least_edits"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = train(docs.where(~held_out()).select("text", "lang"))
+    found = identify(docs.select("doc_id", "text"), model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("lid_lang").alias("lang_pred"), F.col("lid_score").alias("score"))
+
+
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(_table(spark, sf_dir, "documents")).drop("spans")
 
@@ -83,5 +98,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_chat_formatting, op6_sharding, op9_suffix_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_chat_formatting, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
