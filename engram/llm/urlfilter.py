@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from engram.llm.shared import materialise
+
 #: A segment that looks like a number, a date, a hash or a UUID, with a file ending or without.
 VARIABLE = r"^(\d[\d_.-]*|[0-9a-fA-F]{8,}|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12})(\.\w{1,5})?$"
 
@@ -46,7 +48,7 @@ def judge_urls(
     A template is blocked if at least min_labelled of its pages have labels and its share of bad ones, smoothed by prior
     pages at the share of the whole table, is over max_bad. Rules go before templates.
 
-    Only counts are shuffled: a row for each prefix and segment, summed before they move, so a host with most of the
+    Each level is written and read again: it is used for its counts and for the next one. Only counts are shuffled: a row for each prefix and segment, summed before they move, so a host with most of the
     pages is a few rows from each task. Null urls and those without :// have empty host and path. Labels of unknown
     pages count for nothing; of several labels of a page the worst counts. Repeated rows stay and count. Empty: empty.
     """
@@ -55,8 +57,9 @@ def judge_urls(
     rows = pages.select(F.col(id_col), host.alias("host"), path.alias("path")).join(judged, F.col(id_col) == F.col("_id"), "left").drop("_id")
     parts = F.split(F.regexp_replace("path", "^/", ""), "/", depth)
     rows = rows.withColumn("_parts", parts).withColumn("template", F.lit(""))
+    rows = materialise(rows, "url-levels")
     for level in range(depth):
-        rows = _generalise(rows, level, min_support, fanout, z)
+        rows = materialise(_generalise(rows, level, min_support, fanout, z), "url-levels")
     sums = rows.groupBy("host", "template").agg(F.count("_bad").alias("_n"), F.coalesce(F.sum("_bad"), F.lit(0)).alias("_k"))
     share = F.coalesce(judged.agg(F.avg("_bad")).scalar(), F.lit(0.0))
     sums = sums.select("host", "template", "_n", ((F.col("_k") + share * prior) / (F.col("_n") + prior)).alias("bad_share"))
