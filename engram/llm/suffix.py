@@ -114,20 +114,43 @@ class Family:
         return np.concatenate(self.levels) if self.levels else np.zeros(0, dtype=ENTRY)
 
 
+def _packed(rows: np.ndarray) -> bytes:
+    """Column by column, which Spark's compression of shuffles makes smaller."""
+    return b"".join(rows[c].tobytes() for c in rows.dtype.names)
+
+
+def _unpacked(blocks: list, kind: np.dtype) -> np.ndarray:
+    out = np.zeros(sum(b.size for b in blocks) // kind.itemsize, dtype=kind)
+    at = 0
+    for b in blocks:
+        n, skip = b.size // kind.itemsize, 0
+        for c in kind.names:
+            out[c][at : at + n] = np.frombuffer(b, dtype=kind[c], count=n, offset=skip)
+            skip += n * kind[c].itemsize
+        at += n
+    return out
+
+
 def _blocks(rows: np.ndarray, kind: int, key: np.ndarray, buckets: int):
-    """(bucket, kind, block) for each bucket that rows go to by key."""
+    """(bucket, kind, block) for each bucket that rows go to by key; in a block rows are in order of documents."""
     bucket = (key % U(buckets)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
+    order = np.lexsort((rows["start"], rows["doc"], bucket))
     rows, bucket = rows[order], bucket[order]
     cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]])) if len(rows) else []
     for i, c in enumerate(cuts):
-        yield int(bucket[c]), kind, rows[c : cuts[i + 1] if i + 1 < len(cuts) else None].tobytes()
+        yield int(bucket[c]), kind, _packed(rows[c : cuts[i + 1] if i + 1 < len(cuts) else None])
 
 
 def _batch_of(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "block"])
 
 
+def _of_kind(table: pa.Table, kind: int, dtype: np.dtype) -> np.ndarray:
+    return _unpacked([b.as_buffer() for k, b in zip(table.column("kind").to_pylist(), table.column("block"), strict=True) if k == kind], dtype)
+
+
+#: Rows that a task holds before it settles and sends them.
+HELD = 1 << 19
 BLOCKS = "bucket int, kind int, block binary"
 FOUND = "doc long, start int, end int, prefix long, many boolean"
 
@@ -171,28 +194,30 @@ def repeated_runs(docs: DataFrame, length: int = 100, batches: int = 4, id_col:
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-(some[0] or 0) // bucket_bytes))
     cuts = np.array(some[1] or [], dtype=np.int64)
 
+    def send_entries(held):
+        e = np.concatenate(held)
+        order, new, later = _earliest(e["prefix"], e["span"], doc=e["doc"], start=e["start"])
+        e = e[order]
+        removed = _runs(e[later], length)
+        return _batch_of([*_blocks(e[new], 0, e[new]["prefix"], buckets), *_blocks(removed, 1, mixed(removed["doc"].astype(U)), buckets)])
+
     def entries_of(batches_in):
         for batch in batches_in:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            held, removed = [], []
+            held = [np.zeros(0, dtype=ENTRY)]
             for row, end, data, at in slices(batch.column(1)):
                 prefix, span, start, windows, own = sample(data, at, length)
                 e = np.zeros(len(prefix), dtype=ENTRY)
                 e["prefix"], e["span"], e["doc"], e["start"], e["windows"] = prefix, span, ids[row:end][own], start - at[own], windows
                 e["batch"] = np.searchsorted(cuts, e["doc"], "left")
                 held.append(e)
-            e = np.concatenate(held) if held else np.zeros(0, dtype=ENTRY)
-            order, new, later = _earliest(e["prefix"], e["span"], doc=e["doc"], start=e["start"])
-            e = e[order]
-            removed = _runs(e[later], length)
-            rows = [*_blocks(e[new], 0, e[new]["prefix"], buckets), *_blocks(removed, 1, mixed(removed["doc"].astype(U)), buckets)]
-            yield _batch_of(rows)
+                if sum(map(len, held)) >= HELD:
+                    yield send_entries(held)
+                    held = held[:1]
+            yield send_entries(held)
 
     def scan(table: pa.Table) -> pa.Table:
-        blocks = list(zip(table.column("kind").to_pylist(), table.column("block"), strict=True))
-        removed = [np.frombuffer(b.as_buffer(), dtype=REMOVED) for k, b in blocks if k == 1]
-        e = [np.frombuffer(b.as_buffer(), dtype=ENTRY) for k, b in blocks if k == 0]
-        e = np.concatenate(e) if e else np.zeros(0, dtype=ENTRY)
+        removed, e = [_of_kind(table, 1, REMOVED)], _of_kind(table, 0, ENTRY)
         family = Family()
         for k in np.unique(e["batch"]):
             removed.append(_runs(family.append(e[e["batch"] == k]), length))
@@ -200,13 +225,19 @@ def repeated_runs(docs: DataFrame, length: int = 100, batches: int = 4, id_col:
         e = e[np.argsort(e["prefix"], kind="stable")]
         _, which, n = np.unique(e["prefix"], return_inverse=True, return_counts=True)
         shared = n[which] > 1
-        return _found(np.concatenate(removed) if removed else np.zeros(0, dtype=REMOVED), e[shared], n[which][shared] >= MANY)
+        return _found(np.concatenate(removed), e[shared], n[which][shared] >= MANY)
 
     by = texts.mapInArrow(entries_of, BLOCKS).groupBy("bucket")
     found = materialise(by.applyInArrow(scan, FOUND), "suffix-entries")
 
     spans = found.where("prefix IS NOT NULL").groupBy("doc").agg(F.collect_list(F.struct("start", "end", "prefix", "many")).alias("spans"))
 
+    def send_windows(out, keys):
+        w, key = np.concatenate(out), np.concatenate(keys)
+        order, new, later = _earliest(w["hash"], doc=w["doc"], start=w["start"])
+        again = _windows(w[order][later], length)
+        return _batch_of([*_blocks(w[order][new], 0, key[order][new], buckets), *_blocks(again, 1, mixed(again["doc"].astype(U)), buckets)])
+
     def windows_of(batches_in):
         for batch in batches_in:
             lists = batch.column(2)
@@ -216,7 +247,7 @@ def repeated_runs(docs: DataFrame, length: int = 100, batches: int = 4, id_col:
             owner = np.repeat(np.arange(len(ids)), n)
             start, end = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
             prefix, many = flat.field(2).to_numpy(zero_copy_only=False).view(U), flat.field(3).to_numpy(zero_copy_only=False)
-            out, keys = [], []
+            out, keys = [np.zeros(0, dtype=WINDOW)], [np.zeros(0, dtype=U)]
             for row, stop, data, at in slices(batch.column(1)):
                 mine = slice(*np.searchsorted(owner, [row, stop]))
                 own, s, count = owner[mine] - row, start[mine], (end - start)[mine]
@@ -229,18 +260,15 @@ def repeated_runs(docs: DataFrame, length: int = 100, batches: int = 4, id_col:
                 w["hash"], w["doc"], w["start"] = hashes[at[own][k] + where], ids[row:stop][own][k], where
                 out.append(w)
                 keys.append(np.where(spread[k], w["hash"], mixed(key)[k]))
-            w, key = (np.concatenate(out), np.concatenate(keys)) if out else (np.zeros(0, dtype=WINDOW), np.zeros(0, dtype=U))
-            order, new, later = _earliest(w["hash"], doc=w["doc"], start=w["start"])
-            again = _windows(w[order][later], length)
-            yield _batch_of([*_blocks(w[order][new], 0, key[order][new], buckets), *_blocks(again, 1, mixed(again["doc"].astype(U)), buckets)])
+                if sum(map(len, out)) >= HELD:
+                    yield send_windows(out, keys)
+                    out, keys = out[:1], keys[:1]
+            yield send_windows(out, keys)
 
     def compare(table: pa.Table) -> pa.Table:
-        blocks = list(zip(table.column("kind").to_pylist(), table.column("block"), strict=True))
-        removed = [np.frombuffer(b.as_buffer(), dtype=REMOVED) for k, b in blocks if k == 1]
-        w = [np.frombuffer(b.as_buffer(), dtype=WINDOW) for k, b in blocks if k == 0]
-        w = np.concatenate(w) if w else np.zeros(0, dtype=WINDOW)
+        removed, w = _of_kind(table, 1, REMOVED), _of_kind(table, 0, WINDOW)
         order, _, later = _earliest(w["hash"], doc=w["doc"], start=w["start"])
-        return _found(np.concatenate([*removed, _windows(w[order][later], length)]))
+        return _found(np.concatenate([removed, _windows(w[order][later], length)]))
 
     by = texts.join(spans, "doc").mapInArrow(windows_of, BLOCKS).groupBy("bucket")
     windows = by.applyInArrow(compare, FOUND)
