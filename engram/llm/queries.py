@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.chat import link_tool_calls
 from engram.llm.decontaminate import find_leaks
+from engram.llm.jaccard import similar_documents
 from engram.llm.langid import held_out, identify, train
 from engram.llm.mixing import mix_sources
 from engram.llm.shared import shared_dir
@@ -34,6 +35,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_table(spark, sf_dir, "pages"), labels, RULES)
 
 
+def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
@@ -98,5 +103,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op3_mixing, op4_chat_formatting, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
