@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.llm.chat import link_tool_calls
 from engram.llm.decontaminate import find_leaks
+from engram.llm.embedding import near_vectors
 from engram.llm.jaccard import similar_documents
 from engram.llm.langid import held_out, identify, train
 from engram.llm.mixing import mix_sources
@@ -65,6 +66,10 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "turn", "role", "link", F.col("depth").cast("long").alias("depth"), "valid", F.array_join("errors", "; ").alias("errors"), "message_json")
 
 
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Four arrivals of documents, appended and compacted, then read back by the manifest."""
     store = ShardStore(spark, shared_dir(spark, "shards"))
@@ -103,5 +108,5 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
 ORACLE_SQL: dict[str, str] = {}
