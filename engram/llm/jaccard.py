@@ -20,6 +20,9 @@ CELLS = 1 << 20
 PARTS = 32
 #: Rounds that look for classes with too few shared shingles. More would only leave out some more work.
 ROUNDS = 2
+#: From so many open documents on a shingle is crowded, and its documents are compared block by block.
+CROWD = 48
+BLOCK = 512
 
 
 def _sets(batch: pa.RecordBatch, size: int):
@@ -111,7 +114,8 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
        while there are classes with fewer shared shingles than a link needs those go too.
     4. With exact frequencies of what is left, new prefixes give the candidates. First each is verified against the
        first of its shingle, which joins most of a group of copies by as many pairs as it has members; then, for
-       classes that are still apart, all pairs with the shared shingles that the smaller l asks for are.
+       classes that are still apart, all pairs with the shared shingles that the smaller l asks for are. Documents of
+       crowded shingles are compared in blocks instead, each set against all of its home at once.
     """
     spark = docs.sparkSession
     texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -127,7 +131,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
         ends = rows.join(split, "doc").select(F.col("low").alias("a"), F.col("component").alias("b"))
         again = components(ends, "shingle-again").toDF("component", "smaller")
         rows = rows.join(again, "component", "left").withColumn("component", F.coalesce("smaller", "component"))
-    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    return rows.select(F.col("doc").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.col("component")).alias("component_id"))
 
 
 def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, bucket_bytes: int) -> DataFrame:
@@ -157,17 +161,30 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, bucket
             block = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), block(prints), block(docs)], ["bucket", "prints", "docs"])
 
+    sums = -(-buckets // 16)
+
     def shared_shingles(table: pa.Table) -> pa.Table:
-        """How many shingles of its prefix, of those in this bucket, a class has in common with others."""
+        """How many shingles of its prefix, of those in this bucket, a class has in common with others; packed by where they are summed."""
         prints, docs = (np.concatenate([np.frombuffer(b.as_buffer(), dtype=kind) for b in table.column(c)]) for c, kind in (("prints", np.uint32), ("docs", np.int64)))
         order = np.argsort(prints, kind="stable")
         prints, docs = prints[order], docs[order]
         same = prints[1:] == prints[:-1]
         doc, count = np.unique(docs[np.concatenate([same, [False]]) | np.concatenate([[False], same])], return_counts=True)
-        return pa.table([pa.array(doc, pa.int64()), pa.array(count, pa.int64())], ["doc", "shared"])
-
-    counted = one.mapInArrow(postings, "bucket int, prints binary, docs binary").groupBy("bucket").applyInArrow(shared_shingles, "doc long, shared long")
-    counted = counted.groupBy("doc").agg(F.sum("shared").alias("shared")).join(classes.groupBy(F.col("first").alias("doc")).agg(F.min("n").alias("n")), "doc")
+        to = (mixed(doc.astype(U)) % U(sums)).astype(np.int32)
+        order = np.argsort(to, kind="stable")
+        doc, count, to = doc[order], count[order].astype(np.int64), to[order]
+        cut = np.searchsorted(to, np.arange(sums + 1))
+        used = np.flatnonzero(np.diff(cut))
+        block = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in used], pa.binary())
+        return pa.table([pa.array(used, pa.int32()), block(doc), block(count)], ["part", "docs", "counts"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        docs, counts = (np.concatenate([np.frombuffer(b.as_buffer(), dtype=np.int64) for b in table.column(c)]) for c in ("docs", "counts"))
+        doc, of = np.unique(docs, return_inverse=True)
+        return pa.table([pa.array(doc), pa.array(np.bincount(of, weights=counts).astype(np.int64))], ["doc", "shared"])
+
+    by_bucket = one.mapInArrow(postings, "bucket int, prints binary, docs binary").groupBy("bucket").applyInArrow(shared_shingles, "part int, docs binary, counts binary")
+    counted = by_bucket.groupBy("part").applyInArrow(summed, "doc long, shared long").join(classes.groupBy(F.col("first").alias("doc")).agg(F.min("n").alias("n")), "doc")
     # l is 0.1 n at least, and a partner's n is percent of this one's at least
     live = materialise(counted.where(F.col("shared") >= F.greatest(F.lit(1), F.ceil(F.col("n") * (percent / 100 * 0.1) - 1e-9))).select("doc"), "shingle-live")
 
@@ -207,12 +224,92 @@ def _links(texts: DataFrame, classes: DataFrame, size: int, percent: int, bucket
     # the smallest partner that a shingle has bounds what its can has to be
     open_ = apart.join(several, "shingle").where(F.col("can") * (100 + percent) >= (F.col("n") + F.col("low")) * percent)
     open_ = materialise(open_.select("shingle", "doc", "n", "can", "l", "part"), "shingle-open")
-    x, y = open_.alias("x"), open_.alias("y")
+    crowded = open_.groupBy("shingle").agg(F.count("*").alias("m"), F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("hub"))).alias("low")).where(F.col("m") >= CROWD)
+    homes = materialise(open_.join(crowded, "shingle").groupBy("doc").agg(F.max_by("low.hub", F.struct("m", "shingle")).alias("home")), "shingle-homes")
+    calm = open_.join(homes.select("doc"), "doc", "left_anti")
+    x, y = calm.alias("x"), calm.alias("y")
     fits = (F.least("x.can", "y.can") * (100 + percent) >= (F.col("x.n") + F.col("y.n")) * percent) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * percent)
     met = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.doc") < F.col("y.doc")) & (F.col("x.part") != F.col("y.part")) & fits)
     met = met.groupBy(F.col("x.doc").alias("a"), F.col("y.doc").alias("b")).agg(F.count("*").alias("met"), F.min(F.least("x.l", "y.l")).alias("l")).where("met >= l").select("a", "b")
     more = materialise(_verified(met, arrays, percent), "shingle-links")
-    return known.unionByName(more)
+    return known.unionByName(more).unionByName(_crowd_links(open_, homes, arrays, percent))
+
+
+def _crowd_links(open_: DataFrame, homes: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:
+    """Links of the documents with a home, the hub of the most crowded of their shingles.
+
+    Whoever shares a shingle of a prefix with a document of a home comes to the home. There whole sets are compared block
+    by block, so a document goes to a few homes and to each once for each block, however many shingles and partners it has.
+    Of the links found in a pair of blocks those go out that join its parts.
+    """
+    reach = open_.join(homes, "doc").select("shingle", "home").distinct()
+    guests = materialise(open_.join(reach, "shingle").select("home", "doc").distinct(), "shingle-guests")
+    blocks = guests.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    parts = open_.select("doc", "part").distinct()
+    rows = guests.join(blocks, "home").join(parts, "doc").join(homes.select("doc", F.col("home").alias("own")), "doc", "left")
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")).withColumn("core", F.coalesce(F.col("own") == F.col("home"), F.lit(False)))
+    # documents of the home are one side, all guests, themselves too, the other
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    left = rows.where("core").select("home", F.col("block").alias("i"), F.col("other").alias("j"), F.lit(True).alias("left"), "doc", "part")
+    right = rows.select("home", F.col("other").alias("i"), F.col("block").alias("j"), F.lit(False).alias("left"), "doc", "part")
+    cells = left.unionByName(right).join(arrays, "doc")
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        side, doc, part, n = (table.column(c).to_numpy() for c in ("left", "doc", "part", "n"))
+        out_a, out_b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+        core, guest = np.flatnonzero(side), np.flatnonzero(~side)
+        if len(core) and len(guest) and len(np.unique(part)) > 1:
+            sets = table.column("set").chunk(0)
+            shared = _shared_counts(sets.take(pa.array(core)), sets.take(pa.array(guest)))
+            size = n[core][:, None] + n[guest][None, :]
+            link = (shared * 100 >= (size - shared) * percent) & (part[core][:, None] != part[guest][None, :])
+            a, b = np.nonzero(link)
+            _, first = np.unique(np.stack([part[core][a], part[guest][b]]), axis=1, return_index=True)
+            a, b = core[a[first]], guest[b[first]]
+            use = _joining(part[a], part[b])
+            out_a.append(doc[a[use]])
+            out_b.append(doc[b[use]])
+        return pa.table([pa.array(np.concatenate(out_a)), pa.array(np.concatenate(out_b))], ["a", "b"])
+
+    return materialise(cells.groupBy("home", "i", "j").applyInArrow(compare, "a long, b long").distinct(), "shingle-links")
+
+
+def _joining(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Places of edges that join what those before them left apart."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while root.setdefault(x, x) != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    use = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        x, y = find(x), find(y)
+        if x != y:
+            root[x] = y
+            use.append(k)
+    return np.array(use, dtype=np.int64)
+
+
+def _shared_counts(left: pa.ListArray, right: pa.ListArray, width: int = 4096) -> np.ndarray:
+    """How many values each set of left shares with each of right, by products of tables of which set has which value."""
+    owner = lambda x: np.repeat(np.arange(len(x)), x.value_lengths().to_numpy(zero_copy_only=False))
+    a, b = left.flatten().to_numpy(zero_copy_only=False), right.flatten().to_numpy(zero_copy_only=False)
+    both = np.intersect1d(a, b)
+    total = np.zeros((len(left), len(right)), dtype=np.float32)
+    for k in range(0, len(both), width):
+        some = both[k : k + width]
+        tables = []
+        for values, of, rows in ((a, owner(left), len(left)), (b, owner(right), len(right))):
+            at = np.minimum(np.searchsorted(some, values), len(some) - 1)
+            hit = some[at] == values
+            one = np.zeros((rows, len(some)), dtype=np.float32)
+            one[of[hit], at[hit]] = 1
+            tables.append(one)
+        total += tables[0] @ tables[1].T
+    return np.rint(total).astype(np.int64)
 
 
 def _verified(pairs: DataFrame, arrays: DataFrame, percent: int) -> DataFrame:

@@ -55,6 +55,14 @@ def test_against_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == brute(rows)
 
 
+def test_crowded_shingles(spark, monkeypatch):
+    monkeypatch.setattr("engram.llm.jaccard.CROWD", 3)
+    monkeypatch.setattr("engram.llm.jaccard.BLOCK", 5)
+    rows = corpus(3)
+    got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
+    assert sorted(map(tuple, got.collect())) == brute(rows)
+
+
 def test_repeated_rows_null_ids_and_empty_tables(spark):
     df = spark.createDataFrame([(5, "a b c d e f g", 1), (5, "a b c d e f g", 2), (9, "a b  c d e f G", 3), (None, "a b c d e f g", 4), (3, None, 5)], "doc_id long, text string, n long")
     got = sorted(similar_documents(df).collect(), key=str)
