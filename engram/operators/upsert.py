@@ -103,10 +103,13 @@ def sync_plan(stored: DataFrame, seen: DataFrame, key: str, path: str, digest: s
 
 def payload_rows(payloads: DataFrame, kinds: Mapping[str, str], id_col: str = "id", prefixed: Mapping[str, str] | None = None) -> DataFrame:
     """Array columns as rows (id, memory_type, place, content); prefixed columns get their text before the content."""
-    parts = []
-    for name, kind in kinds.items():
-        before = (prefixed or {}).get(name, "")
-        parts.append(F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), lambda x, i, k=kind, b=before: F.struct(F.lit(k).alias("memory_type"), i.cast("bigint").alias("place"), F.concat(F.lit(b), x).alias("content"))))
+
+    def rows_of(name: str, kind: str) -> Column:
+        before = F.lit((prefixed or {}).get(name, ""))
+        row = lambda x, i: F.named_struct(F.lit("memory_type"), F.lit(kind), F.lit("place"), i.cast("bigint"), F.lit("content"), F.concat(before, x))
+        return F.transform(F.coalesce(F.col(name), F.array().cast("array<string>")), row)
+
+    parts = [rows_of(name, kind) for name, kind in kinds.items()]
     return payloads.select(id_col, F.explode(F.concat(*parts)).alias("row")).select(id_col, "row.*")
 
 

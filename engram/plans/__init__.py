@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "joins", "aggregates")
+MODULES = ("scans", "joins", "aggregates", "functions", "writes", "search")
 
 
 def all_queries() -> tuple[dict, dict]:

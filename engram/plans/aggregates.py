@@ -93,7 +93,7 @@ def a12_contact_prep(t: Tables) -> DataFrame:
     )
 
 
-@query("SELECT name, unit, string_agg(quantity, ' + ' ORDER BY meal_id, place) AS quantities, MIN(meal_id) AS first_meal FROM ingredients WHERE meal_id < 3000 GROUP BY name, unit")
+@query("SELECT name, unit, string_agg(quantity, ' + ' ORDER BY meal_id, place, quantity) AS quantities, MIN(meal_id) AS first_meal FROM ingredients WHERE meal_id < 3000 GROUP BY name, unit")
 def a13_shopping_list(t: Tables) -> DataFrame:
     return A.shopping_list(t.ingredients.where("meal_id < 3000"))
 
