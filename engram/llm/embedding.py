@@ -27,6 +27,7 @@ BLOCK = 1024
 #: The sketch of bucket sizes has a cell for each so many entries, between these bounds.
 PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 1 << 12, 1 << 22
 SKETCH_PARTS = 16
+SALTS = 64
 
 
 @lru_cache(maxsize=8)
@@ -215,7 +216,9 @@ def _exact_links(grouped: DataFrame, least: float, tasks: int) -> DataFrame:
     """
     sizes = grouped.groupBy("node_group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
-    cells = grouped.join(sizes, "node_group", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
+    # a group may be a third of all rows: the join deals it out by salt
+    sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    cells = grouped.withColumn("salt", F.pmod(F.xxhash64("vec", F.lit(1)), F.lit(SALTS)).cast("int")).join(sizes, ["node_group", "salt"], "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).withColumn("own", own)
     cells = cells.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = cells.select("vec", "label", "embedding", "same", "node_group", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), (F.col("own") > F.col("other")).alias("second"))
     cells = cells.withColumn("task", F.pmod(F.xxhash64("node_group", "lo", "hi"), F.lit(tasks)).cast("int"))
