@@ -48,8 +48,10 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], max_dep
     - message_json: canonical JSON of the message: keys in order, arguments canonical, null parts left out.
 
     Null conversation, turn or identifier links with nothing. Repeated rows stay rows. Empty table: empty. No group of
-    messages is gathered: a conversation of any length stays spread over tasks. Chains longer than max_depth raise.
+    messages is gathered: a conversation of any length stays spread over tasks. Chains longer than max_depth raise. Other columns are left out.
     """
+    needs = ["needs"] if "needs" in messages.columns else []
+    messages = messages.select("conv_id", "turn", "role", "content", "call_id", "call_name", "call_args", "result_of", *needs)
     calls = messages.where("call_id IS NOT NULL AND conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "call_id").agg(F.min("turn").alias("call_turn"))
     answers = messages.where("result_of IS NOT NULL AND conv_id IS NOT NULL").groupBy("conv_id", F.col("result_of").alias("call_id")).agg(F.min("turn").alias("result_turn"))
     linked = messages.join(answers, ["conv_id", "call_id"], "left").join(calls.withColumnRenamed("call_id", "result_of"), ["conv_id", "result_of"], "left")
@@ -66,7 +68,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping], max_dep
     linked = linked.withColumn("link", link).withColumn("errors", errors).withColumn("valid", F.size("errors") == 0)
     linked = linked.withColumn("valid", F.when(F.col("errors").isNotNull(), F.col("valid")))
     linked = linked.withColumn("message_json", F.to_json(F.struct("content", "role", call.alias("tool_call"), F.col("result_of").alias("tool_call_id"))))
-    if "needs" in messages.columns:
+    if needs:
         linked = _depths(messages, linked, calls, answers, max_depth)
     else:
         linked = linked.withColumn("depth", F.when(F.col("call_turn").isNotNull() & (F.col("call_turn") != F.col("turn")), 1).otherwise(0))

@@ -11,6 +11,7 @@ from engram.llm.embedding import near_vectors
 from engram.llm.jaccard import similar_documents
 from engram.llm.langid import held_out, identify, train
 from engram.llm.mixing import mix_sources
+from engram.llm.oracles import ORACLE_SQL
 from engram.llm.shared import shared_dir
 from engram.llm.sharding import ShardStore
 from engram.llm.suffix import dedup_substrings
@@ -109,4 +110,4 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
