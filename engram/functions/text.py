@@ -229,7 +229,7 @@ def head_tail(text: Column, head: int = 12_000, tail: int = 4_000, marker: str =
 
 
 def wikilinks(text: Column) -> Column:
-    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+?)(\|[^\]]+)?\]\]"), 1), F.trim))
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\[\[([^\]|#]+?)(\|[^\]]+)?\]\]"), 1), lambda x: F.trim(x)))
 
 
 def inline_tags(text: Column) -> Column:

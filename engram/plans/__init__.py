@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("scans", "joins", "aggregates", "functions", "writes", "search")
+MODULES = ("scans", "joins", "aggregates", "functions", "writes", "search", "sources")
 
 
 def all_queries() -> tuple[dict, dict]:
