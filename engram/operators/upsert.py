@@ -40,19 +40,19 @@ def upsert_thoughts(existing: DataFrame, incoming: DataFrame, embedding: str | N
     """Thoughts (content, metadata as a map, seq) by fingerprint of the content: (fingerprint, content, metadata, writes).
 
     New metadata goes over old, key by key in order of seq; the first content stays. embedding: "new" takes the last one
-    that isn't null, "old" the first. The rows of a fingerprint are folded in order; they are as many as its writes.
+    that isn't null, "old" the first. Each key's last value is an aggregate of its own, so the writes of a fingerprint,
+    however many, are summed before they move and never gathered.
     """
     both = existing.withColumn("_new", F.lit(0)).unionByName(incoming.withColumn("_new", F.lit(1)))
-    parts = F.struct("_new", "seq", "content", "metadata", *(["embedding"] if embedding else []))
-    rows = both.withColumn("fingerprint", fingerprint(F.col("content"))).groupBy("fingerprint").agg(F.array_sort(F.collect_list(F.struct("_new", "seq"))).alias("_order"), F.collect_list(parts).alias("_rows"))
-    ordered = F.transform("_order", lambda o: F.filter("_rows", lambda r: (r["_new"] == o["_new"]) & (r["seq"] == o["seq"]))[0])
-    rows = rows.withColumn("_rows", ordered)
-    merged = F.aggregate("_rows", F.create_map().cast("map<string,string>"), lambda a, r: merged_maps(a, r["metadata"]))
-    out = [F.col("fingerprint"), F.col("_rows")[0]["content"].alias("content"), merged.alias("metadata"), F.size("_rows").cast("bigint").alias("writes")]
+    rows = both.withColumn("fingerprint", fingerprint(F.col("content"))).withColumn("_order", F.struct("_new", "seq"))
+    out = [F.min_by("content", "_order").alias("content"), F.count("*").alias("writes")]
     if embedding:
-        vectors = F.filter(F.transform("_rows", lambda r: r["embedding"]), lambda v: v.isNotNull())
-        out.append(F.try_element_at(vectors, F.lit(-1 if embedding == "new" else 1)).alias("embedding"))
-    return rows.select(*out)
+        at = F.when(F.col("embedding").isNotNull(), F.col("_order"))
+        out.append((F.max_by if embedding == "new" else F.min_by)("embedding", at).alias("embedding"))
+    values = rows.select("fingerprint", "_order", F.explode("metadata").alias("_key", "_value")).groupBy("fingerprint", "_key").agg(F.max_by("_value", "_order").alias("_value"))
+    metadata = values.groupBy("fingerprint").agg(F.map_from_entries(F.collect_list(F.struct("_key", "_value"))).alias("metadata"))
+    merged = rows.groupBy("fingerprint").agg(*out).join(metadata, "fingerprint", "left")
+    return merged.select("fingerprint", "content", F.coalesce("metadata", F.create_map().cast("map<string,string>")).alias("metadata"), "writes", *(["embedding"] if embedding else []))
 
 
 def insert_ignore(existing: DataFrame, incoming: DataFrame, keys: Sequence[str]) -> DataFrame:

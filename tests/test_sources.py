@@ -85,3 +85,14 @@ def test_thresholds_over_batches(spark, tmp_path):
     stream = jobs.read_stream(spark, str(tmp_path / "in"), spark.read.parquet(str(tmp_path / "in")).schema, 1)
     jobs.run_once(jobs.thresholds(stream, "kind", "ok"), name="thresholds", mode="update")
     assert sorted((r.outcomes, r.threshold) for r in spark.table("thresholds").collect()) == [(5, 0.73), (10, 0.71), (15, 0.69)]
+
+
+def test_pages_are_followed(spark, tmp_path):
+    from engram.sources.rest import register
+
+    pages = {"inbox-": {"messages": [{"id": "1"}, {"id": "2"}], "token": "b"}, "inbox-b": {"messages": [{"id": "3"}]}, "sent-": {"messages": [], "token": None}}
+    for name, page in pages.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(page))
+    register(spark)
+    got = spark.read.format("paged").options(url=f"file://{tmp_path}/{{start}}-{{cursor}}.json", starts="inbox,sent", items="messages", next="token").load().collect()
+    assert sorted((r.start, json.loads(r.value)["id"]) for r in got) == [("inbox", "1"), ("inbox", "2"), ("inbox", "3")]
