@@ -228,7 +228,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
         names = pa.array([*model.langs, "und"], pa.string())
         for batch in batches:
             langs, shares, spans = [], [], []
-            for row, end, data, at in slices(batch.column(place), 2 << 20):
+            for row, end, data, at in slices(batch.column(place)):
                 n = end - row
                 w = find_words(data, at)
                 of = np.searchsorted(w.text, np.arange(n + 1))
