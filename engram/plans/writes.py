@@ -265,7 +265,9 @@ def k34_content_sync(t: Tables) -> DataFrame:
     return K.sync_plan(stored, seen, "slug", "path", "digest")
 
 
-@query()
+@query("""WITH p AS (SELECT contact_id AS id, name AS given, 'c' || contact_id || '@x.org' AS mail FROM contacts WHERE contact_id <= 90)
+SELECT id AS entity_id, CASE WHEN id % 3 = 0 AND NOT (id % 2 = 0 AND id >= 30) THEN mail ELSE given END AS name, CASE WHEN id % 2 = 0 THEN mail END AS email, CASE WHEN id % 6 = 0 AND id >= 30 THEN 'upgraded' ELSE 'kept' END AS how FROM p WHERE id < 60 AND NOT (id >= 30 AND id % 2 = 1 AND id % 3 <> 0)
+UNION ALL SELECT CASE WHEN id < 60 AND id % 3 <> 0 THEN id END, given, mail, CASE WHEN id < 60 AND id % 3 <> 0 THEN 'adopted' ELSE 'new' END FROM p WHERE id >= 30 AND (id % 2 = 1 OR id >= 60)""")
 def k35_correspondents(t: Tables) -> DataFrame:
     people = t.contacts.where("contact_id < 60").select(F.col("contact_id").alias("entity_id"), F.when(F.col("contact_id") % 3 == 0, F.concat(F.lit("c"), "contact_id", F.lit("@x.org"))).otherwise(F.col("name")).alias("name"), F.when(F.col("contact_id") % 2 == 0, F.concat(F.lit("c"), "contact_id", F.lit("@x.org"))).alias("email"))
     seen = t.contacts.where("contact_id BETWEEN 30 AND 90").select(F.col("name"), F.concat(F.lit("C"), "contact_id", F.lit("@x.org")).alias("email"))
