@@ -237,7 +237,7 @@ def k29_json_backup(t: Tables) -> DataFrame:
 def k30_markdown_digest(t: Tables) -> DataFrame:
     from engram.sources.exports import digest_lines
 
-    return digest_lines(t.thoughts, AS_OF, 30)
+    return digest_lines(t.thoughts, AS_OF, 90)
 
 
 @query("SELECT event_type AS action, COUNT(*) AS n FROM (SELECT event_type FROM events UNION ALL SELECT 'audit' FROM documents WHERE doc_id % 10 = 0) GROUP BY 1")
