@@ -12,7 +12,7 @@ from engram.operators import vectors as V
 from engram.operators.joins import neighbours
 from engram.operators.upsert import upsert_edges
 from engram.plans.functions import RECALL
-from engram.plans.views import AS_OF, Tables, query
+from engram.plans.views import AS_OF, Tables, query, whole_edges, whole_entities, whole_links
 
 _Q = "(SELECT embedding FROM embeddings WHERE vec_id = 0)"
 _SIM = f"list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST({_Q} AS DOUBLE[]))"
@@ -204,10 +204,10 @@ def g11_entity_edges(t: Tables) -> DataFrame:
 
 @query()
 def g12_wiki_payload(t: Tables) -> DataFrame:
-    links = t.thought_entities.groupBy("entity_id").agg(F.count("*").alias("thoughts"))
-    ends = t.edges.select(F.explode(F.array("from_id", "to_id")).alias("entity_id"), "relation").groupBy("entity_id", "relation").agg(F.count("*").alias("n"))
+    links = whole_links(t).groupBy("entity_id").agg(F.count("*").alias("thoughts"))
+    ends = whole_edges(t).select(F.explode(F.array("from_id", "to_id")).alias("entity_id"), "relation").groupBy("entity_id", "relation").agg(F.count("*").alias("n"))
     relations = ends.groupBy("entity_id").agg(F.array_sort(F.collect_list(F.struct("relation", "n"))).alias("relations"))
-    return t.entities.join(links, "entity_id", "left").join(relations, "entity_id", "left").select("entity_id", "canonical_name", F.coalesce("thoughts", F.lit(0)).alias("thoughts"), F.to_json("relations").alias("relations"))
+    return whole_entities(t).join(links, "entity_id", "left").join(relations, "entity_id", "left").select("entity_id", "canonical_name", F.coalesce("thoughts", F.lit(0)).alias("thoughts"), F.to_json("relations").alias("relations"))
 
 
 @query("""SELECT how, COUNT(*) AS n FROM (SELECT CASE WHEN contact_id % 2 = 0 THEN 'upgraded' WHEN contact_id % 4 = 1 THEN 'adopted' ELSE 'new' END AS how FROM contacts WHERE contact_id < 40) GROUP BY how""")

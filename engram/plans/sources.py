@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.operators import models as M
-from engram.plans.views import Tables, query
+from engram.plans.views import Tables, query, whole_entities, whole_links
 from engram.sources import importers as S
 from engram.streaming import jobs as R
 
@@ -234,14 +234,14 @@ def f01_metadata(t: Tables) -> DataFrame:
 @query()
 def f02_entities(t: Tables) -> DataFrame:
     rows = t.thoughts.select("id", F.concat_ws(" ", "content", F.lit("the small ring of a red widget")).alias("content"))
-    return M.dictionary_entities(rows, t.entities, "id", "content")
+    return M.dictionary_entities(rows, whole_entities(t), "id", "content")
 
 
 @query()
 def f03_pair_relations(t: Tables) -> DataFrame:
     from engram.operators.joins import shared_pairs
 
-    pairs = shared_pairs(t.thought_entities, 2, "thought_id", "entity_id")
+    pairs = shared_pairs(whole_links(t), 2, "thought_id", "entity_id")
     texts = t.documents.select(F.col("doc_id").alias("a"), "text")
     return M.classified_pairs(pairs.join(texts, "a"), M.keyword_relations, 200)
 

@@ -86,6 +86,28 @@ def _entities(t: Tables) -> DataFrame:
 
 
 _ENTITIES = f"SELECT CAST(p_partkey AS BIGINT) AS entity_id, p_name AS canonical_name, {_KIND} AS entity_type FROM part WHERE p_partkey < 200"
+
+
+def whole_links(t: Tables) -> DataFrame:
+    """As thought_entities, of all lines and with whole part keys, so that the thoughts of an entity stay few as the tables grow."""
+    return t.lineitem.selectExpr("CAST(l_orderkey AS bigint) AS thought_id", "CAST(l_partkey AS bigint) AS entity_id").distinct()
+
+
+def whole_entities(t: Tables) -> DataFrame:
+    """As entities, of all parts."""
+    return t.part.selectExpr("CAST(p_partkey AS bigint) AS entity_id", "p_name AS canonical_name", f"{_KIND} AS entity_type")
+
+
+def whole_edges(t: Tables) -> DataFrame:
+    """As edges, with whole keys."""
+    from engram.operators.upsert import upsert_edges
+
+    mentions = t.lineitem.selectExpr(
+        "CAST(l_partkey AS bigint) AS from_id", "CAST(l_suppkey AS bigint) AS to_id", f"{_RELATION} AS relation", "CAST(l_linenumber % 10 AS double) / 10 AS confidence", "CAST(l_orderkey AS bigint) AS seen", "CAST(l_linenumber AS bigint) AS nth",
+    ).where("from_id <> to_id")
+    return upsert_edges(mentions, symmetric=True)
+
+
 _RELATION = _case("l_linenumber % 6", ["works_on", "uses", "related_to", "member_of", "located_in", "co_occurs_with"])
 
 
