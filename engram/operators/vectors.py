@@ -58,9 +58,9 @@ def recall(vectors: DataFrame, memories: DataFrame, query: Sequence[float], work
 
 
 def similar_pairs(queries: DataFrame, rows: DataFrame, threshold: float, count: int, block: int = 4096) -> DataFrame:
-    """For each query (query_id, embedding) the rows (id, embedding) most like it: a block of queries against all rows at a time.
+    """For each query (query_id, embedding) the rows (id, embedding) most like it: one block of queries against all rows.
 
-    The queries are broadcast, so they have to be few: over block of them ValueError is raised.
+    The queries are broadcast, so they have to be few: over block of them ValueError is raised. nearest_pairs takes any number.
     """
     some = queries.select("query_id", "embedding").where("embedding IS NOT NULL").limit(block + 1).collect()
     if len(some) > block:
@@ -88,6 +88,44 @@ def similar_pairs(queries: DataFrame, rows: DataFrame, threshold: float, count:
     return pairs.withColumn("_n", n).where(F.col("_n") <= count).drop("_n")
 
 
+def nearest_pairs(queries: DataFrame, rows: DataFrame, threshold: float, count: int, block: int = 1024) -> DataFrame:
+    """As similar_pairs for any number of queries: blocks of queries meet blocks of rows in the tasks; only what is small enough is broadcast by Spark.
+
+    A block of either side is one row of a join; of each pair of blocks a query keeps its count best rows.
+    """
+    from pyspark.sql import Window
+
+    def packed(batches):
+        for batch in batches:
+            batch = batch[batch["embedding"].map(lambda v: v is not None and len(v) > 0)]
+            for dims, some in batch.groupby(batch["embedding"].map(len)):
+                for k in range(0, len(some), block):
+                    part = some.iloc[k : k + block]
+                    yield pd.DataFrame({"ids": [part["id"].to_numpy(dtype=np.int64).tobytes()], "dims": [dims], "vectors": [np.stack(part["embedding"].to_numpy()).astype(np.float64).tobytes()]})
+
+    def compare(batches):
+        for batch in batches:
+            # compared here: as a condition of the join it would send all blocks to one task
+            for r in batch[batch["query_dims"] == batch["dims"]].itertuples(index=False):
+                q, x = (np.frombuffer(v).reshape(-1, r.dims) for v in (r.query_vectors, r.vectors))
+                query, row = np.frombuffer(r.query_ids, dtype=np.int64), np.frombuffer(r.ids, dtype=np.int64)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    near = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ x.T / np.linalg.norm(x, axis=1)
+                a, b = np.nonzero((near > threshold) & (query[:, None] != row))
+                value = near[a, b]
+                order = np.lexsort((row[b], -value, a))
+                a, b, value = a[order], b[order], value[order]
+                # the place of each among the rows of its query
+                best = np.arange(len(a)) - np.searchsorted(a, a) < count
+                yield pd.DataFrame({"query_id": query[a[best]], "id": row[b[best]], "similarity": value[best]})
+
+    pack = lambda df, c: df.select(F.col(c).cast("long").alias("id"), "embedding").mapInPandas(packed, "ids binary, dims int, vectors binary")
+    left = pack(queries, "query_id").select(F.col("ids").alias("query_ids"), F.col("dims").alias("query_dims"), F.col("vectors").alias("query_vectors"))
+    pairs = left.crossJoin(pack(rows, "id")).mapInPandas(compare, "query_id long, id long, similarity double")
+    n = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))
+    return pairs.withColumn("_n", n).where(F.col("_n") <= count).drop("_n")
+
+
 def hashed_embedding(text: Column, dims: int = 64) -> Column:
     """A deterministic vector of a text without a model: its tokens' hashes as signs, summed by cell and scaled to length 1."""
     tokens = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}]+"), 0)

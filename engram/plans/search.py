@@ -45,7 +45,7 @@ def v03_exact_index(t: Tables) -> DataFrame:
 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) = 1""")
 def v04_duplicate_check(t: Tables) -> DataFrame:
     queries = t.embeddings.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.similar_pairs(queries, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.3, 1).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return V.nearest_pairs(queries, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.3, 1).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 @query(f"SELECT id, ROUND(sim, 6) AS similarity FROM (SELECT id, {_SIM} AS sim, sensitivity_tier FROM vector_thoughts) WHERE sim >= 0.05 AND sensitivity_tier IS DISTINCT FROM 'restricted' ORDER BY sim DESC, id LIMIT 15 OFFSET 15")
@@ -81,7 +81,7 @@ def v09_embed(t: Tables) -> DataFrame:
 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.2 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) <= 5""")
 def v10_batch_search(t: Tables) -> DataFrame:
     queries = t.embeddings.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    return V.similar_pairs(queries, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.2, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+    return V.nearest_pairs(queries, t.embeddings.select(F.col("vec_id").alias("id"), "embedding"), 0.2, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
 _TOK = "regexp_extract_all(lower(content), '[\\p{L}\\p{N}]+')"
