@@ -2,7 +2,8 @@
 
 By the q-gram lemma a region within k edits of a part of n characters shares n + 1 - q (k + 1) of its q-grams at least,
 all on diagonals (place in the text less place in the part) that differ by k at most. Shared q-grams are counted in overlapping
-bands of diagonals; a band with enough of them is verified by alignment within the band.
+bands of diagonals; a band with enough of them is verified by alignment within the band. q is 10, or smaller for short parts
+where the lemma would promise nothing, so that each part keeps its whole budget of edits.
 """
 
 from __future__ import annotations
@@ -36,24 +37,35 @@ def plain(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
     return mapped[keep], np.concatenate([[0], np.cumsum(keep)])[at], np.flatnonzero(keep)
 
 
+@dataclass
+class Grams:
+    """The q-grams of the parts that have this q, in order of their hash with (part, place)."""
+
+    q: int
+    hashes: np.ndarray
+    at: np.ndarray
+    part: np.ndarray
+    place: np.ndarray
+    bitmap: np.ndarray
+
+
 @dataclass
 class Parts:
-    """Parts of items: text, item, edit budget and least number of shared q-grams of each; q-grams in order of their hash with (part, place)."""
+    """Parts of items: text, item, edit budget and least number of shared q-grams of each, and the q-grams by q."""
 
     text: np.ndarray
     length: np.ndarray
     item: np.ndarray
     edits: np.ndarray
     least: np.ndarray
-    hashes: np.ndarray
-    at: np.ndarray
-    part: np.ndarray
-    place: np.ndarray
-    bitmap: np.ndarray
+    grams: list[Grams]
 
 
 def index_items(items: list[tuple[int, str]], size: int, rate: float) -> Parts:
-    """Items of up to 1.5 sizes are one part; longer ones are cut into parts of that size, half overlapping, to the end."""
+    """Items of up to 1.5 sizes are one part; longer ones are cut into parts of that size, half overlapping, to the end.
+
+    A part's q is Q, or the most with which the bound is 1 at least: a part under Q bytes is one q-gram, which is found as it is.
+    """
     texts, owner = [], []
     for ident, text in items:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -62,46 +74,49 @@ def index_items(items: list[tuple[int, str]], size: int, rate: float) -> Parts:
         starts = [0] if n <= size * 3 // 2 else [*range(0, n - size, size // 2), n - size]
         for s in starts:
             part = raw[s : s + (size if len(starts) > 1 else n)]
-            if len(part) + 1 - Q * (int(rate * len(part)) + 1) >= 1:
+            if len(part) > int(rate * len(part)):
                 texts.append(part)
                 owner.append(ident)
     length = np.array([len(t) for t in texts], dtype=np.int64)
     edits = (rate * length).astype(np.int64)
     width = int(length.max()) if len(texts) else 0
     table = np.zeros((len(texts), width), dtype=np.uint8)
-    hashes, part, place = [], [], []
+    q = np.minimum(Q, length // (edits + 1))
     for k, t in enumerate(texts):
         table[k, : len(t)] = np.frombuffer(t, dtype=np.uint8)
-        h = window_hash(prefix_hash(table[k, : len(t)]), Q)
+    grams = [_grams(table, length, np.flatnonzero(q == size), int(size)) for size in np.unique(q)]
+    return Parts(table, length, np.array(owner, dtype=np.int64), edits, length + 1 - q * (edits + 1), grams)
+
+
+def _grams(table: np.ndarray, length: np.ndarray, parts: np.ndarray, q: int) -> Grams:
+    hashes, part, place = [], [], []
+    for k in parts:
+        h = window_hash(prefix_hash(table[k, : length[k]]), q)
         hashes.append(h)
         part.append(np.full(len(h), k))
         place.append(np.arange(len(h)))
-    cat = lambda x, kind: np.concatenate(x) if x else np.zeros(0, dtype=kind)
-    hashes, part, place = cat(hashes, U), cat(part, np.int64), cat(place, np.int64)
+    hashes, part, place = np.concatenate(hashes), np.concatenate(part), np.concatenate(place)
     order = np.argsort(hashes, kind="stable")
     distinct, first = np.unique(hashes[order], return_index=True)
     bitmap = np.zeros(1 << BITS, dtype=bool)
     bitmap[(distinct >> U(64 - BITS)).astype(np.int64)] = True
-    return Parts(table, length, np.array(owner, dtype=np.int64), edits, length + 1 - Q * (edits + 1), distinct, np.append(first, len(hashes)), part[order], place[order], bitmap)
+    return Grams(q, distinct, np.append(first, len(hashes)), part[order], place[order], bitmap)
 
 
-def candidates(data: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
+def candidates(prefix: np.ndarray, parts: Parts, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
     """(part, lowest diagonal of a band) of the bands with enough shared q-grams."""
-    none = np.zeros(0, dtype=np.int64)
-    if not len(parts.hashes):
-        return none, none
-    h = window_hash(prefix_hash(data), Q)
-    where = np.flatnonzero(parts.bitmap[(h >> U(64 - BITS)).astype(np.int64)])
-    at = np.minimum(np.searchsorted(parts.hashes, h[where]), len(parts.hashes) - 1)
-    hit = parts.hashes[at] == h[where]
+    h = window_hash(prefix, grams.q)
+    where = np.flatnonzero(grams.bitmap[(h >> U(64 - BITS)).astype(np.int64)])
+    at = np.minimum(np.searchsorted(grams.hashes, h[where]), len(grams.hashes) - 1)
+    hit = grams.hashes[at] == h[where]
     where, at = where[hit], at[hit]
-    count = parts.at[at + 1] - parts.at[at]
+    count = grams.at[at + 1] - grams.at[at]
     total = int(count.sum())
-    entry = np.repeat(parts.at[at] - (np.cumsum(count) - count), count) + np.arange(total)
-    part = parts.part[entry]
+    entry = np.repeat(grams.at[at] - (np.cumsum(count) - count), count) + np.arange(total)
+    part = grams.part[entry]
     width = parts.edits[part] + 1
     # Each diagonal is in two bands of twice the width; any two diagonals that differ by less than the width share one.
-    band = (np.repeat(where, count) - parts.place[entry] + parts.text.shape[1]) // width
+    band = (np.repeat(where, count) - grams.place[entry] + parts.text.shape[1]) // width
     key = np.concatenate([part << 40 | band, part << 40 | (band - 1) & ((1 << 40) - 1)])
     key = key[(key & ((1 << 40) - 1)) != (1 << 40) - 1]
     key, n = np.unique(key, return_counts=True)
@@ -145,8 +160,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """All rows and columns of docs with leak_items, the items of which a part is in the text, and leaks: (item, end, edits).
 
     A part is an item of up to 1.5 sizes, or a stretch of size characters of a longer one; it is in a text if some stretch is
-    within rate times its length edits of it. Case, blanks and punctuation don't count. Items of which no part has enough
-    q-grams (some 12 characters) match nothing. end: where the stretch ends, in bytes of the text.
+    within rate times its length edits of it. Case, blanks and punctuation don't count. A short item allows no edits (under
+    13 bytes at 8 %) and is in a text wherever its bytes are, within words too; one of no letters or digits matches nothing. end: where the stretch ends, in bytes of the text.
 
     The items are sorted and broadcast block rows at a time: a benchmark of any size takes so many passes, each with a
     bounded table. Null texts, null items and null ids match nothing. Empty tables: no leaks. Columns named leak* are replaced.
@@ -176,19 +191,21 @@ def _scan(docs: DataFrame, parts: Parts, text_col: str) -> DataFrame:
             for row, _, data, at in slices(batch.column(place)):
                 text_at = at
                 text, at, was = plain(data, at)
-                part, diagonal = candidates(text, parts)
-                # a band may touch several texts: the one where the part's middle would be, and the ones at its ends
-                middle = np.clip(diagonal + parts.edits[part] + parts.length[part] // 2, 0, max(len(text) - 1, 0))
-                own = np.searchsorted(at, middle, "right") - 1
-                edge = lambda x: np.searchsorted(at, np.clip(x, 0, max(len(text) - 1, 0)), "right") - 1
-                ends = [own, edge(diagonal - parts.edits[part]), edge(diagonal + 3 * parts.edits[part] + 2 + parts.length[part])]
-                tries = np.unique(np.concatenate([np.stack([np.arange(len(part)), e], axis=1) for e in ends]), axis=0)
-                which, own = tries[:, 0], tries[:, 1]
-                part, diagonal = part[which], diagonal[which]
-                edits, end = align(text, at[own], at[own + 1], part, diagonal, parts)
-                for k in np.flatnonzero(edits <= parts.edits[part]):
-                    where = int(was[end[k] - 1]) + 1 - int(text_at[own[k]]) if end[k] > at[own[k]] else 0
-                    found[row + int(own[k])].append({"item": int(parts.item[part[k]]), "end": where, "edits": int(edits[k])})
+                prefix = prefix_hash(text)
+                for grams in parts.grams:
+                    part, diagonal = candidates(prefix, parts, grams)
+                    # a band may touch several texts: the one where the part's middle would be, and the ones at its ends
+                    middle = np.clip(diagonal + parts.edits[part] + parts.length[part] // 2, 0, max(len(text) - 1, 0))
+                    own = np.searchsorted(at, middle, "right") - 1
+                    edge = lambda x: np.searchsorted(at, np.clip(x, 0, max(len(text) - 1, 0)), "right") - 1
+                    ends = [own, edge(diagonal - parts.edits[part]), edge(diagonal + 3 * parts.edits[part] + 2 + parts.length[part])]
+                    tries = np.unique(np.concatenate([np.stack([np.arange(len(part)), e], axis=1) for e in ends]), axis=0)
+                    which, own = tries[:, 0], tries[:, 1]
+                    part, diagonal = part[which], diagonal[which]
+                    edits, end = align(text, at[own], at[own + 1], part, diagonal, parts)
+                    for k in np.flatnonzero(edits <= parts.edits[part]):
+                        where = int(was[end[k] - 1]) + 1 - int(text_at[own[k]]) if end[k] > at[own[k]] else 0
+                        found[row + int(own[k])].append({"item": int(parts.item[part[k]]), "end": where, "edits": int(edits[k])})
             columns = list(batch.columns)
             unique = [sorted({(x["item"], x["end"], x["edits"]) for x in f}) for f in found]
             columns[given] = pa.array([[dict(zip(("item", "end", "edits"), x, strict=True)) for x in f] for f in unique], kind)

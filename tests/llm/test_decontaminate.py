@@ -53,3 +53,25 @@ def test_where_and_edge_cases(spark):
     assert [r.leak_items for r in rows] == [[7], [7], []] and rows[0].leaks[0].edits == 0 and abs(rows[0].leaks[0].end - end) <= 1
     assert find_leaks(docs, spark.createDataFrame([], "item_id long, text string")).where("size(leak_items) > 0").count() == 0
     assert find_leaks(docs.limit(0), spark.createDataFrame([(7, text)], "item_id long, text string")).count() == 0
+
+
+def test_items_of_all_lengths(spark):
+    """Items and budgets come from the texts alone; each is planted with all the edits that it allows."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 8)))
+    items, docs = [], []
+    for n in range(1, 46):
+        text = ""
+        while len(text) < n:
+            text += word() + " "
+        text = text[: n - 1] + "x"
+        items.append((n, text))
+        k = int(0.08 * n)
+        places = [round((j + 1) * n / (k + 1)) - 1 for j in range(k)] if k else []
+        swapped = "".join("7" if j in places else c for j, c in enumerate(text))
+        docs += [f"{word()} {text} {word()}", text.upper(), f"{word()} {word()} {swapped} {word()}", swapped]
+    docs += [" ".join(word() for _ in range(20)) for _ in range(10)] + ["", None]
+    got = find_leaks(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {x.doc_id: x.leak_items for x in got.collect()}
+    want = {i: [n for n, text in items if distance(text, (t or "").lower()) <= int(0.08 * n)] for i, t in enumerate(docs)}
+    assert got == want and all(n in want[4 * (n - 1) + j] for n, _ in items for j in range(4))
