@@ -21,23 +21,32 @@ def batches(rows: DataFrame, keys: Sequence[str], order: Sequence[str], size: in
     return rows.withColumn("batch", F.floor((n - 1) / size).cast("bigint"))
 
 
+def in_slices(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Adds _slice: partitions by range of keys and order, numbered in that order. A key with many rows is in many of them."""
+    return rows.repartitionByRange(*keys, *order).withColumn("_slice", F.spark_partition_id())
+
+
 def adaptive_threshold(rows: DataFrame, key: str, order: Sequence[str], accepted: str, start: float = 0.75, step: float = 0.02, low: float = 0.5, high: float = 0.95) -> DataFrame:
     """(key, threshold, outcomes): a threshold that falls by a step with each acceptance and rises with each rejection, within bounds.
 
     A run of steps within bounds is the map x -> min(max(x + shift, lo), hi), and such maps compose to one of that kind.
-    They are composed over slices of a key's rows first and then over the slices in order, so no key's rows are gathered.
+    They are composed over batches within ranges of a key's rows first, then over each range's batches and then over the ranges in order,
+    so no key's rows are gathered or numbered in one task.
     """
     size = 1000
-    cut = batches(rows, [key], order, size)
+    cut = batches(in_slices(rows, [key], order), [key, "_slice"], order, size)
     steps = F.transform(F.array_sort(F.collect_list(F.struct(*order, F.when(F.col(accepted), -1).otherwise(1).alias("by")))), lambda x: x["by"])
     # counted in half steps, so that sums are exact
     grid = F.lit(2)
     lo, hi, begin = (F.lit(round(2 * x / step)) for x in (low, high, start))
     shift = lambda s: F.aggregate(s, F.lit(0), lambda a, b: a + b * grid)
     at = lambda s, x: F.aggregate(s, x, lambda a, b: F.greatest(F.least(a + b * grid, hi), lo))
-    parts = cut.groupBy(key, "batch").agg(steps.alias("s")).select(key, "batch", F.size("s").alias("n"), shift(F.col("s")).alias("shift"), at(F.col("s"), lo).alias("from_low"), at(F.col("s"), hi).alias("from_high"))
-    folded = parts.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("batch", "shift", "from_low", "from_high"))).alias("p"), F.sum("n").cast("bigint").alias("outcomes"))
-    value = F.aggregate("p", begin, lambda a, p: F.greatest(F.least(a + p["shift"], p["from_high"]), p["from_low"]))
+    parts = cut.groupBy(key, "_slice", "batch").agg(steps.alias("s")).select(key, "_slice", "batch", F.size("s").cast("bigint").alias("n"), shift(F.col("s")).cast("bigint").alias("shift"), at(F.col("s"), lo).alias("from_low"), at(F.col("s"), hi).alias("from_high"))
+    gathered = lambda df, keys, place: df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(place, "shift", "from_low", "from_high"))).alias("p"), F.sum("n").cast("bigint").alias("n"))
+    run = lambda x: F.aggregate("p", x.cast("bigint"), lambda a, p: F.greatest(F.least(a + p["shift"], p["from_high"].cast("bigint")), p["from_low"].cast("bigint")))
+    sliced = gathered(parts, [key, "_slice"], "batch").select(key, "_slice", "n", F.aggregate("p.shift", F.lit(0).cast("bigint"), lambda a, b: a + b).alias("shift"), run(lo).alias("from_low"), run(hi).alias("from_high"))
+    folded = gathered(sliced, [key], "_slice").withColumnRenamed("n", "outcomes")
+    value = run(begin)
     return folded.select(key, F.round(value * step / 2, 6).alias("threshold"), "outcomes")
 
 

@@ -90,10 +90,15 @@ def s12_mail_text(t: Tables) -> DataFrame:
     return S.mail_text(rows).select("doc_id", "body")
 
 
+def _activity_files(t: Tables) -> DataFrame:
+    """Files of up to a thousand events."""
+    items = t.events.groupBy(F.expr("event_id div 1000")).agg(F.collect_list(F.struct(F.concat_ws(" ", "event_type", "event_id").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"))).alias("all"))
+    return S.as_files(items, F.to_json("all"), F.lit("Takeout/Maps/MyActivity.json"))
+
+
 @query("SELECT 'Maps' AS category, event_type || ' ' || event_id AS title, date_trunc('second', ts) AS at FROM events")
 def s13_activities(t: Tables) -> DataFrame:
-    items = t.events.groupBy(F.col("user_id") % 8).agg(F.collect_list(F.struct(F.concat_ws(" ", "event_type", "event_id").alias("title"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("time"))).alias("all"))
-    return S.activities(S.as_files(items, F.to_json("all"), F.lit("Takeout/Maps/MyActivity.json"))).select("category", "title", "at")
+    return S.activities(_activity_files(t)).select("category", "title", "at")
 
 
 @query("SELECT CAST(conv_id AS VARCHAR) AS thread, role AS sender, text FROM conversations")
@@ -122,12 +127,17 @@ def s17_blog(t: Tables) -> DataFrame:
     return S.blog_entries(rows).select("title")
 
 
+def _highlight_pages(t: Tables) -> DataFrame:
+    """Pages of up to a thousand interactions; a contact's are on as many pages as they come from."""
+    h = F.struct(F.col("interaction_id").alias("id"), F.col("kind").alias("text"), F.date_format("occurred_on", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("highlighted_at"))
+    books = t.interactions.groupBy(F.expr("interaction_id div 1000").alias("page"), "contact_id").agg(F.collect_list(h).alias("highlights"))
+    pages = books.groupBy("page").agg(F.collect_list(F.struct(F.col("contact_id").alias("user_book_id"), "highlights")).alias("results"))
+    return pages.select(F.to_json(F.struct("results")).alias("value"))
+
+
 @query("SELECT CAST(contact_id AS BIGINT) AS user_book_id, CAST(interaction_id AS BIGINT) AS id, kind AS text, CAST(occurred_on AS TIMESTAMP) AS at FROM interactions")
 def s18_highlights(t: Tables) -> DataFrame:
-    h = F.struct(F.col("interaction_id").alias("id"), F.col("kind").alias("text"), F.date_format("occurred_on", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("highlighted_at"))
-    books = t.interactions.groupBy("contact_id").agg(F.collect_list(h).alias("highlights"))
-    pages = books.groupBy((F.col("contact_id") % 50).alias("page")).agg(F.collect_list(F.struct(F.col("contact_id").alias("user_book_id"), "highlights")).alias("results"))
-    return S.highlights(pages.select(F.to_json(F.struct("results")).alias("value"))).select("user_book_id", "id", "text", "at")
+    return S.highlights(_highlight_pages(t)).select("user_book_id", "id", "text", "at")
 
 
 @query("SELECT 'lang' AS \"column\", COUNT(*) AS rows, COUNT(lang) AS filled, CAST(COUNT(DISTINCT lang) AS BIGINT) AS \"distinct\" FROM documents UNION ALL SELECT 'source', COUNT(*), COUNT(source), COUNT(DISTINCT source) FROM documents")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
@@ -38,19 +40,47 @@ def habit_days(stream: DataFrame, key: str, time: str = "ts", delay: str = "1 da
     return rows.select(key, F.col("w.start").alias("day"), "events")
 
 
+def _hour(rows: DataFrame, time: str) -> Column:
+    """A number or string that never falls as the time rises, the same within an hour: a string's hour is its first 13 characters."""
+    kind = rows.schema[time].dataType.simpleString()
+    if kind == "string":
+        return F.substring(time, 1, 13)
+    if kind == "date":
+        return F.unix_date(time)
+    return F.unix_date(F.col(time).cast("date")) * 24 + F.hour(time) if kind.startswith("timestamp") else F.floor(F.col(time) / 3600).cast("long")
+
+
 def thresholds(stream: DataFrame, key: str, accepted: str, time: str = "ts", tie: str = "event_id", start: float = 0.75, step: float = 0.02, low: float = 0.5, high: float = 0.95) -> DataFrame:
-    """The threshold of each key after each batch: down a step for an acceptance, up for a rejection, within bounds, kept as state."""
+    """The threshold of each key after each batch: down a step for an acceptance, up for a rejection, within bounds, kept as state.
+
+    A run of steps is the map x -> min(max(x + shift, from_low), from_high). The steps of each hour of a key are composed in a task of
+    their own first, so that the state's task meets one row for each hour of a batch.
+    """
+    moved = lambda value, oks: reduce(lambda v, ok: min(high, max(low, v - step if ok else v + step)), oks, value)
+
+    def compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if not rows:
+            return
+        out = []
+        for (name, hour), some in pd.concat(rows).groupby(["_key", "_hour"], dropna=False, sort=False):
+            oks = list(some.sort_values(["_time", "_tie"])["_ok"])
+            out.append((name, hour, step * sum(-1 if ok else 1 for ok in oks), moved(-math.inf, oks), moved(math.inf, oks), len(oks)))
+        yield pd.DataFrame(out, columns=["_key", "_hour", "shift", "from_low", "from_high", "n"])
 
     def update(keys: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         value, seen = state.get if state.exists else (start, 0)
-        rows = pd.concat(list(batches)).sort_values([time, tie])
-        for ok in rows[accepted]:
-            value = min(high, max(low, value - step if ok else value + step))
-        state.update((value, seen + len(rows)))
-        yield pd.DataFrame({key: [keys[0]], "threshold": [round(value, 6)], "outcomes": [seen + len(rows)]})
+        hours = pd.concat(list(batches)).sort_values("_hour")
+        for r in hours.itertuples(index=False):
+            value = min(max(value + r.shift, r.from_low), r.from_high)
+        seen += int(hours["n"].sum())
+        state.update((value, seen))
+        yield pd.DataFrame({key: [keys[0]], "threshold": [round(value, 6)], "outcomes": [seen]})
 
     kind = stream.schema[key].dataType.simpleString()
-    return stream.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, threshold double, outcomes long", "value double, seen long", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(key).alias("_key"), _hour(stream, time).alias("_hour"), F.col(time).alias("_time"), F.col(tie).alias("_tie"), F.col(accepted).alias("_ok"))
+    hours = rows.repartition("_key", "_hour").mapInPandas(compose, f"_key {kind}, _hour {rows.schema['_hour'].dataType.simpleString()}, shift double, from_low double, from_high double, n long")
+    return hours.withColumnRenamed("_key", key).groupBy(key).applyInPandasWithState(update, f"{key} {kind}, threshold double, outcomes long", "value double, seen long", "update", GroupStateTimeout.NoTimeout)
 
 
 def once_by_key(path: str, key: str) -> Callable[[DataFrame, int], None]:
