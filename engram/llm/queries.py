@@ -16,7 +16,7 @@ from engram.llm.shared import shared_dir
 from engram.llm.sharding import ShardStore
 from engram.llm.suffix import dedup_substrings
 from engram.llm.urlfilter import judge_urls
-from engram.llm.warc import archive_pages, read_warc
+from engram.llm.warc import FIRST_PAGE, PAGE, archive_pages, read_warc
 
 #: The rules of op1, fixed by its contract.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -100,13 +100,13 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = read_warc(spark, archive_pages(_table(spark, sf_dir, "pages")))
-    number = lambda c: F.regexp_extract(c, r"^<urn:page:(-?\d+)>$", 1).try_cast("long")
-    response = F.col("record_type") == "response"
-    return pages.select(
-        number("record_id").alias("page_id"), F.when(response, F.octet_length("payload")).otherwise(F.col("payload_bytes")).cast("long").alias("payload_bytes"),
-        F.when(response, F.sha2("payload", 256)).otherwise(F.substring_index("payload_digest", ":", -1)).alias("payload_digest"), "record_type", number("refers_to").alias("refers_to"),
-    )
+    """Responses are read with their payloads; revisits by a pushed record type, without inflating any payload."""
+    path = archive_pages(_table(spark, sf_dir, "pages"))
+    responses = read_warc(spark, path).where("record_type = 'response'")
+    revisits = read_warc(spark, path, payloads=False).where("record_type = 'revisit'")
+    number = lambda name: F.col("headers")[name].try_cast("long")
+    row = lambda df, size, digest: df.select(number(PAGE).alias("page_id"), size.cast("long").alias("payload_bytes"), digest.alias("payload_digest"), "record_type", number(FIRST_PAGE).alias("refers_to"))
+    return row(responses, F.octet_length("payload"), F.sha2("payload", 256)).unionByName(row(revisits, F.col("payload_bytes"), F.substring_index("payload_digest", ":", -1)))
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}

@@ -26,6 +26,9 @@ from engram.llm.shared import shared_dir
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes bigint, headers map<string,string>, payload binary"
 COMMITTED = "_committed.json"
+#: The profile of a revisit whose payload is that of another record, and the headers that hold numbers of pages.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+PAGE, FIRST_PAGE = "x-page-id", "x-refers-to-page-id"
 CHUNK = 1 << 16
 
 
@@ -149,11 +152,15 @@ class WarcReader(DataSourceReader):
         self.path, self.payloads, self.where = options["path"], options.get("payloads", "true") == "true", []
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality and IN on columns that are headers, or on headers[name], are judged before a payload is touched."""
+        """Equality and IN on columns that are headers, or on headers[name], are judged before a payload is touched.
+
+        A null among the values fits no record, and a record without the header fits no value, as in SQL.
+        """
         for f in filters:
-            header = HEADERS.get(f.attribute[0]) if len(f.attribute) == 1 else f.attribute[1].lower() if f.attribute[0] == "headers" else None
+            header = HEADERS.get(f.attribute[0]) if len(f.attribute) == 1 else f.attribute[1] if f.attribute[0] == "headers" else None
             if header and isinstance(f, (EqualTo, In)):
-                self.where.append((header, {f.value} if isinstance(f, EqualTo) else set(f.value)))
+                values = [f.value] if isinstance(f, EqualTo) else f.value
+                self.where.append((header, {v for v in values if v is not None}))
             else:
                 yield f
 
@@ -201,8 +208,12 @@ class WarcWriter(DataSourceArrowWriter):
                     files.append(f"{uuid.uuid4().hex}.warc.gz")
                     out = fs.open_output_stream(f"{path}/{files[-1]}", compression=None)
                 headers = {"WARC-Type": row["record_type"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["date"], "WARC-Target-URI": row["target_uri"], "WARC-Refers-To": row["refers_to"], "WARC-Payload-Digest": row["payload_digest"]}
+                if row["record_type"] == "revisit":
+                    headers["WARC-Profile"] = PROFILE
                 if row["payload_bytes"] is not None:
                     headers["WARC-Payload-Length"] = row["payload_bytes"]
+                own = {k.lower() for k in headers} | {"content-length"}
+                headers |= {k: v for k, v in row["headers"] or [] if k.lower() not in own}
                 out.write(member(record(headers, row["payload"] or b"")))
         if out is not None:
             out.close()
@@ -253,24 +264,35 @@ def archive_pages(pages: DataFrame, path: str | None = None, date: str = "2024-0
 
     Of pages with equal payloads of min_payload bytes or more, the one with the smallest id is a response, the others
     are revisits, which have no payload and refer to it. Smaller ones are all responses. Null html: an empty payload.
-    Null url: no target. A null id refers to others but isn't referred to. Rows with the smallest id repeated are all responses. Empty table: an
-    archive without records. Equal payloads are found by SHA-256, over ids and digests summed before the shuffle; the
-    join deals each digest out to as many tasks as salts, so a payload of a third of the pages is in many.
+    Null url: no target. A null id refers to others but isn't referred to. Rows with the smallest id repeated are all
+    responses, and the revisits refer to the one with the smallest url. Empty table: an archive without records.
+
+    Record ids are UUIDs: of a response that others refer to made of its id, url and digest, so that revisits in other tasks
+    know it (only rows repeated in all three share it), else random. The pages' numbers are in headers of their own.
+
+    Equal payloads are found by SHA-256, over ids and digests summed before the shuffle; the join deals each digest out to
+    as many tasks as salts, so a payload of a third of the pages is in many. Payloads are shuffled once, with that join:
+    to leave them where they are, each task would need the repeated digests, and no bound is known for those.
     """
     spark = pages.sparkSession
     path = path or shared_dir(spark, "warc")
     register(spark)
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     rows = pages.select("page_id", "url", payload.alias("payload")).withColumn("n", F.octet_length("payload").cast("long")).withColumn("digest", F.sha2("payload", 256))
-    firsts = rows.where(F.col("n") >= min_payload).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("same")).where("same > 1").drop("same")
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url")))
+    firsts = rows.where(F.col("n") >= min_payload).groupBy("digest").agg(first.alias("first"), F.count("*").alias("same")).where("same > 1").drop("same")
     firsts = firsts.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(firsts, ["digest", "salt"], "left")
-    revisit = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
-    urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">"))
+    known = F.col("first.page_id").isNotNull()
+    revisit = known & ~F.col("page_id").eqNullSafe(F.col("first.page_id"))
+    urn = lambda uuid: F.concat(F.lit("<urn:uuid:"), uuid, F.lit(">"))
+    made = urn(F.regexp_replace(F.md5(F.to_json(F.struct("first.page_id", "first.url", "digest"))), "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"))
+    referred = known & F.col("page_id").eqNullSafe(F.col("first.page_id")) & F.col("url").eqNullSafe(F.col("first.url"))
+    numbers = F.map_filter(F.create_map(F.lit(PAGE), F.col("page_id").cast("string"), F.lit(FIRST_PAGE), F.when(revisit, F.col("first.page_id").cast("string"))), lambda k, v: v.isNotNull())
     out = rows.select(
-        urn(F.col("page_id")).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit(date).alias("date"),
-        F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.when(revisit, urn(F.col("first"))).alias("refers_to"), F.col("n").alias("payload_bytes"),
-        F.lit(None).cast("map<string,string>").alias("headers"), F.when(~revisit, F.col("payload")).alias("payload"),
+        F.when(referred, made).otherwise(urn(F.expr("uuid()"))).alias("record_id"), F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.col("url").alias("target_uri"), F.lit(date).alias("date"),
+        F.concat(F.lit("sha256:"), "digest").alias("payload_digest"), F.when(revisit, made).alias("refers_to"), F.col("n").alias("payload_bytes"),
+        numbers.alias("headers"), F.when(~revisit, F.col("payload")).alias("payload"),
     )
     out.write.format("warc").mode("append").save(path)
     return path

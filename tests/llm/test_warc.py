@@ -1,10 +1,10 @@
 import gzip
 import hashlib
 
-from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from engram.llm.shared import shared_dir
-from engram.llm.warc import archive_pages, read_warc, record
+from engram.llm.warc import FIRST_PAGE, PAGE, PROFILE, WarcReader, archive_pages, read_warc, record
 
 
 def pages(spark):
@@ -20,15 +20,17 @@ def test_round_trip(spark):
     assert len(got) == len(rows)
     by = {}
     for r in got:
-        by.setdefault(r.record_id, []).append(r)
+        by.setdefault(int(r.headers[PAGE]) if PAGE in r.headers else None, []).append(r)
     for i, _, html in rows:
         payload = (html or "").encode()
-        for r in by[f"<urn:page:{'' if i is None else i}>"]:
+        for r in by[i]:
             assert r.payload_digest == "sha256:" + hashlib.sha256(payload).hexdigest() and r.payload_bytes == len(payload)
             assert bytes(r.payload or b"") == (payload if r.record_type == "response" else b"")
+            assert (r.headers.get("warc-profile") == PROFILE) == (r.record_type == "revisit")
     kinds = {k: v[0].record_type for k, v in by.items()}
-    assert kinds["<urn:page:4>"] == kinds["<urn:page:7>"] == kinds["<urn:page:>"] == "revisit" and list(kinds.values()).count("revisit") == 3
-    assert by["<urn:page:4>"][0].refers_to == "<urn:page:3>" and by["<urn:page:3>"][0].target_uri == "u%0D%0Av"
+    assert kinds[4] == kinds[7] == kinds[None] == "revisit" and list(kinds.values()).count("revisit") == 3
+    assert by[4][0].headers[FIRST_PAGE] == "3" and by[4][0].refers_to == by[3][0].record_id and by[3][0].target_uri == "u%0D%0Av"
+    assert len({r.record_id for r in got}) == len(got)
     assert archive_pages(df.limit(0)) and read_warc(spark, archive_pages(df.limit(0))).count() == 0
 
 
@@ -36,10 +38,23 @@ def test_filters_and_unread_payloads(spark):
     _, df = pages(spark)
     path = archive_pages(df)
     found = read_warc(spark, path)
-    assert found.where("record_type = 'revisit'").count() == 4 and found.where(F.col("record_id").isin("<urn:page:1>", "<urn:page:5>")).count() == 2
+    assert found.where("record_type = 'revisit'").count() == 4
     assert read_warc(spark, path, payloads=False).where("record_type = 'response' AND payload IS NULL").count() == 7
 
 
+def test_pushed_filters_agree_with_unpushed_ones(spark):
+    _, df = pages(spark)
+    path = archive_pages(df)
+    rows = spark.createDataFrame(read_warc(spark, path).collect(), read_warc(spark, path).schema)
+    for where in ("target_uri = 'http://a'", "target_uri IN ('http://a', 'http://c', NULL)", "refers_to IN ('x', NULL)", "target_uri = NULL", "target_uri IN (NULL)", "refers_to IS NULL", "target_uri IS NULL OR record_type = 'revisit'",
+                  "headers['x-page-id'] = '7'", "headers['X-Page-Id'] = '7'", "NOT (target_uri IN ('http://a', NULL))", "record_type = 'revisit' AND target_uri IN ('http://e', '', NULL)"):
+        pushed = sorted(r.record_id for r in read_warc(spark, path, payloads=False).where(where).collect())
+        assert pushed == sorted(r.record_id for r in rows.where(where).collect()), where
+    reader = WarcReader({"path": path})
+    assert list(reader.pushFilters([EqualTo(("target_uri",), "http://a"), In(("record_type",), ("response", None)), In(("payload_bytes",), (1,))])) == [In(("payload_bytes",), (1,))]
+    assert [r[2] for p in reader.partitions() for r in reader.read(p)] == ["http://a"]
+
+
 def test_foreign_files(spark, tmp_path):
     one = record({"WARC-Type": "response", "WARC-Record-ID": "<urn:1>"}, b"a\r\n\r\nb" * 30_000)
     two = record({"WARC-Type": "metadata", "WARC-Record-ID": "<urn:2>"}, b"")
