@@ -6,33 +6,44 @@ import json
 import math
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+
+class Taken(Exception):
+    """Another writer has committed the version."""
 
 
 class ShardStore:
-    """A collection of rows of one schema in a folder that Spark reads and writes.
+    """A collection of rows of one schema in a folder that Spark reads and writes, by any number of writers.
+
+    manifests/N.json lists the runs of version N, each with its tier, bytes, files and rows: nothing but these counts. A commit
+    writes the new manifest beside and renames it to the next number, which fails if another writer has taken it; the
+    writer then reads the manifest again and commits its run on top of that. Readers see the old or the new version,
+    whole. The rename has to be atomic, as on HDFS and local disks; on object stores it is not.
 
-    manifests/N.json lists the runs of version N: id, tier, bytes, rows of nothing but these count. A commit writes the
-    new manifest beside and renames it to the next number, which fails if another writer has taken it; readers see the
-    old or the new version, whole. Runs are never changed; vacuum() deletes those that no kept version has.
+    Runs are never changed. A writer leaves intents/ID before it writes run ID and takes it away after the commit;
+    vacuum() deletes runs that neither a kept version nor an intent younger than grace_seconds names.
 
     Nulls, repeated rows and extra columns are stored as they are. Appending an empty table makes a version with the
-    same runs. Reading a store without versions raises ValueError.
+    same runs and an empty one. Reading a store without versions raises ValueError.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fan_in: int = 4, base_bytes: int = 1 << 20):
-        self.spark, self.path, self.target_bytes, self.fan_in, self.base_bytes = spark, path.rstrip("/"), target_bytes, fan_in, base_bytes
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, grace_seconds: int = 24 * 3600):
+        self.spark, self.path, self.target_bytes, self.fan_in, self.base_bytes, self.grace_seconds = spark, path.rstrip("/"), target_bytes, fan_in, base_bytes, grace_seconds
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
 
     def _at(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
 
+    def _names(self, folder: str) -> list:
+        return list(self._fs.listStatus(self._at(folder))) if self._fs.exists(self._at(folder)) else []
+
     def versions(self) -> list[int]:
-        folder = self._at("manifests")
-        if not self._fs.exists(folder):
-            return []
-        names = (x.getPath().getName() for x in self._fs.listStatus(folder))
+        names = (x.getPath().getName() for x in self._names("manifests"))
         return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
 
     def manifest(self, version: int | None = None) -> dict:
@@ -46,7 +57,7 @@ class ShardStore:
             stream.close()
 
     def commit(self, old: dict, runs: list[dict], schema: str) -> dict:
-        """The version after old. Raises if there is one already: read again and retry."""
+        """The version after old. Raises Taken if there is one already."""
         new = {"version": old["version"] + 1, "schema": schema, "runs": runs}
         beside = self._at(f"manifests/.{uuid.uuid4().hex}.tmp")
         stream = self._fs.create(beside, False)
@@ -54,31 +65,46 @@ class ShardStore:
         stream.close()
         context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
         no_overwrite = self.spark.sparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 0)
-        context.rename(self._fs.makeQualified(beside), self._fs.makeQualified(self._at(f"manifests/{new['version']}.json")), no_overwrite)
+        try:
+            context.rename(self._fs.makeQualified(beside), self._fs.makeQualified(self._at(f"manifests/{new['version']}.json")), no_overwrite)
+        except Py4JJavaError as e:
+            self._fs.delete(beside, False)
+            if e.java_exception.getClass().getSimpleName() == "FileAlreadyExistsException":
+                raise Taken(f"version {new['version']} exists") from e
+            raise
         return new
 
     def _write(self, df: DataFrame) -> dict:
-        name = f"runs/{uuid.uuid4().hex}"
-        df.write.parquet(f"{self.path}/{name}")
-        files = [x for x in self._fs.listStatus(self._at(name)) if x.getPath().getName().endswith(".parquet")]
+        ident, rows = uuid.uuid4().hex, Observation()
+        self._fs.create(self._at(f"intents/{ident}"), False).close()
+        df.observe(rows, F.count(F.lit(1)).alias("rows")).write.parquet(f"{self.path}/runs/{ident}")
+        files = [x for x in self._names(f"runs/{ident}") if x.getPath().getName().endswith(".parquet")]
         size = sum(x.getLen() for x in files)
-        return {"run": name, "bytes": size, "files": len(files), "tier": max(0, math.ceil(math.log(max(size, 1) / self.base_bytes, self.fan_in)))}
+        return {"run": f"runs/{ident}", "bytes": size, "files": len(files), "rows": rows.get["rows"], "tier": max(0, math.ceil(math.log(max(size, 1) / self.base_bytes, self.fan_in)))}
+
+    def _settled(self, run: dict) -> None:
+        self._fs.delete(self._at(run["run"].replace("runs/", "intents/", 1)), False)
 
     def append(self, df: DataFrame) -> dict:
         """Stores df as one run of small files, one for each of its partitions, and commits."""
-        old = self.manifest()
-        run = self._write(df)
-        return self.commit(old, [*old["runs"], run], df.schema.json())
+        run, schema = self._write(df), df.schema.json()
+        while True:
+            old = self.manifest()
+            try:
+                new = self.commit(old, [*old["runs"], run], schema)
+            except Taken:
+                continue
+            self._settled(run)
+            return new
 
     def _runs(self, runs: list[dict], schema: str) -> DataFrame:
-        from pyspark.sql.types import StructType
-
         return self.spark.read.schema(StructType.fromJson(json.loads(schema))).parquet(*[f"{self.path}/{r['run']}" for r in runs])
 
     def compact(self) -> dict:
         """Merges the runs of a tier, when there are fan_in or more, into files of about target_bytes; so on up the tiers.
 
-        No row is shuffled: a task reads some files one after the other and writes one.
+        No row is shuffled: a task reads some files one after the other and writes one. If another writer has merged one of the
+        runs meanwhile, this one's work is dropped.
         """
         now = self.manifest()
         while True:
@@ -91,7 +117,15 @@ class ShardStore:
             files = max(1, math.ceil(sum(r["bytes"] for r in full) / self.target_bytes))
             merged = self._write(self._runs(full, now["schema"]).coalesce(files))
             merged["tier"] = max(merged["tier"], 1 + max(r["tier"] for r in full))
-            now = self.commit(now, [*[r for r in now["runs"] if r not in full], merged], now["schema"])
+            while all(r in now["runs"] for r in full):
+                try:
+                    now = self.commit(now, [*[r for r in now["runs"] if r not in full], merged], now["schema"])
+                    break
+                except Taken:
+                    now = self.manifest()
+            else:
+                self._fs.delete(self._at(merged["run"]), True)
+            self._settled(merged)
 
     def read(self, version: int | None = None) -> DataFrame:
         found = self.manifest(version)
@@ -100,11 +134,19 @@ class ShardStore:
         return self._runs(found["runs"], found["schema"])
 
     def vacuum(self, keep: int = 1) -> None:
-        """Deletes old manifests but the last keep, then runs that none of those has."""
-        kept = self.versions()[-keep:]
-        used = {r["run"] for v in kept for r in self.manifest(v)["runs"]}
-        for v in self.versions()[:-keep]:
+        """Deletes old manifests but the last keep, then runs that none of those and no writer at work has.
+
+        Runs are listed first, then intents, then versions: a listed run is named by its intent until a version names it.
+        """
+        runs = self._names("runs")
+        now = self._jvm.java.lang.System.currentTimeMillis()
+        at_work = {x.getPath().getName() for x in self._names("intents") if now - x.getModificationTime() < self.grace_seconds * 1000}
+        found = self.versions()
+        used = {r["run"] for v in found[-keep:] for r in self.manifest(v)["runs"]}
+        for v in found[:-keep]:
             self._fs.delete(self._at(f"manifests/{v}.json"), False)
-        for x in self._fs.listStatus(self._at("runs")):
-            if f"runs/{x.getPath().getName()}" not in used:
+        for x in runs:
+            name = x.getPath().getName()
+            if f"runs/{name}" not in used and name not in at_work:
                 self._fs.delete(x.getPath(), True)
+                self._fs.delete(self._at(f"intents/{name}"), False)

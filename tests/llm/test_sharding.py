@@ -1,7 +1,7 @@
 import pytest
 
 from engram.llm.shared import shared_dir
-from engram.llm.sharding import ShardStore
+from engram.llm.sharding import ShardStore, Taken
 
 
 def rows(spark, a, b):
@@ -26,7 +26,50 @@ def test_commits_are_atomic(spark):
     store = ShardStore(spark, shared_dir(spark, "t"))
     old = store.append(rows(spark, 0, 5))
     store.append(rows(spark, 5, 9))
-    with pytest.raises(Exception, match="exist"):
+    with pytest.raises(Taken, match="exist"):
         store.commit(old, old["runs"], old["schema"])
     store.append(rows(spark, 0, 0))
     assert store.read().count() == 9
+
+
+def other(spark, store, **kw):
+    return ShardStore(spark, store.path, **kw)
+
+
+def test_vacuum_spares_a_writer_at_work(spark):
+    store = ShardStore(spark, shared_dir(spark, "t"), fan_in=2)
+    store.append(rows(spark, 0, 5))
+    run = store._write(rows(spark, 5, 9))
+    second = other(spark, store, fan_in=2)
+    second.append(rows(spark, 9, 12))
+    second.compact()
+    second.vacuum()
+    old = store.manifest()
+    store.commit(old, [*old["runs"], run], old["schema"])
+    store._settled(run)
+    assert store.read().count() == 12 and sum(r["rows"] for r in store.manifest()["runs"]) == 12
+    lost = store._write(rows(spark, 20, 30))
+    other(spark, store, grace_seconds=-1).vacuum()
+    left = {x.getPath().getName() for x in store._names("runs")}
+    assert lost["run"][5:] not in left and store.read().count() == 12
+
+
+def test_a_taken_version_is_retried(spark, monkeypatch):
+    store = ShardStore(spark, shared_dir(spark, "t"), fan_in=2)
+    write, raced = store._write, []
+
+    def slow(df):
+        run = write(df)
+        if len(raced) < 2:
+            raced.append(other(spark, store).append(rows(spark, 100, 103)))
+        return run
+
+    monkeypatch.setattr(store, "_write", slow)
+    store.append(rows(spark, 0, 5))
+    assert store.manifest()["version"] == 2 and store.read().count() == 8
+    store.compact()
+    assert store.read().count() == 11 and sum(r["rows"] for r in store.manifest()["runs"]) == 11
+    monkeypatch.setattr(store, "_write", lambda df: (write(df), other(spark, store, fan_in=2).compact())[0])
+    store.append(rows(spark, 5, 6))
+    store.compact()
+    assert store.read().count() == 12 and not store._names("intents")
