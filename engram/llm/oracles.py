@@ -46,14 +46,18 @@ t AS (SELECT k, source_size, least(fill, COALESCE(weight * (SELECT level FROM v
 c AS (SELECT r.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS each, {_HASH.format("'1:' || r.k")} / 4294967296.0::DOUBLE AS offset_ FROM r JOIN t USING (k))
 SELECT doc_id, size, source_size, target, CAST(floor(offset_ + each * place) - floor(offset_ + each * (place - 1)) AS BIGINT) * size AS taken FROM c"""
 
-OP4 = """WITH m AS (SELECT *, role = 'assistant' AS is_call, role = 'user' AND turn > 0 AS is_result, turn % 3 = 0 AS lookup FROM conversations),
+OP4 = """WITH RECURSIVE m AS (SELECT *, role = 'assistant' AS is_call, role = 'user' AND turn > 0 AS is_result, turn % 3 = 0 AS lookup FROM conversations),
 c AS (SELECT m.*, EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = m.conv_id AND d.turn = m.turn + 1 AND d.role = 'user') AS answered, EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = m.conv_id AND d.turn = m.turn - 1 AND d.role = 'assistant') AS asked,
-  CASE WHEN lookup THEN '{"id":' || CASE WHEN conv_id % 5 = 0 THEN '"' || conv_id || '"' ELSE CAST(conv_id AS VARCHAR) END || ',"strict":true}' ELSE '{"query":"conversation ' || conv_id || '","top":' || turn || '}' END AS args FROM m)
+  CASE WHEN lookup THEN '{"id":' || CASE WHEN conv_id % 5 = 0 THEN '"' || conv_id || '"' ELSE CAST(conv_id AS VARCHAR) END || ',"strict":true}' ELSE '{"query":"conversation ' || conv_id || '","top":' || turn || '}' END AS args FROM m),
+e AS (SELECT DISTINCT a.conv_id, a.turn AS before, b.turn AS after FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE (a.role = 'assistant' AND b.role = 'user')
+  OR (a.role = 'user' AND b.role = 'assistant' AND EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = a.conv_id AND d.turn = a.turn - 1 AND d.role = 'assistant'))),
+chain AS (SELECT DISTINCT conv_id, before AS turn, 0 AS depth FROM e UNION SELECT e.conv_id, after, depth + 1 FROM chain JOIN e ON e.conv_id = chain.conv_id AND e.before = chain.turn),
+deepest AS (SELECT conv_id, turn, MAX(depth) AS depth FROM chain GROUP BY 1, 2)
 SELECT conv_id, turn, role, CASE WHEN is_result THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END WHEN is_call THEN CASE WHEN answered THEN 'answered' ELSE 'unanswered' END ELSE 'none' END AS link,
-CAST(CASE WHEN is_result AND asked THEN 1 ELSE 0 END AS BIGINT) AS depth, CASE WHEN is_call THEN NOT (lookup AND conv_id % 5 = 0) END AS valid, CASE WHEN is_call THEN CASE WHEN lookup AND conv_id % 5 = 0 THEN 'type of id' ELSE '' END END AS errors,
+CAST(COALESCE(depth, 0) AS BIGINT) AS depth, CASE WHEN is_call THEN NOT (lookup AND conv_id % 5 = 0) END AS valid, CASE WHEN is_call THEN CASE WHEN lookup AND conv_id % 5 = 0 THEN 'type of id' ELSE '' END END AS errors,
 '{' || array_to_string(list_filter(['"content":' || to_json(text)::VARCHAR, '"role":' || to_json(role)::VARCHAR,
   CASE WHEN is_call THEN '"tool_call":{"arguments":' || to_json(args)::VARCHAR || ',"id":"call-' || conv_id || '-' || turn || '","name":"' || CASE WHEN lookup THEN 'lookup' ELSE 'search' END || '"}' END,
-  CASE WHEN is_result THEN '"tool_call_id":"call-' || conv_id || '-' || (turn - 1) || '"' END], lambda x: x IS NOT NULL), ',') || '}' AS message_json FROM c"""
+  CASE WHEN is_result THEN '"tool_call_id":"call-' || conv_id || '-' || (turn - 1) || '"' END], lambda x: x IS NOT NULL), ',') || '}' AS message_json FROM c LEFT JOIN deepest USING (conv_id, turn)"""
 
 OP5 = f"""WITH RECURSIVE links AS (SELECT x.vec_id AS a, y.vec_id AS b FROM embeddings x JOIN embeddings y ON x.label = y.label AND x.vec_id <> y.vec_id AND list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) >= 0.98),
 nodes AS (SELECT vec_id AS id FROM embeddings), {_COMPONENTS}

@@ -49,7 +49,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tool_messages(turns: DataFrame) -> DataFrame:
     """The conversations as an exchange with tools: each assistant turn makes a call, each user turn answers the turn before.
 
-    Every third call looks up by number and the others search; in every fifth lookup the number is a string, against its schema.
+    A call needs the result of the one two turns before, so that a conversation is a chain as long as it is. Every third call looks up by number and the others search; in every fifth lookup the number is a string, against its schema.
     """
     is_call, is_result = F.col("role") == "assistant", (F.col("role") == "user") & (F.col("turn") > 0)
     lookup = F.col("turn") % 3 == 0
@@ -59,6 +59,7 @@ def tool_messages(turns: DataFrame) -> DataFrame:
     return turns.select(
         "conv_id", "turn", "role", F.col("text").alias("content"), F.when(is_call, call_id(F.col("turn"))).alias("call_id"),
         F.when(is_call, F.when(lookup, "lookup").otherwise("search")).alias("call_name"), F.when(is_call, args).alias("call_args"), F.when(is_result, call_id(F.col("turn") - 1)).alias("result_of"),
+        F.when(is_call, F.array(call_id(F.col("turn") - 2))).alias("needs"),
     )
 
 

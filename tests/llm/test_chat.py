@@ -1,6 +1,5 @@
 import json
-
-import pytest
+import random
 
 from engram.llm.chat import link_tool_calls
 
@@ -34,6 +33,29 @@ def test_repeats_long_chains_and_empty_tables(spark):
     rows = [(1, t, "assistant", None, f"c{t}", "f", '{"q": ""}', f"c{t - 1}" if t else None, None, None) for t in range(6)] + [(1, 3, "tool", None, None, None, None, "c0", None, None)] * 2
     df = spark.createDataFrame(rows, COLUMNS)
     assert link_tool_calls(df, SCHEMAS).count() == len(rows)
-    with pytest.raises(ValueError, match="longer than 2"):
-        link_tool_calls(df, SCHEMAS, max_depth=2).count()
     assert link_tool_calls(df.limit(0), SCHEMAS).count() == 0
+
+
+def test_deep_and_joined_chains(spark):
+    """A conversation of a long chain, and one of calls that need several results, against depths found one by one."""
+    r, n = random.Random(4), 1500
+    rows = [(1, t, "assistant", None, f"c{t}", "f", "{}", f"c{t - 1}" if t else None, None, None) for t in range(n)]
+    before = {}
+    for t in range(0, 200, 2):
+        needs = r.sample(range(0, t, 2), min(t // 2, r.choice([0, 1, 1, 2, 3])))
+        rows += [(2, t, "assistant", None, f"c{t}", "f", "{}", None, [f"c{x}" for x in needs], None), (2, t + 1, "tool", None, None, None, None, f"c{t}", None, None)]
+        before[t], before[t + 1] = [x + 1 for x in needs], [t]
+    depth = {}
+    for t in sorted(before):
+        depth[t] = max((depth[x] + 1 for x in before[t]), default=0)
+    rows += [(2, 300, "assistant", None, "p", "f", "{}", "q", ["c0"], None), (2, 301, "assistant", None, "q", "f", "{}", "p", None, None), (2, 302, "tool", None, None, None, None, "q", None, None)]
+    got = linked(spark, rows)
+    assert [got[1, t].depth for t in range(n)] == list(range(n))
+    assert {t: got[2, t].depth for t in before} == depth and max(depth.values()) > 5
+    assert [got[2, t].depth for t in (300, 301, 302)] == [None] * 3
+
+
+def test_messages_without_identifiers_are_not_joined(spark):
+    rows = [(1, t, "user", "hello", None, None, None, None, None, None) for t in range(2000)]
+    got = link_tool_calls(spark.createDataFrame(rows, COLUMNS), SCHEMAS)
+    assert {(r.link, r.depth, r.valid) for r in got.collect()} == {("none", 0, None)}
