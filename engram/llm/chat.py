@@ -37,7 +37,7 @@ def link_tool_calls(messages: DataFrame, schemas: Mapping[str, Mapping]) -> Data
     """Messages (conv_id, turn, role, content, call_id, call_name, call_args, result_of, needs), one row each, linked.
 
     call_id, call_name, call_args: the tool call that a message makes, if any. result_of: the id of the call that it
-    answers. needs: ids of calls of whose results this call makes use (array, may be null; the column may be absent).
+    answers. needs: ids of calls of whose results this call makes use, also of calls that aren't there (array, may be null; the column may be absent).
 
     Returns conv_id, turn, role and
     - link: "answered" or "unanswered" of calls, "linked" or "orphan" of results, else "none". Calls and results meet in

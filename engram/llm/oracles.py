@@ -50,7 +50,7 @@ OP4 = """WITH RECURSIVE m AS (SELECT *, role = 'assistant' AS is_call, role = 'u
 c AS (SELECT m.*, EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = m.conv_id AND d.turn = m.turn + 1 AND d.role = 'user') AS answered, EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = m.conv_id AND d.turn = m.turn - 1 AND d.role = 'assistant') AS asked,
   CASE WHEN lookup THEN '{"id":' || CASE WHEN conv_id % 5 = 0 THEN '"' || conv_id || '"' ELSE CAST(conv_id AS VARCHAR) END || ',"strict":true}' ELSE '{"query":"conversation ' || conv_id || '","top":' || turn || '}' END AS args FROM m),
 e AS (SELECT DISTINCT a.conv_id, a.turn AS before, b.turn AS after FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1 WHERE (a.role = 'assistant' AND b.role = 'user')
-  OR (a.role = 'user' AND b.role = 'assistant' AND EXISTS (SELECT 1 FROM conversations d WHERE d.conv_id = a.conv_id AND d.turn = a.turn - 1 AND d.role = 'assistant'))),
+  OR (a.role = 'user' AND a.turn > 0 AND b.role = 'assistant')),
 chain AS (SELECT DISTINCT conv_id, before AS turn, 0 AS depth FROM e UNION SELECT e.conv_id, after, depth + 1 FROM chain JOIN e ON e.conv_id = chain.conv_id AND e.before = chain.turn),
 deepest AS (SELECT conv_id, turn, MAX(depth) AS depth FROM chain GROUP BY 1, 2)
 SELECT conv_id, turn, role, CASE WHEN is_result THEN CASE WHEN asked THEN 'linked' ELSE 'orphan' END WHEN is_call THEN CASE WHEN answered THEN 'answered' ELSE 'unanswered' END ELSE 'none' END AS link,
