@@ -8,25 +8,28 @@ _AZ, _LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def _level(k: int) -> str:
     """The level's segments, their branches and the longer templates."""
     return f"""s{k} AS (SELECT *, CASE WHEN regexp_matches(seg, '^([0-9][0-9_.-]*|[0-9a-fA-F]{{8,}}|[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}})(\\.[0-9A-Za-z_]{{1,5}})?$') THEN '*' ELSE seg END AS segment
-  FROM (SELECT *, {f"parts[{k + 1}]" if k < 3 else "CASE WHEN len(parts) >= 4 THEN array_to_string(parts[4:], '/') END"} AS seg FROM l{k})),
-c{k} AS (SELECT host, template, segment, COUNT(*) AS pages, COUNT(bad) AS n, COALESCE(SUM(bad), 0) AS k FROM s{k} WHERE segment IS NOT NULL AND segment <> '*' GROUP BY 1, 2, 3),
-p{k} AS (SELECT host, template, COUNT(*) AS kinds, SUM(n) AS all_n, SUM(k) AS all_k FROM c{k} GROUP BY 1, 2),
-b{k} AS (SELECT host, template, segment, (pages < 8 AND kinds > 24) OR (kinds > 1 AND NOT (n > 0 AND all_n - n > 0 AND abs(k / greatest(n, 1) - (all_k - k) / greatest(all_n - n, 1)) > 1.96 * sqrt(p * (1 - p) * (1 / greatest(n, 1) + 1 / greatest(all_n - n, 1))))) AS wild
+  FROM (SELECT *, CASE WHEN NOT closed THEN parts[{k + 1}] END AS seg FROM l{k})),
+c{k} AS (SELECT host, template, segment, segment <> '*' AS named, COUNT(*) AS pages, COUNT(bad) AS n, COALESCE(SUM(bad), 0) AS k FROM s{k} WHERE segment IS NOT NULL GROUP BY 1, 2, 3),
+p{k} AS (SELECT host, template, SUM(pages) AS beyond, COUNT(*) FILTER (WHERE named) AS kinds, SUM(n) FILTER (WHERE named) AS all_n, SUM(k) FILTER (WHERE named) AS all_k FROM c{k} GROUP BY 1, 2),
+b{k} AS (SELECT *, named AND pages < 8 AND kinds > 24 AS rare, named AND kinds > 1 AND NOT (n > 0 AND all_n - n > 0 AND abs(k / greatest(n, 1) - (all_k - k) / greatest(all_n - n, 1)) > 1.96 * sqrt(p * (1 - p) * (1 / greatest(n, 1) + 1 / greatest(all_n - n, 1)))) AS alike
   FROM (SELECT *, (all_k + 1) / (all_n + 2) AS p FROM c{k} JOIN p{k} USING (host, template))),
-l{k + 1} AS (SELECT page_id, s.host, path, parts, bad, s.template || CASE WHEN s.segment IS NULL THEN '' WHEN COALESCE(wild, false) THEN '/*' ELSE '/' || s.segment END AS template
-  FROM s{k} s LEFT JOIN b{k} b ON b.host = s.host AND b.template = s.template AND b.segment = s.segment)"""
+w{k} AS (SELECT host, template, segment, beyond < 8 AS ended, rare OR (alike AND COUNT(*) FILTER (WHERE alike AND NOT rare) OVER (PARTITION BY host, template) > 1) AS wild FROM b{k}),
+l{k + 1} AS (SELECT page_id, s.host, path, parts, bad, closed OR COALESCE(ended, false) AS closed, s.template || CASE WHEN s.segment IS NULL THEN '' WHEN ended THEN '/**' WHEN wild THEN '/*' ELSE '/' || s.segment END AS template
+  FROM s{k} s LEFT JOIN w{k} b ON b.host = s.host AND b.template = s.template AND b.segment = s.segment)"""
 
 
+#: Levels that the SQL has, at least as many as any path of the tables.
+LEVELS = 5
 _RULE = """CASE WHEN (host = 'www.example.com' OR ends_with(host, '.www.example.com')) AND starts_with(path, '/en/') THEN 'www.example.com/en/' WHEN (host = 'example.com' OR ends_with(host, '.example.com')) AND starts_with(path, '/en/') THEN 'example.com/en/'
   WHEN ends_with('.' || host, '.net') AND starts_with(path, '/es/') THEN 'net/es/' WHEN ends_with('.' || host, '.net') AND starts_with(path, '/fr/') THEN 'net/fr/' WHEN ends_with('.' || host, '.com') AND starts_with(path, '/') THEN 'com/' END"""
 OP1 = f"""WITH judged AS (SELECT doc_id, MAX(toxic) AS bad FROM labels WHERE toxic IS NOT NULL GROUP BY 1),
 u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substring(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
 h AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{_AZ}', '{_LOW}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
-l0 AS (SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, bad, '' AS template FROM h LEFT JOIN judged ON doc_id = page_id),
-{", ".join(_level(k) for k in range(4))},
-t AS (SELECT host, template, COUNT(bad) AS n, (COALESCE(SUM(bad), 0) + COALESCE((SELECT AVG(bad) FROM judged), 0) * 4.0) / (COUNT(bad) + 4.0) AS bad_share FROM l4 GROUP BY 1, 2)
-SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN n >= 8 AND bad_share > 0.5 THEN 'block' ELSE 'allow' END AS verdict, template, bad_share
-FROM (SELECT *, {_RULE} AS rule FROM l4 JOIN t USING (host, template))"""
+l0 AS (SELECT page_id, host, path, string_split(regexp_replace(path, '^/', ''), '/') AS parts, bad, false AS closed, '' AS template FROM h LEFT JOIN judged ON doc_id = page_id),
+{", ".join(_level(k) for k in range(LEVELS))},
+t AS (SELECT host, template, COUNT(bad) AS n, (COALESCE(SUM(bad), 0) + COALESCE((SELECT AVG(bad) FROM judged), 0) * 4.0) / (COUNT(bad) + 4.0) AS bad_share FROM l{LEVELS} GROUP BY 1, 2)
+SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN n >= 8 AND bad_share > 2.0 * COALESCE((SELECT AVG(bad) FROM judged), 0) THEN 'block' ELSE 'allow' END AS verdict, template, bad_share
+FROM (SELECT *, {_RULE} AS rule FROM l{LEVELS} JOIN t USING (host, template))"""
 
 _COMPONENTS = """reach AS (SELECT id AS a, id AS b FROM nodes UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b), least AS (SELECT a AS id, MIN(b) AS component_id FROM reach GROUP BY a)"""
 OP2 = f"""WITH RECURSIVE w AS (SELECT doc_id AS id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_AZ}', '{_LOW}'), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),

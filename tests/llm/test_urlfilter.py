@@ -33,3 +33,15 @@ def test_url_parts_of_long_urls(spark):
     host, path = url_parts(F.col("u"))
     row = spark.createDataFrame([("http://x.y/" + "a/" * 50_000,)], "u string").select(host.alias("h"), F.length(path).alias("n")).first()
     assert tuple(row) == ("x.y", 100_001)
+
+
+def test_deep_paths_and_single_branches(spark):
+    """Levels beyond the fourth are judged; one branch among siblings that differ isn't merged; few pages aren't divided."""
+    rows = [(k, f"http://d.org/a/b/c/{2000 + k % 20}/{'bad' if k % 2 else 'good'}/{k}/x") for k in range(400)]
+    rows += [(1000 + k, f"http://e.org/{('all-bad', 'mixed', 'all-good')[k % 3]}/{k}") for k in range(300)] + [(2000 + k, "http://f.org/" + "s/" * 300) for k in range(3)]
+    labels = [(k, k % 2) for k in range(400)] + [(1000 + k, (1, k % 2, 0)[k % 3]) for k in range(300)]
+    got = judge_urls(spark.createDataFrame(rows, "page_id long, url string"), spark.createDataFrame(labels, "doc_id long, bad int"), lift=1.5).collect()
+    by = {r.page_id: r for r in got}
+    assert by[1].template == "/a/b/c/*/bad/*/x" and by[1].verdict == "block" and by[0].template == "/a/b/c/*/good/*/x" and by[0].verdict == "allow"
+    assert {by[1000 + k].template for k in range(3)} == {"/all-bad/*", "/mixed/*", "/all-good/*"} and [by[1000 + k].verdict for k in range(3)] == ["block", "allow", "allow"]
+    assert by[2000].template == "/**"
