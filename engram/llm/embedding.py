@@ -24,16 +24,38 @@ ROTATIONS = 4
 #: Vectors of a bucket or block that are compared at once; larger ones are compared by pairs of parts.
 LIMIT = 2048
 BLOCK = 1024
+#: A group has so many blocks, until they are as large as BLOCK.
+BLOCKS = 8
 #: The sketch of bucket sizes has a cell for each so many entries, between these bounds.
 PER_CELL, LEAST_CELLS, MOST_CELLS = 64, 1 << 12, 1 << 22
 SKETCH_PARTS = 16
 SALTS = 64
 
 
+def _rotation(d: int, k: int) -> np.ndarray:
+    q, r = np.linalg.qr(np.random.default_rng([d, 7, k]).normal(size=(d, d)))
+    return q * np.sign(np.diag(r))  # uniform over rotations and reflections
+
+
 @lru_cache(maxsize=8)
 def rotations(d: int) -> np.ndarray:
-    r = np.random.default_rng([d, 7])
-    return np.stack([np.linalg.qr(r.normal(size=(d, d)))[0] for _ in range(ROTATIONS)])
+    return np.stack([_rotation(d, k) for k in range(ROTATIONS)])
+
+
+@lru_cache(maxsize=8)
+def band_directions(d: int, bands: int, width: int) -> np.ndarray:
+    """d x (bands width): the directions of the bands' bits, of rotations of their own.
+
+    There are as many rotations as the bits need and as a band is wide, and a band takes each of its bits from another one.
+    So no bit serves twice, the bits of a band are independent, and those of different bands at worst at right angles.
+    """
+    bits = bands * width
+    count = max(width, -(-bits // d))
+    out = np.zeros((d, bits))
+    for k in range(count):
+        mine = np.arange(k, bits, count)
+        out[:, mine] = _rotation(d, ROTATIONS + k)[:, : len(mine)]
+    return out
 
 
 def encode(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -109,26 +131,33 @@ def _by_length(batch: pa.RecordBatch, column: int):
         yield int(d), np.flatnonzero(sizes == d)
 
 
-def _buckets(bits: np.ndarray, label: np.ndarray, d: int, bands: int, width: int) -> np.ndarray:
-    """Rows x bands: hashes of label, length, band and the band's bits."""
-    total = bits.shape[1]
-    order = np.random.default_rng([total, 11]).permutation(total)
-    out = np.zeros((len(bits), bands), dtype=U)
+def _buckets(x: np.ndarray, label: np.ndarray, bands: int, width: int) -> np.ndarray:
+    """Rows x bands of unit vectors: hashes of label, length, band and the band's bits."""
+    d = x.shape[1]
+    out = np.zeros((len(x), bands), dtype=U)
+    bits = (x @ band_directions(d, bands, width) > 0).astype(U) if width else np.zeros((len(x), 0), dtype=U)
     with np.errstate(over="ignore"):
         own = mixed(label.view(U) * U(0x9E3779B97F4A7C15) + U(d))
         for k in range(bands):
-            at = order[(k * width + np.arange(width)) % total]
-            value = bits[:, at].astype(U) @ (U(1) << np.arange(width, dtype=U)) if width else np.zeros(len(bits), dtype=U)
+            value = bits[:, k * width : (k + 1) * width] @ (U(1) << np.arange(width, dtype=U)) if width else np.zeros(len(x), dtype=U)
             out[:, k] = mixed(own + mixed(value * U(0xC2B2AE3D27D4EB4F) + U(k)))
     return out
 
 
-def _entries(batch: pa.RecordBatch, bands: int, width: int):
+def bands_for(least: float, miss: float, most: int) -> tuple[int, int]:
+    """(bands, width): buckets of some 128 of the largest label's most vectors, in so many bands, and one more, that a pair at least misses all with probability miss."""
+    same = 1 - math.acos(least) / math.pi  # of two signs at the least similarity
+    width = min(24, max(0, math.ceil(math.log2(max(most, 1) / 128))))
+    return (math.ceil(math.log(miss) / math.log(1 - same**width)) + 1 if width else 1), width
+
+
+def _entries(batch: pa.RecordBatch, bands: int, width: int, codes: bool = True):
     """(length, ids, bits, factors, buckets) of a batch (vec, label, embedding), by length."""
     ids, label = (batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (0, 1))
     for d, rows in _by_length(batch, 2):
-        bits, factors = encode(_unit(_matrix(batch.column(2).take(pa.array(rows)))))
-        yield d, ids[rows], bits, factors, _buckets(bits, label[rows], d, bands, width)
+        x = _unit(_matrix(batch.column(2).take(pa.array(rows))))
+        bits, factors = encode(x) if codes else (None, None)
+        yield d, ids[rows], bits, factors, _buckets(x, label[rows], bands, width)
 
 
 def _cells(h: np.ndarray, cells: int) -> tuple[np.ndarray, np.ndarray]:
@@ -141,7 +170,7 @@ def bucket_sketch(vectors: DataFrame, bands: int, width: int, cells: int) -> np.
     def count(batches):
         total = np.zeros((2, cells), dtype=np.uint32)
         for batch in batches:
-            for *_, buckets in _entries(batch, bands, width):
+            for *_, buckets in _entries(batch, bands, width, codes=False):
                 for row, cell in zip(total, _cells(buckets.ravel(), cells), strict=True):
                     row += np.bincount(cell, minlength=cells).astype(np.uint32)
         parts = np.split(total, SKETCH_PARTS, axis=1)
@@ -159,9 +188,7 @@ def bucket_sketch(vectors: DataFrame, bands: int, width: int, cells: int) -> np.
 def _maybe_links(vectors: DataFrame, least: float, miss: float, sigmas: float, count: int, most: int) -> DataFrame:
     """vectors (vec, label, embedding) -> edges (a, b) that join all vectors between which there may be links."""
     spark = vectors.sparkSession
-    same = 1 - math.acos(least) / math.pi  # of two signs at the least similarity
-    width = min(24, max(0, math.ceil(math.log2(max(most, 1) / 128))))
-    bands = math.ceil(math.log(miss) / math.log(1 - same**width)) if width else 1
+    bands, width = bands_for(least, miss, most)
     cells = min(MOST_CELLS, max(LEAST_CELLS, 1 << (count * bands // PER_CELL).bit_length()))
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), count * bands * 64 // (8 << 20))
     sketch = spark.sparkContext.broadcast(bucket_sketch(vectors, bands, width, cells))
@@ -212,9 +239,11 @@ def _maybe_links(vectors: DataFrame, least: float, miss: float, sigmas: float, c
 def _exact_links(grouped: DataFrame, least: float, tasks: int) -> DataFrame:
     """grouped (vec, label, embedding, same, node_group) -> (a, b, n): n vectors linked with a (b null), or an edge of the links' components.
 
-    Pairs are compared block by block within a group; a group of several blocks is dealt out by pairs of blocks.
+    Pairs are compared block by block within a group; a group of several blocks is dealt out by pairs of blocks. A block
+    is an eighth of its group, within bounds: a row is copied to eight tasks or, of larger groups, to one for each BLOCK of rows.
     """
-    sizes = grouped.groupBy("node_group").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks")).where("blocks > 1")
+    each = F.greatest(F.lit(BLOCK / BLOCKS), F.least(F.lit(float(BLOCK)), F.count("*") / BLOCKS))
+    sizes = grouped.groupBy("node_group").agg(F.ceil(F.count("*") / each).cast("int").alias("blocks")).where("blocks > 1")
     own = F.pmod(F.xxhash64("vec"), F.col("blocks")).cast("int")
     # a group may be a third of all rows: the join deals it out by salt
     sizes = sizes.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))

@@ -4,7 +4,7 @@ import random
 import numpy as np
 
 from engram.llm import embedding
-from engram.llm.embedding import decode, encode, near_vectors, slack
+from engram.llm.embedding import _buckets, bands_for, decode, encode, near_vectors, slack
 
 
 def brute(rows, least=0.98):
@@ -51,9 +51,24 @@ def test_against_brute_force(spark, monkeypatch):
     assert sorted(map(tuple, near_vectors(df).collect())) == brute(rows)
     monkeypatch.setattr(embedding, "LIMIT", 40)
     monkeypatch.setattr(embedding, "BLOCK", 30)
+    monkeypatch.setattr(embedding, "bands_for", lambda least, miss, most, f=embedding.bands_for: f(least, 1e-9, 10**7))
     assert sorted(map(tuple, near_vectors(df, id_col="vec_id").collect())) == brute(rows)
 
 
+def test_few_pairs_miss_all_buckets():
+    """Pairs at the least similarity, for labels of up to a billion vectors: under the stated share but for chance of the sample."""
+    r, n = np.random.default_rng(3), 20_000
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    for d in (4, 8, 64, 384):
+        x = unit(r.normal(size=(n, d)))
+        side = r.normal(size=x.shape)
+        y = 0.98 * x + math.sqrt(1 - 0.98**2) * unit(side - (side * x).sum(axis=1, keepdims=True) * x)
+        for most in (10**5, 10**7, 10**9):
+            bands, width = bands_for(0.98, 0.001, most)
+            missed = ~(_buckets(x, np.zeros(n, dtype=np.int64), bands, width) == _buckets(y, np.zeros(n, dtype=np.int64), bands, width)).any(axis=1)
+            assert missed.mean() <= 0.001 + 3 * math.sqrt(0.001 / n), (d, most)
+
+
 def test_repeated_rows_nulls_and_empty_tables(spark):
     v, w = [0.5, 1.0, 0.0, -2.0], [0.5, 1.01, 0.0, -2.0]
     df = spark.createDataFrame([(4, v, 1, 0), (4, v, 1, 1), (9, w, 1, 2), (None, v, 1, 3), (7, v, None, 4)], "vec_id long, embedding array<float>, label int, vec int")
