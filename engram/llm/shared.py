@@ -42,6 +42,25 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: A key with so many rows, or with 2^-16 of all rows if that is more, is dealt out: there are 2^16 such keys at most.
+HOT = 256
+SALTS = 32
+
+
+def spread_join(rows: DataFrame, other: DataFrame, keys: list[str], by: str, how: str = "left") -> DataFrame:
+    """rows, which are materialised, joined with other by keys. The rows of a hot key are dealt out to SALTS tasks by a hash of by.
+
+    The list of hot keys is bounded by HOT's rule and broadcast, so both sides know them without a shuffle.
+    """
+    least = max(HOT, rows.count() >> 16)
+    hot = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select(*keys, F.lit(True).alias("_hot"))
+    hot = F.broadcast(hot)
+    left = rows.join(hot, keys, "left").withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("_hot")
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = other.join(hot, keys, "left").withColumn("_salt", F.explode(salts)).drop("_hot")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Connected components of edges (a, b) of longs: rows (node, component), component the smallest node.
 
