@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.llm.bytetext import U, mixed, shingles, slices
-from engram.llm.shared import HOT, SALTS, components, discard, materialise, spread_join
+from engram.llm.shared import HOT, components, discard, materialise, spread_join
 
 #: Cells of the sketch of shingle frequencies, in two rows: a bound that no input raises.
 CELLS = 1 << 20
@@ -122,7 +122,7 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
        classes that are still apart, all pairs with the shared shingles that the smaller l asks for are. Documents of
        crowded shingles are compared in blocks instead, each set against all of its home at once.
 
-    Shingles that the sketch takes for frequent are summed before they move and their rows dealt out to SALTS tasks; so
+    Shingles that the sketch takes for frequent are summed before they move and their rows dealt out in parts; so
     are the rows of a class or a hub with many.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
@@ -143,13 +143,17 @@ def similar_documents(docs: DataFrame, size: int = 5, percent: int = 75, id_col:
 
 
 def _by_shingle(rows: DataFrame, **sums: Column) -> DataFrame:
-    """rows (shingle, hot, doc, ...) with aggregates over the rows of each shingle. Those of hot ones are summed before they move and dealt out."""
+    """rows (shingle, parts, doc, ...) with aggregates over the rows of each shingle.
+
+    Those of a frequent one, which has several parts, are summed before they move; the sums go to each part, where a window
+    hands them to the part's rows.
+    """
     over = Window.partitionBy("shingle")
-    cold = rows.where("NOT hot").select("*", *[x.over(over).alias(k) for k, x in sums.items()])
-    hot = rows.where("hot")
-    totals = hot.groupBy("shingle").agg(*[x.alias(k) for k, x in sums.items()]).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    hot = hot.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).join(totals, ["shingle", "_salt"]).drop("_salt")
-    return cold.unionByName(hot)
+    rare = rows.where("parts = 1").select("*", *[x.over(over).alias(k) for k, x in sums.items()])
+    many = rows.where("parts > 1").withColumn("_part", F.pmod(F.xxhash64("doc"), F.col("parts")))
+    totals = many.groupBy("shingle", "parts").agg(F.struct(*[x.alias(k) for k, x in sums.items()]).alias("_sums")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    both = many.unionByName(totals, allowMissingColumns=True).withColumn("_sums", F.max("_sums").over(Window.partitionBy("shingle", "_part")))
+    return rare.unionByName(both.where("doc IS NOT NULL").select(*rows.columns, "_sums.*"))
 
 
 def _live_classes(texts: DataFrame, classes: DataFrame, sketch, size: int, percent: int, buckets: int) -> DataFrame:
@@ -232,25 +236,23 @@ def _live_classes(texts: DataFrame, classes: DataFrame, sketch, size: int, perce
 
 
 def _whole_sets(texts: DataFrame, keyed: DataFrame, live: DataFrame, sketch, limit: int, size: int) -> DataFrame:
-    """(doc, n, shingle, hot) of the live documents, each shingle once."""
-    top = 4 * np.log2(limit + 1)
+    """(doc, n, shingle, parts) of the live documents, each shingle once. A shingle that the sketch gives limit texts or more has parts of a quarter of limit."""
 
     def sets_of(batches):
         for batch in batches:
-            out = [[np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=bool)]]
+            out = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
             for own, h, of in _sets(batch, size):
-                n = np.diff(of)
-                for c, x in zip(out, (np.repeat(own, n), np.repeat(n, n), h.view(np.int64), _levels(sketch.value, h) >= top), strict=True):
+                n, texts = np.diff(of), 2.0 ** (_levels(sketch.value, h) / 4)
+                for c, x in zip(out, (np.repeat(own, n), np.repeat(n, n), h.view(np.int64), np.where(texts < limit, 1, np.ceil(4 * texts / limit)).astype(np.int64)), strict=True):
                     c.append(x)
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), t) for c, t in zip(out, kinds, strict=True)], ["doc", "n", "shingle", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["doc", "n", "shingle", "parts"])
 
-    sets = materialise(texts.join(live, "doc").mapInArrow(sets_of, "doc long, n long, shingle long, hot boolean"), "shingle-sets")
+    sets = materialise(texts.join(live, "doc").mapInArrow(sets_of, "doc long, n long, shingle long, parts long"), "shingle-sets")
     several = materialise(keyed.where("n > 0").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc").join(live, "doc"), "shingle-several")
     if several.isEmpty():
         return sets
     # the rows of one id are one set
-    both = sets.join(several, "doc").select("doc", "shingle", "hot").distinct().withColumn("n", F.count("*").over(Window.partitionBy("doc")))
+    both = sets.join(several, "doc").select("doc", "shingle", "parts").distinct().withColumn("n", F.count("*").over(Window.partitionBy("doc")))
     return materialise(sets.join(several, "doc", "left_anti").unionByName(both), "shingle-sets")
 
 
@@ -274,11 +276,11 @@ def _links(texts: DataFrame, keyed: DataFrame, classes: DataFrame, sketch: np.nd
     l = F.greatest(F.lit(1), F.least(least, F.ceil(F.col("n") * 0.02 * F.col("cost"))))
     ranked = ranked.withColumns({"rank": rank, "l": l})
     inside = (F.col("df") > 1) & (F.col("rank") <= F.col("n") - least + F.col("l"))
-    whole = ranked.groupBy("doc").agg(*[F.min(c).alias(c) for c in ("n", "can", "l")], F.sort_array(F.collect_list("shingle")).alias("set"), F.collect_list(F.when(inside, F.struct("shingle", "hot"))).alias("prefix"))
+    whole = ranked.groupBy("doc").agg(*[F.min(c).alias(c) for c in ("n", "can", "l")], F.sort_array(F.collect_list("shingle")).alias("set"), F.collect_list(F.when(inside, F.struct("shingle", "parts"))).alias("prefix"))
     whole = materialise(whole, "shingle-arrays")
     discard(sets)
     arrays = whole.select("doc", "set", "n")
-    prefix = whole.select("doc", "n", "can", "l", F.explode("prefix").alias("p")).select("doc", "n", "can", "l", "p.shingle", "p.hot")
+    prefix = whole.select("doc", "n", "can", "l", F.explode("prefix").alias("p")).select("doc", "n", "can", "l", "p.shingle", "p.parts")
 
     hub = F.min(F.struct(F.xxhash64("doc").alias("h"), F.col("doc").alias("hub")))
     pairs = _by_shingle(prefix, m=hub).select("doc", F.col("m.hub").alias("hub")).where("doc <> hub").distinct()
@@ -288,7 +290,7 @@ def _links(texts: DataFrame, keyed: DataFrame, classes: DataFrame, sketch: np.nd
     several = _by_shingle(apart, p=F.min("part"), q=F.max("part"), low=F.min("n")).where("p < q")
     # the smallest partner that a shingle has bounds what its can has to be
     open_ = several.where(F.col("can") * (100 + percent) >= (F.col("n") + F.col("low")) * percent)
-    open_ = materialise(open_.select("shingle", "hot", "doc", "n", "can", "l", "part"), "shingle-open")
+    open_ = materialise(open_.select("shingle", "parts", "doc", "n", "can", "l", "part"), "shingle-open")
     crowded = _by_shingle(open_, m=F.count("*"), low=hub).where(F.col("m") >= CROWD)
     homes = materialise(crowded.groupBy("doc").agg(F.max_by("low.hub", F.struct("m", "shingle")).alias("home")), "shingle-homes")
     # each of its shingles has fewer than CROWD documents
@@ -308,10 +310,10 @@ def _crowd_links(open_: DataFrame, homes: DataFrame, arrays: DataFrame, percent:
     by block, so a document goes to a few homes and to each once for each block, however many shingles and partners it has.
     Of the links found in a pair of blocks those go out that join its parts.
     """
-    reach = open_.join(homes, "doc").select("shingle", "hot", "home").distinct()
-    reach = reach.withColumn("_salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0))))).drop("hot")
-    came = open_.withColumn("_salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int")).otherwise(0))
-    guests = materialise(came.join(reach, ["shingle", "_salt"]).select("home", "doc").distinct(), "shingle-guests")
+    reach = open_.join(homes, "doc").select("shingle", "parts", "home").distinct()
+    reach = reach.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts")
+    came = open_.select("shingle", "doc", F.pmod(F.xxhash64("doc"), F.col("parts")).alias("part"))
+    guests = materialise(came.join(reach, ["shingle", "part"]).select("home", "doc").distinct(), "shingle-guests")
     blocks = guests.groupBy("home").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     parts = open_.select("doc", "part").distinct()
     rows = spread_join(guests, blocks, ["home"], "doc").join(parts, "doc").join(homes.select("doc", F.col("home").alias("own")), "doc", "left")

@@ -58,6 +58,9 @@ def test_against_brute_force(spark):
 def test_crowded_shingles(spark, monkeypatch):
     monkeypatch.setattr("engram.llm.jaccard.CROWD", 3)
     monkeypatch.setattr("engram.llm.jaccard.BLOCK", 5)
+    monkeypatch.setattr("engram.llm.jaccard.HOT", 3)
+    monkeypatch.setattr("engram.llm.shared.HOT", 3)
+    monkeypatch.setattr("engram.llm.jaccard.HELD", 200)
     rows = corpus(3)
     got = similar_documents(spark.createDataFrame(rows, "doc_id long, text string").repartition(6))
     assert sorted(map(tuple, got.collect())) == brute(rows)
