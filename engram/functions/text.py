@@ -198,7 +198,8 @@ def first_equal(value: Column, names: dict[str, str]) -> Column:
     return reduce(lambda out, kv: F.when(value == kv[0], F.lit(kv[1])).otherwise(out), names.items(), F.lit(None).cast("string"))
 
 
-STRUCTURED = r"(?is)^\s*\[([^\]]+)\]\s*\[([^\]]+)\]\s*(.+?)(?:\s*\+\s*(.+))?$"
+#: Fixed value: the form of a structured capture, which stays on one line.
+STRUCTURED = r"(?i)^\s*\[([^\]]+)\]\s*\[([^\]]+)\]\s*(.+?)(?:\s*\+\s*(.+))?$"
 
 
 def structured_capture(text: Column) -> dict[str, Column]:

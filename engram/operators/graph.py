@@ -42,16 +42,47 @@ def shortest_path(edges: DataFrame, start: int, goal: int, max_depth: int = 6) -
     return frontier.where(F.col("node") == goal).select(F.posexplode("path").alias("step", "p")).select(F.col("step").cast("bigint").alias("step"), "p.node", "p.relation")
 
 
-def parent_chain(parents: DataFrame, start: int, most: int = 10_000) -> DataFrame:
-    """(node, place): the chain of parents (node, parent) above a node, place 0 the topmost. A cycle ends where it closes."""
-    chain = parents.sparkSession.sql(
-        """WITH RECURSIVE up AS (SELECT CAST({start} AS bigint) AS node, 0 AS depth, array(CAST({start} AS bigint)) AS path
-          UNION ALL SELECT p.parent, u.depth + 1, array_append(u.path, p.parent) FROM up u JOIN {parents} p ON p.node = u.node WHERE u.depth < {most} AND NOT array_contains(u.path, p.parent))
-        SELECT node, depth FROM up""",
-        parents=parents, start=start, most=most,
-    )
-    top = chain.agg(F.max("depth").alias("top"))
-    return chain.crossJoin(F.broadcast(top)).select("node", (F.col("top") - F.col("depth")).cast("bigint").alias("place"))
+def doubled(links: DataFrame, keys: list[str]) -> DataFrame:
+    """links (keys, node, parent), a node's parent or null -> (keys, node, top, depth): the topmost node above each and the way to it.
+
+    Pointers double, so a chain of n nodes takes log2 n rounds of joins, and nodes of all chains move at once. A parent that is
+    no node is the top itself. Nodes on a cycle, or below one, are left out.
+    """
+    known = links.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    rows = links.join(known.distinct(), [*keys, "parent"], "left").select(*keys, "node", "parent", F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), (F.col("parent").isNotNull() & F.col("_known").isNotNull()).alias("open"))
+    rows, left = cut(rows.withColumn("parent", F.coalesce("parent", "node")).dropDuplicates([*keys, "node"])), None
+    while (n := rows.where("open").count()) and n != left:
+        above = rows.select(*keys, F.col("node").alias("parent"), F.col("parent").alias("_up"), F.col("depth").alias("_way"), F.col("open").alias("_open"))
+        moved = rows.where("open").join(above, [*keys, "parent"]).select(*keys, "node", F.col("_up").alias("parent"), (F.col("depth") + F.col("_way")).alias("depth"), F.col("_open").alias("open"))
+        rows, left = cut(rows.where("NOT open").unionByName(moved)), n
+    return rows.where("NOT open").select(*keys, "node", F.col("parent").alias("top"), "depth")
+
+
+def above(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, node, place): the nodes from the top down to a start, place 0 the topmost, for each (keys, node) of starts. Without cycles.
+
+    The nodes above are marked by doubling too: of a marked node the one 2^k above, for falling k. Chains of any length.
+    """
+    placed = doubled(links, keys)
+    jumps = [links.where("parent IS NOT NULL").select(*keys, "node", F.col("parent").alias("up"))]
+    longest = placed.join(starts, [*keys, "node"], "left_semi").agg(F.max("depth")).first()[0] or 0
+    while 2 ** len(jumps) <= longest:
+        last = jumps[-1]
+        jumps.append(cut(last.join(last.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next")), [*keys, "up"]).select(*keys, "node", F.col("_next").alias("up"))))
+    marked = starts.select(*keys, "node").distinct()
+    for jump in reversed(jumps):
+        marked = cut(marked.unionByName(marked.join(jump, [*keys, "node"]).select(*keys, F.col("up").alias("node"))).distinct())
+    ends = placed.where("depth > 0").select(*keys, F.col("top").alias("node"), "top", F.lit(0).cast("long").alias("depth")).distinct()
+    every = placed.unionByName(ends.join(placed.select(*keys, "node"), [*keys, "node"], "left_anti"))
+    return marked.join(every, [*keys, "node"]).select(*keys, "node", F.col("depth").alias("place"))
+
+
+def parent_chain(parents: DataFrame, start: int) -> DataFrame:
+    """(node, place): the chain of parents (node, parent) above a node, place 0 the topmost. A chain of any length; nothing if it runs into a cycle."""
+    begin = parents.sparkSession.createDataFrame([(start,)], "node bigint")
+    links = parents.select(F.col("node").cast("long").alias("node"), F.col("parent").cast("long").alias("parent"))
+    alone = begin.join(links, "node", "left_anti").join(links.select(F.col("parent").alias("node")), "node", "left_anti").withColumn("place", F.lit(0).cast("long"))
+    return above(links, begin, []).unionByName(alone)
 
 
 def trace_provenance(thoughts: DataFrame, start: int, max_depth: int = 10, cap: int = 2000) -> DataFrame:

@@ -29,13 +29,17 @@ def _quote(s: str) -> str:
 
 _SAMPLES = "(SELECT * FROM (VALUES " + ", ".join(f"({k}, {_quote(s)})" for k, s in enumerate(SAMPLES)) + ") v(n, s))"
 
+#: The samples and, after them, all documents.
+_TEXTS = f"(SELECT CAST(n AS BIGINT) AS n, s FROM {_SAMPLES} UNION ALL SELECT doc_id + 1000, text FROM documents)"
+
 
 def samples(t: Tables) -> DataFrame:
     return t.spark.createDataFrame(list(enumerate(SAMPLES)), "n int, s string")
 
 
 def _of_samples(t: Tables, **columns: Column) -> DataFrame:
-    return samples(t).select("n", *[c.alias(name) for name, c in columns.items()])
+    texts = samples(t).select(F.col("n").cast("long").alias("n"), "s").unionByName(t.documents.select((F.col("doc_id") + 1000).alias("n"), F.col("text").alias("s")))
+    return texts.select("n", *[c.alias(name) for name, c in columns.items()])
 
 
 _FP = "sha256(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))))"
@@ -86,7 +90,7 @@ _DOSE = "(regexp_matches({0}, '(?i)\\b\\d+\\s*mg\\b') AND NOT regexp_matches({0}
 _SOFT = "array_to_string(list_filter([" + ", ".join(f"CASE WHEN {_DOSE.format('s') if p == _AHEAD else f'regexp_matches(s, {_quote(p)})'} THEN '{n}' END" for n, p in X.PERSONAL) + "], lambda x: x IS NOT NULL), ',')"
 
 
-@query(f"SELECT n, CASE WHEN hard IS NOT NULL THEN 'restricted' WHEN soft <> '' THEN 'personal' ELSE 'standard' END AS tier, COALESCE(hard, soft) AS reasons FROM (SELECT n, {_first('s', X.RESTRICTED)} AS hard, {_SOFT} AS soft FROM {_SAMPLES})")
+@query(f"SELECT n, CASE WHEN hard IS NOT NULL THEN 'restricted' WHEN soft <> '' THEN 'personal' ELSE 'standard' END AS tier, COALESCE(hard, soft) AS reasons FROM (SELECT n, {_first('s', X.RESTRICTED)} AS hard, {_SOFT} AS soft FROM {_TEXTS})")
 def x06_sensitivity(t: Tables) -> DataFrame:
     tier, reasons = X.sensitivity(F.col("s"))
     return _of_samples(t, tier=tier, reasons=F.array_join(reasons, ","))
@@ -130,12 +134,12 @@ def x10_html_to_text(t: Tables) -> DataFrame:
     return t.pages.select("page_id", X.html_to_text(F.col("html")).alias("text"))
 
 
-@query("SELECT n, CASE WHEN contains(s, chr(10) || '> quoted') THEN 'Hello there' WHEN contains(s, 'On Monday Ann wrote:') THEN 'Hi' WHEN contains(s, 'Original Message') THEN 'Sure' ELSE " + _nested("s", [(r"^\s+|\s+$", "")]) + f" END AS text FROM {_SAMPLES}")
+@query("SELECT n, CASE WHEN contains(s, chr(10) || '> quoted') THEN 'Hello there' WHEN contains(s, 'On Monday Ann wrote:') THEN 'Hi' WHEN contains(s, 'Original Message') THEN 'Sure' ELSE " + _nested("s", [(r"^\s+|\s+$", "")]) + f" END AS text FROM {_TEXTS}")
 def x11_strip_quoted(t: Tables) -> DataFrame:
     return _of_samples(t, text=X.strip_quoted(F.col("s")))
 
 
-@query("SELECT n, CASE WHEN contains(s, 'Ann Smith') THEN 'Hi Bob' || chr(10) || chr(10) || 'Thanks' ELSE " + _nested("s", [(r"^\s+|\s+$", "")]) + f" END AS text FROM {_SAMPLES}")
+@query("SELECT n, CASE WHEN contains(s, 'Ann Smith') THEN 'Hi Bob' || chr(10) || chr(10) || 'Thanks' ELSE " + _nested("s", [(r"^\s+|\s+$", "")]) + f" END AS text FROM {_TEXTS}")
 def x12_strip_signature(t: Tables) -> DataFrame:
     return _of_samples(t, text=X.strip_signature(F.col("s")))
 
@@ -145,17 +149,17 @@ def x13_word_count(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.word_count(F.col("text")).alias("words"))
 
 
-_CAP = "regexp_extract(trim(s), '(?is)^\\s*\\[([^\\]]+)\\]\\s*\\[([^\\]]+)\\]\\s*(.+?)(?:\\s*\\+\\s*(.+))?$', {0})"
+_CAP = "regexp_extract(trim(s), '(?i)^\\s*\\[([^\\]]+)\\]\\s*\\[([^\\]]+)\\]\\s*(.+?)(?:\\s*\\+\\s*(.+))?$', {0})"
 _ALIAS = "CASE lower(trim({0})) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in X.TYPE_ALIASES.items()) + " END"
 
 
 @query(f"""SELECT n, k <> '' AS matched, {_ALIAS.format('k')} AS kind, nullif(trim(tp), '') AS topic, nullif(trim(nx), '') AS next_step,
-CASE WHEN k = '' THEN trim(s) WHEN trim(nx) <> '' THEN trim(b) || ' Next step: ' || trim(nx) ELSE trim(b) END AS normalized FROM (SELECT n, s, {_CAP.format(1)} AS k, {_CAP.format(2)} AS tp, {_CAP.format(3)} AS b, {_CAP.format(4)} AS nx FROM {_SAMPLES})""")
+CASE WHEN k = '' THEN trim(s) WHEN trim(nx) <> '' THEN trim(b) || ' Next step: ' || trim(nx) ELSE trim(b) END AS normalized FROM (SELECT n, s, {_CAP.format(1)} AS k, {_CAP.format(2)} AS tp, {_CAP.format(3)} AS b, {_CAP.format(4)} AS nx FROM {_TEXTS})""")
 def x14_structured_capture(t: Tables) -> DataFrame:
     return _of_samples(t, **X.structured_capture(F.col("s")))
 
 
-@query(f"SELECT n, CASE WHEN regexp_matches(s, '(?i)\\bevergreen\\b') THEN 'x,evergreen' ELSE 'x' END AS tags FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN regexp_matches(s, '(?i)\\bevergreen\\b') THEN 'x,evergreen' ELSE 'x' END AS tags FROM {_TEXTS}")
 def x15_evergreen(t: Tables) -> DataFrame:
     return _of_samples(t, tags=F.array_join(X.with_evergreen(F.col("s"), F.array(F.lit("x"))), ","))
 
@@ -218,7 +222,7 @@ def x23_message_count(t: Tables) -> DataFrame:
     return t.conversations.groupBy("conv_id").agg(F.count_if((F.trim("text") != "") & (F.col("role") != "system")).alias("messages"))
 
 
-@query(f"SELECT n, CASE WHEN contains(s, '[[Home') THEN 'Home Page,Notes' ELSE '' END AS links, CASE WHEN contains(s, '[[Home') THEN 'todo,x' WHEN contains(s, '#123') THEN '123' ELSE '' END AS tags FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN contains(s, '[[Home') THEN 'Home Page,Notes' ELSE '' END AS links, CASE WHEN contains(s, '[[Home') THEN 'todo,x' WHEN contains(s, '#123') THEN '123' ELSE '' END AS tags FROM {_TEXTS}")
 def x24_wikilinks(t: Tables) -> DataFrame:
     return _of_samples(t, links=F.array_join(X.wikilinks(F.col("s")), ","), tags=F.array_join(X.inline_tags(F.col("s")), ","))
 
@@ -237,7 +241,7 @@ def x26_preview_slug(t: Tables) -> DataFrame:
 _SCRUB = _nested("s", [(r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", ""), (r"(?i)<\s*/?\s*thought\b[^>]*>", "[thought-tag-redacted]"), (r"(?i)ignore\s+(all\s+)?previous\s+instructions?", "[redacted injection attempt]"), (r"(?i)disregard\s+(the\s+)?above", "[redacted injection attempt]"), (r"(?i)new\s+instructions\s*:", "[redacted injection attempt]")])
 
 
-@query(f"SELECT n, trim(regexp_replace(regexp_replace(regexp_replace(s, '[\\r\\n]+', ' ', 'g'), '[`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) AS preview, {_SCRUB} AS scrubbed FROM {_SAMPLES}")
+@query(f"SELECT n, trim(regexp_replace(regexp_replace(regexp_replace(s, '[\\r\\n]+', ' ', 'g'), '[`\\[\\]]', '', 'g'), '\\s+', ' ', 'g')) AS preview, {_SCRUB} AS scrubbed FROM {_TEXTS}")
 def x27_scrubbed(t: Tables) -> DataFrame:
     return _of_samples(t, preview=X.safe_preview(F.col("s")), scrubbed=X.scrubbed(F.col("s")))
 
@@ -262,7 +266,7 @@ def x30_entity_name(t: Tables) -> DataFrame:
     return t.entities.select("entity_id", X.entity_name(F.concat("canonical_name", F.lit("\t  X"))).alias("name"))
 
 
-@query(f"SELECT n, CASE WHEN contains(lower(s), 'month') OR contains(lower(s), 'quarter') THEN 'monthly' WHEN contains(lower(s), 'week') THEN 'weekly' WHEN regexp_matches(lower(s), 'day|morning|afternoon|evening') THEN 'daily' ELSE 'event_driven' END AS bucket FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN contains(lower(s), 'month') OR contains(lower(s), 'quarter') THEN 'monthly' WHEN contains(lower(s), 'week') THEN 'weekly' WHEN regexp_matches(lower(s), 'day|morning|afternoon|evening') THEN 'daily' ELSE 'event_driven' END AS bucket FROM {_TEXTS}")
 def x31_cadence(t: Tables) -> DataFrame:
     return _of_samples(t, bucket=X.cadence(F.col("s")))
 
@@ -274,7 +278,7 @@ def x32_profile_sentences(t: Tables) -> DataFrame:
     return profile_sentences(t.metadata_thoughts.select("id", "metadata"), "id", "metadata")
 
 
-@query(f"SELECT n, COALESCE({_first('lower(s)', X.FALLBACK_TYPES)}, 'observation') AS kind, CASE WHEN contains(lower(s), 'garden dashboard') THEN 'Garden,dashboard' ELSE 'general' END AS topics FROM {_SAMPLES}")
+@query(f"SELECT n, COALESCE({_first('lower(s)', X.FALLBACK_TYPES)}, 'observation') AS kind, CASE WHEN contains(lower(s), 'garden dashboard') THEN 'Garden,dashboard' ELSE 'general' END AS topics FROM {_TEXTS}")
 def x33_fallback_metadata(t: Tables) -> DataFrame:
     topics = X.fallback_topics(F.col("s"), {"garden d": "Garden", "dashboard": "dashboard"}, "general")
     return _of_samples(t, kind=X.fallback_type(F.col("s")), topics=F.array_join(topics, ","))
@@ -285,17 +289,17 @@ def x34_sanitised(t: Tables) -> DataFrame:
     return t.thoughts.select("id", F.when(F.col("status").isin("new", "active", "done"), F.col("status")).otherwise("idea").alias("kind"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("id") / 500)).alias("confidence"), F.size(F.slice("topics", 1, 1)).cast("bigint").alias("topics"))
 
 
-@query(f"SELECT n, CASE WHEN contains(s, '```json') THEN 1 END AS a FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN contains(s, '```json') THEN 1 END AS a FROM {_TEXTS}")
 def x35_model_json(t: Tables) -> DataFrame:
     return _of_samples(t, a=F.from_json(X.unfenced(F.col("s")), "a int")["a"])
 
 
-@query(f"SELECT n, CASE WHEN contains(s, '123e4567') THEN '123e4567-e89b-12d3-a456-426614174000' ELSE '' END AS refs FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN contains(s, '123e4567') THEN '123e4567-e89b-12d3-a456-426614174000' ELSE '' END AS refs FROM {_TEXTS}")
 def x36_uuids(t: Tables) -> DataFrame:
     return _of_samples(t, refs=F.array_join(X.uuids(F.col("s")), ","))
 
 
-@query(f"SELECT n, CASE WHEN contains(s, '[Email') THEN '[Email from Ann]' END AS prefix, CASE WHEN contains(s, '[Email') THEN 'the body here' ELSE s END AS body FROM {_SAMPLES}")
+@query(f"SELECT n, CASE WHEN contains(s, '[Email') THEN '[Email from Ann]' END AS prefix, CASE WHEN contains(s, '[Email') THEN 'the body here' ELSE s END AS body FROM {_TEXTS}")
 def x37_mail_parts(t: Tables) -> DataFrame:
     prefix, body = X.mail_parts(F.col("s"))
     return _of_samples(t, prefix=prefix, body=body)

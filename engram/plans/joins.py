@@ -16,9 +16,9 @@ def n01_edge_names(t: Tables) -> DataFrame:
     return N.with_names(t.edges, t.entities).select("from_name", "to_name", "relation", "support")
 
 
-@query("SELECT log_id, line, name, frequency_days FROM task_logs LEFT JOIN tasks USING (task_id) WHERE log_id < 2000")
+@query("SELECT log_id, line, name, frequency_days FROM task_logs LEFT JOIN tasks USING (task_id)")
 def n02_left_embed(t: Tables) -> DataFrame:
-    return t.task_logs.where("log_id < 2000").join(t.tasks, "task_id", "left").select("log_id", "line", "name", "frequency_days")
+    return t.task_logs.join(t.tasks, "task_id", "left").select("log_id", "line", "name", "frequency_days")
 
 
 @query("""SELECT CAST(l_orderkey AS BIGINT) AS application_id, CAST(l_linenumber AS BIGINT) AS interview, c_name AS posting, n_name AS company
@@ -132,18 +132,18 @@ def n19_adjacency(t: Tables) -> DataFrame:
     return N.neighbours(t.graph_edges, "source", "target")
 
 
-@query("""WITH n AS (SELECT DISTINCT lower(name) AS name FROM tasks WHERE task_id % 3 = 0 UNION SELECT 'unknown thing' UNION SELECT 'small'), e AS (SELECT entity_id, lower(canonical_name) AS k FROM entities WHERE entity_id % 7 = 0),
+@query("""WITH n AS (SELECT DISTINCT lower(name) AS name FROM tasks UNION SELECT 'unknown thing' UNION SELECT 'small'), e AS (SELECT entity_id, lower(canonical_name) AS k FROM entities),
 m AS (SELECT name, entity_id, CASE WHEN name = k THEN 1 WHEN split_part(name, ' ', 1) = split_part(k, ' ', 1) AND length(split_part(k, ' ', 1)) >= 3 THEN 2 WHEN contains(name, k) OR contains(k, name) THEN 3 END AS rank FROM n, e),
 b AS (SELECT name, MIN(rank * 100000 + entity_id) AS v FROM m WHERE rank IS NOT NULL GROUP BY name)
 SELECT n.name, CAST(v % 100000 AS BIGINT) AS entity_id, CASE v // 100000 WHEN 1 THEN 'equal' WHEN 2 THEN 'first_word' WHEN 3 THEN 'contained' ELSE 'new' END AS how FROM n LEFT JOIN b USING (name)""")
 def n20_fuzzy_names(t: Tables) -> DataFrame:
-    names = t.tasks.where("task_id % 3 = 0").select(F.lower("name").alias("name")).unionByName(t.spark.createDataFrame([("unknown thing",), ("small",)], "name string"))
-    return N.fuzzy_names(names, t.entities.where("entity_id % 7 = 0"))
+    names = t.tasks.select(F.lower("name").alias("name")).unionByName(t.spark.createDataFrame([("unknown thing",), ("small",)], "name string"))
+    return N.fuzzy_names(names, t.entities)
 
 
-@query("SELECT vec_id AS id FROM embeddings WHERE embedding[1] > 0.1 AND vec_id NOT IN (SELECT thought_id FROM thought_entities WHERE entity_id < 100)")
+@query("SELECT vec_id AS id FROM embeddings WHERE embedding[1] > 0.1 AND vec_id NOT IN (SELECT thought_id FROM thought_entities JOIN entities USING (entity_id) WHERE entity_type = 'person')")
 def n21_semantic_minus_linked(t: Tables) -> DataFrame:
-    linked = t.thought_entities.where("entity_id < 100").select(F.col("thought_id").alias("id"))
+    linked = t.thought_entities.join(t.entities.where("entity_type = 'person'"), "entity_id", "left_semi").select(F.col("thought_id").alias("id"))
     return t.embeddings.where(F.col("embedding")[0] > 0.1).select(F.col("vec_id").alias("id")).join(linked, "id", "left_anti")
 
 
@@ -159,10 +159,10 @@ def u01_union_distinct(t: Tables) -> DataFrame:
     return hits("the").unionByName(hits("un")).distinct()
 
 
-@query("SELECT source, target FROM graph_edges WHERE relation = 'child_of' UNION ALL SELECT target, source FROM graph_edges WHERE relation = 'loops' OR source < 50")
+@query("SELECT source, target FROM graph_edges WHERE relation = 'child_of' UNION ALL SELECT target, source FROM graph_edges WHERE relation <> 'child_of'")
 def u02_union_all(t: Tables) -> DataFrame:
     g = t.graph_edges
-    return g.where("relation = 'child_of'").select("source", "target").unionByName(g.where("relation = 'loops' OR source < 50").select(F.col("target").alias("source"), F.col("source").alias("target")))
+    return g.where("relation = 'child_of'").select("source", "target").unionByName(g.where("relation <> 'child_of'").select(F.col("target").alias("source"), F.col("source").alias("target")))
 
 
 @query("SELECT id, type FROM thoughts WHERE type = 'task' AND status = 'active' UNION ALL SELECT id, type FROM thoughts WHERE type = 'idea' AND status = 'new' ORDER BY id")

@@ -278,9 +278,9 @@ def p36_kanban(t: Tables) -> DataFrame:
     return t.thoughts.where(F.col("type").isin("task", "idea") & F.col("status").isin("new", "planning", "active", "review")).orderBy(F.desc("importance"), "id").select("id", "status", "importance")
 
 
-@query("SELECT id FROM metadata_thoughts WHERE json_extract_string(metadata, '$.status') IS NULL AND id % 3 = 0")
+@query("SELECT id FROM metadata_thoughts WHERE json_extract_string(metadata, '$.status') IS NULL")
 def p37_missing_metadata(t: Tables) -> DataFrame:
-    return t.metadata_thoughts.where(F.get_json_object("metadata", "$.status").isNull() & (F.col("id") % 3 == 0)).select("id")
+    return t.metadata_thoughts.where(F.get_json_object("metadata", "$.status").isNull()).select("id")
 
 
 @query("""SELECT task_id, log_id, line FROM (SELECT *, CASE WHEN line = 1 THEN NULL ELSE completed_on END AS valid_from, CASE WHEN line % 4 = 0 THEN NULL ELSE completed_on + 400 END AS valid_until FROM task_logs)

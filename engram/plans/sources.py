@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.operators import models as M
-from engram.plans.views import Tables, query, whole_entities, whole_links
+from engram.plans.views import Tables, query
 from engram.sources import importers as S
 from engram.streaming import jobs as R
 
@@ -80,14 +80,15 @@ def s10_notes(t: Tables) -> DataFrame:
     return n.select("path", F.try_element_at("front", F.lit("title")).alias("title"), F.array_join("links", ",").alias("links"), F.array_join("tags", ",").alias("tags"))
 
 
-@query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE regexp_replace(text, '^[ \\t\\r\\n]+|[ \\t\\r\\n]+$', '', 'g') END AS body FROM documents WHERE NOT regexp_matches(text, '[<&]|  |\\t|\\n\\n\\n')")
+@query("SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS body FROM documents")
 def s12_mail_text(t: Tables) -> DataFrame:
-    data = F.translate(F.base64(F.encode("text", "UTF-8")), "+/", "-_")
-    data = F.regexp_replace(data, r"\s", "")
+    """Every second message has a plain part, the others only HTML; blanks are compared as one."""
+    packed = lambda c: F.regexp_replace(F.translate(F.base64(F.encode(c, "UTF-8")), "+/", "-_"), r"\s", "")
+    html = F.replace(F.replace(F.replace(F.col("text"), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     part = lambda kind, d: F.struct(F.lit(kind).alias("mimeType"), F.struct(d.alias("data")).alias("body"))
-    inner = F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(part("text/html", data), part("text/plain", F.when(F.col("doc_id") % 2 == 0, data))).alias("parts"))
-    rows = t.documents.where(~F.col("text").rlike(r"[<&]|  |\t|\n\n\n")).select("doc_id", F.to_json(F.struct(F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(inner).alias("parts")).alias("payload"))).alias("value"))
-    return S.mail_text(rows).select("doc_id", "body")
+    inner = F.struct(F.lit("multipart/alternative").alias("mimeType"), F.array(part("text/html", packed(html)), part("text/plain", F.when(F.col("doc_id") % 2 == 0, packed(F.col("text"))))).alias("parts"))
+    rows = t.documents.select("doc_id", F.to_json(F.struct(F.struct(F.lit("multipart/mixed").alias("mimeType"), F.array(inner).alias("parts")).alias("payload"))).alias("value"))
+    return S.mail_text(rows).select("doc_id", F.trim(F.regexp_replace("body", r"\s+", " ")).alias("body"))
 
 
 def _activity_files(t: Tables) -> DataFrame:
@@ -151,7 +152,7 @@ def s20_workbook_tables(t: Tables) -> DataFrame:
     return S.workbook_rows(_workbooks(t)).groupBy("path").agg(F.count("*").alias("rows"))
 
 
-@query("SELECT 'd' || doc_id AS path, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) AS text FROM documents WHERE doc_id % 10 = 0")
+@query("SELECT 'd' || doc_id AS path, array_to_string(list_filter(string_split(text, chr(10)), lambda x: x <> ''), chr(10)) AS text FROM documents")
 def s21_office_text(t: Tables) -> DataFrame:
     def build(batches):
         from xml.sax.saxutils import escape
@@ -165,7 +166,7 @@ def s21_office_text(t: Tables) -> DataFrame:
                 rows.append((f"d{r.doc_id}", out.getvalue()))
             yield pd.DataFrame(rows, columns=["path", "content"])
 
-    files = t.documents.where("doc_id % 10 = 0").select("doc_id", "text").mapInPandas(build, "path string, content binary")
+    files = t.documents.select("doc_id", "text").mapInPandas(build, "path string, content binary")
     return S.office_text(files).select("path", "text")
 
 
@@ -244,14 +245,14 @@ def f01_metadata(t: Tables) -> DataFrame:
 @query()
 def f02_entities(t: Tables) -> DataFrame:
     rows = t.thoughts.select("id", F.concat_ws(" ", "content", F.lit("the small ring of a red widget")).alias("content"))
-    return M.dictionary_entities(rows, whole_entities(t), "id", "content")
+    return M.dictionary_entities(rows, t.entities, "id", "content")
 
 
 @query()
 def f03_pair_relations(t: Tables) -> DataFrame:
     from engram.operators.joins import shared_pairs
 
-    pairs = shared_pairs(whole_links(t), 2, "thought_id", "entity_id")
+    pairs = shared_pairs(t.thought_entities, 2, "thought_id", "entity_id")
     texts = t.documents.select(F.col("doc_id").alias("a"), "text")
     return M.classified_pairs(pairs.join(texts, "a"), M.keyword_relations, 200)
 

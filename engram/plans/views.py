@@ -74,38 +74,19 @@ _VECTORS = "SELECT thoughts.*, embedding, label FROM thoughts JOIN embeddings ON
 
 
 def _thought_entities(t: Tables) -> DataFrame:
-    return t.lineitem.where("l_orderkey < 1000").selectExpr("CAST(l_orderkey AS bigint) AS thought_id", "CAST(l_partkey % 200 AS bigint) AS entity_id").distinct()
+    """All lines with whole part keys, so that the thoughts of an entity stay few as the tables grow."""
+    return t.lineitem.selectExpr("CAST(l_orderkey AS bigint) AS thought_id", "CAST(l_partkey AS bigint) AS entity_id").distinct()
 
 
-_THOUGHT_ENTITIES = "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS thought_id, CAST(l_partkey % 200 AS BIGINT) AS entity_id FROM lineitem WHERE l_orderkey < 1000"
+_THOUGHT_ENTITIES = "SELECT DISTINCT CAST(l_orderkey AS BIGINT) AS thought_id, CAST(l_partkey AS BIGINT) AS entity_id FROM lineitem"
 _KIND = _case("p_partkey % 6", ["person", "project", "topic", "tool", "organization", "place"])
 
 
 def _entities(t: Tables) -> DataFrame:
-    return t.part.where("p_partkey < 200").selectExpr("CAST(p_partkey AS bigint) AS entity_id", "p_name AS canonical_name", f"{_KIND} AS entity_type")
-
-
-_ENTITIES = f"SELECT CAST(p_partkey AS BIGINT) AS entity_id, p_name AS canonical_name, {_KIND} AS entity_type FROM part WHERE p_partkey < 200"
-
-
-def whole_links(t: Tables) -> DataFrame:
-    """As thought_entities, of all lines and with whole part keys, so that the thoughts of an entity stay few as the tables grow."""
-    return t.lineitem.selectExpr("CAST(l_orderkey AS bigint) AS thought_id", "CAST(l_partkey AS bigint) AS entity_id").distinct()
-
-
-def whole_entities(t: Tables) -> DataFrame:
-    """As entities, of all parts."""
     return t.part.selectExpr("CAST(p_partkey AS bigint) AS entity_id", "p_name AS canonical_name", f"{_KIND} AS entity_type")
 
 
-def whole_edges(t: Tables) -> DataFrame:
-    """As edges, with whole keys."""
-    from engram.operators.upsert import upsert_edges
-
-    mentions = t.lineitem.selectExpr(
-        "CAST(l_partkey AS bigint) AS from_id", "CAST(l_suppkey AS bigint) AS to_id", f"{_RELATION} AS relation", "CAST(l_linenumber % 10 AS double) / 10 AS confidence", "CAST(l_orderkey AS bigint) AS seen", "CAST(l_linenumber AS bigint) AS nth",
-    ).where("from_id <> to_id")
-    return upsert_edges(mentions, symmetric=True)
+_ENTITIES = f"SELECT CAST(p_partkey AS BIGINT) AS entity_id, p_name AS canonical_name, {_KIND} AS entity_type FROM part"
 
 
 _RELATION = _case("l_linenumber % 6", ["works_on", "uses", "related_to", "member_of", "located_in", "co_occurs_with"])
@@ -114,11 +95,11 @@ _RELATION = _case("l_linenumber % 6", ["works_on", "uses", "related_to", "member
 def _mentions(t: Tables) -> DataFrame:
     """One row for each time that an edge between two entities was seen."""
     return t.lineitem.selectExpr(
-        "CAST(l_partkey % 200 AS bigint) AS from_id", "CAST(l_suppkey % 200 AS bigint) AS to_id", f"{_RELATION} AS relation", "CAST(l_linenumber % 10 AS double) / 10 AS confidence", "CAST(l_orderkey AS bigint) AS seen", "CAST(l_linenumber AS bigint) AS nth",
+        "CAST(l_partkey AS bigint) AS from_id", "CAST(l_suppkey AS bigint) AS to_id", f"{_RELATION} AS relation", "CAST(l_linenumber % 10 AS double) / 10 AS confidence", "CAST(l_orderkey AS bigint) AS seen", "CAST(l_linenumber AS bigint) AS nth",
     ).where("from_id <> to_id")
 
 
-_MENTIONS = f"""SELECT * FROM (SELECT CAST(l_partkey % 200 AS BIGINT) AS from_id, CAST(l_suppkey % 200 AS BIGINT) AS to_id, {_RELATION} AS relation,
+_MENTIONS = f"""SELECT * FROM (SELECT CAST(l_partkey AS BIGINT) AS from_id, CAST(l_suppkey AS BIGINT) AS to_id, {_RELATION} AS relation,
   CAST(l_linenumber % 10 AS DOUBLE) / 10 AS confidence, CAST(l_orderkey AS BIGINT) AS seen, CAST(l_linenumber AS BIGINT) AS nth FROM lineitem) WHERE from_id <> to_id"""
 
 

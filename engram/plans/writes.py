@@ -82,15 +82,15 @@ def k07_entity_edges(t: Tables) -> DataFrame:
     return K.upsert_edges(t.mentions, relations=K.SYMMETRIC)
 
 
-@query("SELECT DISTINCT thought_id, entity_id FROM thought_entities UNION SELECT DISTINCT CAST(o_orderkey % 1500 AS BIGINT), CAST(o_custkey % 200 AS BIGINT) FROM orders")
+@query("SELECT DISTINCT thought_id, entity_id FROM thought_entities UNION SELECT DISTINCT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders")
 def k08_links_upsert(t: Tables) -> DataFrame:
-    new = t.orders.selectExpr("CAST(o_orderkey % 1500 AS bigint) AS thought_id", "CAST(o_custkey % 200 AS bigint) AS entity_id")
+    new = t.orders.selectExpr("CAST(o_orderkey AS bigint) AS thought_id", "CAST(o_custkey AS bigint) AS entity_id")
     return K.insert_ignore(t.thought_entities, new, ["thought_id", "entity_id"])
 
 
-@query("SELECT thought_id, entity_id FROM thought_entities WHERE thought_id NOT IN (SELECT CAST(o_orderkey AS BIGINT) FROM orders WHERE o_orderkey < 300) UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey % 200 AS BIGINT) FROM orders WHERE o_orderkey < 300")
+@query("SELECT thought_id, entity_id FROM thought_entities WHERE thought_id NOT IN (SELECT CAST(o_orderkey AS BIGINT) FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT CAST(o_orderkey AS BIGINT), CAST(o_custkey AS BIGINT) FROM orders WHERE o_orderstatus = 'F'")
 def k09_replace_links(t: Tables) -> DataFrame:
-    new = t.orders.where("o_orderkey < 300").selectExpr("CAST(o_orderkey AS bigint) AS thought_id", "CAST(o_custkey % 200 AS bigint) AS entity_id")
+    new = t.orders.where("o_orderstatus = 'F'").selectExpr("CAST(o_orderkey AS bigint) AS thought_id", "CAST(o_custkey AS bigint) AS entity_id")
     return K.replace_all(t.thought_entities, new, "thought_id")
 
 
@@ -265,12 +265,14 @@ def k34_content_sync(t: Tables) -> DataFrame:
     return K.sync_plan(stored, seen, "slug", "path", "digest")
 
 
-@query("""WITH p AS (SELECT contact_id AS id, name AS given, 'c' || contact_id || '@x.org' AS mail FROM contacts WHERE contact_id <= 90)
-SELECT id AS entity_id, CASE WHEN id % 3 = 0 AND NOT (id % 2 = 0 AND id >= 30) THEN mail ELSE given END AS name, CASE WHEN id % 2 = 0 THEN mail END AS email, CASE WHEN id % 6 = 0 AND id >= 30 THEN 'upgraded' ELSE 'kept' END AS how FROM p WHERE id < 60 AND NOT (id >= 30 AND id % 2 = 1 AND id % 3 <> 0)
-UNION ALL SELECT CASE WHEN id < 60 AND id % 3 <> 0 THEN id END, given, mail, CASE WHEN id < 60 AND id % 3 <> 0 THEN 'adopted' ELSE 'new' END FROM p WHERE id >= 30 AND (id % 2 = 1 OR id >= 60)""")
+@query("""WITH p AS (SELECT contact_id AS id, name AS given, 'c' || contact_id || '@x.org' AS mail FROM contacts)
+SELECT id AS entity_id, CASE WHEN id % 4 = 0 AND id % 3 <> 1 THEN mail ELSE given END AS name, CASE WHEN id % 2 = 0 THEN mail END AS email, CASE WHEN id % 12 = 4 THEN 'upgraded' ELSE 'kept' END AS how FROM p WHERE id % 3 = 0 OR (id % 3 = 1 AND id % 2 = 0)
+UNION ALL SELECT CASE WHEN id % 3 = 1 THEN id END, given, mail, CASE WHEN id % 3 = 1 THEN 'adopted' ELSE 'new' END FROM p WHERE id % 3 = 2 OR (id % 3 = 1 AND id % 2 = 1)""")
 def k35_correspondents(t: Tables) -> DataFrame:
-    people = t.contacts.where("contact_id < 60").select(F.col("contact_id").alias("entity_id"), F.when(F.col("contact_id") % 3 == 0, F.concat(F.lit("c"), "contact_id", F.lit("@x.org"))).otherwise(F.col("name")).alias("name"), F.when(F.col("contact_id") % 2 == 0, F.concat(F.lit("c"), "contact_id", F.lit("@x.org"))).alias("email"))
-    seen = t.contacts.where("contact_id BETWEEN 30 AND 90").select(F.col("name"), F.concat(F.lit("C"), "contact_id", F.lit("@x.org")).alias("email"))
+    """Of three contacts one is known, one is seen, and one is both."""
+    mail = F.concat(F.lit("c"), "contact_id", F.lit("@x.org"))
+    people = t.contacts.where("contact_id % 3 <> 2").select(F.col("contact_id").alias("entity_id"), F.when(F.col("contact_id") % 4 == 0, mail).otherwise(F.col("name")).alias("name"), F.when(F.col("contact_id") % 2 == 0, mail).alias("email"))
+    seen = t.contacts.where("contact_id % 3 <> 0").select(F.col("name"), F.upper(mail).alias("email"))
     return K.resolved_people(people, seen)
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions.values import extended_json_time
+from engram.operators.graph import above
 
 NODE = "struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>,create_time:double>>"
 CHATGPT = f"array<struct<id:string,title:string,create_time:double,update_time:double,current_node:string,mapping:map<string,{NODE}>>>"
@@ -57,18 +58,17 @@ def chatgpt_nodes(files: DataFrame) -> DataFrame:
 
 
 def canonical_branch(nodes: DataFrame) -> DataFrame:
-    """The nodes above and with each conversation's current node: adds place, 0 at the root. Without a current node the newest leaf counts."""
+    """The nodes above and with each conversation's current node: adds place, 0 at the root. Without a current node the newest leaf counts.
+
+    Branches of any length, in as many rounds of joins as the logarithm of the longest. A branch that runs into a cycle is left out.
+    """
     leaves = nodes.join(nodes.select("conv", F.col("parent").alias("node")).distinct(), ["conv", "node"], "left_anti")
     newest = leaves.groupBy("conv").agg(F.max_by("node", F.struct(F.coalesce("at", F.lit(0.0)), "node")).alias("leaf"))
     start = nodes.groupBy("conv").agg(F.max("current").alias("current")).join(newest, "conv").select("conv", F.coalesce("current", "leaf").alias("node"))
-    links = nodes.select("conv", "node", "parent")
-    chain = nodes.sparkSession.sql(
-        """WITH RECURSIVE up AS (SELECT conv, node, 0 AS depth FROM {start} UNION ALL SELECT u.conv, l.parent, u.depth + 1 FROM up u JOIN {links} l ON l.conv = u.conv AND l.node = u.node WHERE l.parent IS NOT NULL AND u.depth < 10000)
-        SELECT conv, node, depth FROM up""",
-        start=start, links=links,
-    )
-    top = chain.groupBy("conv").agg(F.max("depth").alias("top"))
-    return nodes.join(chain, ["conv", "node"]).join(top, "conv").withColumn("place", (F.col("top") - F.col("depth")).cast("bigint")).drop("depth", "top")
+    # a parent that the file doesn't have ends the chain
+    known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("_known")).distinct()
+    links = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("_known"), F.col("parent")).alias("parent"))
+    return nodes.join(above(links, start, ["conv"]), ["conv", "node"])
 
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -245,7 +245,7 @@ def highlights(pages: DataFrame) -> DataFrame:
 
 def table_profile(df: DataFrame) -> DataFrame:
     """(column, rows, filled, distinct): what a table read from CSV holds, in one pass."""
-    facts = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, f in (("f", lambda x: F.count(F.nullif(F.col(x).cast("string"), F.lit("")))), ("d", lambda x: F.approx_count_distinct(x, 0.01)))])
+    facts = df.agg(F.count("*").alias("rows"), *[f(c).alias(f"{k}_{i}") for i, c in enumerate(df.columns) for k, f in (("f", lambda x: F.count(F.nullif(F.col(x).cast("string"), F.lit("")))), ("d", lambda x: F.count_distinct(x)))])
     return facts.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), "rows", F.col(f"f_{i}").alias("filled"), F.col(f"d_{i}").alias("distinct")) for i, c in enumerate(df.columns)])).alias("r")).select("r.*")
 
 

@@ -51,3 +51,19 @@ def test_steps_are_composed_before_the_state(spark, tmp_path):
         got = {x.kind: (x.threshold, x.outcomes) for x in spark.table(f"composed{k}").collect()}
         assert got == {kind: (loop([ok for *_, which, ok in rows if which == kind]), 3000) for kind in "xy"}
     assert "MapInPandas" in jobs.thresholds(stream, "kind", "ok")._jdf.queryExecution().analyzed().toString()
+
+
+def test_chains_of_any_length(spark):
+    """A chain of 5,000, branches of three conversations at once, a cycle and a missing parent."""
+    from engram.operators.graph import above, parent_chain
+
+    n = 5000
+    chain = spark.createDataFrame([(k, k - 1) for k in range(1, n)], "node long, parent long")
+    got = {r.node: r.place for r in parent_chain(chain, n - 1).collect()}
+    assert got == {k: k for k in range(n)}
+    assert [(r.node, r.place) for r in parent_chain(chain, 0).collect()] == [(0, 0)]
+    rows = [(c, f"n{k}", f"n{k - 1}" if k else None) for c in "ab" for k in range(150)] + [("a", "x", "n149"), ("a", "y", "n3"), ("c", "p", "q"), ("c", "q", "p"), ("c", "r", "p"), ("d", "s", None)]
+    links = spark.createDataFrame(rows, "conv string, node string, parent string")
+    starts = spark.createDataFrame([("a", "x"), ("b", "n70"), ("c", "r"), ("d", "s")], "conv string, node string")
+    got = {(r.conv, r.node): r.place for r in above(links, starts, ["conv"]).collect()}
+    assert got == {("a", "x"): 150, ("d", "s"): 0} | {("a", f"n{k}"): k for k in range(150)} | {("b", f"n{k}"): k for k in range(71)}
