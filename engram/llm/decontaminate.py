@@ -17,9 +17,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from engram.llm.bytetext import U, prefix_hash, slices, window_hash
+from engram.llm.shared import discard, materialise
 
 Q = 10
 BITS = 22
+#: Shared q-grams and candidates that are looked at at once, and bytes of one text.
+ENTRIES, TRIES, PIECE = 1 << 20, 1 << 11, 1 << 22
 _KEEP = np.full(256, 0x20, dtype=np.uint8)
 _KEEP[0x80:] = np.arange(0x80, 0x100)
 for _a, _b in (("0", "9"), ("a", "z"), ("A", "Z")):
@@ -61,22 +64,23 @@ class Parts:
     grams: list[Grams]
 
 
+def parts_of(text: str | None, size: int, rate: float) -> list[bytes]:
+    """An item of up to 1.5 sizes is one part; a longer one is cut into parts of that size, half overlapping, to the end."""
+    raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
+    raw = plain(raw, np.array([0, len(raw)]))[0].tobytes().strip()
+    n = len(raw)
+    starts = [0] if n <= size * 3 // 2 else [*range(0, n - size, size // 2), n - size]
+    parts = [raw[s : s + (size if len(starts) > 1 else n)] for s in starts]
+    return [x for x in parts if len(x) > int(rate * len(x))]
+
+
 def index_items(items: list[tuple[int, str]], size: int, rate: float) -> Parts:
-    """Items of up to 1.5 sizes are one part; longer ones are cut into parts of that size, half overlapping, to the end.
+    return index_parts([(ident, x) for ident, text in items for x in parts_of(text, size, rate)], rate)
 
-    A part's q is Q, or the most with which the bound is 1 at least: a part under Q bytes is one q-gram, which is found as it is.
-    """
-    texts, owner = [], []
-    for ident, text in items:
-        raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
-        raw = plain(raw, np.array([0, len(raw)]))[0].tobytes().strip()
-        n = len(raw)
-        starts = [0] if n <= size * 3 // 2 else [*range(0, n - size, size // 2), n - size]
-        for s in starts:
-            part = raw[s : s + (size if len(starts) > 1 else n)]
-            if len(part) > int(rate * len(part)):
-                texts.append(part)
-                owner.append(ident)
+
+def index_parts(parts: list[tuple[int, bytes]], rate: float) -> Parts:
+    """A part's q is Q, or the most with which the bound is 1 at least: a part under Q bytes is one q-gram, which is found as it is."""
+    texts, owner = [x for _, x in parts], [ident for ident, _ in parts]
     length = np.array([len(t) for t in texts], dtype=np.int64)
     edits = (rate * length).astype(np.int64)
     width = int(length.max()) if len(texts) else 0
@@ -104,25 +108,40 @@ def _grams(table: np.ndarray, length: np.ndarray, parts: np.ndarray, q: int) ->
 
 
 def candidates(prefix: np.ndarray, parts: Parts, grams: Grams) -> tuple[np.ndarray, np.ndarray]:
-    """(part, lowest diagonal of a band) of the bands with enough shared q-grams."""
+    """(part, lowest diagonal of a band) of the bands with enough shared q-grams.
+
+    The places with shared q-grams are taken in stretches with some ENTRIES of them, each longer by what the q-grams of one
+    region span at most: every region is whole in one stretch, and a q-gram that many parts have fills no table.
+    """
     h = window_hash(prefix, grams.q)
     where = np.flatnonzero(grams.bitmap[(h >> U(64 - BITS)).astype(np.int64)])
     at = np.minimum(np.searchsorted(grams.hashes, h[where]), len(grams.hashes) - 1)
     hit = grams.hashes[at] == h[where]
     where, at = where[hit], at[hit]
+    total = np.cumsum(grams.at[at + 1] - grams.at[at])
+    reach = parts.text.shape[1] + 2 * int(parts.edits.max(initial=0))
+    keys, i = [np.zeros(0, dtype=np.int64)], 0
+    while i < len(where):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + ENTRIES, "right")))
+        end = int(np.searchsorted(where, where[j - 1] + reach, "right"))
+        keys.append(_bands(where[i:end], at[i:end], parts, grams))
+        i = j if end < len(where) else end
+    key = np.unique(np.concatenate(keys))
+    part = key >> 40
+    return part, (key & ((1 << 40) - 1)) * (parts.edits[part] + 1) - parts.text.shape[1]
+
+
+def _bands(where: np.ndarray, at: np.ndarray, parts: Parts, grams: Grams) -> np.ndarray:
+    """Part and band, as one number, of the bands with enough of these q-grams."""
     count = grams.at[at + 1] - grams.at[at]
-    total = int(count.sum())
-    entry = np.repeat(grams.at[at] - (np.cumsum(count) - count), count) + np.arange(total)
+    entry = np.repeat(grams.at[at] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
     part = grams.part[entry]
-    width = parts.edits[part] + 1
     # Each diagonal is in two bands of twice the width; any two diagonals that differ by less than the width share one.
-    band = (np.repeat(where, count) - grams.place[entry] + parts.text.shape[1]) // width
+    band = (np.repeat(where, count) - grams.place[entry] + parts.text.shape[1]) // (parts.edits[part] + 1)
     key = np.concatenate([part << 40 | band, part << 40 | (band - 1) & ((1 << 40) - 1)])
     key = key[(key & ((1 << 40) - 1)) != (1 << 40) - 1]
     key, n = np.unique(key, return_counts=True)
-    key = key[n >= parts.least[key >> 40]]
-    part = key >> 40
-    return part, (key & ((1 << 40) - 1)) * (parts.edits[part] + 1) - parts.text.shape[1]
+    return key[n >= parts.least[key >> 40]]
 
 
 def align(data: np.ndarray, low: np.ndarray, high: np.ndarray, part: np.ndarray, diagonal: np.ndarray, parts: Parts) -> tuple[np.ndarray, np.ndarray]:
@@ -163,20 +182,47 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     within rate times its length edits of it. Case, blanks and punctuation don't count. A short item allows no edits (under
     13 bytes at 8 %) and is in a text wherever its bytes are, within words too; one of no letters or digits matches nothing. end: where the stretch ends, in bytes of the text.
 
-    The items are sorted and broadcast block rows at a time: a benchmark of any size takes so many passes, each with a
-    bounded table. Null texts, null items and null ids match nothing. Empty tables: no leaks. Columns named leak* are replaced.
+    Items are cut into parts by Spark; the parts are sorted and broadcast block at a time, each a table of bounded size. After
+    each block but the last the texts with what was found are written, so a benchmark of any size takes so many passes, one
+    after the other. Null texts, null items and null ids match nothing. Empty tables: no leaks. Columns named leak* are replaced.
     """
     out = docs.drop("leaks", "leak_items")
     out = out.withColumn("leaks", F.array().cast("array<struct<item:bigint,end:bigint,edits:bigint>>"))
     items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("text"))
-    after = None
+
+    def cut(batches):
+        for batch in batches:
+            rows = [(i, x) for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for x in parts_of(text, size, rate)]
+            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], pa.int64()), pa.array([x for _, x in rows], pa.binary())], ["item", "part"])
+
+    parts = materialise(items.mapInArrow(cut, "item long, part binary").distinct(), "leak-parts")
+    after, written = None, None
     while True:
-        rows = (items if after is None else items.where((F.col("item") > after[0]) | (F.col("item") == after[0]) & (F.col("text") > after[1]))).distinct().orderBy("item", "text").limit(block).collect()
+        rows = (parts if after is None else parts.where((F.col("item") > after[0]) | (F.col("item") == after[0]) & (F.col("part") > F.lit(bytes(after[1]))))).orderBy("item", "part").limit(block).collect()
         if rows:
-            out = _scan(out, index_items([(r.item, r.text) for r in rows], size, rate), text_col)
+            out = _scan(out, index_parts([(r.item, bytes(r.part)) for r in rows], rate), text_col)
             after = tuple(rows[-1])
         if len(rows) < block:
             return out.withColumn("leak_items", F.array_sort(F.array_distinct(F.col("leaks.item"))))
+        before, written = written, materialise(out, "leak-texts")
+        out = written
+        if before is not None:
+            discard(before)
+
+
+def _pieces(data: np.ndarray, at: np.ndarray, reach: int):
+    """(start in the slice's bytes, plain bytes, the texts' offsets in them, where each was): a long text comes in pieces that overlap by reach plain bytes."""
+    if len(at) > 2 or len(data) <= PIECE:
+        yield (0, *plain(data, at))
+        return
+    start = 0
+    while True:
+        end = min(start + PIECE, len(data))
+        text, offsets, was = plain(data[start:end], np.array([0, end - start]))
+        yield start, text, offsets, was
+        if end == len(data):
+            return
+        start = start + int(was[-reach]) if len(was) > reach and was[-reach] > 0 else end
 
 
 def _scan(docs: DataFrame, parts: Parts, text_col: str) -> DataFrame:
@@ -186,29 +232,36 @@ def _scan(docs: DataFrame, parts: Parts, text_col: str) -> DataFrame:
 
     def scan(batches):
         parts = shared.value
+        reach = parts.text.shape[1] + 2 * int(parts.edits.max(initial=0))
         for batch in batches:
             found = batch.column(given).to_pylist()
-            for row, _, data, at in slices(batch.column(place)):
-                text_at = at
-                text, at, was = plain(data, at)
-                prefix = prefix_hash(text)
-                for grams in parts.grams:
-                    part, diagonal = candidates(prefix, parts, grams)
-                    # a band may touch several texts: the one where the part's middle would be, and the ones at its ends
-                    middle = np.clip(diagonal + parts.edits[part] + parts.length[part] // 2, 0, max(len(text) - 1, 0))
-                    own = np.searchsorted(at, middle, "right") - 1
-                    edge = lambda x: np.searchsorted(at, np.clip(x, 0, max(len(text) - 1, 0)), "right") - 1
-                    ends = [own, edge(diagonal - parts.edits[part]), edge(diagonal + 3 * parts.edits[part] + 2 + parts.length[part])]
-                    tries = np.unique(np.concatenate([np.stack([np.arange(len(part)), e], axis=1) for e in ends]), axis=0)
-                    which, own = tries[:, 0], tries[:, 1]
-                    part, diagonal = part[which], diagonal[which]
-                    edits, end = align(text, at[own], at[own + 1], part, diagonal, parts)
-                    for k in np.flatnonzero(edits <= parts.edits[part]):
-                        where = int(was[end[k] - 1]) + 1 - int(text_at[own[k]]) if end[k] > at[own[k]] else 0
-                        found[row + int(own[k])].append({"item": int(parts.item[part[k]]), "end": where, "edits": int(edits[k])})
+            for row, _, data, text_at in slices(batch.column(place)):
+                for start, text, at, was in _pieces(data, text_at, reach):
+                    prefix = prefix_hash(text)
+                    for grams in parts.grams:
+                        for own, end, item, edits in _leaks(text, at, prefix, parts, grams):
+                            where = start + int(was[end - 1]) + 1 - int(text_at[own]) if end > at[own] else 0
+                            found[row + own].append({"item": item, "end": where, "edits": edits})
             columns = list(batch.columns)
             unique = [sorted({(x["item"], x["end"], x["edits"]) for x in f}) for f in found]
             columns[given] = pa.array([[dict(zip(("item", "end", "edits"), x, strict=True)) for x in f] for f in unique], kind)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names)
 
     return docs.mapInArrow(scan, StructType(list(docs.schema)))
+
+
+def _leaks(text: np.ndarray, at: np.ndarray, prefix: np.ndarray, parts: Parts, grams: Grams):
+    """(text, end, item, edits) of the candidates that alignment confirms."""
+    parts_of_band, diagonals = candidates(prefix, parts, grams)
+    last = max(len(text) - 1, 0)
+    for k in range(0, len(parts_of_band), TRIES):
+        part, diagonal = parts_of_band[k : k + TRIES], diagonals[k : k + TRIES]
+        # a band may touch several texts: the one where the part's middle would be, and the ones at its ends
+        edge = lambda x: np.searchsorted(at, np.clip(x, 0, last), "right") - 1
+        ends = [edge(diagonal + parts.edits[part] + parts.length[part] // 2), edge(diagonal - parts.edits[part]), edge(diagonal + 3 * parts.edits[part] + 2 + parts.length[part])]
+        tries = np.unique(np.concatenate([np.stack([np.arange(len(part)), e], axis=1) for e in ends]), axis=0)
+        which, own = tries[:, 0], tries[:, 1]
+        part, diagonal = part[which], diagonal[which]
+        edits, end = align(text, at[own], at[own + 1], part, diagonal, parts)
+        for n in np.flatnonzero(edits <= parts.edits[part]):
+            yield int(own[n]), int(end[n]), int(parts.item[part[n]]), int(edits[n])

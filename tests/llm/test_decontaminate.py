@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from engram.llm.decontaminate import find_leaks, index_items, plain
+from engram.llm.bytetext import prefix_hash
+from engram.llm.decontaminate import _leaks, _pieces, find_leaks, index_items, plain
 
 
 def distance(part, text):
@@ -75,3 +76,26 @@ def test_items_of_all_lengths(spark):
     got = {x.doc_id: x.leak_items for x in got.collect()}
     want = {i: [n for n, text in items if distance(text, (t or "").lower()) <= int(0.08 * n)] for i, t in enumerate(docs)}
     assert got == want and all(n in want[4 * (n - 1) + j] for n, _ in items for j in range(4))
+
+
+def test_small_tables_and_pieces_find_the_same(spark, monkeypatch):
+    """Long texts in pieces, q-grams that all items share, and blocks of parts: the same items as in one go."""
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    stock = " ".join(word() for _ in range(12))
+    items = [(k, " ".join([stock, *(word() for _ in range(20))])) for k in range(30)]
+    texts = [(1, " ".join(x for k in range(30) for x in (items[k][1], *(word() for _ in range(40))))), (2, (stock + " ") * 200 + items[3][1] + " end"), (3, " - ".join(word() for _ in range(300))), (4, None)]
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    want = {r.doc_id: (r.leak_items, min((x.edits for x in r.leaks), default=None)) for r in find_leaks(docs, bench).collect()}
+    assert want[1] == (list(range(30)), 0) and 3 in want[2][0] and want[3][0] == want[4][0] == []
+    got = {r.doc_id: (r.leak_items, min((x.edits for x in r.leaks), default=None)) for r in find_leaks(docs, bench, block=25).collect()}
+    assert got == want
+    # in this process, where the bounds can be made small
+    parts = index_items(items, 120, 0.08)
+    for name, value in (("PIECE", 700), ("ENTRIES", 50), ("TRIES", 7)):
+        monkeypatch.setattr(f"engram.llm.decontaminate.{name}", value)
+    for ident, text in texts[:3]:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        pieces = list(_pieces(data, np.array([0, len(data)]), parts.text.shape[1] + 2 * int(parts.edits.max())))
+        found = [x for _, plain_text, at, _ in pieces for g in parts.grams for x in _leaks(plain_text, at, prefix_hash(plain_text), parts, g)]
+        assert len(pieces) > 1 and (sorted({i for _, _, i, _ in found}), min((e for *_, e in found), default=None)) == want[ident]
