@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from engram.llm.bytetext import U, mixed, slices
+from engram.llm.bytetext import IN_WORD, SLICE, U, mixed, slices
 
 #: First and last code points of scripts' blocks. Other letters are of script 0.
 SCRIPTS = {
@@ -71,6 +71,23 @@ def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.minimum(chars, sys.maxunicode), np.concatenate([[0], np.cumsum(lead)])[at]
 
 
+def pieces(data: np.ndarray, limit: int):
+    """(start, end) of stretches of about limit bytes of a text, cut after a blank: no word is in two. One without blanks is longer."""
+    start = 0
+    while start < len(data):
+        end = start + limit
+        if end < len(data):
+            blank = np.flatnonzero(~IN_WORD[data[start:end]])
+            if len(blank):
+                end = start + int(blank[-1]) + 1
+            else:
+                while end < len(data) and not len(blank := np.flatnonzero(~IN_WORD[data[end : end + limit]])):
+                    end += limit
+                end = end + int(blank[0]) + 1 if end < len(data) else end
+        yield start, min(end, len(data))
+        start = end
+
+
 @dataclass
 class Words:
     """Runs of letters and marks with a letter in them: start, end, text, letters and script of each; cells of the trigrams around each character."""
@@ -128,13 +145,14 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_s
             langs = batch.column(1).dictionary_encode()
             code, names = langs.indices.to_numpy(zero_copy_only=False), langs.dictionary.to_pylist()
             for row, end, data, at in slices(batch.column(0)):
-                w = find_words(data, at)
-                lang = code[row:end][w.text]
-                for k in np.unique(lang):
-                    cells, scripts = sums.setdefault(names[k], (np.zeros(CELLS), np.zeros(len(SCRIPTS) + 1)))
-                    own = np.repeat(lang == k, np.diff(w.cell_at))
-                    cells += np.bincount(w.cells[own], minlength=CELLS)
-                    scripts += np.bincount(w.script[lang == k], minlength=len(scripts))
+                for a, b in [(0, len(data))] if end - row > 1 else pieces(data, SLICE):
+                    w = find_words(data[a:b], at if end - row > 1 else np.array([0, b - a]))
+                    lang = code[row:end][w.text]
+                    for k in np.unique(lang):
+                        cells, scripts = sums.setdefault(names[k], (np.zeros(CELLS), np.zeros(len(SCRIPTS) + 1)))
+                        own = np.repeat(lang == k, np.diff(w.cell_at))
+                        cells += np.bincount(w.cells[own], minlength=CELLS)
+                        scripts += np.bincount(w.script[lang == k], minlength=len(scripts))
         rows = []
         for name, (cells, scripts) in sums.items():
             rows += [(name, k, part.tobytes()) for k, part in enumerate(np.split(cells, PARTS))] + [(name, PARTS, scripts.tobytes())]
@@ -212,43 +230,114 @@ def viterbi(scores: np.ndarray, of: np.ndarray, penalty: float) -> np.ndarray:
     return path
 
 
+def _steps(scores: np.ndarray, value: np.ndarray | None, penalty: float, back: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Values of the best paths after these words, from those before them (None at the start of a text); with back, where each came from."""
+    came = np.empty(scores.shape, dtype=np.int16) if back else None
+    stay = np.arange(scores.shape[1])
+    for t, row in enumerate(scores):
+        if value is None:
+            value, origin = row.copy(), stay
+        else:
+            top = int(np.argmax(value))
+            keep = value >= value[top] - penalty
+            origin = np.where(keep, stay, top)
+            value = np.where(keep, value, value[top] - penalty) + row
+        if back:
+            came[t] = origin
+    return value, came
+
+
+def long_text(data: np.ndarray, model: Model, penalty: float, limit: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """Letters by language, and spans (start, end, language), of one text, piece by piece: the same path as viterbi's.
+
+    A first pass sums scores; a second sees whether the best language stays best. If not, a third keeps the values before
+    each piece and a last one goes back over the pieces, whose steps it repeats from those values. No table is longer than a piece.
+    """
+    cuts = list(pieces(data, limit))
+    lead = np.cumsum([0] + [int(np.count_nonzero((data[a:b] & 0xC0) != 0x80)) for a, b in cuts])
+
+    def scored(k: int) -> tuple[Words, np.ndarray]:
+        a, b = cuts[k]
+        w = find_words(data[a:b], np.array([0, b - a]))
+        return w, word_scores(w, model)
+
+    total = np.zeros(len(model.langs))
+    for k in range(len(cuts)):
+        total += scored(k)[1].sum(axis=0)
+    best = int(np.argmax(total))
+    gain, low, plain = np.zeros(len(total)), np.full(len(total), np.inf), True
+    for k in range(len(cuts)):
+        scores = scored(k)[1]
+        rise = gain + np.cumsum(scores - scores[:, best : best + 1], axis=0)
+        before = np.minimum.accumulate(np.concatenate([np.minimum(low, gain)[None], rise[:-1]])) if len(rise) else rise
+        if len(rise):
+            plain &= not ((rise - before) > penalty).any()
+            gain, low = rise[-1], before[-1]
+    starts, value = [], None
+    for k in range(len(cuts) if not plain else 0):
+        starts.append(value)
+        value, _ = _steps(scored(k)[1], value, penalty, back=False)
+    weight, spans, state = np.zeros(len(total)), [], None if value is None else int(np.argmax(value))
+    for k in reversed(range(len(cuts))):
+        w, scores = scored(k)
+        path = np.full(len(scores), best)
+        if not plain:
+            _, came = _steps(scores, starts[k], penalty, back=True)
+            for t in range(len(scores) - 1, -1, -1):
+                path[t] = state
+                state = int(came[t, state])
+        np.add.at(weight, path, w.letters)
+        new = np.flatnonzero(np.concatenate([[True], path[1:] != path[:-1]])) if len(path) else np.zeros(0, dtype=np.int64)
+        last = np.append(new[1:], len(path)) - 1 if len(path) else new
+        mine = [(int(w.start[a] + lead[k]), int(w.end[b] + lead[k]), int(path[a])) for a, b in zip(new, last, strict=True)]
+        if mine and spans and mine[-1][2] == spans[-1][2]:
+            mine[-1] = (mine[-1][0], spans.pop()[1], mine[-1][2])
+        spans += reversed(mine)
+    return weight, spans[::-1]
+
+
 def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: float = 12.0) -> DataFrame:
     """All rows and columns of docs with lid_lang, lid_score and lid_spans.
 
     lid_spans: (start, end, lang) in characters, the stretches of words of one language. lid_lang: the language with the
     most letters in them (of equal ones the first by name), und for a null text or one without letters. lid_score: its
-    share of the letters, 0 for und. Nothing but the text is looked at. Long texts go whole. Columns named lid_* are replaced.
+    share of the letters, 0 for und. Nothing but the text is looked at. Texts go whole: those over the slice a piece at a
+    time, with the same result. Slices are the smaller the more languages there are. Columns named lid_* are replaced.
     """
     docs = docs.drop("lid_lang", "lid_score", "lid_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
+    limit = max(1 << 15, min(SLICE, (1 << 22) // max(len(model.langs), 1)))
 
     def label(batches):
         model = shared.value
         names = pa.array([*model.langs, "und"], pa.string())
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
         for batch in batches:
             langs, shares, spans = [], [], []
-            for row, end, data, at in slices(batch.column(place)):
+            for row, end, data, at in slices(batch.column(place), limit):
                 n = end - row
-                w = find_words(data, at)
-                of = np.searchsorted(w.text, np.arange(n + 1))
-                if model.langs:
-                    path = viterbi(word_scores(w, model), of, penalty)
-                    weight = np.zeros((n, len(model.langs)))
-                    np.add.at(weight, (w.text, path), w.letters)
+                if n == 1 and len(data) > limit and model.langs:
+                    one, found = long_text(data, model, penalty, limit)
+                    weight = one[None]
+                    spans.append(pa.array([[{"start": a, "end": b, "lang": model.langs[k]} for a, b, k in found]], kind))
                 else:
-                    path, weight = np.zeros(0, dtype=np.int64), np.zeros((n, 1))
+                    w = find_words(data, at)
+                    of = np.searchsorted(w.text, np.arange(n + 1))
+                    path = viterbi(word_scores(w, model), of, penalty) if model.langs else np.zeros(0, dtype=np.int64)
+                    weight = np.zeros((n, max(len(model.langs), 1)))
+                    if len(path):
+                        np.add.at(weight, (w.text, path), w.letters)
+                    text = w.text[: len(path)]
+                    new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (path[1:] != path[:-1])])) if len(path) else np.zeros(0, dtype=np.int64)
+                    last = np.append(new[1:], len(path)) - 1 if len(path) else new
+                    parts = pa.StructArray.from_arrays([pa.array(w.start[new], pa.int64()), pa.array(w.end[last], pa.int64()), names.take(pa.array(path[new]))], ["start", "end", "lang"])
+                    spans.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[new], np.arange(n + 1)), pa.int32()), parts).cast(kind))
                 total = weight.sum(axis=1)
                 langs.append(np.where(total > 0, np.argmax(weight, axis=1), len(model.langs)))
                 shares.append(weight.max(axis=1) / np.maximum(total, 1))
-                text = w.text[: len(path)]
-                new = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (path[1:] != path[:-1])])) if len(path) else np.zeros(0, dtype=np.int64)
-                last = np.append(new[1:], len(path)) - 1 if len(path) else new
-                parts = pa.StructArray.from_arrays([pa.array(w.start[new], pa.int64()), pa.array(w.end[last], pa.int64()), names.take(pa.array(path[new]))], ["start", "end", "lang"])
-                spans.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(text[new], np.arange(n + 1)), pa.int32()), parts))
-            kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
             whole = lambda x: np.concatenate(x) if x else np.zeros(0)
-            found = [names.take(pa.array(whole(langs).astype(np.int64))), pa.array(whole(shares), pa.float64()), pa.concat_arrays([s.cast(kind) for s in spans]) if spans else pa.array([], kind)]
+            found = [names.take(pa.array(whole(langs).astype(np.int64))), pa.array(whole(shares), pa.float64()), pa.concat_arrays(spans) if spans else pa.array([], kind)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *found], [*batch.schema.names, "lid_lang", "lid_score", "lid_spans"])
 
     schema = StructType(list(docs.schema))
