@@ -240,12 +240,10 @@ def _whole_sets(texts: DataFrame, keyed: DataFrame, live: DataFrame, sketch, lim
 
     def sets_of(batches):
         for batch in batches:
-            out = [[np.zeros(0, dtype=np.int64)] for _ in range(4)]
             for own, h, of in _sets(batch, size):
                 n, texts = np.diff(of), 2.0 ** (_levels(sketch.value, h) / 4)
-                for c, x in zip(out, (np.repeat(own, n), np.repeat(n, n), h.view(np.int64), np.where(texts < limit, 1, np.ceil(4 * texts / limit)).astype(np.int64)), strict=True):
-                    c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in out], ["doc", "n", "shingle", "parts"])
+                columns = (np.repeat(own, n), np.repeat(n, n), h.view(np.int64), np.where(texts < limit, 1, np.ceil(4 * texts / limit)).astype(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc", "n", "shingle", "parts"])
 
     sets = materialise(texts.join(live, "doc").mapInArrow(sets_of, "doc long, n long, shingle long, parts long"), "shingle-sets")
     several = materialise(keyed.where("n > 0").groupBy("doc").agg(F.count("*").alias("rows")).where("rows > 1").select("doc").join(live, "doc"), "shingle-several")

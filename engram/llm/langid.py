@@ -307,7 +307,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
     docs = docs.drop("lid_lang", "lid_score", "lid_spans")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     place = docs.columns.index(text_col)
-    limit = max(1 << 15, min(SLICE, (1 << 22) // max(len(model.langs), 1)))
+    limit = max(1 << 15, min(SLICE // 4, (1 << 22) // max(len(model.langs), 1)))
 
     def label(batches):
         model = shared.value
