@@ -21,7 +21,7 @@ PARTS = 32
 #: Rounds that look for classes with too few shared shingles. More would only leave out some more work.
 ROUNDS = 1
 #: Shingles of prefixes that a task holds before it settles and sends them.
-HELD = 1 << 20
+HELD = 1 << 18
 #: From so many open documents on a shingle is crowded, and its documents are compared block by block.
 CROWD = 48
 BLOCK = 512
