@@ -27,11 +27,13 @@ class ShardStore:
     vacuum() deletes runs that neither a kept version nor an intent younger than grace_seconds names.
 
     Nulls, repeated rows and extra columns are stored as they are. Appending an empty table makes a version with the
-    same runs and an empty one. Reading a store without versions raises ValueError.
+    same runs and an empty one. Reading a store without versions raises ValueError. A writing task holds a row group
+    of group_bytes, which is looked at every ten rows, so texts of megabytes don't add up to much more.
     """
 
-    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, grace_seconds: int = 24 * 3600):
+    def __init__(self, spark: SparkSession, path: str, target_bytes: int = 64 << 20, fan_in: int = 4, base_bytes: int = 1 << 20, grace_seconds: int = 24 * 3600, group_bytes: int = 16 << 20):
         self.spark, self.path, self.target_bytes, self.fan_in, self.base_bytes, self.grace_seconds = spark, path.rstrip("/"), target_bytes, fan_in, base_bytes, grace_seconds
+        self.group = {"parquet.block.size": group_bytes, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10}
         self._jvm, self._conf = spark._jvm, spark._jsc.hadoopConfiguration()
         self._fs = self._at("").getFileSystem(self._conf)
 
@@ -76,7 +78,7 @@ class ShardStore:
     def _write(self, df: DataFrame) -> dict:
         ident = uuid.uuid4().hex
         self._fs.create(self._at(f"intents/{ident}"), False).close()
-        df.write.parquet(f"{self.path}/runs/{ident}")
+        df.write.options(**self.group).parquet(f"{self.path}/runs/{ident}")
         rows = self.spark.read.schema(df.schema).parquet(f"{self.path}/runs/{ident}").count()  # of the files' footers
         files = [x for x in self._names(f"runs/{ident}") if x.getPath().getName().endswith(".parquet")]
         size = sum(x.getLen() for x in files)
