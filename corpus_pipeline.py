@@ -15,16 +15,24 @@ from engram.llm.sharding import ShardStore
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Share of a text's letters that its main language has at least.
 LEAST_SHARE = 0.5
+#: Bytes of the batches that go to Python workers, a few of which are held on both sides.
+BATCH_BYTES = 4 << 20
+
+
+def _small_batches(spark: SparkSession) -> None:
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a main language. Those without letters, or with no language for half of the letters, go."""
+    _small_batches(spark)
     model = train(docs.where(~held_out()).select("text", "lang"))
     return identify(docs.select(*COLUMNS), model).where((F.col("lid_lang") != "und") & (F.col("lid_score") >= LEAST_SHARE)).select(*COLUMNS)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the document with the smallest id; documents without an id or words stay."""
+    _small_batches(spark)
     found = similar_documents(docs.select("doc_id", "text"))
     copies = found.where("component_id <> doc_id").select("doc_id").distinct()
     return docs.join(copies, "doc_id", "left_anti").select(*COLUMNS)
@@ -32,6 +40,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a part of a benchmark item."""
+    _small_batches(spark)
     found = find_leaks(docs.select(*COLUMNS), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return found.where(F.size("leak_items") == 0).select(*COLUMNS)
 
