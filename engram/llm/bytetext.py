@@ -1,4 +1,4 @@
-"""Texts of an Arrow column as bytes in numpy: prefix hashes, words and shingles, a slice of about a megabyte at a time.
+"""Texts of an Arrow column as bytes in numpy: prefix hashes, words and shingles, a slice of a quarter of a megabyte at a time.
 
 Hashes are polynomial modulo 2^64 with a fixed odd base, finished by a mixer: equal strings have equal hashes in every
 task and run.
@@ -15,7 +15,8 @@ import pyarrow.compute as pc
 
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15
-SLICE = 1 << 20
+#: Bytes of a slice: a task holds some twenty arrays of eight times that.
+SLICE = 1 << 18
 #: Bytes of a word: all but blank, tab, line feed, vertical tab, form feed and carriage return.
 IN_WORD = np.ones(256, dtype=bool)
 IN_WORD[[0x20, *range(0x09, 0x0E)]] = False
@@ -51,7 +52,7 @@ def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, n or more."""
-    return _powers(max(21, int(n).bit_length()))
+    return _powers(max(19, int(n).bit_length()))
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
