@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from engram.functions.text import token_set
-
 
 def with_names(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with the names of both ends."""
@@ -20,31 +18,6 @@ def neighbours(edges: DataFrame, source: str, target: str, relation: str = "rela
     return row(source, target, "outgoing").unionByName(row(target, source, "incoming"))
 
 
-def near_duplicates(texts: DataFrame, threshold: float = 0.85, id_col: str = "id", text_col: str = "content") -> DataFrame:
-    """Pairs (id_a, id_b, similarity) of texts with equal compact form (1.0) or token sets of Jaccard threshold or more.
-
-    A pair is met only by a token of both prefixes: the rarest n - ceil(threshold n) + 1 tokens of each text, which two
-    similar sets must share; its size must fit and the sets are compared then. Equal token sets are one class until the end, and pairs are
-    made of the classes' members, which is what is asked for. Texts without tokens have no pairs.
-    """
-    sets = texts.select(F.col(id_col).alias("id"), F.array_sort(token_set(F.col(text_col))).alias("tokens")).where(F.size("tokens") > 0)
-    classes = sets.groupBy("tokens").agg(F.min("id").alias("first"))
-    counts = classes.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
-    ranked = classes.select("first", F.explode("tokens").alias("token")).join(counts, "token").groupBy("first").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("ranked"))
-    size = F.size("ranked")
-    prefix = ranked.select("first", size.alias("n"), F.explode(F.slice("ranked", F.lit(1), size - F.ceil(size * threshold - 1e-9).cast("int") + 1)).alias("r")).where("r.df > 1").select("first", "n", F.col("r.token").alias("token"))
-    a, b = prefix.toDF("a", "na", "token"), prefix.toDF("b", "nb", "token")
-    met = a.join(b, "token").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * threshold - 1e-9)).select("a", "b").distinct()
-    known = classes.select("first", "tokens")
-    both = met.join(known.toDF("a", "ta"), "a").join(known.toDF("b", "tb"), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    links = both.select("a", "b", (shared / (F.size("ta") + F.size("tb") - shared)).alias("similarity")).where(F.col("similarity") >= threshold)
-    members = sets.join(classes, "tokens").select("id", "first")
-    same = members.toDF("id_a", "first").join(members.toDF("id_b", "first"), "first").where("id_a < id_b").select("id_a", "id_b", F.lit(1.0).alias("similarity"))
-    other = links.join(members.toDF("ma", "a"), "a").join(members.toDF("mb", "b"), "b").select(F.least("ma", "mb").alias("id_a"), F.greatest("ma", "mb").alias("id_b"), "similarity")
-    return same.unionByName(other)
-
-
 def shared_pairs(links: DataFrame, least: int, item: str, group: str) -> DataFrame:
     """Pairs (a, b, shared) of items that share so many groups or more."""
     x, y = links.select(F.col(item).alias("a"), group), links.select(F.col(item).alias("b"), group)

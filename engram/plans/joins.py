@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.operators import joins as N
+from engram.operators.similar import near_duplicates
 from engram.operators.upsert import latest
 from engram.plans.views import Tables, query
 
@@ -81,11 +82,14 @@ def n11_with_total(t: Tables) -> DataFrame:
 _TOKENS = "list_distinct(regexp_extract_all(lower(content), '[a-z0-9]{3,}'))"
 
 
-@query(f"""WITH sets AS (SELECT id, {_TOKENS} AS s FROM thoughts), filled AS (SELECT * FROM sets WHERE len(s) > 0)
-SELECT a.id AS id_a, b.id AS id_b, ROUND(len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))), 6) AS similarity FROM filled a JOIN filled b ON a.id < b.id
-WHERE least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s)) AND len(list_intersect(a.s, b.s)) >= 0.85 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))""")
+@query(f"""WITH sets AS (SELECT id, {_TOKENS} AS s FROM thoughts), filled AS (SELECT * FROM sets WHERE len(s) > 0),
+pairs AS (SELECT a.id AS id_a, b.id AS id_b, len(list_intersect(a.s, b.s)) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))) AS similarity FROM filled a JOIN filled b ON a.id < b.id
+WHERE least(len(a.s), len(b.s)) >= 0.85 * greatest(len(a.s), len(b.s)) AND len(list_intersect(a.s, b.s)) >= 0.85 * (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s)))),
+ends AS (SELECT id_a AS id, id_b AS other, similarity FROM pairs UNION ALL SELECT id_b, id_a, similarity FROM pairs),
+counted AS (SELECT id, COUNT(*) AS n, MAX(similarity) AS best, MIN(CASE WHEN similarity = 1 THEN other END) AS same, COUNT(CASE WHEN similarity = 1 THEN 1 END) AS copies FROM ends GROUP BY 1)
+SELECT sets.id, coalesce(least(sets.id, same), sets.id) AS class_id, 1 + coalesce(copies, 0) AS copies, coalesce(n, 0) AS n_links, ROUND(best, 6) AS best FROM sets LEFT JOIN counted ON counted.id = sets.id""")
 def n12_near_duplicates(t: Tables) -> DataFrame:
-    return N.near_duplicates(t.thoughts).select("id_a", "id_b", F.round("similarity", 6).alias("similarity"))
+    return near_duplicates(t.thoughts).withColumn("best", F.round("best", 6))
 
 
 @query("SELECT x.thought_id AS a, y.thought_id AS b, COUNT(*) AS shared FROM thought_entities x JOIN thought_entities y ON x.entity_id = y.entity_id AND x.thought_id < y.thought_id GROUP BY 1, 2 HAVING COUNT(*) >= 2")

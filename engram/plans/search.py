@@ -177,9 +177,23 @@ def g07_derivatives(t: Tables) -> DataFrame:
     return G.derivatives(t.thoughts, 10).select("id")
 
 
-@query("SELECT id, CASE WHEN regexp_matches(source_type, '^src[0-4]$') THEN 'derived' ELSE 'primary' END AS layer, CAST(len(derived_from) AS BIGINT) AS parents FROM thoughts")
+_PARENTS = f"list_sort(list_distinct(list_transform(regexp_extract_all(coalesce(body, ''), '{X.UUID}'), lambda x: lower(x))))"
+
+
+@query(f"""WITH f AS (SELECT 'a' || doc_id AS path, CASE doc_id % 4 WHEN 0 THEN coalesce(text, '') || ' from 123E4567-e89b-12d3-a456-' || lpad(CAST(doc_id AS VARCHAR), 12, '0') WHEN 1 THEN coalesce(text, '') || ' see #12' ELSE text END AS body FROM documents WHERE doc_id % 5 <> 1),
+r AS (SELECT id, id % 7 = 0 AS bare, id % 6 = 0 AS known, body, path IS NULL AS missing, NOT (id % 6 = 0) AND regexp_matches(source_type, '[0-4]$') AS chosen FROM thoughts LEFT JOIN f ON id % 7 <> 0 AND path = 'a' || id),
+p AS (SELECT *, regexp_matches(coalesce(body, ''), '#[0-9]{{1,18}}\\b') AS bad, {_PARENTS} AS found FROM r)
+SELECT id, CASE WHEN known OR chosen THEN 'derived' ELSE 'primary' END AS layer, CASE WHEN chosen THEN 'synthesis' END AS method, CASE WHEN chosen AND NOT bad AND len(found) > 0 THEN array_to_string(found, ',') ELSE 'old' END AS parents,
+CASE WHEN NOT chosen THEN NULL WHEN bare THEN 'no artifact path' WHEN missing THEN 'artifact not found' WHEN bad THEN 'parse error: references by number' WHEN len(found) > 0 THEN 'parsed ' || len(found) || ' parent ids' ELSE 'artifact has no parent ids' END AS reason FROM p""")
 def g08_provenance_backfill(t: Tables) -> DataFrame:
-    return t.thoughts.select("id", F.when(F.col("source_type").rlike("^src[0-4]$"), "derived").otherwise("primary").alias("layer"), F.size("derived_from").cast("bigint").alias("parents"))
+    from engram.operators.provenance import provenance_backfill
+
+    thoughts = t.thoughts.select("id", "source_type", F.when(F.col("id") % 6 == 0, "derived").otherwise("primary").alias("derivation_layer"), F.array(F.lit("old")).alias("derived_from"), F.when(F.col("id") % 7 != 0, F.concat(F.lit("a"), "id")).alias("artifact_path"))
+    text = F.coalesce("text", F.lit(""))
+    body = F.when(F.col("doc_id") % 4 == 0, F.concat(text, F.lit(" from 123E4567-e89b-12d3-a456-"), F.lpad(F.col("doc_id").cast("string"), 12, "0"))).when(F.col("doc_id") % 4 == 1, F.concat(text, F.lit(" see #12"))).otherwise(F.col("text"))
+    artifacts = t.documents.where("doc_id % 5 <> 1").select(F.concat(F.lit("a"), "doc_id").alias("path"), body.alias("text"))
+    done = provenance_backfill(thoughts, artifacts, ["0", "1", "2", "3", "4"])
+    return done.select("id", F.col("derivation_layer").alias("layer"), F.col("derivation_method").alias("method"), F.array_join(F.array_sort("derived_from"), ",").alias("parents"), "reason")
 
 
 @query("SELECT entity_id, canonical_name FROM entities WHERE canonical_name ILIKE '%red%' ORDER BY lower(canonical_name) = 'red widget' DESC, entity_id LIMIT 1")

@@ -182,19 +182,49 @@ def k22_key_lookup(t: Tables) -> DataFrame:
     return keys.join(t.nation, F.col("n_nationkey") == F.col("nation_id")).select("contact_id", F.col("n_name").alias("owner"))
 
 
-@query("""SELECT user_id, CAST(COALESCE(MAX(CASE WHEN event_type = 'purchase' THEN 1 + event_id % 4 END), 0) + 1 AS BIGINT) AS version, max_by(event_id, ts) AS checkpoint FROM events GROUP BY user_id""")
-def k23_start_session(t: Tables) -> DataFrame:
-    version = F.coalesce(F.max(F.when(F.col("event_type") == "purchase", 1 + F.col("event_id") % 4)), F.lit(0)) + 1
-    return t.events.groupBy("user_id").agg(version.cast("bigint").alias("version"), F.max_by("event_id", "ts").alias("checkpoint"))
+_LAYER = f"(['{"', '".join(V.LAYERS)}'])[nth + 1]"
 
 
-@query("""SELECT id, CAST(unnest(range(1, 1 + len(topics))) AS BIGINT) AS place, unnest(topics) AS entry, CASE WHEN id % 2 = 0 THEN 'operating_rhythms,dependencies' ELSE 'dependencies,friction' END AS completed FROM thoughts""")
+@query(f"""WITH s AS (SELECT event_id AS session_id, user_id, event_id % 4 + 1 AS version, CASE event_id % 7 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'review_ready' ELSE 'completed' END AS status, CASE WHEN event_id % 2 = 1 THEN 'friction' END AS layer, ts FROM events WHERE event_type = 'purchase'),
+o AS (SELECT * FROM s WHERE status <> 'completed' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, session_id DESC) = 1),
+c AS (SELECT session_id, user_id, version, (session_id + k) % 5 AS nth, 's' || session_id AS summary, CASE WHEN session_id % 3 <> 0 THEN ts END AS approved_at FROM s, (VALUES (0), (2)) v(k) WHERE session_id % 4 <> 3),
+last AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY user_id, nth ORDER BY version DESC, approved_at DESC NULLS LAST, session_id DESC) = 1),
+a AS (SELECT session_id, string_agg({_LAYER} || '=' || summary, ',' ORDER BY nth) AS own FROM c GROUP BY 1), b AS (SELECT user_id, string_agg({_LAYER} || '=' || summary, ',' ORDER BY nth) AS latest FROM last GROUP BY 1)
+SELECT u.user_id, CASE WHEN o.session_id IS NOT NULL AND u.user_id % 3 <> 0 THEN 'active' ELSE 'draft' END AS profile_status, CASE WHEN u.user_id % 3 <> 0 THEN u.user_id % 4 ELSE 0 END AS current_version, o.session_id, coalesce(o.status, 'in_progress') AS session_status,
+coalesce(o.version, CASE WHEN u.user_id % 3 <> 0 THEN u.user_id % 4 ELSE 0 END + 1) AS session_version, CASE WHEN o.session_id IS NULL THEN '' ELSE 'operating_rhythms' END AS completed, CASE WHEN o.session_id IS NULL THEN 'operating_rhythms' ELSE coalesce(layer, 'recurring_decisions') END AS pending_layer,
+coalesce(own, '') AS session_checkpoints, coalesce(latest, '') AS latest_checkpoints FROM (SELECT DISTINCT user_id FROM events) u LEFT JOIN o ON o.user_id = u.user_id LEFT JOIN a ON a.session_id = o.session_id LEFT JOIN b ON b.user_id = u.user_id""")
+def k23_start_session(t: Tables) -> DataFrame:
+    from engram.operators.sessions import start_sessions
+
+    bought = t.events.where("event_type = 'purchase'")
+    sessions = bought.selectExpr("event_id AS session_id", "user_id", "event_id % 4 + 1 AS version", "CASE event_id % 7 WHEN 0 THEN 'in_progress' WHEN 1 THEN 'review_ready' ELSE 'completed' END AS status", "IF(event_id % 2 = 1, 'friction', NULL) AS current_layer", "array('operating_rhythms') AS completed_layers", "ts AS created_at")
+    layers = F.array(*map(F.lit, V.LAYERS))
+    at = lambda k: F.element_at(layers, ((F.col("event_id") + k) % 5 + 1).cast("int"))
+    checkpoints = bought.select(F.col("event_id").alias("session_id"), "user_id", F.explode(F.array(at(0), at(2))).alias("layer"), (F.col("event_id") % 4 + 1).alias("version"), F.when(F.col("event_id") % 4 == 3, "draft").otherwise("approved").alias("status"), F.concat(F.lit("s"), "event_id").alias("summary"), F.when(F.col("event_id") % 3 != 0, F.col("ts")).alias("approved_at"))
+    users = t.events.select("user_id").distinct()
+    profiles = users.where("user_id % 3 <> 0").select("user_id", F.lit("active").alias("status"), (F.col("user_id") % 4).alias("current_version"))
+    started = start_sessions(profiles, sessions, checkpoints, users)
+    joined = lambda name: F.coalesce(F.array_join(F.transform(name, lambda x: F.concat_ws("=", x["layer"], x["summary"])), ","), F.lit("")).alias(name)
+    return started.select("user_id", "profile_status", "current_version", "session_id", "session_status", "session_version", F.array_join("completed_layers", ",").alias("completed"), "pending_layer", joined("session_checkpoints"), joined("latest_checkpoints"))
+
+
+@query("""WITH s AS (SELECT id, topics, CASE WHEN id % 11 = 0 THEN 'nonsense' WHEN id % 2 = 0 THEN 'operating_rhythms' ELSE 'friction' END AS layer FROM thoughts),
+r AS (SELECT *, CASE WHEN id % 11 = 0 THEN 'invalid layer' WHEN id % 5 = 0 THEN 'session is not editable' ELSE 'saved' END AS result FROM s),
+e AS (SELECT id, 'friction' AS layer, 1 AS place, 'old' AS title FROM r WHERE result <> 'saved' OR layer <> 'friction' UNION ALL SELECT id, layer, unnest(range(1, 1 + len(topics))), unnest(topics) FROM r WHERE result = 'saved')
+SELECT r.id AS session_id, result, CASE WHEN result <> 'saved' THEN 'dependencies' WHEN r.layer = 'friction' THEN 'dependencies,friction' ELSE 'operating_rhythms,dependencies' END AS completed,
+CASE WHEN result = 'saved' AND r.layer <> 'friction' THEN 'recurring_decisions' ELSE 'operating_rhythms' END AS pending_layer, e.layer, CAST(place AS BIGINT) AS place, title FROM r LEFT JOIN e ON e.id = r.id""")
 def k24_save_layer(t: Tables) -> DataFrame:
-    order = F.array(*map(F.lit, V.LAYERS))
-    done = F.array_union(F.array(F.lit("dependencies")), F.array(F.when(F.col("id") % 2 == 0, "operating_rhythms").otherwise("friction")))
-    done = F.transform(F.array_sort(F.transform(done, lambda x: F.named_struct(F.lit("at"), F.array_position(order, x), F.lit("name"), x))), lambda x: x["name"])
-    entries = F.from_json(F.to_json("topics"), "array<string>")
-    return t.thoughts.select("id", F.posexplode(entries).alias("at", "entry"), F.array_join(done, ",").alias("completed")).select("id", (F.col("at") + 1).cast("bigint").alias("place"), "entry", "completed")
+    """Each thought is a session with an old entry; every fifth is closed, and every eleventh save has no such layer."""
+    from engram.operators.sessions import ENTRY, save_layers
+
+    sessions = t.thoughts.select(F.col("id").alias("session_id"), F.when(F.col("id") % 5 == 0, "completed").otherwise("in_progress").alias("status"), F.array(F.lit("dependencies")).alias("completed_layers"))
+    fields = [(x.split(" ")[0], x.split(" ")[1]) for x in ENTRY.split(", ")]
+    old = t.thoughts.select(F.col("id").alias("session_id"), F.lit("friction").alias("layer"), F.lit(1).cast("long").alias("place"), *[F.lit("old" if n == "title" else None).cast(k).alias(n) for n, k in fields])
+    layer = F.when(F.col("id") % 11 == 0, "nonsense").when(F.col("id") % 2 == 0, "operating_rhythms").otherwise("friction")
+    payload = F.to_json(F.transform("topics", lambda x: F.struct(F.concat(F.lit(" "), x).alias("title"), F.lit("").alias("cadence"))))
+    results, after, entries = save_layers(sessions, old, t.thoughts.select(F.col("id").alias("session_id"), layer.alias("layer"), payload.alias("payload"), F.lit(1).alias("seq")))
+    rows = after.select("session_id", F.array_join("completed_layers", ",").alias("completed"), F.col("current_layer").alias("pending_layer"))
+    return results.select("session_id", "result").join(rows, "session_id").join(entries.select("session_id", "layer", "place", "title"), "session_id", "left")
 
 
 @query("SELECT id, array_to_string(list_transform(topics, lambda x: x || CASE WHEN x = 't1' THEN '=bought' ELSE '=open' END), ',') AS items FROM thoughts")

@@ -11,7 +11,7 @@ from engram.operators import search as T
 from engram.operators import upsert as K
 from engram.operators.chunks import boundaries
 from engram.operators.filters import page_thoughts
-from engram.operators.joins import near_duplicates
+from engram.operators.similar import near_duplicates, similar_classes
 from engram.operators.vectors import match_thoughts, recall, similar_pairs
 from engram.operators.windows import adaptive_threshold
 from engram.plans.views import Tables
@@ -97,13 +97,19 @@ def test_near_duplicates_against_all_pairs(spark):
     word = lambda: "".join(r.choice("abcdefgh") for _ in range(4))
     base = [word() for _ in range(40)]
     texts = [" ".join(word() for _ in range(r.randint(0, 30))) for _ in range(30)] + [" ".join([w for w in base if r.random() > 0.05] + [word()]) for _ in range(30)] + ["Same text!", "same text", "", None, "a b"]
-    got = {(x.id_a, x.id_b): x.similarity for x in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "id long, content string")).collect()}
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    got = {x.id: (x.class_id, x.copies, x.n_links, x.best) for x in near_duplicates(df).collect()}
     import re
 
     sets = [set(re.findall("[a-z0-9]{3,}", (t or "").lower())) for t in texts]
-    want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a in range(len(texts)) for b in range(a + 1, len(texts)) if sets[a] and sets[b]}
-    want = {k: v for k, v in want.items() if v >= 0.85}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got) and len(want) > 20
+    near = {k: {j: len(x & y) / len(x | y) for j, y in enumerate(sets) if j != k and x and y and len(x & y) / len(x | y) >= 0.85} for k, x in enumerate(sets)}
+    for k, x in near.items():
+        same = [j for j, s in x.items() if s == 1]
+        assert got[k][:3] == (min([k, *same]), 1 + len(same), len(x)) and (abs(got[k][3] - max(x.values())) < 1e-9 if x else got[k][3] is None)
+    assert len(got) == len(texts) and sum(map(len, near.values())) > 40
+    links = {(x.a, x.b): x.similarity for x in similar_classes(df).collect()}
+    firsts = {v[0] for v in got.values()}
+    assert links.keys() == {(a, b) for a in firsts for b in near[a] if b in firsts and a < b}
 
 
 def test_thresholds_against_a_loop(spark):
