@@ -5,12 +5,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written once to spark.checkpoint.dir and read back. A session of one machine without the setting gets a temporary folder; on a cluster RuntimeError is raised."""
-    spark = df.sparkSession
+def folder(spark: SparkSession, name: str) -> str:
+    """A new path in spark.checkpoint.dir. A session of one machine without the setting gets a temporary folder; on a cluster RuntimeError is raised."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         base = spark.sparkContext.getCheckpointDir()
@@ -19,6 +18,11 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir has to name a folder that all machines share")
         base = "file://" + tempfile.mkdtemp(prefix="engram-")
         spark.sparkContext.setCheckpointDir(base)
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written once to a folder that all machines share, and read back."""
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

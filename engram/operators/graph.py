@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.functions import text as X
 from engram.operators.cut import cut
 from engram.operators.joins import neighbours
 
@@ -104,3 +105,28 @@ def trace_provenance(thoughts: DataFrame, start: int, max_depth: int = 10, cap:
 def derivatives(thoughts: DataFrame, of: int, limit: int = 500) -> DataFrame:
     """Thoughts derived from one; restricted ones, and ones without a tier, are hidden."""
     return thoughts.where(F.array_contains("derived_from", F.lit(of).cast("bigint")) & (F.col("sensitivity_tier") != "restricted")).orderBy(F.desc("created_at"), F.desc("id")).limit(min(limit, 500))
+
+
+def provenance_tree(thoughts: DataFrame, start: int, max_depth: int = 5, cap: int = 250) -> DataFrame:
+    """The ancestors of a thought as nodes of a tree: (path, id, depth, under, cycle, restricted, preview, parents, nodes, truncated).
+
+    A node stands for one way from the start and under is the path of the node that it hangs under, so a thought that is reached twice is
+    there twice; parents counts the nodes under a node. An ancestor that is on its own way has cycle and nothing else to it. The first cap
+    nodes by depth and path are kept, and truncated says whether there were more. Restricted texts have no preview.
+    """
+    sources = thoughts.select("id", F.explode("derived_from").alias("source")).distinct()
+    ways = thoughts.sparkSession.sql(
+        """WITH RECURSIVE up AS (SELECT CAST({start} AS bigint) AS id, 0 AS depth, array(CAST({start} AS bigint)) AS path, false AS cycle
+          UNION ALL SELECT p.source, u.depth + 1, array_append(u.path, p.source), array_contains(u.path, p.source) FROM up u JOIN {sources} p ON p.id = u.id WHERE NOT u.cycle AND u.depth < {depth})
+        SELECT id, CAST(depth AS bigint) AS depth, path, cycle FROM up""",
+        sources=sources, start=start, depth=min(max_depth, 10),
+    )
+    shown = thoughts.select("id", (F.coalesce("sensitivity_tier", F.lit("")) == "restricted").alias("restricted"), X.preview(F.col("content")).alias("preview"))
+    # one row more than are kept shows whether there are more
+    rows = ways.join(shown, "id").orderBy("depth", "path").limit(cap + 1)
+    kept = cut(rows.withColumn("nth", F.row_number().over(Window.orderBy("depth", "path"))))
+    more, n = kept.where(F.col("nth") > cap).limit(1).count() > 0, kept.where(F.col("nth") <= cap).count()
+    joined = lambda c: F.array_join(c.cast("array<string>"), "/")
+    nodes = kept.where(F.col("nth") <= cap).select(joined(F.col("path")).alias("path"), "id", "depth", F.when(F.col("depth") > 0, joined(F.slice("path", F.lit(1), F.size("path") - 1))).alias("under"), "cycle", "restricted", F.when(~F.col("restricted") & ~F.col("cycle"), F.col("preview")).alias("preview"))
+    under = nodes.where("under IS NOT NULL").groupBy(F.col("under").alias("path")).agg(F.count("*").alias("parents"))
+    return nodes.join(under, "path", "left").withColumn("parents", F.coalesce("parents", F.lit(0)).cast("long")).withColumns({"nodes": F.lit(n).cast("long"), "truncated": F.lit(more)})

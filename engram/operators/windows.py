@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import deque
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,3 +59,31 @@ def digest(thoughts: DataFrame, least: int, enough: int, otherwise: int, most: i
     rows = thoughts.crossJoin(F.broadcast(few)).where(F.col("few") | (F.col("importance") >= least)).orderBy(*order).limit(max(most, otherwise))
     n = F.row_number().over(Window.orderBy(*order))
     return rows.withColumn("_n", n).where(F.col("_n") <= F.when(F.col("few"), otherwise).otherwise(most)).drop("_n", "few")
+
+
+def rate_limit(rows: DataFrame, key: str, time: str, tie: str, most: int = 30, seconds: float = 60) -> DataFrame:
+    """(key, time, tie, ok): whether a row is let through, which it is if fewer than most were in the seconds before it. Those turned away don't count.
+
+    A key's rows pass in order of time; what is kept of them is the times of the last ones let through, so a key of any size streams through
+    its task. Rows without a time go.
+    """
+    kind = {c: rows.schema[c].dataType.simpleString() for c in (key, tie)}
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, taken = None, deque()
+        for batch in batches:
+            oks = []
+            for k, none, at in zip(batch["_k"], batch["_none"], batch["_at"], strict=True):
+                if now != (none, None if none else k):
+                    now, taken = (none, None if none else k), deque()
+                while taken and taken[0] < at - width:
+                    taken.popleft()
+                oks.append(len(taken) < most)
+                if oks[-1]:
+                    taken.append(at)
+            yield batch.drop(columns=["_none"]).assign(ok=oks)
+
+    width = round(seconds * 1_000_000)
+    inner = rows.where(F.col(time).isNotNull()).select(F.col(key).alias("_k"), F.col(key).isNull().alias("_none"), F.unix_micros(F.col(time).cast("timestamp")).alias("_at"), F.col(tie).alias("_tie"))
+    judged = inner.repartition("_k").sortWithinPartitions("_k", "_at", "_tie").mapInPandas(judge, f"_k {kind[key]}, _at long, _tie {kind[tie]}, ok boolean")
+    return judged.select(F.col("_k").alias(key), F.timestamp_micros("_at").alias(time), F.col("_tie").alias(tie), "ok")

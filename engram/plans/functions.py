@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions import values as V
+from engram.operators import capture as C
 from engram.plans.views import AS_OF, Tables, query
 
 TIME = f"TIMESTAMP '{AS_OF}'"
@@ -164,13 +165,27 @@ def x15_evergreen(t: Tables) -> DataFrame:
     return _of_samples(t, tags=F.array_join(X.with_evergreen(F.col("s"), F.array(F.lit("x"))), ","))
 
 
-@query("""SELECT id, coalesce(CASE WHEN id % 3 = 0 THEN 'task' END, CASE WHEN id % 5 = 0 THEN 'decision' END, type, 'reference') AS kind, substring(content, 1, 160) AS summary, CAST(round((id % 11) / 10.0 * 70 + 20) AS BIGINT) AS quality,
-CAST(least(100, greatest(0, coalesce(CASE WHEN id % 4 = 0 THEN id * 3 END, importance))) AS BIGINT) AS importance FROM thoughts""")
+_PAYLOAD = f"""WITH s AS (SELECT doc_id AS id, text, regexp_replace(trim(regexp_replace(text, '[\s+]+', ' ', 'g')), '^ | $', '', 'g') AS flat FROM documents),
+p AS (SELECT *, CASE WHEN id % 5 = 0 THEN flat || CASE WHEN id % 10 <> 0 THEN ' Next step: call back' ELSE '' END ELSE trim(flat) END AS content, id % 5 = 0 AS matched, id % 4 <> 0 AS heard FROM s WHERE flat <> ''),
+v AS (SELECT *, coalesce(CASE WHEN matched THEN CASE WHEN id % 15 = 0 THEN 'meeting' END END, CASE WHEN id % 3 = 0 THEN 'Decision' END, CASE WHEN heard THEN CASE WHEN id % 2 = 0 THEN 'task' ELSE 'idea' END END, 'idea') AS wanted,
+  coalesce(CASE WHEN id % 6 = 0 THEN 6 END, CASE WHEN matched THEN 4 END, CASE WHEN heard AND id % 7 <> 0 THEN least(5, id % 9) END, 3) AS importance, coalesce(CASE WHEN id % 8 = 0 THEN 1.0 END, CASE WHEN matched THEN 0.82 END, CASE WHEN heard THEN (id % 11) / 10.0 END, 0.55)::DOUBLE AS confidence,
+  CASE WHEN id % 3 = 0 THEN ['given'] WHEN heard THEN ['a' || id % 3, 'b'] ELSE CAST([] AS VARCHAR[]) END AS listed FROM p)
+SELECT id, content, lower(wanted) AS type, substring(CASE WHEN id % 9 = 0 THEN 'said so' WHEN heard THEN 'about ' || id ELSE content END, 1, 160) AS summary, array_to_string(CASE WHEN matched THEN list_append(listed, 'garden') ELSE listed END, ',') AS topics,
+  CAST(importance AS BIGINT) AS importance, confidence, coalesce(CASE WHEN id % 12 = 0 THEN 99.5 END, floor(confidence * 70 + 20.5))::DOUBLE AS quality_score, CASE WHEN matched THEN 'structured_v1' ELSE 'freeform' END AS capture_format, array_to_string(list_filter([CASE WHEN length(content) > 30000 THEN 'oversized_content' END, CASE WHEN NOT heard THEN 'metadata_fallback' END], lambda x: x IS NOT NULL), ',') AS warnings, {_FP.format('content')} AS content_fingerprint FROM v"""
+
+
+@query(_PAYLOAD)
 def x16_prepared_payload(t: Tables) -> DataFrame:
-    given, structured = F.when(F.col("id") % 3 == 0, "task"), F.when(F.col("id") % 5 == 0, "decision")
-    quality = F.round((F.col("id") % 11) / 10 * 70 + 20).cast("bigint")
-    importance = F.least(F.lit(100), F.greatest(F.lit(0), F.coalesce(F.when(F.col("id") % 4 == 0, F.col("id") * 3), "importance")))
-    return t.thoughts.select("id", F.coalesce(given, structured, "type", F.lit("reference")).alias("kind"), X.preview(F.col("content"), 160).alias("summary"), quality.alias("quality"), importance.cast("bigint").alias("importance"))
+    """A fifth of the documents as structured captures, with and without a next step; callers and answers say different things."""
+    flat = F.trim(F.regexp_replace("text", r"[\s+]+", " "))
+    head = F.when(F.col("doc_id") % 15 == 0, "[Event] [garden] ").otherwise("[odd] [garden] ")
+    every = lambda n, v: F.when(F.col("doc_id") % n == 0, v)
+    none, no_list = F.lit(None).cast("string"), F.lit(None).cast("array<string>")
+    caller = F.struct(every(3, "Decision").alias("type"), every(9, " said so ").alias("summary"), every(3, F.array(F.lit(" given "), F.lit(""), F.lit("given"))).alias("topics"), no_list.alias("tags"), no_list.alias("people"), no_list.alias("action_items"), every(6, 50.0).alias("importance"), every(8, 7.0).alias("confidence"), every(12, 99.5).alias("quality_score"), none.alias("sensitivity_tier"))
+    heard = F.struct(F.when(F.col("doc_id") % 2 == 0, "task").otherwise("nonsense").alias("type"), F.concat(F.lit("about "), "doc_id").alias("summary"), F.array(F.concat(F.lit("a"), F.col("doc_id") % 3), F.lit("b"), F.lit("b")).alias("topics"), no_list.alias("tags"), no_list.alias("people"), no_list.alias("action_items"), F.when(F.col("doc_id") % 7 != 0, (F.col("doc_id") % 9).cast("double")).alias("importance"), ((F.col("doc_id") % 11) / 10).alias("confidence"))
+    rows = t.documents.select(F.col("doc_id").alias("id"), F.when(flat == "", flat).when(F.col("doc_id") % 5 == 0, F.concat(head, flat, F.when(F.col("doc_id") % 10 != 0, " + call back").otherwise(""))).otherwise(flat).alias("raw"), caller.alias("caller"), F.when(F.col("doc_id") % 4 != 0, heard).alias("heard"))
+    out = C.prepared_payload(rows, "raw", "caller", "heard")
+    return out.select("id", "content", "type", "summary", F.array_join("topics", ",").alias("topics"), "importance", "confidence", "quality_score", "capture_format", F.array_join("warnings", ",").alias("warnings"), "content_fingerprint")
 
 
 _JOINS = " + ".join(f"len(string_split(lower(s), {_quote(c)})) - 1" for c in X.CONJUNCTIONS)
@@ -204,10 +219,19 @@ def x20_head_tail(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.head_tail(F.col("text"), 1200, 400, "\n[cut]\n").alias("text"))
 
 
-@query("SELECT conv_id, CASE WHEN SUM(length(text)) <= 3000 THEN 'whole' WHEN COUNT(*) <= 4 THEN 'cut' ELSE 'by_session' END AS plan FROM conversations GROUP BY conv_id")
+_LINE = "CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text"
+
+
+@query(f"""WITH m AS (SELECT *, turn * 3600 + (turn // 3) * 20000 AS moment FROM conversations), s AS (SELECT *, SUM(CASE WHEN gap THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS session FROM (SELECT *, coalesce(moment - lag(moment) OVER (PARTITION BY conv_id ORDER BY turn) >= 14400, false) AS gap FROM m)),
+k AS (SELECT * FROM s WHERE role IN ('user', 'assistant') AND trim(text) <> ''), w AS (SELECT conv_id, string_agg({_LINE}, chr(10) || chr(10) ORDER BY turn) AS d FROM k GROUP BY 1), p AS (SELECT conv_id, session, string_agg({_LINE}, chr(10) || chr(10) ORDER BY turn) AS d FROM k GROUP BY 1, 2),
+c AS (SELECT conv_id, 0 AS place, d FROM w WHERE length(d) <= 600 UNION ALL SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY session) - 1, CASE WHEN length(d) > 600 AND length(d) > 400 THEN left(d, 300) || chr(10) || chr(10) || '[... truncated ...]' || chr(10) || chr(10) || right(d, 100) ELSE d END FROM p WHERE conv_id IN (SELECT conv_id FROM w WHERE length(d) > 600))
+SELECT conv_id, CAST(place AS BIGINT) AS place, d AS context FROM c""")
 def x21_context_plan(t: Tables) -> DataFrame:
-    plan = F.when(F.sum(F.length("text")) <= 3000, "whole").when(F.count("*") <= 4, "cut").otherwise("by_session")
-    return t.conversations.groupBy("conv_id").agg(plan.alias("plan"))
+    """Turns an hour apart, and a long gap after each third."""
+    from engram.operators.chunks import contexts
+
+    rows = t.conversations.withColumn("at", F.timestamp_seconds(F.col("turn") * 3600 + F.floor(F.col("turn") / 3) * 20000))
+    return contexts(rows, "conv_id", "turn", "at", most=600, head=300, tail=100)
 
 
 @query("SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'User: ' ELSE 'Assistant: ' END || text, chr(10) || chr(10) ORDER BY turn) AS dialogue FROM conversations WHERE role IN ('user', 'assistant') AND trim(text) <> '' GROUP BY conv_id")
@@ -284,9 +308,17 @@ def x33_fallback_metadata(t: Tables) -> DataFrame:
     return _of_samples(t, kind=X.fallback_type(F.col("s")), topics=F.array_join(topics, ","))
 
 
-@query("SELECT id, CASE WHEN status IN ('new', 'active', 'done') THEN status ELSE 'idea' END AS kind, least(1.0, greatest(0.0, id / 500.0)) AS confidence, CAST(len(topics[1:1]) AS BIGINT) AS topics FROM thoughts")
+@query("""SELECT id, coalesce(CASE WHEN id % 4 <> 0 THEN CASE WHEN type IN ('idea', 'task', 'lesson') THEN type END END, 'idea') AS type, CASE WHEN id % 4 = 0 OR id % 5 = 0 THEN substring(content, 1, 160) ELSE 'about ' || id END AS summary, CASE WHEN id % 4 = 0 THEN '' ELSE 'x,t' || id % 7 || array_to_string([',n' || k FOR k IN range(1, 10)], '') END AS topics,
+CASE WHEN id % 4 <> 0 AND id % 6 <> 0 THEN CAST(greatest(0, least(5, id % 12 - 3)) AS BIGINT) END AS importance, CASE WHEN id % 4 = 0 OR id % 7 = 0 THEN 0.2 ELSE least(1.0, id / 500.0) END::DOUBLE AS confidence FROM thoughts""")
 def x34_sanitised(t: Tables) -> DataFrame:
-    return t.thoughts.select("id", F.when(F.col("status").isin("new", "active", "done"), F.col("status")).otherwise("idea").alias("kind"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("id") / 500)).alias("confidence"), F.size(F.slice("topics", 1, 1)).cast("bigint").alias("topics"))
+    """A quarter without an answer; the rest with odd types, blank and repeated list items, and numbers out of bounds."""
+    kind = F.when(F.col("type").isin("idea", "task", "lesson"), F.col("type")).otherwise("Odd")
+    topics = F.concat(F.array(F.lit(" x "), F.lit(""), F.lit("x"), F.concat(F.lit("t"), F.col("id") % 7)), F.array(*[F.lit(f"n{k}") for k in range(1, 15)]))
+    none = F.lit(None).cast("array<string>")
+    answer = F.struct(kind.alias("type"), F.when(F.col("id") % 5 == 0, " ").otherwise(F.concat(F.lit("about "), "id")).alias("summary"), topics.alias("topics"), none.alias("tags"), none.alias("people"), none.alias("action_items"), F.when(F.col("id") % 6 != 0, F.col("id") % 12 - 3.0).alias("importance"), F.when(F.col("id") % 7 == 0, float("nan")).otherwise(F.col("id") / 500).alias("confidence"))
+    rows = t.thoughts.select("id", "content", F.when(F.col("id") % 4 != 0, answer).alias("answer"))
+    out = C.sanitised(F.col("answer"), F.col("content"))
+    return rows.select("id", out["type"].alias("type"), out["summary"].alias("summary"), F.array_join(out["topics"], ",").alias("topics"), out["importance"].alias("importance"), out["confidence"].alias("confidence"))
 
 
 @query(f"SELECT n, CASE WHEN contains(s, '```json') THEN 1 END AS a FROM {_TEXTS}")

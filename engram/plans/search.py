@@ -167,9 +167,14 @@ def g05_trace_provenance(t: Tables) -> DataFrame:
     return G.trace_provenance(t.thoughts, 150)
 
 
-@query()
+@query("""WITH RECURSIVE up AS (SELECT CAST(900 AS BIGINT) AS id, 0 AS depth, [CAST(900 AS BIGINT)] AS path, false AS cycle UNION ALL
+SELECT p.source, u.depth + 1, list_append(u.path, p.source), list_contains(u.path, p.source) FROM up u JOIN (SELECT DISTINCT id, source FROM (SELECT id, unnest(derived_from) AS source FROM thoughts UNION ALL SELECT 14, 900)) p ON p.id = u.id WHERE NOT u.cycle AND u.depth < 10),
+n AS (SELECT up.*, coalesce(sensitivity_tier, '') = 'restricted' AS restricted, content, row_number() OVER (ORDER BY depth, path) AS nth, COUNT(*) OVER () AS total FROM up JOIN thoughts t ON t.id = up.id), k AS (SELECT * FROM n WHERE nth <= 100)
+SELECT array_to_string(path, '/') AS path, id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth > 0 THEN array_to_string(path[:-2], '/') END AS under, cycle, restricted, CASE WHEN NOT restricted AND NOT cycle THEN substring(content, 1, 200) END AS preview, (SELECT COUNT(*) FROM k c WHERE c.depth = k.depth + 1 AND c.path[:-2] = k.path) AS parents, least(100, total) AS nodes, total > 100 AS truncated FROM k""")
 def g06_provenance_tree(t: Tables) -> DataFrame:
-    return G.trace_provenance(t.thoughts, 150, max_depth=4).withColumn("label", F.concat(F.repeat(F.lit("  "), F.col("depth").cast("int")), F.col("id").cast("string"))).select("id", "depth", "parent", "label")
+    """With a thought derived from one that derives from it."""
+    rows = t.thoughts.withColumn("derived_from", F.when(F.col("id") == 14, F.array_append("derived_from", F.lit(900).cast("long"))).otherwise(F.col("derived_from")))
+    return G.provenance_tree(rows, 900, max_depth=10, cap=100)
 
 
 @query("SELECT id FROM thoughts WHERE list_contains(derived_from, 10) AND sensitivity_tier <> 'restricted' ORDER BY created_at DESC, id DESC LIMIT 500")
@@ -271,9 +276,15 @@ def r05_suppression(t: Tables) -> DataFrame:
     return t.events.withColumn("before", F.coalesce(F.sum(F.when(F.col("value") < 5, 1).otherwise(0)).over(w), F.lit(0))).where("before < 2").select("event_id", "user_id")
 
 
-@query("SELECT user_id, CAST(time_bucket(INTERVAL 1 HOUR, ts) AS TIMESTAMP) AS start, COUNT(*) AS n, COUNT(*) > 2 AS limited FROM events GROUP BY 1, 2")
+@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+w AS (SELECT event_id, user_id, n, true AS ok, [moment] AS taken FROM e WHERE n = 1 UNION ALL
+SELECT e.event_id, e.user_id, e.n, len(list_filter(taken, lambda x: x >= moment - 172800000000)) < 3, CASE WHEN len(list_filter(taken, lambda x: x >= moment - 172800000000)) < 3 THEN list_append(list_filter(taken, lambda x: x >= moment - 172800000000), moment) ELSE list_filter(taken, lambda x: x >= moment - 172800000000) END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
+SELECT event_id, user_id, ok FROM w""")
 def r08_rate_limit(t: Tables) -> DataFrame:
-    return t.events.groupBy("user_id", F.window("ts", "1 hour")["start"].alias("start")).agg(F.count("*").alias("n"), (F.count("*") > 2).alias("limited"))
+    """Three events of a user within two days; what is turned away doesn't count."""
+    from engram.operators.windows import rate_limit
+
+    return rate_limit(t.events.withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "event_id", most=3, seconds=172800).select("event_id", "user_id", "ok")
 
 
 @query("SELECT doc_id FROM documents WHERE doc_id % 3 <> 0 OR doc_id % 7 = 0")

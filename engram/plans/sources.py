@@ -184,10 +184,20 @@ def s23_captures(t: Tables) -> DataFrame:
     return latest(kept.withColumn("slack_ts", F.col("conv_id")), ["slack_ts"], [F.col("turn")]).select("slack_ts", "text")
 
 
-@query("SELECT contact_id AS book, COUNT(*) AS highlights, MAX(occurred_on) AS latest FROM interactions WHERE interaction_id % 2 = 0 GROUP BY contact_id")
+@query("""WITH e AS (SELECT interaction_id AS id, contact_id AS book, CASE WHEN interaction_id % 6 = 0 THEN kind || chr(10) || chr(10) || '— note' ELSE kind END AS content, occurred_on FROM interactions WHERE interaction_id % 5 <> 0 AND interaction_id % 7 <> 0 AND interaction_id % 3 <> 1)
+SELECT 'thought' AS what, id, book, content AS text, name AS title, CAST(NULL AS BIGINT) AS n, CAST(occurred_on AS TIMESTAMP) AS at FROM e LEFT JOIN (SELECT contact_id, name FROM contacts WHERE contact_id % 4 <> 0) c ON contact_id = book
+UNION ALL SELECT 'book', NULL, contact_id, NULL, name, 10 + coalesce(k, 0), greatest(TIMESTAMP '1995-01-01 00:00:00', last) FROM contacts LEFT JOIN (SELECT book, COUNT(*) AS k, CAST(MAX(occurred_on) AS TIMESTAMP) AS last FROM e GROUP BY 1) ON book = contact_id WHERE contact_id % 4 <> 0""")
 def s24_highlight_capture(t: Tables) -> DataFrame:
-    hooks = t.interactions.where("interaction_id % 2 = 0")
-    return hooks.dropDuplicates(["interaction_id"]).groupBy(F.col("contact_id").alias("book")).agg(F.count("*").alias("highlights"), F.max("occurred_on").alias("latest"))
+    """Interactions as events, all sent twice; a fifth has another secret, a seventh another type, a third is known."""
+    from engram.operators.capture import highlight_captures
+
+    hooks = t.interactions.selectExpr("IF(interaction_id % 5 = 0, 'x', 's') AS secret", "IF(interaction_id % 7 = 0, 'readwise.tag.added', 'readwise.highlight.created') AS event_type", "interaction_id AS id", "contact_id AS book_id", "kind AS text", "IF(interaction_id % 6 = 0, 'note', '') AS note", "CAST(occurred_on AS timestamp_ntz) AS highlighted_at")
+    known = t.interactions.where("interaction_id % 3 = 1").select(F.col("interaction_id").alias("highlight_id"))
+    books = t.contacts.where("contact_id % 4 <> 0").select(F.col("contact_id").alias("book_id"), F.col("name").alias("title"), F.lit("a").alias("author"), F.lit(10).cast("long").alias("num_highlights"), F.lit("1995-01-01").cast("timestamp_ntz").alias("last_highlight_at"))
+    thoughts, after = highlight_captures(hooks.unionByName(hooks), known, books, "s")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = thoughts.select(F.lit("thought").alias("what"), F.col("highlight_id").alias("id"), F.col("book_id").alias("book"), F.col("content").alias("text"), F.col("book_title").alias("title"), none("long").alias("n"), F.col("highlighted_at").alias("at"))
+    return rows.unionByName(after.select(F.lit("book").alias("what"), none("long").alias("id"), F.col("book_id").alias("book"), none("string").alias("text"), "title", F.col("num_highlights").alias("n"), F.col("last_highlight_at").alias("at")))
 
 
 @query("SELECT 'Note ' || doc_id AS title, CAST(doc_id % 7 AS BIGINT) AS place FROM documents")
@@ -209,14 +219,19 @@ def _events(t: Tables) -> DataFrame:
     return R.read_stream(t.spark, f"{t.sf_dir}/events.parquet*", t.events.schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-@query()
+@query("""WITH q AS (SELECT doc_id AS id, row_number() OVER (ORDER BY doc_id) <= 300 AS mine FROM documents)
+SELECT id, CASE WHEN NOT mine THEN 'pending' WHEN id % 4 = 0 THEN 'pending' WHEN id % 4 = 1 THEN 'complete' WHEN id % 4 = 2 THEN 'pending' ELSE 'processing' END AS status, CASE WHEN mine AND id % 4 = 0 THEN 1 ELSE 0 END AS attempts, CASE WHEN mine AND id % 4 = 0 THEN 'no answer' END AS last_error, CASE WHEN mine AND id % 4 IN (1, 3) THEN 'w' END AS worker FROM q""")
 def r01_change_queue(t: Tables) -> DataFrame:
-    """One batch of the queue: what changed, and what becomes of it."""
-    from engram.operators.upsert import changed, next_queue_state
+    """The documents as a stream into the queue; then a worker claims 300 items and settles all but a quarter of them."""
+    from engram.operators.capture import claimed, settled
+    from engram.operators.cut import folder
 
-    old = t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 5 == 0, "old").otherwise(X.fingerprint(F.col("text"))).alias("fp"))
-    new = t.documents.select(F.col("doc_id").alias("id"), X.fingerprint(F.col("text")).alias("fp"))
-    return changed(old, new, "id", "fp").select("id", next_queue_state(F.lit("processing"), F.when(F.col("id") % 4 == 0, "error").otherwise("complete"), F.col("id") % 6).alias("status"))
+    base = folder(t.spark, "queue")
+    stream = R.read_stream(t.spark, f"{t.sf_dir}/documents.parquet*", t.documents.schema).select(F.col("doc_id").alias("id"), F.col("text").alias("content"))
+    R.run_once(stream, R.enqueue_changes(f"{base}/thoughts", f"{base}/jobs"), f"{base}/checkpoint")
+    queue = t.spark.read.schema("id bigint, status string, attempts int, batch bigint").option("recursiveFileLookup", "true").parquet(f"{base}/jobs").select("id", "status", "attempts", F.lit(None).cast("string").alias("last_error"), F.col("batch").alias("queued_at"))
+    outcomes = t.documents.where("doc_id % 4 <> 3").select(F.col("doc_id").alias("id"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'error' WHEN 1 THEN 'complete' ELSE 'release' END").alias("outcome"), F.lit("no answer").alias("error"))
+    return settled(claimed(queue, 300, "w"), outcomes).drop("queued_at")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")
@@ -236,10 +251,21 @@ def r10_stream_windows(t: Tables) -> DataFrame:
     return _streamed(t, "r10", R.habit_days(_events(t), "user_id"), "append").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
-@query()
+def _odd_lengths(texts: list[str]) -> list[dict]:
+    """A provider that answers texts of odd lengths."""
+    return [{"type": "task" if len(x) % 3 == 0 else "riddle", "summary": x[:20], "topics": [f"t{len(x) % 5}", " "], "importance": float(len(x) % 10), "confidence": len(x) % 10 / 8} if len(x) % 2 else {} for x in texts]
+
+
+def _never(texts: list[str]) -> list[dict]:
+    raise TimeoutError
+
+
+@query("""SELECT doc_id, CASE WHEN n % 2 = 1 AND n % 3 = 0 THEN 'task' ELSE 'idea' END AS type, CASE WHEN n % 2 = 1 THEN trim(left(text, 20)) ELSE left(text, 160) END AS summary, CASE WHEN n % 2 = 1 THEN 't' || n % 5 ELSE '' END AS topics,
+CASE WHEN n % 2 = 1 THEN least(5, n % 10) END AS importance, CASE WHEN n % 2 = 1 THEN least(1.0, n % 10 / 8.0) ELSE 0.2 END::DOUBLE AS confidence, CASE WHEN n % 2 = 1 THEN 'complete' ELSE 'fallback' END AS status FROM (SELECT *, length(text) AS n FROM documents)""")
 def f01_metadata(t: Tables) -> DataFrame:
-    kind, topics = M.rule_metadata(F.col("text"))
-    return t.documents.select("doc_id", kind.alias("type"), F.array_join(topics, ",").alias("topics"))
+    """The first provider always fails, the second answers every other text."""
+    out = M.extracted_metadata(t.documents.select("doc_id", "text"), "text", [_never, _odd_lengths])
+    return out.select("doc_id", "type", "summary", F.array_join("topics", ",").alias("topics"), "importance", "confidence", F.col("enrichment_status").alias("status"))
 
 
 @query()
@@ -267,15 +293,28 @@ def f05_summaries(t: Tables) -> DataFrame:
     return M.group_summaries(t.thoughts, ["type"], [F.desc("importance"), F.col("id")], "content")
 
 
-@query()
+@query("""SELECT id, CASE WHEN n % 2 = 0 THEN type WHEN n % 3 = 0 THEN 'task' ELSE 'idea' END AS type, CASE WHEN n % 2 = 1 THEN trim(left(content, 20)) END AS summary, 'kept' AS mark, CAST(CASE WHEN n % 2 = 1 THEN least(5, n % 10) ELSE importance END AS BIGINT) AS importance, CASE WHEN n % 2 = 1 THEN 'complete' ELSE 'fallback' END AS status FROM (SELECT *, length(content) AS n FROM thoughts)""")
 def f06_enrichment(t: Tables) -> DataFrame:
-    rows = M.answered(t.thoughts.select("id", "content", "type"), "content", lambda texts: [{"summary": x[:40], "confidence": 0.5} for x in texts], "summary string, confidence double")
-    return rows.select("id", F.coalesce("type", F.lit("idea")).alias("type"), "answer.summary", F.greatest(F.lit(0.0), F.least(F.lit(1.0), "answer.confidence")).alias("confidence"))
+    rows = t.thoughts.select("id", "content", "type", F.create_map(F.lit("mark"), F.lit("kept")).alias("metadata"), "importance")
+    of = lambda k: F.try_element_at("metadata", F.lit(k)).alias(k)
+    return M.enriched(rows, [_odd_lengths]).select("id", "type", of("summary"), of("mark"), "importance", F.col("enrichment_status").alias("status"))
 
 
-@query()
+def _graders(texts: list[str]) -> list[dict]:
+    """A provider that counts the parents in a prompt, and answers in several ways, not all of them valid."""
+    out = []
+    for x in texts:
+        n = x.split("PARENTS:\n")[1].count("\n") + 1
+        score = '{"existence": %d, "relevance": %s, "sufficiency": 2.5, "rationale": "so"}'
+        out.append({"raw": score % (n, '"4"' if "type:task" in x else 4)} if "type:idea" not in x else {"raw": "Here {it} is: " + score % (n, 9 if "type:lesson" in x else 1) + " done"})
+    return out
+
+
+@query("""WITH p AS (SELECT t.id, COUNT(*) AS n, bool_or(q.type = 'task') AS task, bool_or(q.type = 'idea') AS idea, bool_or(q.type = 'lesson') AS lesson FROM (SELECT id, unnest(derived_from) AS source FROM thoughts) t JOIN thoughts q ON q.id = source GROUP BY 1),
+g AS (SELECT *, CASE WHEN idea THEN NOT lesson ELSE NOT task END AS ok, CASE WHEN idea THEN 1 ELSE 4 END AS r FROM p)
+SELECT id, n AS parents, CASE WHEN ok THEN n END::DOUBLE AS existence, CASE WHEN ok THEN r END::DOUBLE AS relevance, CASE WHEN ok THEN 2.5 END::DOUBLE AS sufficiency, CASE WHEN ok THEN 'so' END AS rationale, CASE WHEN ok THEN round((n + r + 2.5) / 3, 6) END::DOUBLE AS composite FROM g""")
 def f07_grades(t: Tables) -> DataFrame:
-    return M.grades(t.thoughts.select("id", "importance", "quality_score"), {"relevance": F.col("importance") / 20, "depth": F.col("quality_score") / 20})
+    return M.graded_chains(t.thoughts, _graders)
 
 
 @query()
@@ -283,12 +322,21 @@ def f08_findings(t: Tables) -> DataFrame:
     return M.findings(t.documents, "doc_id", "text")
 
 
-@query()
-def f09_capture_classes(t: Tables) -> DataFrame:
-    from engram.functions.values import agreed_confidence
+_NAMED = ["idea", "task", "lesson", "riddle"]
 
-    first, second = X.fallback_type(F.col("text")), X.fallback_type(F.substring("text", 1, 200))
-    return t.documents.select("doc_id", first.alias("type"), agreed_confidence(F.lit(8.0), first, second).alias("confidence")).withColumn("auto", F.col("confidence") / 10 >= 0.75)
+
+def _second_thoughts(texts: list[str]) -> list[dict]:
+    """A provider that judges by a text's length."""
+    return [{"type": _NAMED[len(x) % 4], "confidence": len(x) % 12} for x in texts]
+
+
+@query("""SELECT doc_id, type, confidence, threshold, hinted OR confidence / 10 >= threshold AS auto FROM (SELECT doc_id, CASE WHEN hinted THEN 'meeting' ELSE t END AS type, CASE WHEN hinted THEN 10 ELSE c END::DOUBLE AS confidence, hinted, CASE WHEN hinted THEN 0.75 WHEN t = 'task' THEN 0.5 WHEN t = 'idea' THEN 0.9 ELSE 0.75 END::DOUBLE AS threshold
+FROM (SELECT doc_id, doc_id % 10 = 0 AS hinted, CASE length(text) % 4 WHEN 1 THEN 'task' WHEN 2 THEN 'lesson' ELSE 'idea' END AS t, least(10, length(text) % 12) AS c FROM documents))""")
+def f09_capture_classes(t: Tables) -> DataFrame:
+    """With a provider that agrees with itself; a tenth of the captures has a hint."""
+    thresholds = t.spark.createDataFrame([("task", 0.5), ("idea", 0.9)], "type string, threshold double")
+    rows = t.documents.select("doc_id", "text", F.when(F.col("doc_id") % 10 == 0, "meeting").alias("hint"))
+    return M.classified_captures(rows, "text", _second_thoughts, thresholds, hint="hint").select("doc_id", "type", "confidence", "threshold", "auto")
 
 
 @query("SELECT id, CASE WHEN type IN ('task', 'idea') THEN 'tasks' WHEN type = 'person_note' THEN 'contacts' WHEN type = 'meeting' THEN 'calendar' ELSE 'thoughts' END AS destination FROM thoughts UNION ALL SELECT id, 'contacts' FROM thoughts WHERE type = 'meeting'")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions import values as V
+from engram.operators import capture as C
 from engram.operators import upsert as K
 from engram.plans.views import AS_OF, Tables, query
 
@@ -30,16 +31,33 @@ def k01_upsert(t: Tables) -> DataFrame:
     return merged.select("fingerprint", "content", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("lang", "ref", "source")], "writes")
 
 
-@query("""SELECT id, coalesce(nullif(type, 'journal'), 'reference') AS kind, CAST(CASE WHEN id % 3 = 0 THEN least(100, greatest(0, id)) ELSE 50 END AS BIGINT) AS importance, coalesce(sensitivity_tier, 'standard') AS tier,
-CASE WHEN coalesce(nullif(type, 'journal'), 'reference') IN ('task', 'idea') THEN coalesce(status, 'new') END AS status, CASE WHEN status IS DISTINCT FROM CASE WHEN id % 2 = 0 THEN 'new' END THEN 'changed' ELSE 'same' END AS status_state FROM thoughts""")
+_ENHANCED = f"""WITH o AS (SELECT {_FP.format('text')} AS fp, -1 AS seq, text AS content, 'journal' AS type_, 'old' AS source_, NULL AS web, lang, 10 AS importance, 20.0::DOUBLE AS quality, 'personal' AS tier, CASE doc_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'done' END AS status, TIMESTAMP '2023-01-01 00:00:00' AS moved_at, 'journal' AS meta
+FROM documents WHERE doc_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY fp ORDER BY doc_id) = 1),
+w AS (SELECT doc_id AS seq, '  ' || text AS content, CASE doc_id % 5 WHEN 0 THEN 'task' WHEN 1 THEN 'idea' WHEN 2 THEN '' WHEN 3 THEN 'lesson' END AS meta, CASE doc_id % 4 WHEN 0 THEN 100 WHEN 1 THEN 8 ELSE 50 END AS importance, NULL AS web, 70.0::DOUBLE AS quality, CASE doc_id % 7 WHEN 0 THEN 'done' WHEN 1 THEN 'new' WHEN 2 THEN '' END AS said FROM documents WHERE doc_id % 2 = 0
+UNION ALL SELECT doc_id + 100000000, text, NULL, 50, 'web', 61.5, CASE WHEN doc_id % 3 = 0 THEN 'done' END FROM documents WHERE doc_id % 4 = 0),
+n AS (SELECT {_FP.format('content')} AS fp, seq, content, coalesce(nullif(meta, ''), 'observation') AS type_, coalesce(web, 'unknown') AS source_, web, NULL AS lang, importance, quality, 'standard' AS tier,
+  coalesce(nullif(said, ''), CASE WHEN meta IN ('task', 'idea') THEN 'new' END) AS status, TIMESTAMP '2024-01-01 00:00:00' + INTERVAL (seq % 1000000) SECOND AS moved_at, meta FROM w),
+r AS (SELECT * FROM o UNION ALL BY NAME SELECT * FROM n), m AS (SELECT *, last_value(status IGNORE NULLS) OVER (PARTITION BY fp ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r)
+SELECT fp AS fingerprint, first(content ORDER BY seq) AS content, last(type_ ORDER BY seq) AS type, last(source_ ORDER BY seq) AS source_type, CAST(last(importance ORDER BY seq) AS BIGINT) AS importance, last(quality ORDER BY seq) AS quality_score, last(tier ORDER BY seq) AS sensitivity_tier,
+  last(status ORDER BY seq) FILTER (WHERE status IS NOT NULL) AS status, last(moved_at ORDER BY seq) FILTER (WHERE seq < 0 OR status IS DISTINCT FROM before) AS status_updated_at, last(meta ORDER BY seq) FILTER (WHERE meta IS NOT NULL) AS meta_type, last(lang ORDER BY seq) FILTER (WHERE lang IS NOT NULL) AS lang, max(web) AS web FROM m GROUP BY fp"""
+
+
+def _map(**pairs: Column) -> Column:
+    return F.map_filter(F.create_map(*[x for k, v in pairs.items() for x in (F.lit(k), v)]), lambda k, v: v.isNotNull())
+
+
+@query(_ENHANCED)
 def k02_enhanced_upsert(t: Tables) -> DataFrame:
-    kind = F.coalesce(F.nullif(F.col("type"), F.lit("journal")), F.lit("reference"))
-    raw = F.when(F.col("id") % 3 == 0, F.col("id").cast("string")).otherwise("high")
-    before = F.when(F.col("id") % 2 == 0, "new")
-    return t.thoughts.select(
-        "id", kind.alias("kind"), V.guarded_number(raw, 0.0, 100.0, 50.0).cast("bigint").alias("importance"), F.coalesce("sensitivity_tier", F.lit("standard")).alias("tier"),
-        F.when(kind.isin("task", "idea"), F.coalesce("status", F.lit("new"))).alias("status"), F.when(F.col("status").eqNullSafe(before), "same").otherwise("changed").alias("status_state"),
-    )
+    """Stored: a third of the documents; written: the half, then a quarter again."""
+    old = K.latest(t.documents.where("doc_id % 3 = 0").withColumn("fingerprint", X.fingerprint(F.col("text"))), ["fingerprint"], [F.col("doc_id")])
+    status = F.expr("CASE doc_id % 4 WHEN 0 THEN 'new' WHEN 1 THEN 'done' END")
+    stored = old.select("fingerprint", F.col("text").alias("content"), _map(type=F.lit("journal"), lang=F.col("lang")).alias("metadata"), F.lit("journal").alias("type"), F.lit("old").alias("source_type"), F.lit(10).cast("long").alias("importance"), F.lit(20.0).alias("quality_score"), F.lit("personal").alias("sensitivity_tier"), status.alias("status"), F.lit("2023-01-01").cast("timestamp_ntz").alias("status_updated_at"))
+    kind, weight = F.expr("CASE doc_id % 5 WHEN 0 THEN 'task' WHEN 1 THEN 'idea' WHEN 2 THEN '' WHEN 3 THEN 'lesson' END"), F.expr("CASE doc_id % 4 WHEN 0 THEN '120.4' WHEN 1 THEN '7.5' WHEN 2 THEN '-3' END")
+    first = t.documents.where("doc_id % 2 = 0").select(F.col("doc_id").alias("seq"), F.concat(F.lit("  "), "text").alias("content"), _map(type=kind, importance=weight).alias("metadata"), F.expr("CASE doc_id % 7 WHEN 0 THEN 'done' WHEN 1 THEN 'new' WHEN 2 THEN '' END").alias("status"))
+    second = t.documents.where("doc_id % 4 = 0").select((F.col("doc_id") + 100000000).alias("seq"), F.col("text").alias("content"), _map(source=F.lit("web"), quality_score=F.lit("61.5")).alias("metadata"), F.when(F.col("doc_id") % 3 == 0, "done").alias("status"))
+    writes = first.unionByName(second).withColumn("at", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, seq % 1000000)"))
+    keys = {"meta_type": "type", "lang": "lang", "web": "source"}
+    return C.enhanced_upsert(stored, writes).select("*", *[F.try_element_at("metadata", F.lit(v)).alias(k) for k, v in keys.items()]).drop("metadata")
 
 
 def _with_vectors(t: Tables) -> tuple[DataFrame, DataFrame]:
@@ -102,11 +120,15 @@ def k10_optimistic_update(t: Tables) -> DataFrame:
     return K.optimistic_update(old, changes).select("id", "result", F.try_element_at("metadata", F.lit("type")).alias("type"), "updated_at")
 
 
-@query(f"""SELECT id, coalesce(CASE WHEN id % 4 = 0 THEN 'done' END, status) AS status, CASE WHEN id % 4 = 0 AND status IS DISTINCT FROM 'done' THEN TIMESTAMP '{AS_OF}' ELSE created_at END AS status_updated_at FROM thoughts""")
+@query(f"""SELECT id, 'updated' AS result, 'v' || id % 3 AS mark, type AS meta_type_was, CASE WHEN id % 8 = 0 THEN 'lesson' ELSE type END AS meta_type, CASE WHEN id % 8 = 0 THEN 'lesson' ELSE type END AS type, CASE WHEN id % 12 = 0 THEN 9 ELSE importance END AS importance, CASE WHEN id % 16 = 0 THEN 'done' ELSE status END AS status, CASE WHEN id % 16 = 0 THEN TIMESTAMP '{AS_OF}' ELSE created_at END AS status_updated_at FROM thoughts WHERE id % 4 = 0
+UNION ALL SELECT id, 'kept', NULL, type, type, type, importance, status, created_at FROM thoughts WHERE id % 4 <> 0 UNION ALL SELECT -id - 1, 'missing', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM thoughts WHERE id % 20 = 0""")
 def k11_rest_update(t: Tables) -> DataFrame:
-    new = F.when(F.col("id") % 4 == 0, "done")
-    changed = new.isNotNull() & ~F.col("status").eqNullSafe(new)
-    return t.thoughts.select("id", F.coalesce(new, "status").alias("status"), F.when(changed, F.lit(AS_OF).cast("timestamp_ntz")).otherwise(F.col("created_at")).alias("status_updated_at"))
+    stored = t.thoughts.select("id", _map(type=F.col("type"), was=F.col("type")).alias("metadata"), "content", "type", "importance", "quality_score", "sensitivity_tier", "status", F.col("created_at").alias("status_updated_at"))
+    every = lambda n, v: F.when(F.col("id") % n == 0, v)
+    patches = t.thoughts.where("id % 4 = 0").select("id", _map(mark=F.concat(F.lit("v"), F.col("id") % 3)).alias("metadata"), F.lit(None).cast("string").alias("content"), every(8, "lesson").alias("type"), every(12, 9).cast("long").alias("importance"), F.lit(None).cast("long").alias("quality_score"), F.lit(None).cast("string").alias("sensitivity_tier"), every(16, "done").alias("status"), F.lit(AS_OF).cast("timestamp_ntz").alias("at"))
+    stray = patches.where("id % 20 = 0").withColumn("id", -F.col("id") - 1)
+    of = lambda k: F.try_element_at("metadata", F.lit(k))
+    return C.patched(stored, patches.unionByName(stray)).select("id", "result", of("mark").alias("mark"), of("was").alias("meta_type_was"), of("type").alias("meta_type"), "type", "importance", "status", "status_updated_at")
 
 
 @query("SELECT id, type FROM thoughts WHERE id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
@@ -114,11 +136,13 @@ def k12_delete(t: Tables) -> DataFrame:
     return K.delete_ids(t.thoughts, t.labels.where("toxic = 1").select(F.col("doc_id").alias("id"))).select("id", "type")
 
 
-@query("SELECT id, 'prov-' || id % 5 AS provenance, type FROM thoughts WHERE id % 2 = 0 UNION ALL SELECT id, NULL, type FROM thoughts WHERE id % 2 <> 0")
+@query("""SELECT id, 'updated' AS result, '{"by":"v' || id % 5 || '","kept":"k","score":"s"}' AS provenance, type FROM thoughts WHERE id % 2 = 0 UNION ALL SELECT id, 'kept', '{"by":"old","kept":"k"}', type FROM thoughts WHERE id % 2 <> 0 UNION ALL SELECT -id - 1, 'missing', NULL, NULL FROM thoughts WHERE id % 20 = 0""")
 def k13_merge_provenance(t: Tables) -> DataFrame:
-    new = F.when(F.col("id") % 2 == 0, F.create_map(F.lit("provenance"), F.concat(F.lit("prov-"), F.col("id") % 5)))
-    merged = V.merged_maps(F.create_map(F.lit("type"), F.col("type")), new)
-    return t.thoughts.select("id", F.try_element_at(merged, F.lit("provenance")).alias("provenance"), F.try_element_at(merged, F.lit("type")).alias("type"))
+    stored = t.thoughts.select("id", _map(type=F.col("type"), provenance=F.lit('{"by":"old","kept":"k"}')).alias("metadata"))
+    new = t.thoughts.where("id % 2 = 0").select("id", _map(by=F.concat(F.lit("v"), F.col("id") % 5), score=F.lit("s")).alias("new"))
+    stray = new.where("id % 20 = 0").withColumn("id", -F.col("id") - 1)
+    of = lambda k: F.try_element_at("metadata", F.lit(k))
+    return C.merged_metadata(stored, new.unionByName(stray), under="provenance").select("id", "result", of("provenance").alias("provenance"), of("type").alias("type"))
 
 
 @query("SELECT contact_id, last_contacted FROM contacts LEFT JOIN (SELECT contact_id AS c, max_by(occurred_on, interaction_id) AS last_contacted FROM interactions GROUP BY 1) ON c = contact_id")
@@ -133,12 +157,14 @@ def k15_next_due(t: Tables) -> DataFrame:
     return t.tasks.join(last, "task_id", "left").select("task_id", "last_completed", F.date_add("last_completed", F.col("frequency_days")).alias("next_due"))
 
 
-@query(f"SELECT id, 'pending' AS status, 0 AS attempts FROM (SELECT doc_id AS id, {_FP.format('text')} AS fp FROM documents) n LEFT JOIN (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE {_FP.format('text')} END AS before FROM documents WHERE doc_id % 4 <> 1) ON doc_id = id WHERE fp IS DISTINCT FROM before AND id % 7 <> 0")
+@query(f"""WITH n AS (SELECT doc_id AS id, {_FP.format('text')} AS fp, doc_id % 7 = 0 AS made FROM documents WHERE doc_id % 5 <> 0), q AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN 'old' ELSE {_FP.format('text')} END AS fp FROM documents WHERE doc_id % 4 <> 1),
+j AS (SELECT coalesce(n.id, q.id) AS id, n.id IS NOT NULL AND NOT made AND n.fp IS DISTINCT FROM q.fp AS again, q.id IS NOT NULL AS stored, n.fp, q.fp AS was FROM n FULL JOIN q ON n.id = q.id)
+SELECT id, CASE WHEN again THEN 'pending' ELSE 'complete' END AS status, CASE WHEN again THEN 0 ELSE 2 END AS attempts, CASE WHEN NOT again THEN 'e' END AS last_error, CASE WHEN again THEN fp ELSE was END AS fp, CASE WHEN again THEN TIMESTAMP '{AS_OF}' ELSE TIMESTAMP '2024-01-01 00:00:00' END AS queued_at FROM j WHERE again OR stored""")
 def k16_enqueue_changed(t: Tables) -> DataFrame:
     fp = X.fingerprint(F.col("text"))
-    new = t.documents.select(F.col("doc_id").alias("id"), fp.alias("fp"))
-    old = t.documents.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 3 == 0, "old").otherwise(fp).alias("fp"))
-    return K.changed(old, new, "id", "fp").where("id % 7 <> 0").select("id", F.lit("pending").alias("status"), F.lit(0).alias("attempts"))
+    new = t.documents.where("doc_id % 5 <> 0").select(F.col("doc_id").alias("id"), fp.alias("fp"), F.when(F.col("doc_id") % 7 == 0, "digest").alias("generated_by"), F.lit(AS_OF).cast("timestamp_ntz").alias("at"))
+    queue = t.documents.where("doc_id % 4 <> 1").select(F.col("doc_id").alias("id"), F.lit("complete").alias("status"), F.lit(2).alias("attempts"), F.lit("e").alias("last_error"), F.when(F.col("doc_id") % 3 == 0, "old").otherwise(fp).alias("fp"), F.lit("2024-01-01").cast("timestamp_ntz").alias("queued_at"))
+    return C.enqueued(queue, new)
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 3 = 0 THEN 'pending' WHEN event_type = 'view' THEN 'complete' WHEN event_type = 'click' THEN 'pending' WHEN event_id % 6 + 1 >= 5 THEN 'failed' ELSE 'pending' END AS status FROM events""")
@@ -246,14 +272,26 @@ def k27_split_pack(t: Tables) -> DataFrame:
     return parts.select("doc_id", F.col("split_index").cast("bigint").alias("split_index"), "split_total", "part", "lang")
 
 
-@query()
-def k28_reatomise(t: Tables) -> DataFrame:
-    from engram.operators.chunks import chunked
+_MAIL = r"""WITH m AS (SELECT doc_id AS id, lang, CASE WHEN doc_id % 4 <> 0 THEN '[Email from ' || doc_id || '] ' ELSE '' END || replace(text, '. ', '.' || chr(10)) AS content FROM documents),
+p AS (SELECT id, lang, content, regexp_extract(content, '(?s)^(\[Email[^\]]*\])\s*(.*)$', 1) AS head, regexp_extract(content, '(?s)^(\[Email[^\]]*\])\s*(.*)$', 2) AS b FROM m),
+a AS (SELECT *, list_filter(list_transform(string_split(b, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts, head <> '' AND len(list_filter(string_split_regex(b, '\s+'), lambda x: x <> '')) >= 40 AS long FROM p),
+s AS (SELECT *, long AND len(parts) >= 2 AS gone FROM a), f AS (SELECT id, lang, head, len(parts) AS n, unnest(parts) AS atom, generate_subscripts(parts, 1) AS i FROM s WHERE gone)
+SELECT 'thought' AS what, id AS a, CAST(NULL AS BIGINT) AS b, content AS text, lang AS kind FROM s WHERE NOT gone UNION ALL SELECT 'thought', id * 100000 + i - 1 + 1000000000, id, left(head, length(head) - 1) || ' | atom ' || i || ' of ' || n || '] ' || atom, lang FROM f
+UNION ALL SELECT 'edge', CASE WHEN g.gone THEN g.id * 100000 + 1000000000 ELSE g.id END, CASE WHEN h.gone THEN h.id * 100000 + 1000000000 ELSE h.id END, NULL, relation FROM (SELECT source, target, CASE WHEN relation = 'child_of' THEN 'replies_to' ELSE relation END AS relation FROM graph_edges) e JOIN s g ON g.id = source JOIN s h ON h.id = target WHERE relation = 'replies_to' OR NOT (g.gone OR h.gone)
+UNION ALL SELECT 'link', CASE WHEN f.id IS NULL THEN s.id ELSE f.id * 100000 + i - 1 + 1000000000 END, s.id % 50, NULL, NULL FROM s LEFT JOIN f ON f.id = s.id"""
 
-    long = t.documents.where(F.length("text") > 4000)
-    atoms = chunked(long.select("doc_id", "text"), "doc_id", "text", 2000)
-    kept = t.documents.join(long.select("doc_id"), "doc_id", "left_anti").select("doc_id", F.lit(0).cast("bigint").alias("place"), F.col("text").alias("chunk"))
-    return kept.unionByName(atoms)
+
+@query(_MAIL)
+def k28_reatomise(t: Tables) -> DataFrame:
+    """Three of four documents as mails, a line an atom; the rows of all three results."""
+    mails = t.documents.select(F.col("doc_id").alias("id"), "lang", F.concat(F.when(F.col("doc_id") % 4 != 0, F.concat(F.lit("[Email from "), "doc_id", F.lit("] "))).otherwise(""), F.replace("text", F.lit(". "), F.lit(".\n"))).alias("content"))
+    edges = t.graph_edges.join(mails.select(F.col("id").alias("source")), "source", "left_semi").join(mails.select(F.col("id").alias("target")), "target", "left_semi")
+    edges = edges.select(F.col("source").alias("from_id"), F.col("target").alias("to_id"), F.when(F.col("relation") == "child_of", "replies_to").otherwise(F.col("relation")).alias("relation"))
+    links = mails.select(F.col("id").alias("thought_id"), (F.col("id") % 50).alias("entity_id"))
+    after, turned, relinked = C.reatomised(mails, edges, links, X.lines(F.col("body")), F.col("id") * 100000 + F.col("place") + 1000000000, 40)
+    rows = after.select(F.lit("thought").alias("what"), F.col("id").alias("a"), F.col("re_atomized_from").alias("b"), F.col("content").alias("text"), F.col("lang").alias("kind"))
+    rows = rows.unionByName(turned.select(F.lit("edge").alias("what"), F.col("from_id").alias("a"), F.col("to_id").alias("b"), F.lit(None).cast("string").alias("text"), F.col("relation").alias("kind")))
+    return rows.unionByName(relinked.select(F.lit("link").alias("what"), F.col("thought_id").alias("a"), F.col("entity_id").alias("b"), F.lit(None).cast("string").alias("text"), F.lit(None).cast("string").alias("kind")))
 
 
 @query()
