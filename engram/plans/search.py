@@ -105,7 +105,7 @@ def t02_web_query(t: Tables) -> DataFrame:
 
 @query(f"SELECT id, ROUND(least(1.0, len(list_filter({_TOK}, lambda x: x IN ('la', 'de'))) / 10), 6) AS rank FROM thoughts")
 def t03_text_rank(t: Tables) -> DataFrame:
-    return t.thoughts.select("id", F.round(T.text_rank("la de", T.tokens(F.col("content"))), 6).alias("rank"))
+    return t.thoughts.select("id", F.round(T.text_rank("la de", F.col("content")), 6).alias("rank"))
 
 
 _FIELDS = "regexp_extract_all(lower(concat_ws(' ', name, company, CAST(nation_id AS VARCHAR))), '[\\p{L}\\p{N}]+')"
