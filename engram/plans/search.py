@@ -167,14 +167,14 @@ def g05_trace_provenance(t: Tables) -> DataFrame:
     return G.trace_provenance(t.thoughts, 150)
 
 
-@query("""WITH RECURSIVE up AS (SELECT CAST(900 AS BIGINT) AS id, 0 AS depth, [CAST(900 AS BIGINT)] AS path, false AS cycle UNION ALL
-SELECT p.source, u.depth + 1, list_append(u.path, p.source), list_contains(u.path, p.source) FROM up u JOIN (SELECT DISTINCT id, source FROM (SELECT id, unnest(derived_from) AS source FROM thoughts UNION ALL SELECT 14, 900)) p ON p.id = u.id WHERE NOT u.cycle AND u.depth < 10),
-n AS (SELECT up.*, coalesce(sensitivity_tier, '') = 'restricted' AS restricted, content, row_number() OVER (ORDER BY depth, path) AS nth, COUNT(*) OVER () AS total FROM up JOIN thoughts t ON t.id = up.id), k AS (SELECT * FROM n WHERE nth <= 100)
-SELECT array_to_string(path, '/') AS path, id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth > 0 THEN array_to_string(path[:-2], '/') END AS under, cycle, restricted, CASE WHEN NOT restricted AND NOT cycle THEN substring(content, 1, 200) END AS preview, (SELECT COUNT(*) FROM k c WHERE c.depth = k.depth + 1 AND c.path[:-2] = k.path) AS parents, least(100, total) AS nodes, total > 100 AS truncated FROM k""")
+@query("""WITH RECURSIVE up AS (SELECT CAST(150 AS BIGINT) AS id, 0 AS depth, [CAST(150 AS BIGINT)] AS path, false AS cycle UNION ALL
+SELECT p.source, u.depth + 1, list_append(u.path, p.source), list_contains(u.path, p.source) FROM up u JOIN (SELECT DISTINCT id, source FROM (SELECT id, unnest(derived_from) AS source FROM thoughts UNION ALL SELECT 12, 150)) p ON p.id = u.id WHERE NOT u.cycle AND u.depth < 10),
+n AS (SELECT up.*, coalesce(sensitivity_tier, '') = 'restricted' AS restricted, content, row_number() OVER (ORDER BY depth, path) AS nth, COUNT(*) OVER () AS total FROM up JOIN thoughts t ON t.id = up.id), k AS (SELECT * FROM n WHERE nth <= 25)
+SELECT array_to_string(path, '/') AS path, id, CAST(depth AS BIGINT) AS depth, CASE WHEN depth > 0 THEN array_to_string(path[:-2], '/') END AS under, cycle, restricted, CASE WHEN NOT restricted AND NOT cycle THEN substring(content, 1, 200) END AS preview, (SELECT COUNT(*) FROM k c WHERE c.depth = k.depth + 1 AND c.path[:-2] = k.path) AS parents, least(25, total) AS nodes, total > 25 AS truncated FROM k""")
 def g06_provenance_tree(t: Tables) -> DataFrame:
     """With a thought derived from one that derives from it."""
-    rows = t.thoughts.withColumn("derived_from", F.when(F.col("id") == 14, F.array_append("derived_from", F.lit(900).cast("long"))).otherwise(F.col("derived_from")))
-    return G.provenance_tree(rows, 900, max_depth=10, cap=100)
+    rows = t.thoughts.withColumn("derived_from", F.when(F.col("id") == 12, F.array_append("derived_from", F.lit(150).cast("long"))).otherwise(F.col("derived_from")))
+    return G.provenance_tree(rows, 150, max_depth=10, cap=25)
 
 
 @query("SELECT id FROM thoughts WHERE list_contains(derived_from, 10) AND sensitivity_tier <> 'restricted' ORDER BY created_at DESC, id DESC LIMIT 500")
