@@ -85,6 +85,14 @@ def test_web_queries():
     assert T.web_query("") == [] and T.web_query("or or") == []
 
 
+def test_words_are_whole_tokens(spark):
+    texts = ["The cat", "concatenate", "cat-alog the_cat", "cat2", "été cat!", "", None, "cat, the", "the. CAT"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, s string")
+    fits = lambda query: {r.id for r in rows.where(T.matches(query, F.col("s"))).collect()}
+    assert fits("cat") == {0, 2, 4, 7, 8} and fits('"the cat"') == {0, 2, 8} and fits("cat -the") == {4} and fits("-cat") == {1, 3, 5, 6} and fits("") == set() and fits("été or cat2") == {3, 4}
+    assert {r.id: r.n for r in rows.select("id", T.text_rank("cat the", F.col("s")).alias("n")).collect()} == {0: 0.2, 1: 0.0, 2: 0.3, 3: 0.0, 4: 0.1, 5: 0.0, 6: 0.0, 7: 0.2, 8: 0.2}
+
+
 def test_text_search_falls_back_only_when_needed(spark):
     rows = spark.createDataFrame([(k, f"item{k} apple-pie", 5, 50) for k in range(4)] + [(9, "xxapplexx", 5, 50), (10, None, None, None)], "id long, content string, importance long, quality_score long").withColumn("created_at", F.lit("2024-01-01").cast("timestamp_ntz"))
     assert {r.id for r in T.search_text(rows, "apple", 4).collect()} == {0, 1, 2, 3}
