@@ -71,4 +71,31 @@ OP6 = "SELECT doc_id, lang, source, CAST(strlen(text) AS BIGINT) AS n_bytes, md5
 OP10 = """WITH p AS (SELECT page_id, coalesce(html, '') AS payload FROM pages), f AS (SELECT payload AS same, MIN(page_id) AS first_id FROM p WHERE strlen(payload) >= 100 GROUP BY 1)
 SELECT page_id, CAST(strlen(payload) AS BIGINT) AS payload_bytes, sha256(payload) AS payload_digest, CASE WHEN first_id < page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id < page_id THEN first_id END AS refers_to FROM p LEFT JOIN f ON same = payload"""
 
-ORACLE_SQL = {"op1_url_filter": OP1, "op2_jaccard_join": OP2, "op3_mixing": OP3, "op4_chat_formatting": OP4, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op10_warc": OP10}
+#: Levels that the SQL has: 16^4 documents of a source and as many sources.
+DEPTH = 4
+
+
+def _tree(nodes: str, paths: str) -> str:
+    """Levels over nodes (g, idx, d, m) as {nodes}0 .., and the leaves' way up through them as {paths}0 ..: rid, idx, folded, proof."""
+    out = []
+    for k in range(DEPTH):
+        out.append(f"""r{nodes}{k} AS (SELECT g, idx // 16 AS up, list(d ORDER BY idx) AS run, any_value(m) AS m FROM {nodes}{k} WHERE m > 1 GROUP BY 1, 2),
+{nodes}{k + 1} AS (SELECT g, up AS idx, sha256(array_to_string(run, '')) AS d, (m + 15) // 16 AS m FROM r{nodes}{k} UNION ALL SELECT g, idx, d, m FROM {nodes}{k} WHERE m = 1),
+{paths}{k + 1} AS (SELECT rid, g, idx // 16 AS idx, CASE WHEN run IS NULL THEN folded ELSE sha256(lft || folded || rgt) END AS folded, CASE WHEN run IS NULL THEN proof ELSE proof || lft || rgt END AS proof
+  FROM (SELECT p.*, run, COALESCE(array_to_string(run[1:p.idx % 16], ''), '') AS lft, COALESCE(array_to_string(run[p.idx % 16 + 2:], ''), '') AS rgt FROM {paths}{k} p LEFT JOIN r{nodes}{k} r ON r.g = p.g AND r.up = p.idx // 16))""")
+    return ",\n".join(out)
+
+
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen(CAST({0} AS VARCHAR)) || ':' || CAST({0} AS VARCHAR) END"
+_FIELDS = " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{0}"))
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, range(0, 8 * strlen(CAST(doc_id AS VARCHAR)))), lambda c, i: xor(xor(c, CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1])::BIGINT ELSE 0::BIGINT END) >> 1,
+  3988292384::BIGINT * (xor(c, CASE WHEN i % 8 = 0 THEN ascii(CAST(doc_id AS VARCHAR)[i // 8 + 1])::BIGINT ELSE 0::BIGINT END) & 1))), 4294967295::BIGINT)"""
+OP13 = f"""WITH base AS (SELECT row_number() OVER () AS rid, doc_id, CASE WHEN source IS NULL THEN '' ELSE '0' || source END AS g, sha256({_FIELDS.format("text")}) AS leaf,
+  sha256({_FIELDS.format(f"translate(text, '{_AZ}', '{_LOW}')")}) AS lowered, COALESCE({_CRC} % 5 = 0, false) AS tampered FROM documents),
+n AS (SELECT rid, g, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf, rid) - 1 AS idx, leaf AS d, COUNT(*) OVER (PARTITION BY g) AS m, CASE WHEN tampered THEN lowered ELSE leaf END AS start FROM base),
+n0 AS (SELECT g, idx, d, m FROM n), p0 AS (SELECT rid, g, idx, start AS folded, '' AS proof FROM n), {_tree("n", "p")},
+q AS (SELECT g AS source, row_number() OVER (ORDER BY g) - 1 AS idx, d, COUNT(*) OVER () AS m FROM n{DEPTH}),
+q0 AS (SELECT '' AS g, idx, d, m FROM q), u0 AS (SELECT rid, '' AS g, q.idx, folded, proof FROM p{DEPTH} p JOIN q ON q.source = p.g), {_tree("q", "u")}
+SELECT doc_id, leaf, q.d AS subroot, r.d AS root, sha256(u.proof) AS proof_sha256, u.folded AS folded_root, u.folded = r.d AS verified FROM base JOIN u{DEPTH} u USING (rid) JOIN q ON q.source = base.g CROSS JOIN q{DEPTH} r"""
+
+ORACLE_SQL = {"op1_url_filter": OP1, "op2_jaccard_join": OP2, "op3_mixing": OP3, "op4_chat_formatting": OP4, "op5_embedding_dedup": OP5, "op6_sharding": OP6, "op10_warc": OP10, "op13_merkle_manifest": OP13}

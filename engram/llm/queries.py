@@ -10,6 +10,7 @@ from engram.llm.decontaminate import find_leaks
 from engram.llm.embedding import near_vectors
 from engram.llm.jaccard import similar_documents
 from engram.llm.langid import held_out, identify, train
+from engram.llm.merkle import lowered, merkle_manifest
 from engram.llm.mixing import mix_sources
 from engram.llm.oracles import ORACLE_SQL
 from engram.llm.shared import shared_dir
@@ -17,6 +18,7 @@ from engram.llm.sharding import ShardStore
 from engram.llm.suffix import dedup_substrings
 from engram.llm.urlfilter import judge_urls
 from engram.llm.warc import FIRST_PAGE, PAGE, archive_pages, read_warc
+from engram.llm.whitening import whiten
 
 #: The rules of op1, fixed by its contract.
 RULES = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
@@ -110,5 +112,14 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(responses, F.octet_length("payload"), F.sha2("payload", 256)).unionByName(row(revisits, F.col("payload_bytes"), F.substring_index("payload_digest", ":", -1)))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc)}
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(_table(spark, sf_dir, "embeddings"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the documents, by the remainder of a checksum of their ids, are verified with their text in lower case."""
+    return merkle_manifest(_table(spark, sf_dir, "documents"), F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered(F.col("text"))))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc, op12_embedding_whitening, op13_merkle_manifest)}
 __all__ = ["ORACLE_SQL", "QUERIES"]
