@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.llm import quality
 from engram.llm.chat import link_tool_calls
 from engram.llm.decontaminate import find_leaks
 from engram.llm.embedding import near_vectors
@@ -112,6 +113,13 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return row(responses, F.octet_length("payload"), F.sha2("payload", 256)).unionByName(row(revisits, F.col("payload_bytes"), F.substring_index("payload_digest", ":", -1)))
 
 
+def op11_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    weights = quality.train(docs, labels.where(~quality.held_out()))
+    found = quality.score(docs.select("doc_id", "text"), weights)
+    return found.select("doc_id", quality.held_out().alias("held_out"), F.col("quality_score").alias("score"), F.col("quality_predicted").alias("predicted"))
+
+
 def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(_table(spark, sf_dir, "embeddings"))
 
@@ -121,5 +129,5 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(_table(spark, sf_dir, "documents"), F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, lowered(F.col("text"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc, op12_embedding_whitening, op13_merkle_manifest)}
+QUERIES = {f.__name__: f for f in (op1_url_filter, op2_jaccard_join, op3_mixing, op4_chat_formatting, op5_embedding_dedup, op6_sharding, op7_decontamination, op8_language_id, op9_suffix_dedup, op10_warc, op11_quality_classifier, op12_embedding_whitening, op13_merkle_manifest)}
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -16,7 +16,7 @@ def test_against_sql(spark, con, name):
     assert compare(QUERIES[name](spark, SF), con.sql(ORACLE_SQL[name])) is None
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - {"op12_embedding_whitening"}))
 def test_one_row_for_each_document(spark, con, name):
     rows = [r.doc_id for r in QUERIES[name](spark, SF).select("doc_id").collect()]
     assert sorted(rows) == sorted(r[0] for r in con.sql("SELECT doc_id FROM documents").fetchall())
