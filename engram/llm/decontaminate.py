@@ -211,18 +211,21 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def _pieces(data: np.ndarray, at: np.ndarray, reach: int):
-    """(start in the slice's bytes, plain bytes, the texts' offsets in them, where each was): a long text comes in pieces that overlap by reach plain bytes."""
+    """(plain bytes, the texts' offsets in them, where each was): a long text comes in pieces, each after the last reach plain bytes before it.
+
+    So what is within reach plain bytes is whole in some piece, however many other bytes stand between them.
+    """
     if len(at) > 2 or len(data) <= PIECE:
-        yield (0, *plain(data, at))
+        yield plain(data, at)
         return
-    start = 0
-    while True:
-        end = min(start + PIECE, len(data))
-        text, offsets, was = plain(data[start:end], np.array([0, end - start]))
-        yield start, text, offsets, was
-        if end == len(data):
-            return
-        start = start + int(was[-reach]) if len(was) > reach and was[-reach] > 0 else end
+    text, was = np.zeros(0, dtype=np.uint8), np.zeros(0, dtype=np.int64)
+    for start in range(0, len(data), PIECE):
+        # after a blank the run of other bytes goes on; any other byte was the one just before, and tells that a blank may follow
+        text, was = text[-reach:], was[-reach:]
+        again = int(len(text) > 0 and text[-1] != 0x20)
+        more, _, place = plain(data[start - again : start + PIECE], np.array([0, min(PIECE, len(data) - start) + again]))
+        text, was = np.concatenate([text, more[again:]]), np.concatenate([was, place[again:] + start - again])
+        yield text, np.array([0, len(text)]), was
 
 
 def _scan(docs: DataFrame, parts: Parts, text_col: str) -> DataFrame:
@@ -236,11 +239,11 @@ def _scan(docs: DataFrame, parts: Parts, text_col: str) -> DataFrame:
         for batch in batches:
             found = batch.column(given).to_pylist()
             for row, _, data, text_at in slices(batch.column(place)):
-                for start, text, at, was in _pieces(data, text_at, reach):
+                for text, at, was in _pieces(data, text_at, reach):
                     prefix = prefix_hash(text)
                     for grams in parts.grams:
                         for own, end, item, edits in _leaks(text, at, prefix, parts, grams):
-                            where = start + int(was[end - 1]) + 1 - int(text_at[own]) if end > at[own] else 0
+                            where = int(was[end - 1]) + 1 - int(text_at[own]) if end > at[own] else 0
                             found[row + own].append({"item": item, "end": where, "edits": edits})
             columns = list(batch.columns)
             unique = [sorted({(x["item"], x["end"], x["edits"]) for x in f}) for f in found]

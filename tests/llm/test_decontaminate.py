@@ -97,5 +97,35 @@ def test_small_tables_and_pieces_find_the_same(spark, monkeypatch):
     for ident, text in texts[:3]:
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         pieces = list(_pieces(data, np.array([0, len(data)]), parts.text.shape[1] + 2 * int(parts.edits.max())))
-        found = [x for _, plain_text, at, _ in pieces for g in parts.grams for x in _leaks(plain_text, at, prefix_hash(plain_text), parts, g)]
+        found = [x for plain_text, at, _ in pieces for g in parts.grams for x in _leaks(plain_text, at, prefix_hash(plain_text), parts, g)]
         assert len(pieces) > 1 and (sorted({i for _, _, i, _ in found}), min((e for *_, e in found), default=None)) == want[ident]
+
+
+def test_long_runs_of_other_bytes(spark, monkeypatch):
+    """Pieces of a few bytes against the whole text: dashes before, within and after items, and items over several cuts."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    items = [(k, " ".join(word() for _ in range(4 + 5 * k))) for k in range(6)]
+    parts = index_items(items, 120, 0.08)
+    reach = parts.text.shape[1] + 2 * int(parts.edits.max())
+    for _ in range(6):
+        text = ""
+        for _ in range(r.randint(2, 8)):
+            text += r.choice(["-" * r.randint(0, 900), word(), items[r.randrange(6)][1], items[r.randrange(6)][1].replace(" ", "." * r.randint(1, 300))]) + r.choice(["", " ", "é"])
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        whole, _, where = plain(data, np.array([0, len(data)]))
+        want = {(i, int(where[e - 1]), n) for g in parts.grams for _, e, i, n in _leaks(whole, np.array([0, len(whole)]), prefix_hash(whole), parts, g)}
+        for size in (90, 300):
+            monkeypatch.setattr("engram.llm.decontaminate.PIECE", size)
+            got, place, last = set(), [], -1
+            for piece, at, was in _pieces(data, np.array([0, len(data)]), reach):
+                place += [(int(p), int(c)) for p, c in zip(was, piece, strict=True) if p > last]
+                last = int(was[-1]) if len(was) else last
+                got |= {(i, int(was[e - 1]), n) for g in parts.grams for _, e, i, n in _leaks(piece, at, prefix_hash(piece), parts, g)}
+            assert place == list(zip(where.tolist(), whole.tolist(), strict=True))
+            assert {i for i, _, _ in got} == {i for i, _, _ in want} and want <= got
+    monkeypatch.undo()
+    item = "what is the capital of the smallest country"
+    text = "-" * ((1 << 22) - 60) + item + "-" * 10
+    got = find_leaks(spark.createDataFrame([(1, text), (2, "." * (1 << 22) + item)], "doc_id long, text string"), spark.createDataFrame([(5, item)], "item_id long, text string")).collect()
+    assert all(r.leak_items == [5] for r in got)
