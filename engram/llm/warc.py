@@ -7,6 +7,7 @@ a payload goes on to the next record after the headers without inflating the res
 from __future__ import annotations
 
 import json
+import re
 import struct
 import uuid
 import zlib
@@ -25,7 +26,8 @@ from engram.llm.shared import shared_dir
 #: Columns that come from a header of their own. All headers are in the map headers, by lower-case name.
 HEADERS = {"record_id": "warc-record-id", "record_type": "warc-type", "target_uri": "warc-target-uri", "date": "warc-date", "payload_digest": "warc-payload-digest", "refers_to": "warc-refers-to"}
 SCHEMA = ", ".join(f"{c} string" for c in HEADERS) + ", payload_bytes bigint, headers map<string,string>, payload binary"
-COMMITTED = "_committed.json"
+#: Lists of the files that jobs have committed.
+COMMITTED = re.compile(r"_committed(-[0-9a-f]+)?\.json$")
 #: The profile of a revisit whose payload is that of another record, and the headers that hold numbers of pages.
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 PAGE, FIRST_PAGE = "x-page-id", "x-refers-to-page-id"
@@ -168,10 +170,10 @@ class WarcReader(DataSourceReader):
         fs, path = pafs.FileSystem.from_uri(self.path)
         if fs.get_file_info(path).type == pafs.FileType.File:
             return [WarcFile(path)]
-        if fs.get_file_info(f"{path}/{COMMITTED}").type == pafs.FileType.File:
-            with fs.open_input_stream(f"{path}/{COMMITTED}") as f:
-                return [WarcFile(f"{path}/{x}") for x in json.loads(f.read())] or [WarcFile("")]
         found = fs.get_file_info(pafs.FileSelector(path))
+        lists = sorted(x.path for x in found if COMMITTED.match(x.base_name))
+        if lists:
+            return [WarcFile(f"{path}/{x}") for name in lists for x in json.loads(fs.open_input_stream(name).readall())] or [WarcFile("")]
         return [WarcFile(x.path) for x in sorted(found, key=lambda x: -x.size) if x.path.endswith((".warc", ".warc.gz"))] or [WarcFile("")]
 
     def read(self, partition: WarcFile):
@@ -191,40 +193,60 @@ class Written(WriterCommitMessage):
 
 
 class WarcWriter(DataSourceArrowWriter):
-    """Files get unique names and count from the moment the driver commits the list of those of the tasks that won."""
+    """Files get unique names and count from the moment the driver commits the list of those of the tasks that won.
 
-    def __init__(self, options: dict[str, str]):
-        self.path, self.limit = options["path"], int(options.get("maxFileBytes", 1 << 28))
+    Each job has a list of its own, so writers to one folder don't wait for or hide one another. An overwrite takes away
+    the lists that were there when it began, after its own is in place, and then their files. A task that fails takes its files away.
+    """
+
+    def __init__(self, options: dict[str, str], overwrite: bool = False):
+        self.path, self.limit, self.before = options["path"], int(options.get("maxFileBytes", 1 << 28)), []
+        if overwrite:
+            fs, path = pafs.FileSystem.from_uri(self.path)
+            self.before = [x.base_name for x in fs.get_file_info(pafs.FileSelector(path, allow_not_found=True)) if COMMITTED.match(x.base_name)]
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         fs, path = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(path)
         files, out = [], None
-        for batch in iterator:
-            for row in batch.to_pylist():
-                if out is None or out.tell() >= self.limit:
-                    if out is not None:
-                        out.close()
-                    files.append(f"{uuid.uuid4().hex}.warc.gz")
-                    out = fs.open_output_stream(f"{path}/{files[-1]}", compression=None)
-                headers = {"WARC-Type": row["record_type"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["date"], "WARC-Target-URI": row["target_uri"], "WARC-Refers-To": row["refers_to"], "WARC-Payload-Digest": row["payload_digest"]}
-                if row["record_type"] == "revisit":
-                    headers["WARC-Profile"] = PROFILE
-                if row["payload_bytes"] is not None:
-                    headers["WARC-Payload-Length"] = row["payload_bytes"]
-                own = {k.lower() for k in headers} | {"content-length"}
-                headers |= {k: v for k, v in row["headers"] or [] if k.lower() not in own}
-                out.write(member(record(headers, row["payload"] or b"")))
-        if out is not None:
-            out.close()
+        try:
+            for batch in iterator:
+                for row in batch.to_pylist():
+                    if out is None or out.tell() >= self.limit:
+                        if out is not None:
+                            out.close()
+                        files.append(f"{uuid.uuid4().hex}.warc.gz")
+                        out = fs.open_output_stream(f"{path}/{files[-1]}", compression=None)
+                    headers = {"WARC-Type": row["record_type"], "WARC-Record-ID": row["record_id"], "WARC-Date": row["date"], "WARC-Target-URI": row["target_uri"], "WARC-Refers-To": row["refers_to"], "WARC-Payload-Digest": row["payload_digest"]}
+                    if row["record_type"] == "revisit":
+                        headers["WARC-Profile"] = PROFILE
+                    if row["payload_bytes"] is not None:
+                        headers["WARC-Payload-Length"] = row["payload_bytes"]
+                    own = {k.lower() for k in headers} | {"content-length"}
+                    headers |= {k: v for k, v in row["headers"] or [] if k.lower() not in own}
+                    out.write(member(record(headers, row["payload"] or b"")))
+            if out is not None:
+                out.close()
+        except BaseException:
+            if out is not None:
+                out.close()
+            for x in files:
+                fs.delete_file(f"{path}/{x}")
+            raise
         return Written(files)
 
     def commit(self, messages) -> None:
         fs, path = pafs.FileSystem.from_uri(self.path)
         fs.create_dir(path)
-        with fs.open_output_stream(f"{path}/{COMMITTED}.tmp") as f:
+        name = f"_committed-{uuid.uuid4().hex}.json"
+        with fs.open_output_stream(f"{path}/{name}.tmp") as f:
             f.write(json.dumps([x for m in messages if m for x in m.files]).encode())
-        fs.move(f"{path}/{COMMITTED}.tmp", f"{path}/{COMMITTED}")
+        fs.move(f"{path}/{name}.tmp", f"{path}/{name}")
+        lists = {x: json.loads(fs.open_input_stream(f"{path}/{x}").readall()) for x in self.before}
+        for x in lists:
+            fs.delete_file(f"{path}/{x}")
+        for x in [x for files in lists.values() for x in files]:
+            fs.delete_file(f"{path}/{x}")
 
     def abort(self, messages) -> None:
         fs, path = pafs.FileSystem.from_uri(self.path)
@@ -246,7 +268,7 @@ class WarcDataSource(DataSource):
         return WarcReader(dict(self.options))
 
     def writer(self, schema: StructType, overwrite: bool) -> WarcWriter:
-        return WarcWriter(dict(self.options))
+        return WarcWriter(dict(self.options), overwrite)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,6 +1,9 @@
 import gzip
 import hashlib
+import os
 
+import pytest
+from pyspark.sql import functions as F
 from pyspark.sql.datasource import EqualTo, In
 
 from engram.llm.shared import shared_dir
@@ -63,3 +66,27 @@ def test_foreign_files(spark, tmp_path):
     got = read_warc(spark, f"file://{tmp_path}").collect()
     assert sorted((r.record_id, len(r.payload)) for r in got) == [("<urn:1>", 180_000)] * 2 + [("<urn:2>", 0)] * 2
     assert shared_dir(spark, "x") != shared_dir(spark, "x")
+
+
+def test_later_writes_add_or_replace(spark):
+    make = lambda a, b: spark.createDataFrame([(k, f"http://{k}", "p" * k) for k in range(a, b)], "page_id long, url string, html string")
+    pages_of = lambda path: sorted(int(r.headers[PAGE]) for r in read_warc(spark, path).collect())
+    path = archive_pages(make(1, 5).repartition(2))
+    archive_pages(make(5, 7), path)
+    assert pages_of(path) == [1, 2, 3, 4, 5, 6]
+    once = read_warc(spark, archive_pages(make(20, 23)))
+    once.write.format("warc").mode("append").save(path)
+    assert pages_of(path) == [1, 2, 3, 4, 5, 6, 20, 21, 22]
+    once.write.format("warc").mode("overwrite").save(path)
+    files = os.listdir(path.removeprefix("file://"))
+    assert pages_of(path) == [20, 21, 22] and sum(x.startswith("_committed") for x in files) == 1 and sum(x.endswith(".warc.gz") for x in files) <= 3
+
+
+def test_failed_tasks_leave_nothing(spark):
+    path = archive_pages(spark.createDataFrame([(1, "u", "p")], "page_id long, url string, html string"))
+    before = sorted(os.listdir(path.removeprefix("file://")))
+    bad = read_warc(spark, path).withColumn("payload", F.when(F.rand() >= 0, F.raise_error(F.lit("lost")).cast("binary")))
+    good = read_warc(spark, path)
+    with pytest.raises(Exception, match="lost"):
+        good.union(bad).coalesce(1).write.format("warc").mode("append").save(path)
+    assert sorted(os.listdir(path.removeprefix("file://"))) == before
