@@ -8,15 +8,28 @@ import uuid
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 class Taken(Exception):
     """Another writer has committed the version."""
 
 
+def united(old: str | None, new: StructType) -> str:
+    """The schema, as JSON, with the fields of both, old ones first; names that differ in case alone are one. ValueError: a name with two types."""
+    fields = [StructField(f.name, f.dataType) for f in (StructType.fromJson(json.loads(old)) if old else [])]
+    known = {f.name.lower(): f.dataType for f in fields}
+    for f in new:
+        kind = known.setdefault(f.name.lower(), f.dataType)
+        if kind != f.dataType:
+            raise ValueError(f"column {f.name} is {kind.simpleString()} in the store and {f.dataType.simpleString()} in these rows")
+        if len(known) > len(fields):
+            fields.append(StructField(f.name, f.dataType))
+    return StructType(fields).json()
+
+
 class ShardStore:
-    """A collection of rows of one schema in a folder that Spark reads and writes, by any number of writers.
+    """A collection of rows in a folder that Spark reads and writes, by any number of writers.
 
     manifests/N.json lists the runs of version N, each with its tier, bytes, files and rows: nothing but these counts. A commit
     writes the new manifest beside and renames it to the next number, which fails if another writer has taken it; the
@@ -26,7 +39,8 @@ class ShardStore:
     Runs are never changed. A writer leaves intents/ID before it writes run ID and takes it away after the commit;
     vacuum() deletes runs that neither a kept version nor an intent younger than grace_seconds names.
 
-    Nulls, repeated rows and extra columns are stored as they are. Appending an empty table makes a version with the
+    The store's columns are those of all appends: a row has nulls in those that its append didn't have. An append in which a column has
+    another type than in the store raises ValueError and stores nothing. Nulls, repeated rows and extra columns are stored as they are. Appending an empty table makes a version with the
     same runs and an empty one. Reading a store without versions raises ValueError. A writing task holds a row group
     of group_bytes, which is looked at every ten rows, so texts of megabytes don't add up to much more.
     """
@@ -89,11 +103,12 @@ class ShardStore:
 
     def append(self, df: DataFrame) -> dict:
         """Stores df as one run of small files, one for each of its partitions, and commits."""
-        run, schema = self._write(df), df.schema.json()
+        united(self.manifest()["schema"], df.schema)
+        run = self._write(df)
         while True:
             old = self.manifest()
             try:
-                new = self.commit(old, [*old["runs"], run], schema)
+                new = self.commit(old, [*old["runs"], run], united(old["schema"], df.schema))
             except Taken:
                 continue
             self._settled(run)

@@ -73,3 +73,19 @@ def test_a_taken_version_is_retried(spark, monkeypatch):
     store.append(rows(spark, 5, 6))
     store.compact()
     assert store.read().count() == 12 and not store._names("intents")
+
+
+def test_appends_with_other_columns(spark):
+    store = ShardStore(spark, shared_dir(spark, "t"), fan_in=4)
+    make = lambda data, kind: store.append(spark.createDataFrame(data, kind))
+    make([(1, "a")], "id long, t string")
+    make([(2,)], "ID long")
+    make([("c", 3, 0.5)], "t string, id long, more double")
+    want = [(1, "a", None), (2, None, None), (3, "c", 0.5)]
+    assert store.read().columns == ["id", "t", "more"] and sorted(map(tuple, store.read().collect())) == want
+    with pytest.raises(ValueError, match="column t is string"):
+        make([(4, 5)], "id long, t long")
+    make([(6, "f")], "id long, t string")
+    store.compact()
+    assert len(store.manifest()["runs"]) == 1 and sorted(map(tuple, store.read().collect())) == [*want, (6, "f", None)]
+    assert store.read(1).columns == ["id", "t"] and not store._names("intents")
