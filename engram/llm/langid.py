@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from engram.llm.bytetext import IN_WORD, SLICE, U, mixed, slices
+from engram.llm.bytetext import SLICE, U, mixed, slices
 
 #: First and last code points of scripts' blocks. Other letters are of script 0.
 SCRIPTS = {
@@ -40,6 +40,8 @@ SCRIPTS = {
 CELLS = 1 << 16
 PARTS = 16
 START, END = 1, 2
+#: Letters and marks of a word; a longer run, as in scripts without blanks, is several words.
+LONG = 64
 
 
 @lru_cache(maxsize=1)
@@ -72,19 +74,22 @@ def code_points(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def pieces(data: np.ndarray, limit: int):
-    """(start, end) of stretches of about limit bytes of a text, cut after a blank: no word is in two. One without blanks is longer."""
-    start = 0
+    """(start, end) of stretches of about limit bytes of a text, cut after a character that is neither letter nor mark, so that no word is in two.
+
+    In a run of letters without such a character the cut is at a multiple of LONG from its start, where a word ends as well.
+    """
+    inside, limit, start = _tables()[1], max(limit, 4 * LONG), 0
     while start < len(data):
-        end = start + limit
+        end = min(start + limit, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end += 1
         if end < len(data):
-            blank = np.flatnonzero(~IN_WORD[data[start:end]])
-            if len(blank):
-                end = start + int(blank[-1]) + 1
-            else:
-                while end < len(data) and not len(blank := np.flatnonzero(~IN_WORD[data[end : end + limit]])):
-                    end += limit
-                end = end + int(blank[0]) + 1 if end < len(data) else end
-        yield start, min(end, len(data))
+            chars, _ = code_points(data[start:end], np.array([0, end - start]))
+            where = np.append(np.flatnonzero((data[start:end] & 0xC0) != 0x80), end - start)
+            other = np.flatnonzero(~inside[chars])
+            after = int(other[-1]) + 1 if len(other) else 0
+            end = start + int(where[after + (len(chars) - after) // LONG * LONG])
+        yield start, end
         start = end
 
 
@@ -110,6 +115,11 @@ def find_words(data: np.ndarray, at: np.ndarray) -> Words:
     first = within & (~np.concatenate([[False], within[:-1]]) | edge[:-1]) if len(chars) else within
     last = within & (~np.concatenate([within[1:], [False]]) | edge[1:]) if len(chars) else within
     start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    if (end - start > LONG).any():
+        places = np.arange(len(chars))
+        first |= within & ((places - np.maximum.accumulate(np.where(first, places, 0))) % LONG == 0)
+        last = within & (np.concatenate([~within[1:] | first[1:], [True]]) | edge[1:])
+        start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
     c = lower[chars]
     before = np.where(first, START, np.concatenate([[START], c[:-1]])) if len(c) else c
     after = np.where(last, END, np.concatenate([c[1:], [END]])) if len(c) else c
@@ -301,7 +311,7 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text", penalty: flo
 
     lid_spans: (start, end, lang) in characters, the stretches of words of one language. lid_lang: the language with the
     most letters in them (of equal ones the first by name), und for a null text or one without letters. lid_score: its
-    share of the letters, 0 for und. Nothing but the text is looked at. Texts go whole: those over the slice a piece at a
+    share of the letters, 0 for und. A word is a run of letters and marks; of a run over LONG of them each LONG are one. Nothing but the text is looked at. Texts go whole: those over the slice a piece at a
     time, with the same result. Slices are the smaller the more languages there are. Columns named lid_* are replaced.
     """
     docs = docs.drop("lid_lang", "lid_score", "lid_spans")

@@ -113,7 +113,8 @@ def test_long_texts_in_pieces(model):
     """A text of one language and one of several, with a word longer than a piece: as in one go."""
     r = random.Random(6)
     mixed = " ".join(prose(r, w, r.randint(5, 60)) for _ in range(30) for w in (EN, DE, EL)) + " " + "der" * 400 + " the end"
-    for text in (prose(r, EN, 3000), mixed, "x" * 2000, "1 " * 1000):
+    bare = "".join(chr(r.randrange(0x4E00, 0x9FFF)) for _ in range(1500))
+    for text in (prose(r, EN, 3000), mixed, "x" * 2000, "1 " * 1000, bare, bare[:700] + "\u3002" + bare[700:], prose(r, DE, 900).replace(" ", ","), prose(r, EL, 400).replace(" ", ""), "ab \u0301\u0301" * 400):
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         w = find_words(data, np.array([0, len(data)]))
         path = viterbi(word_scores(w, model), np.array([0, len(w.text)]), 12.0)
@@ -121,7 +122,12 @@ def test_long_texts_in_pieces(model):
         for a, b, k, n in zip(w.start, w.end, path, w.letters, strict=True):
             letters[k] += n
             want = [*want[:-1], (want[-1][0], b, k)] if want and want[-1][2] == k else [*want, (a, b, k)]
-        assert sum(b - a for a, b in pieces(data, 500)) == len(data)
+        cuts = list(pieces(data, 500))
+        assert sum(b - a for a, b in cuts) == len(data) and max(b - a for a, b in cuts) <= 503
+        whole = [(int(s), int(e)) for s, e in zip(w.start, w.end, strict=True)]
+        lead = np.cumsum([0] + [len(data[a:b].tobytes().decode()) for a, b in cuts])
+        parts = [find_words(data[a:b], np.array([0, b - a])) for a, b in cuts]
+        assert [(int(s + lead[k]), int(e + lead[k])) for k, p in enumerate(parts) for s, e in zip(p.start, p.end, strict=True)] == whole and all(e - s <= 64 for s, e in whole)
         weight, spans = long_text(data, model, 12.0, 500)
         assert spans == want and weight.tolist() == letters.tolist()
 
