@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from engram.functions import text as X
 from engram.functions import values as V
 from engram.operators import capture as C
+from engram.operators import table as S
 from engram.operators import upsert as K
+from engram.operators.cut import folder
 from engram.plans.views import AS_OF, Tables, query
 
 _FP = "sha256(lower(trim(regexp_replace({0}, '\\s+', ' ', 'g'))))"
@@ -347,3 +349,58 @@ def k35_correspondents(t: Tables) -> DataFrame:
 @query("SELECT id, CASE WHEN k = 1 THEN 'decision' ELSE 'work_log' END AS memory_type, CAST(i - 1 AS BIGINT) AS place, CASE WHEN k = 2 THEN 'Next step: ' ELSE '' END || v AS content FROM (SELECT id, 1 AS k, unnest(topics) AS v, generate_subscripts(topics, 1) AS i FROM thoughts UNION ALL SELECT id, 2, unnest(people), generate_subscripts(people, 1) FROM thoughts)")
 def k36_payload_rows(t: Tables) -> DataFrame:
     return K.payload_rows(t.thoughts, {"topics": "decision", "people": "work_log"}, prefixed={"people": "Next step: "})
+
+
+@query(f"""WITH r AS (SELECT 0 AS new, doc_id AS seq, text AS content, lang, source, CAST(doc_id AS VARCHAR) AS ref FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT CASE WHEN doc_id % 3 = 0 THEN 1 ELSE 2 END, doc_id, text, lang, NULL, CAST(doc_id AS VARCHAR) FROM documents),
+f AS (SELECT *, {_FP.format('content')} AS fp FROM r)
+SELECT fp AS fingerprint, first(content ORDER BY new, seq) AS content, last(lang ORDER BY new, seq) AS lang, last(ref ORDER BY new, seq) AS ref, last(source ORDER BY new, seq) FILTER (WHERE source IS NOT NULL) AS source, COUNT(*) AS writes FROM f GROUP BY fp""")
+def k01_stored_upsert(t: Tables) -> DataFrame:
+    """Three batches into a stored table, the second of them twice, and the table read back."""
+    table = S.KeyedTable(t.spark, folder(t.spark, "thoughts"), S.THOUGHTS, ["fingerprint"], 16)
+    old, new = _writes(t)
+    for number, rows in enumerate((old, new.where("seq % 3 = 0"), new.where("seq % 3 = 0"), new.where("seq % 3 <> 0"))):
+        S.store_thoughts(table, rows, ("import", max(number - 1, 0) if number > 1 else number))
+    return table.read().select("fingerprint", "content", *[F.try_element_at("metadata", F.lit(k)).alias(k) for k in ("lang", "ref", "source")], "writes")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN upper(lang) ELSE lang END AS lang, n_chars FROM documents WHERE doc_id % 5 <> 0
+UNION ALL SELECT doc_id + 1000000000, lang, 0 FROM documents WHERE doc_id % 7 = 0""")
+def k12_stored_rows(t: Tables) -> DataFrame:
+    """Documents are stored; a third is replaced, some are new, some of what is there is offered again and passed over, a fifth is deleted."""
+    table = S.KeyedTable(t.spark, folder(t.spark, "rows"), "id bigint, lang string, n_chars bigint", ["id"], 16)
+    rows = t.documents.select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    S.store_rows(table, rows)
+    S.store_rows(table, rows.where("id % 3 = 0").withColumn("lang", F.upper("lang")))
+    S.store_rows(table, rows.where("id % 7 = 0").selectExpr("id + 1000000000 AS id", "lang", "0L AS n_chars").unionByName(rows.withColumn("lang", F.lit("no"))), replace=False)
+    S.remove_rows(table, rows.where("id % 5 = 0"))
+    return table.read()
+
+
+@query("SELECT least(a, b) AS from_id, greatest(a, b) AS to_id, 'writes_to' AS relation, 2 * COUNT(*) AS support, MAX(w) AS confidence FROM (SELECT l_partkey AS a, l_suppkey AS b, l_discount::DOUBLE AS w FROM lineitem) GROUP BY 1, 2")
+def k05_stored_edges(t: Tables) -> DataFrame:
+    """Mentions in two halves, each also the other way round, summed into a stored table."""
+    table = S.KeyedTable(t.spark, folder(t.spark, "edges"), S.EDGES, ["from_id", "to_id", "relation"], 16)
+    mentions = t.lineitem.select("l_linenumber", F.col("l_partkey").cast("long").alias("from_id"), F.col("l_suppkey").cast("long").alias("to_id"), F.lit("writes_to").alias("relation"), F.col("l_discount").cast("double").alias("confidence"))
+    for number, half in enumerate((mentions.where("l_linenumber % 2 = 0"), mentions.where("l_linenumber % 2 = 1"))):
+        S.store_edges(table, half.drop("l_linenumber").unionByName(half.select(F.col("to_id").alias("from_id"), F.col("from_id").alias("to_id"), "relation", "confidence")), True, ("mentions", number))
+    return table.read()
+
+
+@query("""WITH q AS (SELECT doc_id AS id, n_chars AS queued_at, row_number() OVER (ORDER BY n_chars, doc_id) AS n FROM documents)
+SELECT id, queued_at, CASE WHEN n <= 100 AND n % 2 = 0 THEN 'complete' WHEN n <= 60 THEN 'pending' WHEN n <= 100 THEN 'processing' WHEN n <= 150 THEN 'processing' ELSE 'pending' END AS status,
+  CASE WHEN n <= 60 AND n % 2 = 1 THEN 1 ELSE 0 END AS attempts, CASE WHEN n <= 60 AND n % 2 = 1 THEN 'no answer' END AS last_error, CASE WHEN n <= 60 AND n % 2 = 1 THEN NULL WHEN n <= 150 THEN 'second' END AS worker,
+  CASE WHEN n <= 100 AND n % 2 = 0 OR n <= 60 THEN NULL WHEN n <= 150 THEN 300::BIGINT END AS lease_until FROM q""")
+def r01_claims(t: Tables) -> DataFrame:
+    """One worker claims a hundred items and dies; another claims them and fifty more when the lease has run out, and settles some of them."""
+    from pyspark.sql import Window
+
+    queue = S.WorkQueue(t.spark, folder(t.spark, "claims"))
+    items = t.documents.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("queued_at"))
+    queue.put(items)
+    queue.claim("first", 100, now=0, lease=100)
+    mine = t.spark.createDataFrame([(k, n) for n, k in enumerate(queue.claim("second", 150, now=200, lease=100), 1)], "id bigint, n int")
+    known = items.join(F.broadcast(mine.select("id")), "id").withColumn("n", F.row_number().over(Window.orderBy("queued_at", "id")))
+    queue.settle("first", known.select("id", F.lit("complete").alias("outcome"), F.lit(None).cast("string").alias("error")), now=201)
+    done = known.where("n <= 100 AND n % 2 = 0").select("id", F.lit("complete").alias("outcome"), F.lit(None).cast("string").alias("error"))
+    queue.settle("second", done.unionByName(known.where("n <= 60 AND n % 2 = 1").select("id", F.lit("error").alias("outcome"), F.lit("no answer").alias("error"))), now=202)
+    return queue.read()
