@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
@@ -78,6 +78,39 @@ def above(links: DataFrame, starts: DataFrame, keys: list[str]) -> DataFrame:
     return marked.join(every, [*keys, "node"]).select(*keys, "node", F.col("depth").alias("place"))
 
 
+def subtree_sizes(links: DataFrame, keys: list[str]) -> DataFrame:
+    """links (keys, node, parent), one row for each node, parent a node or null -> (keys, node, size): the nodes at and below each.
+
+    After k rounds a node knows how many nodes are less than 2^k below it and which one is 2^k above; a round adds to
+    it what the nodes 2^k below know. So a tree of n nodes of any shape takes n rows a round and as many rounds as the logarithm of its depth.
+    Nodes on a cycle, or above none but such, get no size of meaning, and what is below a root is not among them.
+    """
+    rows = cut(links.select(*keys, "node", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")))
+    most = rows.groupBy(*keys).count().agg(F.max("count")).first()[0] if keys else rows.count()
+    for _ in range((most or 1).bit_length()):
+        if rows.where("up IS NOT NULL").isEmpty():
+            break
+        gain = rows.where("up IS NOT NULL").groupBy(*keys, F.col("up").alias("node")).agg(F.sum("size").alias("_gain"))
+        jump = rows.select(*keys, F.col("node").alias("up"), F.col("up").alias("_next"))
+        rows = cut(rows.join(gain, [*keys, "node"], "left").join(jump, [*keys, "up"], "left").select(*keys, "node", F.col("_next").alias("up"), (F.col("size") + F.coalesce("_gain", F.lit(0))).alias("size")))
+    return rows.select(*keys, "node", "size")
+
+
+def largest_paths(links: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """(keys, node, place): for each keys the way from the first root down, at each node to the child with the largest subtree, place 0 at the root.
+
+    links (keys, node, parent, and what order needs), one row for each node; a parent that is null or no node makes a root. Of
+    roots, and of children with subtrees of one size, the first by order. Nothing where there is no root, as where all nodes are on cycles.
+    """
+    known = links.select(*keys, F.col("node").alias("parent"), F.lit(True).alias("_known"))
+    rows = cut(links.join(known, [*keys, "parent"], "left").withColumn("parent", F.when(F.col("_known"), F.col("parent"))).drop("_known"))
+    roots = rows.where("parent IS NULL").groupBy(*keys).agg(F.min_by("node", F.struct(*order, "node")).alias("top"))
+    sized = rows.join(subtree_sizes(rows, keys), [*keys, "node"])
+    best = sized.where("parent IS NOT NULL").groupBy(*keys, "parent").agg(F.min_by("node", F.struct(-F.col("size"), *order, "node")).alias("node"), F.lit(True).alias("_best"))
+    heavy = rows.join(best, [*keys, "parent", "node"], "left").select(*keys, "node", F.when(F.col("_best"), F.col("parent")).alias("parent"))
+    return doubled(heavy, keys).join(roots, [*keys, "top"]).select(*keys, "node", F.col("depth").alias("place"))
+
+
 def parent_chain(parents: DataFrame, start: int) -> DataFrame:
     """(node, place): the chain of parents (node, parent) above a node, place 0 the topmost. A chain of any length; nothing if it runs into a cycle."""
     begin = parents.sparkSession.createDataFrame([(start,)], "node bigint")

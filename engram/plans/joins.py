@@ -257,6 +257,20 @@ def w10_branch(t: Tables) -> DataFrame:
     return parent_chain(t.documents.where("doc_id >= 1").selectExpr("doc_id AS node", "doc_id div 2 AS parent"), start)
 
 
+@query("""WITH RECURSIVE tree AS (SELECT doc_id AS node, CASE WHEN doc_id % 7 = 0 THEN doc_id // 7 ELSE doc_id // 3 END AS parent FROM documents WHERE doc_id >= 1),
+below AS (SELECT node AS top, node FROM tree UNION ALL SELECT top, t.node FROM below b JOIN tree t ON t.parent = b.node),
+sizes AS (SELECT top AS node, COUNT(*) AS size FROM below GROUP BY 1),
+best AS (SELECT parent, node FROM tree JOIN sizes USING (node) QUALIFY row_number() OVER (PARTITION BY parent ORDER BY size DESC, node) = 1),
+walk AS (SELECT 1::BIGINT AS node, 0 AS place UNION ALL SELECT b.node, place + 1 FROM walk w JOIN best b ON b.parent = w.node)
+SELECT node, CAST(place AS BIGINT) AS place FROM walk""")
+def w10_largest_branch(t: Tables) -> DataFrame:
+    """All documents as a tree of which each has up to four below it: from the first one down, to the largest subtree each time."""
+    from engram.operators.graph import largest_paths
+
+    links = t.documents.where("doc_id >= 1").selectExpr("1 AS tree", "doc_id AS node", "IF(doc_id % 7 = 0, doc_id div 7, doc_id div 3) AS parent")
+    return largest_paths(links, ["tree"], [F.col("node")]).select("node", "place")
+
+
 @query()
 def w11_adaptive_threshold(t: Tables) -> DataFrame:
     from engram.operators.windows import adaptive_threshold

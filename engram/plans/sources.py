@@ -6,7 +6,7 @@ import io
 import zipfile
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
@@ -17,15 +17,29 @@ from engram.streaming import jobs as R
 
 
 def _chat_files(t: Tables) -> DataFrame:
-    """A file for each conversation, as the export has it."""
+    """A file for each conversation, as the export has it.
+
+    Even ones are chains with a current node. Odd ones have none, and every third message was edited: it stands beside the one
+    before it, which nothing answers. Their lists of children name the edit first.
+    """
     at = F.col("conv_id") * 1000.0 + F.col("turn")
     message = F.struct(F.struct("role").alias("author"), F.struct(F.lit("text").alias("content_type"), F.array("text").alias("parts")).alias("content"), at.alias("create_time"))
-    node = F.struct(F.concat(F.lit("n"), "turn").alias("id"), F.when(F.col("turn") > 0, F.concat(F.lit("n"), F.col("turn") - 1)).alias("parent"), message.alias("message"))
-    conv = t.conversations.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(F.concat(F.lit("n"), "turn"), node))).alias("mapping"), F.max("turn").alias("last"))
+    name = lambda k: F.concat(F.lit("n"), k.cast("string"))
+    above = lambda k: k - F.when((F.col("conv_id") % 2 == 1) & (k % 3 == 2), 2).otherwise(1)
+    turn = F.col("turn")
+    children = F.transform(F.filter(F.array(turn + 2, turn + 1), lambda k: (above(k) == turn) & (k <= F.col("last"))), name)
+    rows = t.conversations.withColumn("last", F.max("turn").over(Window.partitionBy("conv_id")))
+    node = F.struct(name(turn).alias("id"), F.when(turn > 0, name(above(turn))).alias("parent"), children.alias("children"), message.alias("message"))
+    conv = rows.groupBy("conv_id").agg(F.map_from_entries(F.collect_list(F.struct(name(turn), node))).alias("mapping"), F.max("turn").alias("last"))
     return conv.select(F.to_json(F.array(F.struct(F.col("conv_id").cast("string").alias("id"), F.lit("chat").alias("title"), F.when(F.col("conv_id") % 2 == 0, F.concat(F.lit("n"), "last")).alias("current_node"), "mapping"))).alias("value"))
 
 
-@query("SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(turn AS BIGINT) AS place, role, text FROM conversations")
+@query("""WITH RECURSIVE tree AS (SELECT conv_id, turn, CASE WHEN conv_id % 2 = 1 AND turn % 3 = 2 THEN turn - 2 WHEN turn > 0 THEN turn - 1 END AS parent FROM conversations),
+below AS (SELECT conv_id, turn AS top, turn FROM tree UNION ALL SELECT b.conv_id, top, t.turn FROM below b JOIN tree t ON t.conv_id = b.conv_id AND t.parent = b.turn),
+sizes AS (SELECT conv_id, top AS turn, COUNT(*) AS size FROM below GROUP BY 1, 2),
+best AS (SELECT conv_id, parent, turn FROM tree JOIN sizes USING (conv_id, turn) WHERE parent IS NOT NULL QUALIFY row_number() OVER (PARTITION BY conv_id, parent ORDER BY size DESC, turn DESC) = 1),
+walk AS (SELECT conv_id, turn, 0 AS place FROM tree WHERE parent IS NULL UNION ALL SELECT w.conv_id, b.turn, place + 1 FROM walk w JOIN best b ON b.conv_id = w.conv_id AND b.parent = w.turn)
+SELECT CAST(conv_id AS VARCHAR) AS conv, CAST(place AS BIGINT) AS place, role, text FROM walk JOIN conversations USING (conv_id, turn)""")
 def s07_chat_export(t: Tables) -> DataFrame:
     return S.canonical_branch(S.chatgpt_nodes(_chat_files(t))).select("conv", "place", "role", "text")
 

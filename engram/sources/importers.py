@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions.values import extended_json_time
-from engram.operators.graph import above
+from engram.operators.graph import above, largest_paths
 
 NODE = "struct<id:string,parent:string,children:array<string>,message:struct<author:struct<role:string>,content:struct<content_type:string,parts:array<string>>,create_time:double>>"
 CHATGPT = f"array<struct<id:string,title:string,create_time:double,update_time:double,current_node:string,mapping:map<string,{NODE}>>>"
@@ -50,25 +50,33 @@ def unzipped(files: DataFrame, pattern: str) -> DataFrame:
 
 
 def chatgpt_nodes(files: DataFrame) -> DataFrame:
-    """Files (value) of conversations -> nodes (conv, title, current, node, parent, role, text, at), one row for each node."""
+    """Files (value) of conversations -> nodes (conv, title, current, node, parent, role, text, at, pos, children), one row for each node."""
     conv = files.select(F.explode(F.from_json(F.regexp_replace("value", "^﻿", ""), CHATGPT)).alias("c")).select("c.*")
-    nodes = conv.select(F.col("id").alias("conv"), "title", F.col("current_node").alias("current"), F.explode("mapping").alias("node", "n"))
+    nodes = conv.select(F.col("id").alias("conv"), "title", F.col("current_node").alias("current"), F.posexplode("mapping").alias("pos", "node", "n"))
     text = F.when(F.col("n.message.content.content_type") == "text", F.array_join("n.message.content.parts", "\n"))
-    return nodes.select("conv", "title", "current", "node", F.col("n.parent").alias("parent"), F.col("n.message.author.role").alias("role"), text.alias("text"), F.col("n.message.create_time").alias("at"))
+    return nodes.select("conv", "title", "current", "node", F.col("n.parent").alias("parent"), F.col("n.message.author.role").alias("role"), text.alias("text"), F.col("n.message.create_time").alias("at"), "pos", F.col("n.children").alias("children"))
 
 
 def canonical_branch(nodes: DataFrame) -> DataFrame:
-    """The nodes above and with each conversation's current node: adds place, 0 at the root. Without a current node the newest leaf counts.
+    """The nodes of each conversation's branch: adds place, 0 at the root.
 
-    Branches of any length, in as many rounds of joins as the logarithm of the longest. A branch that runs into a cycle is left out.
+    The branch ends at the current node. Where there is none, or none of that name, it goes from the first root down to the child with the
+    largest subtree each time. First is: by pos, the place in the file; of children by their place in the parent's children, those that aren't
+    in it after them. Without the columns pos and children the newest is first, then the first by name. A parent that isn't there makes a root. Branches of any length and
+    trees of any shape, in as many rounds of joins as the logarithm of the deepest. A branch that runs into a cycle is left out.
     """
-    leaves = nodes.join(nodes.select("conv", F.col("parent").alias("node")).distinct(), ["conv", "node"], "left_anti")
-    newest = leaves.groupBy("conv").agg(F.max_by("node", F.struct(F.coalesce("at", F.lit(0.0)), "node")).alias("leaf"))
-    start = nodes.groupBy("conv").agg(F.max("current").alias("current")).join(newest, "conv").select("conv", F.coalesce("current", "leaf").alias("node"))
+    ends = nodes.where("node = current").select("conv", "node").distinct()
     # a parent that the file doesn't have ends the chain
     known = nodes.select("conv", F.col("node").alias("parent"), F.lit(True).alias("_known")).distinct()
     links = nodes.join(known, ["conv", "parent"], "left").select("conv", "node", F.when(F.col("_known"), F.col("parent")).alias("parent"))
-    return nodes.join(above(links, start, ["conv"]), ["conv", "node"])
+    rest = nodes.join(ends.select("conv"), "conv", "left_anti")
+    order = [-F.coalesce("at", F.lit(0.0))]
+    if {"pos", "children"} <= set(nodes.columns):
+        listed = rest.select("conv", F.col("node").alias("parent"), F.posexplode("children").alias("_rank", "node")).groupBy("conv", "parent", "node").agg(F.min("_rank").alias("_rank"))
+        rest = rest.join(listed, ["conv", "parent", "node"], "left")
+        order = [F.coalesce("_rank", F.lit(1 << 30)), F.col("pos")]
+    free = largest_paths(rest.dropDuplicates(["conv", "node"]), ["conv"], order)
+    return nodes.join(above(links, ends, ["conv"]).unionByName(free), ["conv", "node"])
 
 
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
