@@ -7,6 +7,10 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions.values import merged_maps
+from engram.operators.upsert import latest
+
+#: The type of a highlight's event, and what stands between a highlight and its note.
+HIGHLIGHT, NOTE = "readwise.highlight.created", "\n\n— "
 
 #: Types of thoughts.
 TYPES = ("idea", "task", "person_note", "reference", "decision", "lesson", "meeting", "journal")
@@ -186,9 +190,10 @@ def highlight_captures(events: DataFrame, known: DataFrame, books: DataFrame, se
     Events with another secret, of another type, or of a highlight that known (highlight_id) has or that came before are passed over.
     Books (book_id, title, author, num_highlights, last_highlight_at) count their new highlights; one that isn't known stays uncounted.
     """
-    taken = events.where((F.col("secret") == secret) & (F.col("event_type") == "readwise.highlight.created")).dropDuplicates(["id"])
+    taken = events.where((F.col("secret") == secret) & (F.col("event_type") == HIGHLIGHT))
+    taken = latest(taken, ["id"], [F.col(c) for c in ("highlighted_at", "text", "note", "book_id")])  # of several the earliest, then the first by its text
     new = taken.join(known.select(F.col("highlight_id").alias("id")), "id", "left_anti")
-    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit("\n\n— "), F.col("note"))).otherwise("")
+    note = F.when(F.coalesce("note", F.lit("")) != "", F.concat(F.lit(NOTE), F.col("note"))).otherwise("")
     titles = books.select("book_id", F.col("title").alias("book_title"), F.col("author").alias("book_author"))
     thoughts = new.join(titles, "book_id", "left").select(F.col("id").alias("highlight_id"), "book_id", F.concat("text", note).alias("content"), F.lit("reference").alias("type"), F.lit("readwise").alias("source_type"), "book_title", "book_author", "highlighted_at")
     counts = new.groupBy("book_id").agg(F.count("*").alias("_n"), F.max("highlighted_at").alias("_last"))

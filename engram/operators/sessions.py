@@ -61,12 +61,13 @@ def save_layers(sessions: DataFrame, entries: DataFrame, saves: DataFrame) -> tu
     sessions (session_id, status, completed_layers), entries (session_id, layer, place, and the fields of ENTRY), payload a JSON array of entries,
     null as an empty one. The entries of a saved layer are replaced, in the payload's order from place 1; blank cadences
     and triggers are null. Completed layers stand in the layers' order; a session with all of them is ready for review.
-    Results (session_id, layer, result): saved, invalid layer, entries are no array, session not found, or session is not editable.
+    Results (session_id, layer, result): saved, invalid layer, payload is no JSON, entries are no array, session not found, or session is not editable.
     """
     rows = latest(saves, ["session_id", "layer"], [F.desc("seq")]).join(sessions.select("session_id", F.col("status").alias("_status"), F.lit(True).alias("_known")), "session_id", "left")
+    broken = F.col("payload").isNotNull() & F.try_parse_json("payload").isNull()
     wrong = F.col("payload").isNotNull() & ~F.trim("payload").startswith("[")
     result = (
-        F.when(~F.coalesce(F.col("layer").isin(*LAYERS), F.lit(False)), "invalid layer").when(wrong, "entries are no array").when(F.col("_known").isNull(), "session not found")
+        F.when(~F.coalesce(F.col("layer").isin(*LAYERS), F.lit(False)), "invalid layer").when(broken, "payload is no JSON").when(wrong, "entries are no array").when(F.col("_known").isNull(), "session not found")
         .when(~F.coalesce(F.col("_status").isin(*OPEN), F.lit(False)), "session is not editable").otherwise("saved")
     )
     judged = rows.select("session_id", "layer", "payload", result.alias("result"))

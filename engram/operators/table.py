@@ -19,22 +19,11 @@ class Conflict(Exception):
     """Another writer has committed the version."""
 
 
-class KeyedTable:
-    """Rows of one schema, in a folder that Spark reads and writes, by any number of writers.
-
-    A row is in the bucket that the hash of its keys has; nulls in keys are values like others. manifests/N.json lists for each
-    bucket of version N the runs that have its rows and how many. A merge reads the buckets that its changes
-    fall into, writes their new rows as one run and commits version N + 1 by a rename that fails where that exists. A writer
-    that comes second keeps its run if none of its buckets has changed meanwhile, and merges again if one has. So two writers
-    never lose each other's rows, and readers see a version whole. The rename has to be atomic, as on HDFS and local disks.
-
-    batch: (writer, number) of a merge; one with a number up to the writer's last is nothing, so a repeated batch, as of a stream
-    that starts again, isn't applied twice. A writer that dies leaves a run that no version names; vacuum() deletes it.
-    """
+class Versioned:
+    """A folder with manifests/N.json for version N; the newest says what counts. A commit is a rename that fails where the version exists."""
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], buckets: int = 64, rows_per_file: int = 1_000_000):
-        self.spark, self.path, self.keys, self.buckets, self.rows_per_file = spark, path.rstrip("/"), list(keys), buckets, rows_per_file
-        self.schema = StructType.fromDDL(schema)
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
         self._fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _at(self, name: str):
@@ -47,19 +36,16 @@ class KeyedTable:
         names = (x.getPath().getName() for x in self._names("manifests"))
         return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
 
-    def manifest(self, version: int | None = None) -> dict:
-        """The newest version, or a given one. ValueError: the table was made with other keys or buckets."""
+    def _read(self, version: int | None, empty: dict) -> dict:
+        """The newest version or a given one; empty where there is none yet."""
         found = self.versions()
         if not found:
-            return {"version": 0, "keys": self.keys, "buckets": self.buckets, "rows": {}, "runs": {}, "batches": {}}
+            return empty
         stream = self._fs.open(self._at(f"manifests/{version or found[-1]}.json"))
         try:
-            out = json.loads(bytes(stream.readAllBytes()).decode())
+            return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
-        if (out["keys"], out["buckets"]) != (self.keys, self.buckets):
-            raise ValueError(f"the table has {out['buckets']} buckets by {out['keys']}")
-        return out
 
     def commit(self, new: dict) -> dict:
         """Makes new the version that it names. Conflict if there is one."""
@@ -78,6 +64,32 @@ class KeyedTable:
             raise
         return new
 
+
+class KeyedTable(Versioned):
+    """Rows of one schema, in a folder that Spark reads and writes, by any number of writers.
+
+    A row is in the bucket that the hash of its keys has; nulls in keys are values like others. manifests/N.json lists for each
+    bucket of version N the runs that have its rows and how many. A merge reads the buckets that its changes
+    fall into, writes their new rows as one run and commits version N + 1 by a rename that fails where that exists. A writer
+    that comes second keeps its run if none of its buckets has changed meanwhile, and merges again if one has. So two writers
+    never lose each other's rows, and readers see a version whole. The rename has to be atomic, as on HDFS and local disks.
+
+    batch: (writer, number) of a merge; one with a number up to the writer's last is nothing, so a repeated batch, as of a stream
+    that starts again, isn't applied twice. A writer that dies leaves a run that no version names; vacuum() deletes it.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: Sequence[str], buckets: int = 64, rows_per_file: int = 1_000_000):
+        super().__init__(spark, path)
+        self.keys, self.buckets, self.rows_per_file = list(keys), buckets, rows_per_file
+        self.schema = StructType.fromDDL(schema)
+
+    def manifest(self, version: int | None = None) -> dict:
+        """The newest version, or a given one. ValueError: the table was made with other keys or buckets."""
+        out = self._read(version, {"version": 0, "keys": self.keys, "buckets": self.buckets, "rows": {}, "runs": {}, "batches": {}})
+        if (out["keys"], out["buckets"]) != (self.keys, self.buckets):
+            raise ValueError(f"the table has {out['buckets']} buckets by {out['keys']}")
+        return out
+
     def _bucket(self):
         return F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int")
 

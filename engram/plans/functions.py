@@ -165,7 +165,7 @@ def x15_evergreen(t: Tables) -> DataFrame:
     return _of_samples(t, tags=F.array_join(X.with_evergreen(F.col("s"), F.array(F.lit("x"))), ","))
 
 
-_PAYLOAD = f"""WITH s AS (SELECT doc_id AS id, text, regexp_replace(trim(regexp_replace(text, '[\s+]+', ' ', 'g')), '^ | $', '', 'g') AS flat FROM documents),
+_PAYLOAD = f"""WITH s AS (SELECT doc_id AS id, text, regexp_replace(trim(regexp_replace(text, '[\\s+]+', ' ', 'g')), '^ | $', '', 'g') AS flat FROM documents),
 p AS (SELECT *, CASE WHEN id % 5 = 0 THEN flat || CASE WHEN id % 10 <> 0 THEN ' Next step: call back' ELSE '' END ELSE trim(flat) END AS content, id % 5 = 0 AS matched, id % 4 <> 0 AS heard FROM s WHERE flat <> ''),
 v AS (SELECT *, coalesce(CASE WHEN matched THEN CASE WHEN id % 15 = 0 THEN 'meeting' END END, CASE WHEN id % 3 = 0 THEN 'Decision' END, CASE WHEN heard THEN CASE WHEN id % 2 = 0 THEN 'task' ELSE 'idea' END END, 'idea') AS wanted,
   coalesce(CASE WHEN id % 6 = 0 THEN 6 END, CASE WHEN matched THEN 4 END, CASE WHEN heard AND id % 7 <> 0 THEN least(5, id % 9) END, 3) AS importance, coalesce(CASE WHEN id % 8 = 0 THEN 1.0 END, CASE WHEN matched THEN 0.82 END, CASE WHEN heard THEN (id % 11) / 10.0 END, 0.55)::DOUBLE AS confidence,

@@ -41,6 +41,23 @@ def v03_exact_index(t: Tables) -> DataFrame:
     return rows.withColumn("similarity", V.similarity(F.col("embedding"), query_vector(t))).where("similarity > 0.2").select("id", F.round("similarity", 6).alias("similarity"))
 
 
+_COS = "ROUND(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 12)"
+
+
+@query(f"""SELECT a.vec_id AS query_id, b.vec_id AS id, ROUND({_COS}, 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {_COS} DESC, b.vec_id) <= 10""")
+def v03_vector_index(t: Tables) -> DataFrame:
+    """The index is built of two thirds of the vectors, the rest is appended; then every 50th vector asks for its ten nearest, exactly."""
+    from engram.operators.cut import folder
+    from engram.operators.vector_index import VectorIndex
+
+    rows = t.embeddings.select(F.col("vec_id").alias("id"), "embedding")
+    index = VectorIndex(t.spark, folder(t.spark, "vectors"))
+    index.build(rows.where("id % 3 <> 0"))
+    index.append(rows.where("id % 3 = 0"))
+    queries = rows.where("id % 50 = 0").withColumnRenamed("id", "query_id")
+    return index.search(queries, 10, exact=True, skip_self=True).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("""SELECT a.vec_id AS query_id, b.vec_id AS id, ROUND(list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS similarity FROM embeddings a JOIN embeddings b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id
 WHERE list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) > 0.3 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) DESC, b.vec_id) = 1""")
 def v04_duplicate_check(t: Tables) -> DataFrame:
