@@ -125,6 +125,36 @@ def t03_text_rank(t: Tables) -> DataFrame:
     return t.thoughts.select("id", F.round(T.text_rank("la de", F.col("content")), 6).alias("rank"))
 
 
+def _covers_sql(first: str, second: str, rest: str) -> str:
+    """Ranks by covers for two words that have to be there: id, rank, both."""
+    return f"""WITH tok AS (SELECT id, {_TOK} AS tok FROM thoughts), w AS (SELECT id, unnest(tok) AS w, unnest(range(1, len(tok) + 1)) AS place FROM tok),
+e AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY place) AS n FROM w WHERE w IN ('{first}', '{second}')),
+l AS (SELECT *, max(CASE WHEN w = '{first}' THEN n END) OVER p AS n1, max(CASE WHEN w = '{second}' THEN n END) OVER p AS n2, max(CASE WHEN w = '{first}' THEN place END) OVER p AS p1, max(CASE WHEN w = '{second}' THEN place END) OVER p AS p2 FROM e WINDOW p AS (PARTITION BY id ORDER BY place)),
+c AS (SELECT *, CASE WHEN n1 IS NOT NULL AND n2 IS NOT NULL THEN least(n1, n2) END AS s, least(p1, p2) AS sp FROM l),
+d AS (SELECT *, lag(s) OVER (PARTITION BY id ORDER BY place) AS before FROM c), r AS (SELECT id, SUM(0.1::DOUBLE / (1 + (place - sp) - (n - s))) AS rank FROM d WHERE s IS NOT NULL AND s > coalesce(before, 0) GROUP BY id)
+{rest}"""
+
+
+@query(_covers_sql("la", "de", "SELECT id, ROUND(coalesce(rank, 0), 6) AS rank FROM thoughts LEFT JOIN r USING (id)"))
+def t03_cover_rank(t: Tables) -> DataFrame:
+    from engram.operators.text_index import cover_rank
+
+    return t.thoughts.select("id", F.round(cover_rank("la de", F.col("content")), 6).alias("rank"))
+
+
+@query(_covers_sql("the", "and", "SELECT id, ROUND(rank, 6) AS rank FROM r JOIN tok USING (id) WHERE NOT list_contains(tok, 'shor')"))
+def t01_indexed_search(t: Tables) -> DataFrame:
+    """The thoughts are indexed in two segments, a tenth is removed and put back, and a search reads its own words' postings."""
+    from engram.operators.cut import folder
+    from engram.operators.text_index import TextIndex
+
+    index = TextIndex(t.spark, folder(t.spark, "texts"))
+    index.add(t.thoughts.where("id % 3 <> 0"))
+    index.add(t.thoughts.where("id % 3 = 0"))
+    index.replace(t.thoughts.where("id % 10 = 0"))
+    return index.search("the and -shor").select("id", F.round("rank", 6).alias("rank"))
+
+
 _FIELDS = "regexp_extract_all(lower(concat_ws(' ', name, company, CAST(nation_id AS VARCHAR))), '[\\p{L}\\p{N}]+')"
 
 
