@@ -115,9 +115,12 @@ def all_labels(text: Column, patterns: list[tuple[str, str]]) -> Column:
 
 def sensitivity(text: Column) -> tuple[Column, Column]:
     """(tier, reasons): restricted by the first pattern that fits, else personal by all that do, else standard."""
-    hard, soft = first_label(text, RESTRICTED), all_labels(text, PERSONAL)
-    tier = F.when(hard.isNotNull(), "restricted").when(F.size(soft) > 0, "personal").otherwise("standard")
-    return tier, F.when(hard.isNotNull(), F.array(hard)).otherwise(F.coalesce(soft, F.array().cast("array<string>")))
+    # one value to a row, so that each pattern is looked for once at most, and the soft ones only where no hard one fits
+    empty = F.array().cast("array<string>")
+    hard = F.transform(F.array(text), lambda x: F.struct(x.alias("text"), first_label(x, RESTRICTED).alias("hard")))
+    found = F.transform(hard, lambda x: F.struct(x["hard"].alias("hard"), F.when(x["hard"].isNotNull(), F.array(x["hard"])).otherwise(F.coalesce(all_labels(x["text"], PERSONAL), empty)).alias("reasons")))
+    one = F.element_at(F.transform(found, lambda x: F.struct(F.when(x["hard"].isNotNull(), "restricted").when(F.size(x["reasons"]) > 0, "personal").otherwise("standard").alias("tier"), x["reasons"].alias("reasons"))), 1)
+    return one["tier"], one["reasons"]
 
 
 def resolved_tier(detected: Column, override: Column) -> Column:
