@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from engram.operators.cut import folder
-from engram.operators.table import EDGES, THOUGHTS, Conflict, KeyedTable, WorkQueue, remove_rows, store_edges, store_rows, store_thoughts
+from engram.operators.table import EDGES, THOUGHTS, Conflict, KeyedTable, WorkQueue, remove_rows, sink, store_edges, store_rows, store_thoughts
 
 KIND = "id bigint, v string"
 
@@ -142,3 +142,22 @@ def test_leases_outcomes_and_attempts(spark):
     q.put(spark.createDataFrame([(0, 77), (2, 99), (4, 99)], "id bigint, queued_at bigint"))
     rows = {r.id: (r.status, r.attempts, r.last_error, r.queued_at) for r in q.read().collect()}
     assert rows[1] == ("failed", 2, "again", 1) and rows[0] == ("pending", 0, None, 77) and rows[2][3] == 2 and rows[4][0] == "processing"
+
+
+def test_stream_that_starts_again(spark):
+    """Without its checkpoint's last commit a batch comes twice, and is stored once."""
+    base = folder(spark, "stream")
+    t = KeyedTable(spark, f"{base}/table", "id bigint, n bigint", ["id"], 4)
+    add = lambda table, rows, batch: table.merge(rows, lambda stored, new: stored.unionByName(new).groupBy("id").agg(F.sum("n").alias("n")), batch)
+    spark.range(10).select("id", F.lit(1).cast("bigint").alias("n")).coalesce(1).write.parquet(f"{base}/in")
+    run = lambda: spark.readStream.schema("id bigint, n bigint").parquet(f"{base}/in").writeStream.foreachBatch(sink(t, add, "s")).option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    run()
+    commits = f"{base.removeprefix('file://')}/checkpoint/commits"
+    for name in os.listdir(commits):
+        if name.lstrip(".").split(".")[0] == "0":
+            os.remove(f"{commits}/{name}")
+    run()
+    assert {r.n for r in t.read().collect()} == {1} and t.manifest()["batches"] == {"s": 0} and t.read().count() == 10
+    spark.range(5).select("id", F.lit(1).cast("bigint").alias("n")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    run()
+    assert sorted((r.id, r.n) for r in t.read().collect()) == [(k, 2 if k < 5 else 1) for k in range(10)]
