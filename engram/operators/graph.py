@@ -1,46 +1,81 @@
-"""Traversal of a graph of edges (source, target, relation) and of provenance, by recursive queries and frontier joins."""
+"""Traversal of a graph of edges (source, target, relation) and of provenance, by joins of a frontier, depth after depth."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Sequence
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.operators.cut import cut
-from engram.operators.joins import neighbours
 
+#: So many rows of paths may go to all tasks.
+BROADCAST_ROWS = 10_000
+
+
+def ways(first: DataFrame, step: Callable[[DataFrame], DataFrame], max_depth: int, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Rows of first (with depth 0) and of what step makes of each depth's rows, depth after depth, so many at most, the first by depth and order.
+
+    The next depth only needs the kept rows of the one before, because a way that is beyond the cap at its depth leaves no room for those
+    that go on from it. So a graph with any number of ways costs cap rows a depth, and without a cap all its ways. Each depth is written.
+    """
+    levels = [cut(first if cap is None else first.orderBy(*order).limit(cap))]
+    total = n = levels[0].count()
+    for _ in range(max_depth):
+        if not n or (cap is not None and total >= cap):
+            break
+        # with a cap the rows of a depth are few enough to meet the edges where these are
+        at = levels[-1] if cap is None or cap > BROADCAST_ROWS else F.broadcast(levels[-1])
+        rows = step(at)
+        levels.append(cut(rows if cap is None else rows.orderBy(*order).limit(cap - total)))
+        n = levels[-1].count()
+        total += n
+    return reduce(DataFrame.unionByName, levels)
+
+
+def traverse(edges: DataFrame, start: int, max_depth: int = 3, relation: str | None = None, cap: int | None = None) -> DataFrame:
+    """All directed paths without repeated nodes: (node, depth, via, path), the start with depth 0. One row for each path, not for each node.
 
-def traverse(edges: DataFrame, start: int, max_depth: int = 3, relation: str | None = None) -> DataFrame:
-    """All directed paths without repeated nodes: (node, depth, via, path), the start with depth 0. One row for each path, not for each node."""
+    With a cap the first so many by depth, path and relation.
+    """
     rows = edges if relation is None else edges.where(F.col("relation") == relation)
-    return edges.sparkSession.sql(
-        """WITH RECURSIVE walk AS (
-          SELECT CAST({start} AS bigint) AS node, 0 AS depth, CAST(NULL AS string) AS via, array(CAST({start} AS bigint)) AS path
-          UNION ALL
-          SELECT e.target, w.depth + 1, e.relation, array_append(w.path, e.target) FROM walk w JOIN {edges} e ON e.source = w.node WHERE w.depth < {depth} AND NOT array_contains(w.path, e.target))
-        SELECT node, CAST(depth AS bigint) AS depth, via, path FROM walk""",
-        edges=rows, start=start, depth=max_depth,
-    )
+    ends = rows.select(F.col("source").cast("long").alias("_from"), F.col("target").cast("long").alias("_to"), F.col("relation").alias("_by"))
+    first = edges.sparkSession.range(1).select(F.lit(start).cast("long").alias("node"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("string").alias("via"), F.array(F.lit(start).cast("long")).alias("path"))
+
+    def step(at: DataFrame) -> DataFrame:
+        on = at.join(ends, F.col("_from") == F.col("node")).where(~F.array_contains("path", F.col("_to")))
+        return on.select(F.col("_to").alias("node"), (F.col("depth") + 1).alias("depth"), F.col("_by").alias("via"), F.array_append("path", F.col("_to")).alias("path"))
+
+    return ways(first, step, max_depth, ["path", "via"], cap)
 
 
 def shortest_path(edges: DataFrame, start: int, goal: int, max_depth: int = 6) -> DataFrame:
     """Steps (step, node, relation) of a shortest path over edges in either direction; nothing if there is none.
 
-    A breadth-first frontier: each round is a join with the edges and an anti join with the nodes seen. Of several ways
-    to a node the smallest (parent, relation) counts. start = goal is one step. Nodes without edges are unknown.
+    A breadth-first frontier. The neighbours of nodes at one distance are at most one nearer or farther, so a round only leaves out the
+    nodes of the last two rounds. Of several ways to a node the smallest (parent, relation) counts. start = goal is one step. Nodes without edges are unknown.
     """
-    both = neighbours(edges, "source", "target").select("node", "neighbour", "relation").distinct()
-    empty = F.array().cast("array<struct<node:bigint,relation:string>>")
-    begin = both.where(F.col("node") == start).select("node").distinct().select("node", F.array_append(empty, F.struct(F.col("node"), F.lit(None).cast("string").alias("relation"))).alias("path"))
-    frontier, seen = cut(begin), begin.select("node")
-    for _ in range(max_depth):
-        if frontier.where(F.col("node") == goal).limit(1).count() or frontier.isEmpty():
-            break
-        step = frontier.join(both, "node").join(seen.select(F.col("node").alias("neighbour")), "neighbour", "left_anti")
-        best = step.groupBy("neighbour").agg(F.min_by("path", F.struct("node", "relation")).alias("path"), F.min(F.struct("node", "relation")).alias("by"))
-        frontier = cut(best.select(F.col("neighbour").alias("node"), F.array_append("path", F.struct(F.col("neighbour").alias("node"), F.col("by.relation").alias("relation"))).alias("path")))
-        seen = cut(seen.unionByName(frontier.select("node")))
-    return frontier.where(F.col("node") == goal).select(F.posexplode("path").alias("step", "p")).select(F.col("step").cast("bigint").alias("step"), "p.node", "p.relation")
+    end = lambda a, b: F.struct(F.col(a).cast("long").alias("node"), F.col(b).cast("long").alias("neighbour"), "relation")
+    both = edges.select(F.inline(F.array(end("source", "target"), end("target", "source")))).where("neighbour IS NOT NULL")
+    # what a node was reached from, by distance
+    level = both.where(F.col("node") == start).limit(1).select("node", F.lit(None).cast("long").alias("parent"), F.lit(None).cast("string").alias("relation"))
+    levels = [cut(level)]
+    found = lambda rows: rows.agg(F.count("*").alias("n"), F.count_if(F.col("node") == goal).alias("goal")).first()
+    seen = found(levels[0])
+    while seen.n and not seen.goal and len(levels) <= max_depth:
+        step = both.join(levels[-1].select("node"), "node").groupBy(F.col("neighbour").alias("node")).agg(F.min(F.struct(F.col("node").alias("parent"), "relation")).alias("by"))
+        past = reduce(DataFrame.unionByName, levels[-2:]).select("node")
+        levels.append(cut(step.join(past, "node", "left_anti").select("node", "by.*")))
+        seen = found(levels[-1])
+    last = len(levels) - 1
+    at = levels[-1].where(F.col("node") == goal)
+    steps = [at.select(F.lit(last).cast("long").alias("step"), "node", "relation")]
+    for k in range(last - 1, -1, -1):
+        at = levels[k].join(F.broadcast(at.select(F.col("parent").alias("node"))), "node")
+        steps.append(at.select(F.lit(k).cast("long").alias("step"), "node", "relation"))
+    return reduce(DataFrame.unionByName, reversed(steps))
 
 
 def doubled(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -124,15 +159,16 @@ def trace_provenance(thoughts: DataFrame, start: int, max_depth: int = 10, cap:
 
     One row for each way to an ancestor. An ancestor that is on its own way is given once with cycle and not followed.
     """
-    parents = thoughts.select("id", F.explode("derived_from").alias("source"))
-    rows = thoughts.sparkSession.sql(
-        """WITH RECURSIVE up AS (SELECT CAST({start} AS bigint) AS id, 0 AS depth, CAST(NULL AS bigint) AS parent, array(CAST({start} AS bigint)) AS path, false AS cycle
-          UNION ALL SELECT p.source, u.depth + 1, u.id, array_append(u.path, p.source), array_contains(u.path, p.source) FROM up u JOIN {parents} p ON p.id = u.id WHERE NOT u.cycle AND u.depth < {depth})
-        SELECT id, CAST(depth AS bigint) AS depth, parent, cycle FROM up""",
-        parents=parents, start=start, depth=min(max_depth, 10),
-    )
-    tiers = thoughts.select("id", (F.coalesce("sensitivity_tier", F.lit("")) == "restricted").alias("restricted"))
-    return rows.join(tiers, "id").orderBy("depth", "id", F.asc_nulls_first("parent")).limit(min(cap, 2000))
+    known = thoughts.select(F.col("id").alias("_id"), F.col("derived_from").alias("_sources"), (F.coalesce("sensitivity_tier", F.lit("")) == "restricted").alias("_restricted"))
+    first = known.where(F.col("_id") == start).select(F.col("_id").alias("id"), F.lit(0).cast("long").alias("depth"), F.lit(None).cast("long").alias("parent"), F.lit(False).alias("cycle"), F.col("_restricted").alias("restricted"), F.array("_id").alias("path"), F.col("_sources").alias("sources"))
+
+    def step(at: DataFrame) -> DataFrame:
+        up = at.where("NOT cycle").select(F.col("id").alias("parent"), (F.col("depth") + 1).alias("depth"), "path", F.explode("sources").alias("id"))
+        up = up.select("*", F.array_contains("path", F.col("id")).alias("cycle"))
+        return up.join(known, F.col("_id") == F.col("id")).select("id", "depth", "parent", "cycle", F.col("_restricted").alias("restricted"), F.array_append("path", F.col("id")).alias("path"), F.col("_sources").alias("sources"))
+
+    cap = min(cap, 2000)
+    return ways(first, step, min(max_depth, 10), ["id", "parent", "path"], cap).select("id", "depth", "parent", "cycle", "restricted").orderBy("depth", "id", F.asc_nulls_first("parent"))
 
 
 def derivatives(thoughts: DataFrame, of: int, limit: int = 500) -> DataFrame:
@@ -147,19 +183,18 @@ def provenance_tree(thoughts: DataFrame, start: int, max_depth: int = 5, cap: in
     there twice; parents counts the nodes under a node. An ancestor that is on its own way has cycle and nothing else to it. The first cap
     nodes by depth and path are kept, and truncated says whether there were more. Restricted texts have no preview.
     """
-    sources = thoughts.select("id", F.explode("derived_from").alias("source")).distinct()
-    ways = thoughts.sparkSession.sql(
-        """WITH RECURSIVE up AS (SELECT CAST({start} AS bigint) AS id, 0 AS depth, array(CAST({start} AS bigint)) AS path, false AS cycle
-          UNION ALL SELECT p.source, u.depth + 1, array_append(u.path, p.source), array_contains(u.path, p.source) FROM up u JOIN {sources} p ON p.id = u.id WHERE NOT u.cycle AND u.depth < {depth})
-        SELECT id, CAST(depth AS bigint) AS depth, path, cycle FROM up""",
-        sources=sources, start=start, depth=min(max_depth, 10),
-    )
-    shown = thoughts.select("id", (F.coalesce("sensitivity_tier", F.lit("")) == "restricted").alias("restricted"), X.preview(F.col("content")).alias("preview"))
+    known = thoughts.select(F.col("id").alias("_id"), F.array_distinct("derived_from").alias("_sources"), (F.coalesce("sensitivity_tier", F.lit("")) == "restricted").alias("_restricted"), X.preview(F.col("content")).alias("_preview"))
+    kept = [F.col("_restricted").alias("restricted"), F.col("_preview").alias("preview"), F.col("_sources").alias("sources")]
+    first = known.where(F.col("_id") == start).select(F.col("_id").alias("id"), F.lit(0).cast("long").alias("depth"), F.lit(False).alias("cycle"), F.array("_id").alias("path"), *kept)
+
+    def step(at: DataFrame) -> DataFrame:
+        up = at.where("NOT cycle").select((F.col("depth") + 1).alias("depth"), "path", F.explode("sources").alias("id")).select("*", F.array_contains("path", F.col("id")).alias("cycle"))
+        return up.join(known, F.col("_id") == F.col("id")).select("id", "depth", "cycle", F.array_append("path", F.col("id")).alias("path"), *kept)
+
     # one row more than are kept shows whether there are more
-    rows = ways.join(shown, "id").orderBy("depth", "path").limit(cap + 1)
-    kept = cut(rows.withColumn("nth", F.row_number().over(Window.orderBy("depth", "path"))))
-    more, n = kept.where(F.col("nth") > cap).limit(1).count() > 0, kept.where(F.col("nth") <= cap).count()
+    rows = ways(first, step, min(max_depth, 10), ["path"], cap + 1)
+    n = rows.count()
     joined = lambda c: F.array_join(c.cast("array<string>"), "/")
-    nodes = kept.where(F.col("nth") <= cap).select(joined(F.col("path")).alias("path"), "id", "depth", F.when(F.col("depth") > 0, joined(F.slice("path", F.lit(1), F.size("path") - 1))).alias("under"), "cycle", "restricted", F.when(~F.col("restricted") & ~F.col("cycle"), F.col("preview")).alias("preview"))
+    nodes = rows.orderBy("depth", "path").limit(cap).select(joined(F.col("path")).alias("path"), "id", "depth", F.when(F.col("depth") > 0, joined(F.slice("path", F.lit(1), F.size("path") - 1))).alias("under"), "cycle", "restricted", F.when(~F.col("restricted") & ~F.col("cycle"), F.col("preview")).alias("preview"))
     under = nodes.where("under IS NOT NULL").groupBy(F.col("under").alias("path")).agg(F.count("*").alias("parents"))
-    return nodes.join(under, "path", "left").withColumn("parents", F.coalesce("parents", F.lit(0)).cast("long")).withColumns({"nodes": F.lit(n).cast("long"), "truncated": F.lit(more)})
+    return nodes.join(under, "path", "left").withColumn("parents", F.coalesce("parents", F.lit(0)).cast("long")).withColumns({"nodes": F.lit(min(n, cap)).cast("long"), "truncated": F.lit(n > cap)})
