@@ -47,18 +47,6 @@ def rule_metadata(text: Column) -> tuple[Column, Column]:
     return X.fallback_type(text), X.fallback_topics(text, {"meeting": "meetings", "budget": "money", "travel": "travel"}, "general")
 
 
-def dictionary_entities(rows: DataFrame, entities: DataFrame, id_col: str, text_col: str, least: float = 0.5) -> DataFrame:
-    """(id, entity_id, entity_type, confidence): entities whose name is in a text, validated as a model's answers are.
-
-    Distinct names meet texts by their first word; the entities that share a name come after.
-    """
-    words = rows.select(id_col, F.lower(text_col).alias("_t")).withColumn("_w", F.explode(F.array_distinct(F.regexp_extract_all("_t", F.lit(r"[\p{L}\p{N}]+"), 0))))
-    names = entities.select("entity_id", "entity_type", X.entity_name(F.col("canonical_name")).alias("_n")).where(F.length("_n").between(1, 200)).withColumn("_w", F.regexp_extract("_n", r"[\p{L}\p{N}]+", 0))
-    names = names.where(F.col("entity_type").isin(*ENTITY_TYPES))
-    found = words.join(names.select("_w", "_n").distinct(), "_w").where(F.contains("_t", "_n")).select(id_col, "_n").join(names.drop("_w"), "_n")
-    return found.select(id_col, "entity_id", "entity_type", F.when(F.length("_n") > 3, 0.9).otherwise(0.6).alias("confidence")).where(F.col("confidence") >= least).distinct()
-
-
 def classified_pairs(pairs: DataFrame, provider: Provider, most: int, least: float = 0.5) -> DataFrame:
     """Pairs (a, b, shared, text): the most that share the most are asked for a relation; unknown relations and weak answers go."""
     some = pairs.orderBy(F.desc("shared"), "a", "b").limit(most)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from engram.functions import text as X
+from engram.operators import entities as N
 from engram.operators import models as M
 from engram.plans.views import Tables, query
 from engram.sources import importers as S
@@ -282,10 +283,27 @@ def f01_metadata(t: Tables) -> DataFrame:
     return out.select("doc_id", "type", "summary", F.array_join("topics", ",").alias("topics"), "importance", "confidence", F.col("enrichment_status").alias("status"))
 
 
-@query()
+_WORDS = r"regexp_extract_all(lower({}), '[\p{{L}}\p{{N}}]+')"
+#: A sentence of part names behind every text; which names it has differs from text to text.
+_BEHIND = "concat_ws(' ', content, 'the', p_name, 'uses a red widget near hot plate; blue anvil', 'x', p_name)"
+_BEHIND_SQL = f"SELECT id, {_BEHIND} AS content FROM thoughts LEFT JOIN part ON p_partkey = id"
+
+
+def _named_thoughts(t: Tables) -> DataFrame:
+    return t.thoughts.join(t.part.select("p_partkey", "p_name"), F.col("p_partkey") == F.col("id"), "left").selectExpr("id", f"{_BEHIND} AS content")
+
+
+@query(f"""WITH e AS (SELECT DISTINCT entity_id, entity_type, array_to_string({_WORDS.format('canonical_name')}, ' ') AS n FROM entities), d AS (SELECT DISTINCT n FROM e),
+x AS (SELECT id, {_WORDS.format('content')} AS w, ' ' || array_to_string({_WORDS.format('content')}, ' ') || ' ' AS s FROM ({_BEHIND_SQL})),
+m AS (SELECT id, n, list_filter(range(1, len(w) + 1), lambda k: array_to_string(w[k:k + len(string_split(n, ' ')) - 1], ' ') = n) AS places FROM x JOIN d ON contains(s, ' ' || n || ' '))
+SELECT id, entity_id, entity_type, CASE WHEN length(n) > 3 THEN 0.9 ELSE 0.6 END::DOUBLE AS confidence, CAST(len(places) AS BIGINT) AS mentions, CAST(places[1] - 1 AS BIGINT) AS "first" FROM m JOIN e USING (n)""")
 def f02_entities(t: Tables) -> DataFrame:
-    rows = t.thoughts.select("id", F.concat_ws(" ", "content", F.lit("the small ring of a red widget")).alias("content"))
-    return M.dictionary_entities(rows, t.entities, "id", "content")
+    return N.text_entities(_named_thoughts(t), t.entities, "id", "content")
+
+
+@query()
+def f02_relations(t: Tables) -> DataFrame:
+    return N.text_relations(_named_thoughts(t), t.entities, M.keyword_relations, "id", "content")
 
 
 @query()
