@@ -323,10 +323,14 @@ def r05_suppression(t: Tables) -> DataFrame:
     return t.events.withColumn("before", F.coalesce(F.sum(F.when(F.col("value") < 5, 1).otherwise(0)).over(w), F.lit(0))).where("before < 2").select("event_id", "user_id")
 
 
-@query("""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+#: Three events of a user within two days, one after the other.
+LIMITED = """WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS moment, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 w AS (SELECT event_id, user_id, n, true AS ok, [moment] AS taken FROM e WHERE n = 1 UNION ALL
 SELECT e.event_id, e.user_id, e.n, len(list_filter(taken, lambda x: x >= moment - 172800000000)) < 3, CASE WHEN len(list_filter(taken, lambda x: x >= moment - 172800000000)) < 3 THEN list_append(list_filter(taken, lambda x: x >= moment - 172800000000), moment) ELSE list_filter(taken, lambda x: x >= moment - 172800000000) END FROM w JOIN e ON e.user_id = w.user_id AND e.n = w.n + 1)
-SELECT event_id, user_id, ok FROM w""")
+SELECT event_id, user_id, ok FROM w"""
+
+
+@query(LIMITED)
 def r08_rate_limit(t: Tables) -> DataFrame:
     """Three events of a user within two days; what is turned away doesn't count."""
     from engram.operators.windows import rate_limit

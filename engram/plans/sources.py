@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from engram.functions import text as X
 from engram.operators import entities as N
 from engram.operators import models as M
+from engram.plans.search import LIMITED
 from engram.plans.views import Tables, query
 from engram.sources import importers as S
 from engram.streaming import jobs as R
@@ -266,6 +267,12 @@ def r10_stream_windows(t: Tables) -> DataFrame:
     return _streamed(t, "r10", R.habit_days(_events(t), "user_id"), "append").withColumn("day", F.col("day").cast("timestamp_ntz"))
 
 
+@query(f"SELECT l.* FROM ({LIMITED}) l JOIN events USING (event_id) WHERE epoch_us(ts) <= (SELECT epoch_ms(MAX(ts)) - 60000 FROM events) * 1000")
+def r08_stream_limit(t: Tables) -> DataFrame:
+    """As r08_rate_limit, of what the watermark has passed at the end of the stream."""
+    return _streamed(t, "r08", R.limited(_events(t), "user_id", most=3, seconds=172800), "append").select("event_id", "user_id", "ok")
+
+
 def _odd_lengths(texts: list[str]) -> list[dict]:
     """A provider that answers texts of odd lengths."""
     return [{"type": "task" if len(x) % 3 == 0 else "riddle", "summary": x[:20], "topics": [f"t{len(x) % 5}", " "], "importance": float(len(x) % 10), "confidence": len(x) % 10 / 8} if len(x) % 2 else {} for x in texts]

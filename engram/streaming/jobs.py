@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections import deque
 from collections.abc import Callable, Iterator
 from functools import reduce
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 from pyspark.sql.types import StructType
 
 
@@ -126,3 +128,67 @@ def run_once(stream: DataFrame, sink: Callable[[DataFrame, int], None] | None =
     writer = writer.option("checkpointLocation", checkpoint) if checkpoint else writer
     query = writer.foreachBatch(sink).start() if sink else writer.format("memory").queryName(name).start()
     query.awaitTermination()
+
+
+class _Limit(StatefulProcessor):
+    """Rows wait in a list until the watermark has passed them, and are then judged in order; what is kept of those let through is their times."""
+
+    def __init__(self, most: int, width: int, kind: str):
+        self.most, self.width, self.kind = most, width, kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", f"at long, tie {self.kind}")
+        self.taken = handle.getListState("taken", "at long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for some in rows:
+            ats = [int(x) for x in some["at"]]
+            self.waiting.appendList(list(zip(ats, some["tie"], strict=True)))
+            first = min(ats) if first is None else min(first, *ats)
+        self.handle.registerTimer(-(-first // 1000))
+        yield pd.DataFrame(columns=["name", "at", "tie", "ok"])
+
+    def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting = sorted(self.waiting.get())
+        due, rest = [x for x in waiting if x[0] <= now], [x for x in waiting if x[0] > now]
+        taken, oks = deque(x[0] for x in self.taken.get()), []
+        for at, _ in due:
+            while taken and taken[0] < at - self.width:
+                taken.popleft()
+            oks.append(len(taken) < self.most)
+            if oks[-1]:
+                taken.append(at)
+        # a time that no later row can meet any more is not kept; a key without any is forgotten
+        while taken and taken[0] < now - self.width:
+            taken.popleft()
+        for state, left in ((self.waiting, rest), (self.taken, [(x,) for x in taken])):
+            if left:
+                state.put(left)
+            else:
+                state.clear()
+        if rest or taken:
+            self.handle.registerTimer(-(-min([x[0] for x in rest[:1]] or [taken[0] + self.width + 1000]) // 1000))
+        if due:
+            yield pd.DataFrame({"name": pd.Series([key[0]] * len(due), dtype=object), "at": [x[0] for x in due], "tie": [x[1] for x in due], "ok": oks})
+
+    def close(self) -> None:
+        pass
+
+
+def limited(stream: DataFrame, key: str, time: str = "ts", tie: str = "event_id", most: int = 30, seconds: float = 60, delay: str = "1 minute") -> DataFrame:
+    """(key, time, tie, ok) of a stream as `windows.rate_limit` gives it for its rows at once: fewer than most let through in the seconds before; those turned away don't count.
+
+    A row is judged when the watermark has passed it, so files may come in any order within the delay; rows later than that, and
+    rows without a time, go. State is the rows that wait and at most so many times for each key, and nothing once they are older than the seconds.
+    A key's rows are judged in one task, since each decision rests on the one before. Sets the session's state store to RocksDB, which timers need.
+    """
+    spark = stream.sparkSession
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    key_kind, kind = stream.schema[key].dataType.simpleString(), stream.schema[tie].dataType.simpleString()
+    # Python gets rows whose names can't begin with an underscore
+    rows = stream.where(F.col(time).isNotNull()).select(F.col(key).alias("name"), F.col(time).cast("timestamp").alias("moment"), F.col(tie).alias("tie")).withWatermark("moment", delay).withColumn("at", F.unix_micros("moment"))
+    judged = rows.groupBy("name").transformWithStateInPandas(_Limit(most, round(seconds * 1_000_000), kind), f"name {key_kind}, at long, tie {kind}, ok boolean", "append", "eventTime")
+    return judged.select(F.col("name").alias(key), F.timestamp_micros("at").alias(time), F.col("tie").alias(tie), "ok")
