@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from engram.operators.cut import cut
+
 
 def with_names(edges: DataFrame, entities: DataFrame) -> DataFrame:
     """Edges with the names of both ends."""
@@ -18,10 +20,31 @@ def neighbours(edges: DataFrame, source: str, target: str, relation: str = "rela
     return row(source, target, "outgoing").unionByName(row(target, source, "incoming"))
 
 
-def shared_pairs(links: DataFrame, least: int, item: str, group: str) -> DataFrame:
-    """Pairs (a, b, shared) of items that share so many groups or more."""
-    x, y = links.select(F.col(item).alias("a"), group), links.select(F.col(item).alias("b"), group)
-    return x.join(y, group).where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+def shared_pairs(links: DataFrame, least: int, item: str, group: str, direct: float = 100.0, block: int = 10_000) -> DataFrame:
+    """Pairs (a, b, shared) of items that share so many groups or more. Repeated links count once, nulls not at all.
+
+    While the groups hold at most `direct` pairs for each link, pairs are counted group by group. Beyond that, two items of n groups that share
+    k are found by the n - k + 1 rarest groups of each, since k - 1 others can't hold all that they share; so a group that most
+    items have is looked at only where items have little else. What is found is then counted by joins. Groups of over `block` items are met
+    in blocks.
+    """
+    rows = links.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i IS NOT NULL AND g IS NOT NULL").distinct()
+    sizes = rows.groupBy("g").agg(F.count("*").alias("df"))
+    cost = sizes.agg(F.sum(F.col("df") * (F.col("df") - 1.0) / 2).alias("pairs"), F.sum("df").alias("links")).first()
+    if least < 2 or (cost.pairs or 0) <= direct * (cost.links or 0):
+        x, y = rows.select(F.col("i").alias("a"), "g"), rows.select(F.col("i").alias("b"), "g")
+        return x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+    rows = cut(rows)
+    counts = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    rare = F.row_number().over(Window.partitionBy("i").orderBy("df", "g"))
+    heads = cut(rows.join(counts, "i").join(sizes, "g").withColumn("nth", rare).where(F.col("nth") <= F.col("n") - least + 1).select("i", "g"))
+    blocks = heads.groupBy("g").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")).where("blocks > 1")
+    cells = heads.join(blocks, "g", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    one = cells.select("g", F.col("i").alias("a"), F.pmod(F.xxhash64("i"), F.col("blocks")).alias("cell"))
+    all_ = cells.select("g", F.col("i").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks").cast("long") - 1)).alias("cell"))
+    found = one.join(all_, ["g", "cell"]).where("a < b").select("a", "b").distinct()
+    both = found.join(rows.withColumnRenamed("i", "a"), "a").join(rows.withColumnRenamed("i", "b"), ["b", "g"])
+    return both.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
 
 
 def connections(thoughts: DataFrame, anchor: int) -> DataFrame:
