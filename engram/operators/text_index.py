@@ -16,7 +16,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from engram.operators.cut import cut
+from engram.functions.stems import stem
 from engram.operators.search import tokens, web_query
+from engram.operators.stemmed import Groups, stemmed_query
 from engram.operators.table import Conflict, Versioned
 
 #: What a cover without other words counts.
@@ -26,8 +28,8 @@ WEIGHT = 0.1
 class Plan:
     """A query's alternatives, each of units (negative, numbers of words): words by number, those asked for first."""
 
-    def __init__(self, query: str):
-        groups = web_query(query)
+    def __init__(self, query: str | Groups):
+        groups = web_query(query) if isinstance(query, str) else query
         asked = sorted({w for g in groups for negative, words in g if not negative for w in words})
         self.asked = len(asked)
         self.words = asked + sorted({w for g in groups for negative, words in g if negative for w in words} - set(asked))
@@ -100,11 +102,12 @@ class TextIndex(Versioned):
     A segment's postings are in buckets by hash of the token, so a search reads the folders of its own words. add() makes a segment and merges
     the newest ones while the last is at least half as large as the one before, so there are as many as the logarithm of the texts. remove() keeps ids
     aside; merging drops them. An id that is added again is another text beside the old one unless that is removed first (replace() does both).
+    An english index holds English stems in place of words and takes queries by stems; stop words are held too, as phrases ask for them.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, rows_per_file: int = 4_000_000):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, rows_per_file: int = 4_000_000, english: bool = False):
         super().__init__(spark, path)
-        self.buckets, self.rows_per_file = buckets, rows_per_file
+        self.buckets, self.rows_per_file, self.english = buckets, rows_per_file, english
 
     def manifest(self, version: int | None = None) -> dict:
         return self._read(version, {"version": 0, "segments": [], "gone": []})
@@ -134,6 +137,8 @@ class TextIndex(Versioned):
         """Indexes texts as a segment, then merges segments of like size. Null and empty texts have an id and no postings."""
         rows = texts.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("place", "token"))
         postings = rows.groupBy("token", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        if self.english:  # a word is stemmed once for a text; words of one stem then meet
+            postings = postings.groupBy(stem(F.col("token")).alias("token"), "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
         new = self._write(postings, texts.select(F.col(id_col).alias("id")))
         out = self._change(lambda now: now | {"segments": [*now["segments"], new]} if new["texts"] else now)
         while len(s := out["segments"]) > 1 and s[-1]["texts"] * 2 >= s[-2]["texts"]:
@@ -197,7 +202,7 @@ class TextIndex(Versioned):
 
     def search(self, query: str) -> DataFrame:
         """(id, rank) of the texts that fit a query, in no order; rank by covers. Reads the query's words alone, and ids where an alternative asks for none."""
-        plan, now = Plan(query), self.manifest()
+        plan, now = Plan(stemmed_query(self.spark, query) if self.english else query), self.manifest()
         if not plan.words or not now["segments"]:
             return self.spark.createDataFrame([], "id bigint, rank double")
         number = F.create_map(*[F.lit(x) for k, w in enumerate(plan.words) for x in (w, k)])

@@ -163,6 +163,22 @@ def t04_contacts_search(t: Tables) -> DataFrame:
     return T.search_fields(t.contacts, "machinery", ["name", "company", "nation_id"], "contact_id", 40).select("contact_id", F.round("score", 6).alias("score"))
 
 
+#: What words of one stem look like, written out: the stems' rules aren't in SQL.
+_MACHINES, _STREETS = "^machin(e|es|ed|ing)$", "^(furnitur|furniture|furnitures)$"
+
+
+@query(f"""WITH w AS (SELECT contact_id, unnest(regexp_extract_all(lower(name), '[\\p{{L}}\\p{{N}}]+')) AS w, 1.0 AS weight FROM contacts UNION ALL SELECT contact_id, unnest(regexp_extract_all(lower(company), '[\\p{{L}}\\p{{N}}]+')), 0.4 FROM contacts),
+s AS (SELECT contact_id, weight, CASE WHEN regexp_matches(w, '{_MACHINES}') THEN 'a' WHEN w = 'machinery' THEN 'b' WHEN regexp_matches(w, '{_STREETS}') THEN 'c' END AS s FROM w),
+n AS (SELECT *, row_number() OVER (PARTITION BY contact_id, s ORDER BY weight DESC) AS k FROM s WHERE s IS NOT NULL), r AS (SELECT contact_id, SUM(weight / (k * k)) / (3 * pi() * pi() / 6) AS rank FROM n GROUP BY contact_id)
+SELECT contact_id, ROUND(CAST(rank AS DOUBLE), 6) AS rank FROM r""")
+def t04_stemmed_search(t: Tables) -> DataFrame:
+    """All contacts that fit: machines, machinery (another stem) or furnitures."""
+    from engram.operators.stemmed import search_stems
+
+    out = search_stems(t.contacts, "machines or the machinery or furnitures", {"name": 1.0, "company": 0.4}, "contact_id", limit=2**31 - 1)
+    return out.select("contact_id", F.round("rank", 6).alias("rank"))
+
+
 @query(f"SELECT token, COUNT(DISTINCT id) AS docs, COUNT(*) AS n FROM (SELECT id, unnest({_TOK}) AS token FROM thoughts) GROUP BY token")
 def t05_inverted_index(t: Tables) -> DataFrame:
     return T.inverted_index(t.thoughts).groupBy("token").agg(F.count("*").alias("docs"), F.sum("n").alias("n"))
