@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -332,6 +333,35 @@ def f05_summaries(t: Tables) -> DataFrame:
     return M.group_summaries(t.thoughts, ["type"], [F.desc("importance"), F.col("id")], "content")
 
 
+def _counters(prompts: list[str]) -> list[dict]:
+    """A provider that counts the letter e in what it is asked about, and adds up what it counted before: the sum is that of all texts, whatever the tree."""
+    out = []
+    for p in prompts:
+        lines = p.split("\n")[1:]
+        out.append({"summary": f"={sum(int(x[1:-1]) if x[:1] == x[-1:] == '=' and x[1:-1].isdigit() else x.count('e') for x in lines)}="})
+    return out
+
+
+_SHAPES = """SELECT 'day ' || source_type || '/' || strftime(created_at, '%Y-%m-%d') AS key, content AS text FROM thoughts UNION ALL SELECT 'week ' || strftime(date_trunc('week', created_at), '%Y-%m-%d'), content FROM thoughts
+UNION ALL SELECT 'year ' || strftime(created_at, '%Y'), content FROM thoughts UNION ALL SELECT 'conversation ' || conv_id, CASE WHEN trim(text) <> '' THEN role || ': ' || text END FROM conversations UNION ALL SELECT 'note ' || id, content FROM thoughts
+UNION ALL SELECT 'thread ' || conv_id // 2, CASE WHEN trim(text) <> '' THEN 'From: ' || role || chr(10) || text END FROM conversations UNION ALL SELECT 'entity ' || entity_id, content FROM thought_entities JOIN thoughts ON thought_id = id JOIN entities USING (entity_id)"""
+
+
+@query(f"SELECT key, COUNT(*) AS items, '=' || CAST(SUM(length(text) - length(replace(text, 'e', ''))) AS BIGINT) || '=' AS summary FROM ({_SHAPES}) GROUP BY key")
+def f05_summary_trees(t: Tables) -> DataFrame:
+    """The seven kinds of summaries over all texts."""
+    from engram.operators import summaries as Y
+
+    mails = t.conversations.withColumn("thread", F.expr("conv_id div 2"))
+    kinds = {
+        "day": Y.period_material(t.thoughts, "day", "created_at", "content", F.col("source_type")), "week": Y.period_material(t.thoughts, "week", "created_at", "content"), "year": Y.period_material(t.thoughts, "year", "created_at", "content"),
+        "conversation": Y.conversation_material(t.conversations, "conv_id", "turn", "role", "text"), "note": Y.note_material(t.thoughts, "id", F.col("type"), "content"),
+        "thread": Y.thread_material(mails, "thread", F.col("turn"), F.col("role"), "text"), "entity": Y.entity_material(t.thoughts, t.thought_entities, t.entities),
+    }
+    rows = [m.withColumn("key", F.concat(F.lit(f"{k} "), F.col("key"))) for k, m in kinds.items()]
+    return Y.tree_summaries(reduce(DataFrame.unionByName, rows), _counters).select("key", "items", "summary")
+
+
 @query("""SELECT id, CASE WHEN n % 2 = 0 THEN type WHEN n % 3 = 0 THEN 'task' ELSE 'idea' END AS type, CASE WHEN n % 2 = 1 THEN trim(left(content, 20)) END AS summary, 'kept' AS mark, CAST(CASE WHEN n % 2 = 1 THEN least(5, n % 10) ELSE importance END AS BIGINT) AS importance, CASE WHEN n % 2 = 1 THEN 'complete' ELSE 'fallback' END AS status FROM (SELECT *, length(content) AS n FROM thoughts)""")
 def f06_enrichment(t: Tables) -> DataFrame:
     rows = t.thoughts.select("id", "content", "type", F.create_map(F.lit("mark"), F.lit("kept")).alias("metadata"), "importance")
