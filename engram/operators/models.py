@@ -54,11 +54,21 @@ def classified_pairs(pairs: DataFrame, provider: Provider, most: int, least: flo
     return out.select("a", "b", "answer.relation", "answer.confidence").where(F.col("relation").isin(*RELATIONS) & (F.col("confidence") >= least))
 
 
-def atoms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, place, atom): compound texts by sentence, others whole."""
-    sentences = F.filter(F.transform(F.split(text_col, r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda x: x != "")
-    parts = F.when(X.is_compound(F.col(text_col)), sentences).otherwise(F.array(text_col))
-    return rows.where(F.col(text_col).isNotNull()).select(id_col, F.posexplode(parts).alias("place", "atom")).withColumn("place", F.col("place").cast("bigint"))
+def atoms(rows: DataFrame, id_col: str, text_col: str, provider: Provider | None = None, least: int = 1) -> DataFrame:
+    """(id, place, atom): compound texts by sentence, others whole. Null texts have none.
+
+    A provider is asked about compound texts and gives {"atoms": [..]}; blank atoms don't count, and a text for which it gives fewer than least,
+    or fails, goes by sentence.
+    """
+    trimmed = lambda c: F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != "")
+    some = rows.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("_text"), X.is_compound(F.col(text_col)).alias("_compound"))
+    parts = trimmed(F.split("_text", r"(?<=[.!?])\s+"))
+    if provider is not None:
+        some = answered(some.withColumn("_asked", F.when(F.col("_compound"), F.col("_text"))), "_asked", lambda texts: asked_only(texts, provider), "atoms array<string>")
+        said = trimmed(F.col("answer.atoms"))
+        parts = F.when(F.size(said) >= max(1, least), said).otherwise(parts)
+    found = some.select(id_col, F.posexplode(F.when(F.col("_compound"), parts).otherwise(F.array("_text"))).alias("place", "atom"))
+    return found.withColumn("place", F.col("place").cast("bigint"))
 
 
 def group_summaries(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], text_col: str, most: int = 20, chars: int = 160) -> DataFrame:

@@ -391,6 +391,32 @@ def f08_findings(t: Tables) -> DataFrame:
     return M.findings(t.documents, "doc_id", "text")
 
 
+def _linter(prompts: list[str]) -> list[dict]:
+    """A provider that finds neighbours of one importance, weighty short texts, and ids that it makes up; a few of its answers are no JSON."""
+    import json
+
+    out = []
+    for p in prompts:
+        rows = json.loads(p.split("THOUGHTS:\n", 1)[1])
+        if rows[0]["id"] % 7 == 0:
+            out.append({"raw": "I can't"})
+            continue
+        twins = [{"thought_ids": [a["id"], str(b["id"]), -5], "issue": " same ", "suggested_action": "merge"} for a, b in zip(rows, rows[1:], strict=False) if len(a["content"]) % 5 == len(b["content"]) % 5]
+        low = [{"thought_ids": [r["id"]], "issue": f"{len(r['content'])}", "suggested_action": None} for r in rows if r["importance"] >= 60 and len(r["content"]) < 400]
+        out.append({"raw": "```json\n" + json.dumps({"contradictions": twins, "low_signal": low, "orphans": "none", "others": low, "superseded": [{"thought_ids": [-1], "issue": "x"}]}) + "\n```"})
+    return out
+
+
+@query("""WITH r AS (SELECT id, importance, length(left(content, 400)) AS n, row_number() OVER (ORDER BY id DESC) - 1 AS k FROM thoughts WHERE length(trim(content)) >= 20),
+b AS (SELECT *, k // 20 AS batch, first_value(id) OVER (PARTITION BY k // 20 ORDER BY k) % 7 = 0 AS bad, lead(id) OVER (PARTITION BY k // 20 ORDER BY k) AS next, lead(n) OVER (PARTITION BY k // 20 ORDER BY k) AS m FROM r)
+SELECT batch, 'contradictions' AS category, id || ',' || next AS thoughts, 'same' AS issue FROM b WHERE NOT bad AND n % 5 = m % 5 UNION ALL SELECT batch, 'low_signal', CAST(id AS VARCHAR), CAST(n AS VARCHAR) FROM b WHERE NOT bad AND importance >= 60 AND n < 400
+UNION ALL SELECT batch, 'unreadable', string_agg(id, ',' ORDER BY k), NULL FROM b WHERE bad GROUP BY batch""")
+def f08_lint(t: Tables) -> DataFrame:
+    from engram.operators.lint import lint_batches, lint_findings
+
+    return lint_findings(lint_batches(t.thoughts, _linter)).select("batch", "category", F.array_join(F.col("thought_ids").cast("array<string>"), ",").alias("thoughts"), "issue")
+
+
 _NAMED = ["idea", "task", "lesson", "riddle"]
 
 
