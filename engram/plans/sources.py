@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import io
 import zipfile
+from collections.abc import Sequence
 from functools import reduce
 
 import pandas as pd
@@ -342,24 +343,70 @@ def _counters(prompts: list[str]) -> list[dict]:
     return out
 
 
-_SHAPES = """SELECT 'day ' || source_type || '/' || strftime(created_at, '%Y-%m-%d') AS key, content AS text FROM thoughts UNION ALL SELECT 'week ' || strftime(date_trunc('week', created_at), '%Y-%m-%d'), content FROM thoughts
-UNION ALL SELECT 'year ' || strftime(created_at, '%Y'), content FROM thoughts UNION ALL SELECT 'conversation ' || conv_id, CASE WHEN trim(text) <> '' THEN role || ': ' || text END FROM conversations UNION ALL SELECT 'note ' || id, content FROM thoughts
-UNION ALL SELECT 'thread ' || conv_id // 2, CASE WHEN trim(text) <> '' THEN 'From: ' || role || chr(10) || text END FROM conversations UNION ALL SELECT 'entity ' || entity_id, content FROM thought_entities JOIN thoughts ON thought_id = id JOIN entities USING (entity_id)"""
+#: The texts of each kind of summary, by key.
+_SHAPES = {
+    "day": "SELECT 'day ' || source_type || '/' || strftime(created_at, '%Y-%m-%d') AS key, content AS text FROM thoughts",
+    "week": "SELECT 'week ' || strftime(date_trunc('week', created_at), '%Y-%m-%d') AS key, content AS text FROM thoughts",
+    "year": "SELECT 'year ' || strftime(created_at, '%Y') AS key, content AS text FROM thoughts",
+    "conversation": "SELECT 'conversation ' || conv_id AS key, CASE WHEN trim(text) <> '' THEN role || ': ' || text END AS text FROM conversations",
+    "note": "SELECT 'note ' || id AS key, content AS text FROM thoughts",
+    "thread": "SELECT 'thread ' || conv_id // 2 AS key, CASE WHEN trim(text) <> '' THEN 'From: ' || role || chr(10) || text END AS text FROM conversations",
+    "entity": "SELECT 'entity ' || entity_id AS key, content AS text FROM thought_entities JOIN thoughts ON thought_id = id JOIN entities USING (entity_id)",
+}
 
 
-@query(f"SELECT key, COUNT(*) AS items, '=' || CAST(SUM(length(text) - length(replace(text, 'e', ''))) AS BIGINT) || '=' AS summary FROM ({_SHAPES}) GROUP BY key")
-def f05_summary_trees(t: Tables) -> DataFrame:
-    """The seven kinds of summaries over all texts."""
+def _shape(t: Tables, kind: str) -> DataFrame:
     from engram.operators import summaries as Y
 
-    mails = t.conversations.withColumn("thread", F.expr("conv_id div 2"))
-    kinds = {
-        "day": Y.period_material(t.thoughts, "day", "created_at", "content", F.col("source_type")), "week": Y.period_material(t.thoughts, "week", "created_at", "content"), "year": Y.period_material(t.thoughts, "year", "created_at", "content"),
-        "conversation": Y.conversation_material(t.conversations, "conv_id", "turn", "role", "text"), "note": Y.note_material(t.thoughts, "id", F.col("type"), "content"),
-        "thread": Y.thread_material(mails, "thread", F.col("turn"), F.col("role"), "text"), "entity": Y.entity_material(t.thoughts, t.thought_entities, t.entities),
-    }
-    rows = [m.withColumn("key", F.concat(F.lit(f"{k} "), F.col("key"))) for k, m in kinds.items()]
-    return Y.tree_summaries(reduce(DataFrame.unionByName, rows), _counters).select("key", "items", "summary")
+    if kind in ("day", "week", "year"):
+        rows = Y.period_material(t.thoughts, kind, "created_at", "content", F.col("source_type") if kind == "day" else None)
+    elif kind == "conversation":
+        rows = Y.conversation_material(t.conversations, "conv_id", "turn", "role", "text")
+    elif kind == "note":
+        rows = Y.note_material(t.thoughts, "id", F.col("type"), "content")
+    elif kind == "thread":
+        rows = Y.thread_material(t.conversations.withColumn("thread", F.expr("conv_id div 2")), "thread", F.col("turn"), F.col("role"), "text")
+    else:
+        rows = Y.entity_material(t.thoughts, t.thought_entities, t.entities)
+    return rows.withColumn("key", F.concat(F.lit(f"{kind} "), F.col("key")))
+
+
+def _counted_sql(kinds: Sequence[str]) -> str:
+    texts = " UNION ALL ".join(_SHAPES[k] for k in kinds)
+    return f"SELECT key, COUNT(*) AS items, '=' || CAST(SUM(length(text) - length(replace(text, 'e', ''))) AS BIGINT) || '=' AS summary FROM ({texts}) GROUP BY key"
+
+
+def _summed(t: Tables, kinds: Sequence[str]) -> DataFrame:
+    from engram.operators.summaries import tree_summaries
+
+    return tree_summaries(reduce(DataFrame.unionByName, [_shape(t, k) for k in kinds]), _counters).select("key", "items", "summary")
+
+
+@query(_counted_sql(list(_SHAPES)))
+def f05_summary_trees(t: Tables) -> DataFrame:
+    """The seven kinds of summaries over all texts, in one tree."""
+    return _summed(t, list(_SHAPES))
+
+
+@query(_counted_sql(["day", "week"]))
+def f05_period_summaries(t: Tables) -> DataFrame:
+    return _summed(t, ["day", "week"])
+
+
+@query(_counted_sql(["year"]))
+def f05_year_summaries(t: Tables) -> DataFrame:
+    """Few groups, of which each holds much of the table."""
+    return _summed(t, ["year"])
+
+
+@query(_counted_sql(["conversation", "thread"]))
+def f05_dialogue_summaries(t: Tables) -> DataFrame:
+    return _summed(t, ["conversation", "thread"])
+
+
+@query(_counted_sql(["entity"]))
+def f05_entity_summaries(t: Tables) -> DataFrame:
+    return _summed(t, ["entity"])
 
 
 @query("""SELECT id, CASE WHEN n % 2 = 0 THEN type WHEN n % 3 = 0 THEN 'task' ELSE 'idea' END AS type, CASE WHEN n % 2 = 1 THEN trim(left(content, 20)) END AS summary, 'kept' AS mark, CAST(CASE WHEN n % 2 = 1 THEN least(5, n % 10) ELSE importance END AS BIGINT) AS importance, CASE WHEN n % 2 = 1 THEN 'complete' ELSE 'fallback' END AS status FROM (SELECT *, length(content) AS n FROM thoughts)""")
