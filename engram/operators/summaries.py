@@ -6,10 +6,15 @@ tree_summaries() makes a summary of each key's texts in order of place.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from engram.operators.cut import cut
 from engram.operators.models import Provider, answered
@@ -58,17 +63,37 @@ def entity_material(thoughts: DataFrame, links: DataFrame, entities: DataFrame,
 def in_batches(rows: DataFrame, keys: list[str], order: list[str], size: str, width: int) -> DataFrame:
     """rows with batch: by how many whole widths lie before a row, in the order of its key's rows. A key's rows are never in one task.
 
-    Rows are ranged by key and order and written with the number of their range; sums within ranges are added to sums of the ranges before, of
-    which a key has as many as ranges. Which range a row is in doesn't change its batch.
+    Rows are ranged by key and order, summed up range by range and written. What lies in earlier ranges is added to the rows of the key that a
+    range begins with, so there is one sum a range to send along. Which range a row is in doesn't change its batch.
     """
-    ranged = cut(rows.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id()))
-    inside = F.sum(size).over(Window.partitionBy("_part", *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(size)
-    parts = ranged.groupBy(*keys, "_part").agg(F.sum(size).alias("_all"))
+    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order).withColumn("_part", F.spark_partition_id())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carried = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(size).to_numpy().astype(np.int64)
+            key = [batch.column(k) for k in keys]
+            new = np.array([[c[0].as_py() for c in key] != last] + [False] * (len(sizes) - 1))
+            for c in key:
+                a, b = c.slice(1), c.slice(0, len(c) - 1)
+                other = pc.or_(pc.fill_null(pc.not_equal(a, b), False), pc.xor(a.is_null(), b.is_null()))
+                new[1:] |= other.to_numpy(zero_copy_only=False)
+            before = np.cumsum(sizes) - sizes
+            start = np.maximum.accumulate(np.where(new, before, -1))
+            inside = np.where(start >= 0, before - start, before + carried)
+            last, carried = [c[-1].as_py() for c in key], int(inside[-1] + sizes[-1])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(inside)], [*batch.schema.names, "_inside"])
+
+    summed_rows = cut(ranged.mapInArrow(summed, StructType([*ranged.schema.fields, StructField("_inside", LongType())])))
+    parts = summed_rows.groupBy(*keys, "_part").agg(F.max(F.col("_inside") + F.col(size)).alias("_all"))
     before = F.sum("_all").over(Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_all")
-    parts = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), before.alias("_before"))
+    begun = parts.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col("_part").alias("_p"), before.alias("_before")).where("_before > 0")
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys], F.col("_part") == F.col("_p"))
-    placed = ranged.withColumn("_inside", inside).join(parts, same)
-    return placed.withColumn("batch", F.floor((F.col("_before") + F.col("_inside")) / width)).drop("_part", "_p", "_inside", "_before", "_all", *[f"_{k}" for k in keys])
+    # broadcast: only the first key of a range can have begun before it
+    placed = summed_rows.join(F.broadcast(begun), same, "left")
+    return placed.withColumn("batch", F.floor((F.coalesce("_before", F.lit(0)) + F.col("_inside")) / width)).drop("_part", "_p", "_inside", "_before", *[f"_{k}" for k in keys])
 
 
 def tree_summaries(material: DataFrame, provider: Provider, budget: int = 6000, plain: int = 0, retries: int = 2) -> DataFrame:
