@@ -4,6 +4,9 @@ import random
 import time
 
 from engram.operators.search import trigram_search, trigrams
+from engram.plans import all_queries
+
+QUERIES, SF = all_queries()[0], "/root/testdata/sf0.001"
 
 
 def test_trigrams_of_a_long_text_take_one_pass(spark):
@@ -16,3 +19,8 @@ def test_trigrams_of_a_long_text_take_one_pass(spark):
     began = time.time()
     assert [x.id for x in trigram_search(long.withColumn("trigrams", trigrams(long.content)), "O YES").collect()] == [1]
     assert time.time() - began < 30
+
+
+def test_what_a_stream_gives_is_in_files(spark):
+    """Not in a table in the driver's memory."""
+    assert all(QUERIES[q](spark, SF).inputFiles() for q in ("r02_stream_dedup", "r08_stream_limit", "r10_stream_windows"))
