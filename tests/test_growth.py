@@ -24,3 +24,22 @@ def test_trigrams_of_a_long_text_take_one_pass(spark):
 def test_what_a_stream_gives_is_in_files(spark):
     """Not in a table in the driver's memory."""
     assert all(QUERIES[q](spark, SF).inputFiles() for q in ("r02_stream_dedup", "r08_stream_limit", "r10_stream_windows"))
+
+
+def test_similar_sets_go_to_a_place_once_and_not_to_each_pair(spark):
+    """A group of near copies in which all meet all, beside a set that many smaller ids are met with; by brute force, over several blocks and sizes."""
+    from engram.operators.similar import _compared, similar_classes
+
+    r = random.Random(5)
+    base = [f"www{k}" for k in range(60)]
+    texts = [" ".join(r.sample(base, 60 - r.randrange(8))) for _ in range(60)] + [" ".join(f"xxx{r.randrange(40)}" for _ in range(40)) for _ in range(40)]
+    texts += [" ".join(f"lll{k}" for k in range(900) if r.random() > cut) for cut in (0.02, 0.03, 0.2)] + ["", "one two", "two one", None]
+    sets = [set(x.split()) if x else set() for x in texts]
+    expected = {(a, b): len(s & t) / len(s | t) for a, s in enumerate(sets) for b, t in enumerate(sets[a + 1 :], a + 1) if s and t and s not in sets[:a] and t not in sets[:b] and len(s & t) / len(s | t) >= 0.85}
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    links = similar_classes(rows)
+    assert {(x.a, x.b): x.similarity for x in links.collect()} == expected and len(expected) > 100
+    codes = spark.createDataFrame([(k, [hash(w) for w in sorted(s, key=hash)]) for k, s in enumerate(sets)], "id long, tokens array<long>")
+    compared = _compared(spark.createDataFrame(list(expected), "a long, b long"), codes, 0.85, block=7)
+    assert {(x.a, x.b): x.similarity for x in compared.collect()} == expected
+    assert "array_intersect" not in links._jdf.queryExecution().toString()
