@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,20 +22,23 @@ def neighbours(edges: DataFrame, source: str, target: str, relation: str = "rela
     return row(source, target, "outgoing").unionByName(row(target, source, "incoming"))
 
 
-def shared_pairs(links: DataFrame, least: int, item: str, group: str, direct: float = 100.0, block: int = 10_000) -> DataFrame:
+def shared_pairs(links: DataFrame, least: int, item: str, group: str, direct: float = 100.0, block: int = 10_000, per_task: int = 2_000_000) -> DataFrame:
     """Pairs (a, b, shared) of items that share so many groups or more. Repeated links count once, nulls not at all.
 
     While the groups hold at most `direct` pairs for each link, pairs are counted group by group. Beyond that, two items of n groups that share
     k are found by the n - k + 1 rarest groups of each, since k - 1 others can't hold all that they share; so a group that most
     items have is looked at only where items have little else. What is found is then counted by joins. Groups of over `block` items are met
-    in blocks.
+    in blocks. Pairs are dealt out before they are counted, some `per_task` of the groups' pairs to a task, so a task's table of counts doesn't grow with the input.
     """
     rows = links.select(F.col(item).alias("i"), F.col(group).alias("g")).where("i IS NOT NULL AND g IS NOT NULL").distinct()
     sizes = rows.groupBy("g").agg(F.count("*").alias("df"))
     cost = sizes.agg(F.sum(F.col("df") * (F.col("df") - 1.0) / 2).alias("pairs"), F.sum("df").alias("links")).first()
     if least < 2 or (cost.pairs or 0) <= direct * (cost.links or 0):
         x, y = rows.select(F.col("i").alias("a"), "g"), rows.select(F.col("i").alias("b"), "g")
-        return x.join(y, "g").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
+        met = x.join(y, "g").where("a < b").select("a", "b")
+        if (cost.pairs or 0) > per_task:
+            met = met.repartition(math.ceil(cost.pairs / per_task), "a", "b")
+        return met.groupBy("a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= least)
     rows = cut(rows)
     counts = rows.groupBy("i").agg(F.count("*").alias("n")).where(F.col("n") >= least)
     rare = F.row_number().over(Window.partitionBy("i").orderBy("df", "g"))

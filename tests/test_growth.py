@@ -43,3 +43,13 @@ def test_similar_sets_go_to_a_place_once_and_not_to_each_pair(spark):
     compared = _compared(spark.createDataFrame(list(expected), "a long, b long"), codes, 0.85, block=7)
     assert {(x.a, x.b): x.similarity for x in compared.collect()} == expected
     assert "array_intersect" not in links._jdf.queryExecution().toString()
+
+
+def test_tasks_of_pairs_grow_in_number_with_the_pairs(spark):
+    from engram.operators.joins import shared_pairs
+
+    links = [(i, g) for g in range(20) for i in range(g, g + 30)]
+    pairs = shared_pairs(spark.createDataFrame(links, "i long, g long"), 2, "i", "g", per_task=500)
+    groups = {i: {g for x, g in links if x == i} for i, _ in links}
+    expected = {(a, b, len(s & groups[b])) for a, s in groups.items() for b in groups if a < b and len(s & groups[b]) >= 2}
+    assert {tuple(x) for x in pairs.collect()} == expected and pairs.rdd.getNumPartitions() == 18
