@@ -63,11 +63,12 @@ def connections(thoughts: DataFrame, anchor: int) -> DataFrame:
 def fuzzy_names(names: DataFrame, entities: DataFrame) -> DataFrame:
     """Matches (name, entity_id, how) of names with entities (entity_id, canonical_name): equal, first_word or contained, the best of each name.
 
-    Equal names and first words of three letters or more meet by hash; containment by the words that both have.
+    Equal names and first words of three letters or more meet by hash; containment by the words that both have. Of entities with one name only the first
+    can be the best, so a name is joined once and not for each of its entities.
     """
     norm = lambda c: F.lower(F.trim(F.col(c)))
     n = names.select("name", norm("name").alias("k")).distinct()
-    e = entities.select("entity_id", norm("canonical_name").alias("ek"))
+    e = entities.groupBy(norm("canonical_name").alias("ek")).agg(F.min(F.struct("entity_id")).alias("m")).select("m.entity_id", "ek")
     first = lambda c: F.when(F.length(F.element_at(F.split(c, " "), 1)) >= 3, F.element_at(F.split(c, " "), 1))
     equal = n.join(e, F.col("k") == F.col("ek")).select("name", "entity_id", F.lit(1).alias("rank"))
     word = n.withColumn("w", first(F.col("k"))).join(e.withColumn("w", first(F.col("ek"))), "w").select("name", "entity_id", F.lit(2).alias("rank"))

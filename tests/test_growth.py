@@ -68,3 +68,22 @@ def test_python_gets_rows_by_their_bytes(spark):
     assert len(sizes) == 12 and max(sizes) <= 5
     parts = list(few(iter([pd.DataFrame({"a": range(7)}), pd.DataFrame({"a": []}), pd.DataFrame({"a": [9]})]), 3))
     assert [list(p["a"]) for p in parts] == [[0, 1, 2], [3, 4, 5], [6], [9]]
+
+
+def test_files_of_chats_are_parsed_once(spark):
+    """The joins of the branch read the nodes' columns, not the files."""
+    df = QUERIES["s07_chat_export"](spark, SF)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() and "from_json" not in plan and "jsontostructs" not in plan
+
+
+def test_a_name_of_many_entities_is_joined_once(spark):
+    from engram.operators.joins import fuzzy_names
+
+    entities = spark.range(3000).selectExpr("id + 5 AS entity_id", "IF(id % 3 = 0, 'Red widget', IF(id % 3 = 1, 'blue anvil', 'hot')) AS canonical_name")
+    names = spark.createDataFrame([("red widget",), ("blue",), ("shot hot",), ("none",), ("blue sky",)] * 2, "name string")
+    found = fuzzy_names(names, entities)
+    assert sorted(map(tuple, found.collect()), key=str) == [("blue sky", 6, "first_word"), ("blue", 6, "first_word"), ("none", None, "new"), ("red widget", 5, "equal"), ("shot hot", 7, "contained")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    ranges = [k for k, line in enumerate(plan) if "Range (0, 3000" in line]
+    assert len(ranges) == 3 and all("Aggregate" in " ".join(plan[k - 3 : k]) for k in ranges)
