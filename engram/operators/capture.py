@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from engram.functions import text as X
 from engram.functions.values import merged_maps
+from engram.operators.cut import cut
 from engram.operators.upsert import latest
 
 #: The type of a highlight's event, and what stands between a highlight and its note.
@@ -60,8 +61,10 @@ def prepared_payload(rows: DataFrame, text: str, caller: str, answer: str) -> Da
     replace those of the answer, and a capture's topic and next step are added. A tier is only raised. Blank texts go.
     """
     found = X.structured_capture(F.col(text))
-    rows = rows.select("*", *[c.alias(f"_{k}") for k, c in found.items()], F.col(caller).alias("_by"), F.col(answer).alias("_of"))
-    rows = rows.withColumn("_normalized", F.trim("_normalized")).where("_normalized <> ''")
+    found["normalized"] = F.trim(found["normalized"])
+    # exploded, as the filter would find the parts again, and each use of a part would too
+    rows = rows.withColumn("_found", F.struct(*[c.alias(f"_{k}") for k, c in found.items()]))
+    rows = rows.select("*", F.inline(F.array("_found")), F.col(caller).alias("_by"), F.col(answer).alias("_of")).where("_normalized <> ''")
     said = sanitised(F.col("_of"), F.col("_normalized"))
     heard, by = F.col("_of").isNotNull(), F.col("_by")
     given = lambda name: F.nullif(by[name], F.lit(""))
@@ -167,10 +170,14 @@ def reatomised(thoughts: DataFrame, edges: DataFrame, links: DataFrame, atoms: C
     prefix, body = X.mail_parts(F.col("content"))
     rows = thoughts.select("*", prefix.alias("_prefix"), body.alias("body"))
     rows = rows.withColumn("_atoms", F.when(F.col("_prefix").isNotNull() & (X.word_count(F.col("body")) >= least_words), atoms))
-    split = F.coalesce(F.size("_atoms") >= 2, F.lit(False))
+    rows = rows.withColumn("_n", F.when(F.size("_atoms") >= 2, F.size("_atoms")))
     others = [c for c in thoughts.columns if c not in ("id", "content")]
+    kept = lambda c, is_split: F.when(F.col("_n").isNotNull() if is_split else F.col("_n").isNull(), F.col(c)).alias(c)
+    # written, as five results need who is split, and only two of them the texts
+    rows = cut(rows.select("id", *others, "_n", kept("content", False), kept("_prefix", True), kept("_atoms", True)))
+    split = F.col("_n").isNotNull()
     old = rows.where(split)
-    parts = old.select("id", *others, "_prefix", F.size("_atoms").alias("_n"), F.posexplode("_atoms").alias("place", "_atom"))
+    parts = old.select("id", *others, "_prefix", "_n", F.posexplode("_atoms").alias("place", "_atom"))
     tag = F.concat(F.regexp_replace("_prefix", r"\]$", ""), F.lit(" | atom "), F.col("place") + 1, F.lit(" of "), F.col("_n"), F.lit("] "), F.col("_atom"))
     fresh = parts.select(new_id.alias("id"), tag.alias("content"), *others, F.col("id").cast("long").alias("re_atomized_from"))
     after = rows.where(~split).select("id", "content", *others, F.lit(None).cast("long").alias("re_atomized_from")).unionByName(fresh)
@@ -179,7 +186,7 @@ def reatomised(thoughts: DataFrame, edges: DataFrame, links: DataFrame, atoms: C
     for end in ("from_id", "to_id"):
         moved = turned.join(heads.select(F.col("id").alias(end), "_head"), end, "left").where(F.col("_head").isNull() | (F.col("relation") == "replies_to"))
         turned = moved.select(*[F.coalesce("_head", end).alias(end) if c == end else F.col(c) for c in edges.columns])
-    copies = parts.select(F.col("id").alias("thought_id"), new_id.alias("_to"))
+    copies = old.select("id", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("place")).select(F.col("id").alias("thought_id"), new_id.alias("_to"))
     relinked = links.join(copies, "thought_id", "left").select(*[F.coalesce("_to", "thought_id").alias(c) if c == "thought_id" else F.col(c) for c in links.columns])
     return after, turned, relinked
 

@@ -87,3 +87,27 @@ def test_a_name_of_many_entities_is_joined_once(spark):
     plan = found._jdf.queryExecution().optimizedPlan().toString().split("\n")
     ranges = [k for k, line in enumerate(plan) if "Range (0, 3000" in line]
     assert len(ranges) == 3 and all("Aggregate" in " ".join(plan[k - 3 : k]) for k in ranges)
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_feed_entry_is_parsed_once(spark):
+    from engram.sources.importers import blog_entries
+
+    plan = _plan(blog_entries(spark.range(9).selectExpr("concat('<entry><title>t', id, '</title><content>', repeat('word ', id), '</content></entry>') AS value")).select("title"))
+    assert plan.lower().count("from_xml") + plan.lower().count("xmltostructs") == 1
+
+
+def test_parts_of_a_capture_are_found_once(spark):
+    """No filter looks for them again."""
+    plan = _plan(QUERIES["x16_prepared_payload"](spark, SF))
+    filters = [line for line in plan.split("\n") if "Filter" in line]
+    assert filters and not any("regexp" in line.lower() or "rlike" in line.lower() for line in filters)
+
+
+def test_mails_are_split_once(spark):
+    """All that follows reads which mails are split, not their texts again."""
+    plan = _plan(QUERIES["k28_reatomise"](spark, SF))
+    assert "[Email[^" not in plan
