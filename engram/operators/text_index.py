@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from engram.operators.batches import small
 from engram.operators.cut import cut
 from engram.functions.stems import stem
 from engram.operators.search import tokens, web_query
@@ -96,6 +97,29 @@ def cover_rank(query: str, text: Column) -> Column:
     return ranked(entries["w"], entries["k"])
 
 
+def _postings_of(texts: DataFrame) -> DataFrame:
+    """(token, id, places) of texts (id, words): a row for each word of each text, made where the text is, without a shuffle."""
+
+    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("words")
+            size = column.value_lengths().to_numpy(zero_copy_only=False)
+            flat = column.flatten().dictionary_encode()
+            if not len(flat):
+                continue
+            text = np.repeat(np.arange(len(size)), size)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(size) - size, size)
+            mark = text * len(flat.dictionary) + flat.indices.to_numpy()
+            order = np.argsort(mark, kind="stable")
+            mark = mark[order]
+            first = np.flatnonzero(np.concatenate([[True], mark[1:] != mark[:-1]]))
+            places = pa.ListArray.from_arrays(pa.array(np.append(first, len(mark)), pa.int32()), pa.array(place[order], pa.int32()))
+            word, of = flat.indices.take(pa.array(order[first])), pa.array(text[order[first]])
+            yield pa.RecordBatch.from_arrays([flat.dictionary.take(word), batch.column("id").take(of), places], ["token", "id", "places"])
+
+    return small(texts).mapInArrow(grouped, f"token string, id {dict(texts.dtypes)['id']}, places array<int>")
+
+
 class TextIndex(Versioned):
     """Postings (token, id, places) and ids of texts, in immutable segments; a manifest says which count and which ids are gone from which.
 
@@ -135,8 +159,7 @@ class TextIndex(Versioned):
 
     def add(self, texts: DataFrame, id_col: str = "id", text_col: str = "content") -> dict:
         """Indexes texts as a segment, then merges segments of like size. Null and empty texts have an id and no postings."""
-        rows = texts.select(F.col(id_col).alias("id"), F.posexplode(tokens(F.col(text_col))).alias("place", "token"))
-        postings = rows.groupBy("token", "id").agg(F.sort_array(F.collect_list("place")).alias("places"))
+        postings = _postings_of(texts.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("words")))
         if self.english:  # a word is stemmed once for a text; words of one stem then meet
             postings = postings.groupBy(stem(F.col("token")).alias("token"), "id").agg(F.sort_array(F.flatten(F.collect_list("places"))).alias("places"))
         new = self._write(postings, texts.select(F.col(id_col).alias("id")))
