@@ -95,7 +95,10 @@ class KeyedTable(Versioned):
 
     def _rows(self, manifest: dict, buckets: Iterable[str]) -> DataFrame:
         paths = [f"{self.path}/runs/{manifest['runs'][b]}/_bucket={b}" for b in sorted(buckets) if b in manifest["runs"]]
-        return self.spark.read.schema(self.schema).parquet(*paths) if paths else self.spark.createDataFrame([], self.schema)
+        if paths:
+            return self.spark.read.schema(self.schema).parquet(*paths)
+        # a plan that is known to be empty, so that the first merge needs no join
+        return self.spark.range(1).select(*[F.lit(None).cast(f.dataType).alias(f.name) for f in self.schema]).where(F.lit(False))
 
     def read(self, version: int | None = None, keys: DataFrame | None = None) -> DataFrame:
         """All rows of the newest version or a given one. With keys: of the buckets alone that those rows fall into, at most one number for each comes to the driver."""
@@ -114,7 +117,7 @@ class KeyedTable(Versioned):
         salt = F.pmod(F.xxhash64(F.lit(7), *self.keys), F.lit(files))
         names = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
         dealt = rows.select(*names).withColumn("_bucket", self._bucket()).repartition("_bucket", salt)
-        dealt.write.partitionBy("_bucket").parquet(f"{self.path}/runs/{run}")
+        dealt.write.option("compression", "zstd").partitionBy("_bucket").parquet(f"{self.path}/runs/{run}")
         kept = [p for p in self._names(f"runs/{run}") if p.getPath().getName().startswith("_bucket=")]
         if not kept:
             return run, {}

@@ -111,3 +111,19 @@ def test_mails_are_split_once(spark):
     """All that follows reads which mails are split, not their texts again."""
     plan = _plan(QUERIES["k28_reatomise"](spark, SF))
     assert "[Email[^" not in plan
+
+
+def test_the_first_merge_joins_nothing(spark, tmp_path):
+    from engram.operators.table import KeyedTable
+
+    table = KeyedTable(spark, str(tmp_path / "t"), "id bigint, m map<string,string>", ["id"], 4)
+    assert "LocalRelation <empty>" in _plan(table.read()) and table.read().collect() == []
+
+
+def test_postings_are_made_where_the_text_is(spark):
+    from engram.operators.text_index import _postings_of
+
+    rows = spark.createDataFrame([(7, ["a", "b", "a"]), (8, []), (9, ["c"]), (7, ["b"])], "id long, words array<string>").coalesce(1)
+    found = _postings_of(rows)
+    assert sorted((x.token, x.id, x.places) for x in found.collect()) == [("a", 7, [0, 2]), ("b", 7, [0]), ("b", 7, [1]), ("c", 9, [0])]
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
