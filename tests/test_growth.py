@@ -127,3 +127,16 @@ def test_postings_are_made_where_the_text_is(spark):
     found = _postings_of(rows)
     assert sorted((x.token, x.id, x.places) for x in found.collect()) == [("a", 7, [0, 2]), ("b", 7, [0]), ("b", 7, [1]), ("c", 9, [0])]
     assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_that_are_stored_are_read_once(spark):
+    """Rows of a stored key and columns beside it stay as they are, nulls are equal, and repeated new keys count once."""
+    from engram.operators.upsert import insert_ignore
+
+    kind = "a long, b long, note string"
+    old = [(1, 1, "x"), (1, 1, "y"), (1, None, "x"), (None, None, None), (2, 1, "x")]
+    new = [(1, 1, "new"), (1, None, "new"), (None, None, "new"), (None, 1, "new"), (None, 1, "new"), (3, 3, "new")]
+    got = insert_ignore(spark.createDataFrame(old, kind), spark.createDataFrame(new, kind), ["a", "b"])
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [*old, (None, 1, "new"), (3, 3, "new")]))
+    plan = QUERIES["k08_links_upsert"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("lineitem.parquet") == 1 and plan.count("Sort [") == 1
