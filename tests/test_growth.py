@@ -140,3 +140,37 @@ def test_links_that_are_stored_are_read_once(spark):
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [*old, (None, 1, "new"), (3, 3, "new")]))
     plan = QUERIES["k08_links_upsert"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("lineitem.parquet") == 1 and plan.count("Sort [") == 1
+
+
+def test_entities_of_a_name_meet_its_texts_in_cells(spark, monkeypatch, tmp_path):
+    """Names that many entities and many texts have: files of the result stay small, and a row for each pair, by brute force, over cells of any size."""
+    from engram.operators import entities as E
+
+    types = ["tool", "topic", "person", "place"]
+    names = [(k, types[k * k * 7 // 5 % 4], "Red widget" if k % 3 else "anvil") for k in range(30_011)] + [(5, "tool", "Red widget"), (None, "tool", "anvil"), (90_000, "topic", "rare")]
+    entities = spark.createDataFrame(names, "entity_id long, entity_type string, canonical_name string")
+    texts = spark.range(60).selectExpr("id", "concat(repeat('a ', int(id % 7)), IF(id % 2 = 0, 'red widget ', 'anvil '), IF(id = 7, 'rare', 'red widget')) AS text")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if neither side were small
+    try:
+        E.text_entities(texts, entities, "id", "text").write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    written = spark.read.parquet(str(tmp_path / "out"))
+    red, anvil = (sum(n == x for *_, n in names) for x in ("Red widget", "anvil"))
+    assert written.count() == 59 * red + 30 * anvil + 1
+    size = sum(p.stat().st_size for p in (tmp_path / "out").glob("*.parquet"))
+    assert size < 0.6 * written.count()
+
+    for name, size in (("CELL_ENTITIES", 16), ("CELL_TEXTS", 5), ("RUN", 8)):
+        monkeypatch.setattr(E, name, size)
+    some, few = texts.where("id < 23"), entities.where("entity_id IS NULL OR entity_id < 200 OR entity_id = 90000")
+    got = E.text_entities(some, few, "id", "text", per_task=100)
+    expected = []
+    for k in range(23):
+        words = ["a"] * (k % 7) + (["anvil"] if k % 2 else ["red", "widget"]) + (["rare"] if k == 7 else ["red", "widget"])
+        for e, kind, name in names:
+            n = name.lower().split()
+            at = [p for p in range(len(words)) if words[p : p + len(n)] == n]
+            if at and (e is None or e < 200 or e == 90_000):
+                expected.append((k, e, kind, 0.9, len(at), at[0]))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected)) and got.rdd.getNumPartitions() == -(-len(expected) // 100)
