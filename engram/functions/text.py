@@ -150,8 +150,10 @@ def unsafe_reasons(text: Column) -> Column:
     ))
 
 
-def html_to_text(html: Column) -> Column:
-    s = replaced(html, [*HTML_TAGS, *HTML_ENTITIES, (r"[ \t]+", " "), (r"\n{3,}", "\n\n")])
+def html_to_text(html: Column, once: bool = False) -> Column:
+    """Text of HTML. Entities are replaced in the fixed order, by which &amp;lt; gets <; once, the ampersand goes last and it gets &lt;."""
+    entities = sorted(HTML_ENTITIES, key=lambda x: once and x[1] == "&")
+    s = replaced(html, [*HTML_TAGS, *entities, (r"[ \t]+", " "), (r"\n{3,}", "\n\n")])
     return F.regexp_replace(s, r"^[ \t\r\n]+|[ \t\r\n]+$", "")
 
 

@@ -1,5 +1,6 @@
 """Queries over tables whose texts are empty, blank, null or look like what a query itself makes of them, beside their SQL."""
 
+import json
 import os
 
 import pyarrow as pa
@@ -61,3 +62,15 @@ def test_cells_without_a_value(spark):
     got = importers.perplexity_memories(files).orderBy("place").collect()
     assert [(r.content, r.deleted, r.forgotten) for r in got] == [("", True, False), (None, True, False), ("", False, False), ("a\r_x000D_", False, False)]
     assert [(r.uuid, r.title, r.query, r.answer) for r in importers.perplexity_conversations(files).collect()] == [("u", "", "", None)]
+
+
+def test_mails_of_odd_texts(spark, odd):
+    same(spark, odd, "s12_mail_text")
+
+
+def test_empty_parts_of_mails(spark):
+    """An empty part gives way to one with text, and is an empty body if there is none; a message without parts has no body."""
+    part = lambda kind, data: {"mimeType": f"text/{kind}", "body": {"data": data}}
+    mails = [[part("plain", ""), part("html", "PGI-aGk8L2I-")], [part("plain", ""), {"parts": [part("plain", "eA")]}], [part("html", "")], [part("html", "JmFtcDtsdDs")], [], [part("plain", None)]]
+    rows = spark.createDataFrame([(k, json.dumps({"payload": {"mimeType": "multipart/mixed", "parts": m}})) for k, m in enumerate(mails)], "k int, value string")
+    assert [r.body for r in importers.mail_text(rows).orderBy("k").collect()] == ["hi", "x", "", "&lt;", None, None]
