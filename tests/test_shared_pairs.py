@@ -1,4 +1,5 @@
 import random
+from collections import Counter
 from itertools import combinations
 
 import pytest
@@ -30,3 +31,17 @@ def test_a_group_of_most_items_is_no_square(spark):
     links = items.select("item", F.lit(0).cast("long").alias("grp")).unionByName(items.select("item", (F.floor(F.col("item") / 2) + 1).alias("grp")))
     got = shared_pairs(links, 2, "item", "grp")
     assert got.agg(F.count("*"), F.min("shared"), F.max("shared"), F.max(F.col("b") - F.col("a"))).first()[:] == (50_000, 2, 2, 1)
+
+
+def test_all_pairs_are_classified(spark):
+    """Every pair of a text, by brute force, is asked about: none is left out because others share more."""
+    from engram.plans import all_queries
+
+    sf = "/root/testdata/sf0.001"
+    of = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_partkey").distinct().collect():
+        of.setdefault(r.l_partkey, []).append(r.l_orderkey)
+    shared = Counter(pair for orders in of.values() for pair in combinations(sorted(orders), 2))
+    docs = {r.doc_id for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id").collect()}
+    got = [(r.a, r.b) for r in all_queries()[0]["f03_pair_relations"](spark, sf).collect()]
+    assert sorted(got) == sorted((a, b) for (a, b), n in shared.items() if n >= 2 and a in docs) and len(got) > 200
