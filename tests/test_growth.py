@@ -174,3 +174,32 @@ def test_entities_of_a_name_meet_its_texts_in_cells(spark, monkeypatch, tmp_path
             if at and (e is None or e < 200 or e == 90_000):
                 expected.append((k, e, kind, 0.9, len(at), at[0]))
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, expected)) and got.rdd.getNumPartitions() == -(-len(expected) // 100)
+
+
+def test_similar_sets_meet_in_blocks_by_size(spark, monkeypatch):
+    """Cells of few sets in several waves have the links of one go, by brute force; a set goes to the cells of its size only, and nothing that moves stays on disk."""
+    import random
+
+    from engram.operators import similar as S
+
+    r = random.Random(4)
+    sets = []
+    for k in range(400):
+        old = sets[r.randrange(len(sets))] if sets and k % 2 else {f"w{r.randrange(2000)}" for _ in range(r.choice([5, 40, 200]))}
+        sets.append({w for w in old if r.random() > 0.05} | {f"w{r.randrange(2000)}" for _ in range(r.randrange(3))} or {"one"})
+    texts = spark.createDataFrame([(k, " ".join(sorted(s))) for k, s in enumerate(sets)], "id long, content string")
+    words = [{w for w in s if len(w) >= 3} for s in sets]
+    expected = {(a, b): len(x & y) / len(x | y) for a, x in enumerate(words) for b, y in enumerate(words) if a < b and x != y and x and y and len(x & y) / len(x | y) >= 0.85}
+    seen, one = [], S.cut_each
+    monkeypatch.setattr(S, "cut_each", lambda parts: one(seen.append(1) or p for p in parts))
+    first = {}
+    for k, s in enumerate(words):
+        first.setdefault(frozenset(s), k)
+    classes = {k: first[frozenset(s)] for k, s in enumerate(words)}
+    compared = S._compared
+    for size in ({}, {"block": 3, "most_tokens": 200, "wave": 1}):
+        seen.clear()
+        monkeypatch.setattr(S, "_compared", lambda *a, size=size: compared(*a, **size))
+        got = {(x.a, x.b): x.similarity for x in S.similar_classes(texts).collect()}
+        assert got == {k: v for k, v in expected.items() if classes[k[0]] == k[0] and classes[k[1]] == k[1]} and len(got) > 50
+        assert (len(seen) > 1) == bool(size)
